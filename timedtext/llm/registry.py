@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from timedtext.llm import line_dedup, mixing
+from timedtext.llm import bpe, line_dedup, mixing, secret_scan, token_counts
 
 
 def queries():
-    return {"op1_mix_sources": mixing.op1_mix_sources, "op9_line_dedup": line_dedup.op9_line_dedup}
+    return {
+        "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_bpe": bpe.op2_bpe,
+        "op3_secret_scan": secret_scan.op3_secret_scan,
+        "op4_token_counts": token_counts.op4_token_counts,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
+    }
 
 
 def oracle_sql():
