@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from timedtext.llm import shared
 
 RESOLUTION, BLOCK_ROWS, SEED = 500, 16, "mix-1"
-MAX_SOURCES, ROWS_PER_BUCKET = 10_000, 10_000
+MAX_SOURCES, ROWS_PER_BUCKET = 10_000, 1_000
 _SOURCE, _KEY, _BUCKET = "__mix_source", "__mix_key", "__mix_bucket"
 
 
