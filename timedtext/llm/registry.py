@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timedtext.llm import bpe, line_dedup, mixing, near_dup, secret_scan, token_counts
+from timedtext.llm import bpe, line_dedup, mixing, near_dup, nearest, secret_scan, token_counts, vector_dedup
 
 
 def queries():
@@ -11,8 +11,10 @@ def queries():
         "op2_bpe": bpe.op2_bpe,
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_nearest": nearest.op5_nearest,
         "op7_near_dup": near_dup.op7_near_dup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_vector_dedup": vector_dedup.op10_vector_dedup,
     }
 
 
