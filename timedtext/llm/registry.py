@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timedtext.llm import bpe, line_dedup, mixing, near_dup, nearest, secret_scan, token_counts, vector_dedup
+from timedtext.llm import bpe, line_dedup, mixing, near_dup, nearest, quality, secret_scan, token_counts, toxicity, vector_dedup
 
 
 def queries():
@@ -12,7 +12,9 @@ def queries():
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_nearest": nearest.op5_nearest,
+        "op6_quality": quality.op6_quality,
         "op7_near_dup": near_dup.op7_near_dup,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_vector_dedup": vector_dedup.op10_vector_dedup,
     }

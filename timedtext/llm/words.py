@@ -11,6 +11,8 @@ import numpy as np
 PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: Blanks and all of ASCII that is not a letter or a digit.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,21 +53,26 @@ def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
 class Scan:
     """The words of some texts: hash, start and end in `raw`, and the number of the text."""
 
-    def __init__(self, texts: list[bytes], fold=True) -> None:
+    def __init__(self, texts: list[bytes], fold=True, between=_SPACE) -> None:
         raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
         self.raw = raw
         folded = _FOLD[raw] if fold else raw
-        space = _SPACE[raw]
+        space = between[raw]
         edges = np.flatnonzero(space[1:] != space[:-1]) + 1
         self.starts, self.ends = edges[::2], edges[1::2]
         size = 1 << max(PIECE + 4096, len(raw)).bit_length()
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_BYTE[folded] * _powers(size, _BASE)[: len(raw)], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * _powers(size, _INVERSE)[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self._sums, self._inverse = sums, _powers(size, _INVERSE)
+        self.hashes = self.hash(self.starts, self.ends)
         borders = np.cumsum([len(t) + 1 for t in texts])
         self.owners = np.searchsorted(borders, self.starts, "right")
         self.counts = np.bincount(self.owners, minlength=len(texts)) if texts else np.zeros(0, np.int64)
 
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the parts of `raw` from starts to ends."""
+        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
+
 
 def batches(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[list[int], list[bytes]]]:
     """Pieces of texts, together at most about `size` bytes, with the number of the text that each is from."""
