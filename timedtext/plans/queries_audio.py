@@ -53,7 +53,7 @@ Q = {
         # each block of 32 samples as two equal channels at 16 kHz: the sum times sqrt(1/2)
         lambda v: audio.downmix_resample(audio.pcm_blocks(v.pcm_v, 32).select("rec", F.col("start_sample").alias("seq"), F.flatten(F.transform("samples", lambda x: F.array(x, x))).alias("samples"), F.lit(16_000).alias("rate"), F.lit(2).alias("channels")))
         .select("rec", "start_sample", F.posexplode("samples").alias("pos", "x"))
-        .select("rec", (F.col("start_sample") + F.col("pos")).alias("i"), F.round(F.col("x").cast("double"), 5).alias("x")),
-        "SELECT rec, i, round(((x::DOUBLE + x::DOUBLE) * sqrt(0.5::DOUBLE))::FLOAT::DOUBLE, 5) AS x FROM pcm_v",
+        .select("rec", (F.col("start_sample") + F.col("pos")).alias("i"), (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x")),
+        "SELECT rec, i, round(((x::DOUBLE + x::DOUBLE) * sqrt(0.5::DOUBLE))::FLOAT::DOUBLE, 5) + 0.0::DOUBLE AS x FROM pcm_v",
     ),
 }
