@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -99,3 +99,10 @@ def progress(commits: DataFrame, total_s: str, elapsed_s: str, key="rec", order=
     percent = F.when(known, F.least(F.lit(99), F.floor(F.col("position_s") / F.col(total_s) * 100)).cast("int"))
     eta = F.when(known & (moved > 0) & (spent > 0), (F.col(total_s) - F.col("position_s")) * spent / moved)
     return rows.withColumn("percent", percent).withColumn("eta_s", eta).drop("__first", "__began")
+
+
+def observed(commits: DataFrame, name: str = "commits") -> tuple[DataFrame, Observation]:
+    """`commits` with metrics that Spark reports while they go through: chunks, samples and segments. On a stream, listeners get them by name."""
+    seen = Observation(name)
+    segments = F.sum(F.size("segments")) if "segments" in commits.columns else F.lit(None).cast("long")
+    return commits.observe(seen, F.count("*").alias("chunks"), F.sum(F.col("end_sample") - F.col("start_sample")).alias("samples"), segments.alias("segments")), seen

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timedtext.functions import text as t
+from timedtext.functions.scratch import fresh_path
+from timedtext.operators import journal
 from timedtext.operators import paragraphs as p
 from timedtext.operators import segments as s
-from timedtext.sources import sinks
+from timedtext.sources import sinks, tables
 
 PAUSE_MS = 2000
 _WS = r"[ \n\r\t]+"
@@ -156,6 +158,21 @@ Q = {
         lambda v: sinks.render_counts(v.seg_v)[0],
         f"WITH {_breaks('seg_v')} SELECT rec, CAST(sum(b::INT) + 1 AS BIGINT) AS paragraphs, any_value(c) AS cues FROM st JOIN (SELECT rec, count(*) AS c FROM seg_v GROUP BY rec) USING (rec) GROUP BY rec",
     ),
+    "read_transcripts": (
+        lambda v: _transcripts(v),
+        f"SELECT rec::VARCHAR AS source, CAST(row_number() OVER ({W}) - 1 AS BIGINT) AS seq, start_s, end_s, text, no_speech_prob, language FROM seg_v",
+    ),
+    "read_journal": (
+        lambda v: _journal(v),
+        """SELECT rec, idx, start_sample, end_sample, count(*) FILTER (WHERE x <> '') AS n, true AS linked
+           FROM (SELECT rec, seq AS idx, seq * 480000 AS start_sample, (seq + 1) * 480000 AS end_sample, trim(unnest(string_split(text, chr(10))), concat(' ', chr(10), chr(13), chr(9))) AS x FROM docseg_v)
+           GROUP BY rec, idx, start_sample, end_sample""",
+    ),
+    "read_catalog": (
+        lambda v: _catalog(v),
+        "SELECT 'm' || doc_id AS name, doc_id || '.bin' AS file, 'https://example.org/' || doc_id AS url, sha256(text) AS sha256, n_chars AS bytes FROM documents",
+    ),
+    "seconds_to_samples": (lambda v: v.seg_v.select("rec", "seq", t.seconds_to_samples("start_s").alias("samples")), "SELECT rec, seq, CAST(ceil(start_s * 16000) AS BIGINT) AS samples FROM seg_v"),
     "append_journal": (
         lambda v: _appended(v),
         """SELECT rec, idx, start_sample, end_sample, count(*) FILTER (WHERE x <> '') AS n, any_value(language) AS language
@@ -177,11 +194,42 @@ def _json(v):
     return docs.select("rec", F.size("d.segments").cast("long").alias("n"), "d.language", "d.duration", "d.duration_after_vad", "d.text", ends.alias("ends"))
 
 
+def _transcripts(v):
+    """Documents as JSON, written and read again."""
+    segs = v.seg_v
+    headers = segs.groupBy("rec").agg((F.max("end_ms").cast("double") / 1000).alias("duration")).select("rec", F.col("rec").cast("string").alias("source"), F.lit("none").alias("model"), "duration", F.lit(False).alias("vad"), F.create_map(F.lit("vad"), F.lit("false")).alias("run"))
+    path = fresh_path(v.spark, "transcripts")
+    sinks.write_json(segs, headers, path, PAUSE_MS)
+    return tables.read_transcripts(v.spark, path)
+
+
+def _journal(v):
+    """Records appended to a journal and read again, with their chain verified."""
+    path = fresh_path(v.spark, "journal")
+    sinks.append_journal(_results(v), path)
+    rows = tables.read_appended(v.spark, path).withColumnRenamed("index", "idx").withColumn("n_segments", F.size("segments"))
+    checked = journal.verify_chain(rows, 480_000)
+    return checked.select("rec", "idx", "start_sample", "end_sample", F.col("n_segments").cast("long").alias("n"), F.col("reason").isNull().alias("linked"))
+
+
+def _catalog(v):
+    """A catalog of artifacts for each source, one JSON array a file, written and read again."""
+    name = F.col("doc_id").cast("string")
+    entry = F.struct(F.concat(F.lit("m"), name).alias("name"), F.concat(name, F.lit(".bin")).alias("file"), F.concat(F.lit("https://example.org/"), name).alias("url"), F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("bytes"))
+    path = fresh_path(v.spark, "catalog")
+    v.documents.groupBy("source").agg(F.to_json(F.collect_list(entry)).alias("value")).write.partitionBy("source").text(path)
+    return tables.read_catalog(v.spark, path).select("name", "file", "url", "sha256", "bytes")
+
+
 def _appended(v):
-    """Each document as the result of one window of 30 s, its lines as segments; the records are parsed again."""
+    """Results as records, parsed again."""
     from timedtext.sources.tables import CHUNK
 
-    line = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i % 30).cast("double").alias("start_s"), (i % 30 + F.lit(0.5)).cast("double").alias("end_s"), x.alias("text"), F.lit(0.1).alias("no_speech_prob")))
-    results = v.docseg_v.select("rec", F.col("seq").alias("idx"), (F.col("seq") * 480000).alias("start_sample"), ((F.col("seq") + 1) * 480000).alias("end_sample"), "language", line.alias("segments"))
-    records = sinks.append_rows(results)[0].withColumn("c", F.from_json("raw", CHUNK))
+    records = sinks.append_rows(_results(v))[0].withColumn("c", F.from_json("raw", CHUNK))
     return records.select("rec", "idx", "c.start_sample", "c.end_sample", F.size("c.segments").cast("long").alias("n"), "c.language")
+
+
+def _results(v):
+    """Each document as the result of one window of 30 s, its lines as segments."""
+    line = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i % 30).cast("double").alias("start_s"), (i % 30 + F.lit(0.5)).cast("double").alias("end_s"), x.alias("text"), F.lit(0.1).alias("no_speech_prob")))
+    return v.docseg_v.select("rec", F.col("seq").alias("idx"), (F.col("seq") * 480000).alias("start_sample"), ((F.col("seq") + 1) * 480000).alias("end_sample"), "language", line.alias("segments"))

@@ -18,7 +18,7 @@ EPOCH = "timestamp_millis({0})"
 def through(v, df, make, files=4, per_trigger=2):
     """`df` as a stream of files through make, and what comes out as a table."""
     source, sink, checkpoint = (fresh_path(v.spark, x) for x in ("stream-in", "stream-out", "stream-state"))
-    df.repartition(files).write.parquet(source)
+    (df.repartition(files) if files else df).write.parquet(source)
     use_rocksdb(v.spark)
     out = make(st.stream_table(v.spark, source, df.schema, per_trigger))
     st.run_available(out, sink, checkpoint)
@@ -72,6 +72,13 @@ def resumed(v):
     return v.spark.read.parquet(sink)
 
 
+def late(v):
+    """The timeline of frames that arrive last first, a few at a time: none is lost."""
+    rows = v.frames_v.select(FRAMES)
+    done = through(v, rows.repartitionByRange(4, F.desc("seq")), lambda s: st.stream_align_timeline(s), files=None, per_trigger=1)
+    return done.groupBy("rec").agg(F.count("*").alias("n"), F.sum("n_samples").alias("samples"), F.max("timeline_end").alias("timeline_end"))
+
+
 FRAMES = ["rec", "seq", "pts", "n_samples", "delay", "tolerance", "transport"]
 Q = {
     "stream_table": (lambda v: through(v, v.seg_v.select("rec", "seq", "start_ms"), lambda s: s), "SELECT rec, seq, start_ms FROM seg_v"),
@@ -79,6 +86,10 @@ Q = {
         lambda v: through(v, v.frames_v.select(FRAMES), lambda s: st.stream_align_timeline(s)).drop("n_samples"),
         f"WITH {qt.ALIGNED.format(auto='')} {qt.SHOWN}",
     ),
+    "late_policy": (
+        late,
+        f"WITH {qt.ALIGNED.format(auto='')} SELECT rec, count(*) AS n, CAST(sum(n_samples) AS BIGINT) AS samples, max(pos) AS timeline_end FROM st GROUP BY rec",
+    ),
     "stream_budget": (
         lambda v: through(v, tl.frame_events(v.frames_v).withColumn("seq", F.col("seq") - 3), lambda s: st.stream_budget(s, limit_s=1)).withColumn("seq", F.col("seq") + 3),
         f"WITH {qt.EVENTS} {qt.BUDGET.format(reason='time', cond='''damaged AND round(spent, 9) >= 1 AND kind IN ('await', 'error')''')}",

@@ -41,6 +41,12 @@ def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read_manifests(spark, path), read_chunks(spark, path)
 
 
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """(rec, raw, record fields) of a table of records that append_journal has written."""
+    rows = spark.read.parquet(path).select("rec", "raw").filter(F.octet_length("raw") <= RECORD_BYTES)
+    return rows.withColumn("r", F.from_json("raw", CHUNK)).select("rec", "raw", "r.*")
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(source, seq, start_s, end_s, text, no_speech_prob, language) of schema-2 transcript documents."""
     rows = spark.read.schema(TRANSCRIPT).json(path).filter("schema_version = 2").select("source", F.posexplode("segments").alias("seq", "s"))
