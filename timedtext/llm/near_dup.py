@@ -10,10 +10,12 @@ all tables with a chance of about 2 (1 - 0.75^ROWS)^HALVES.
    their table keys. Each table key links its nodes to its smallest one, so a
    group of any size costs one row per node and table.
 3. The likeliest such pair of each node is verified on full sets and components
-   are formed. Then the rest is verified, but only where the two are in
-   different components: first pairs with a smallest node, then all pairs under
-   a key. So no link between different components is missed among the
-   candidates, while a group of copies never becomes all its pairs.
+   are formed. A table key whose nodes are of several components is still open.
+   Under each first key, the nodes of its open keys are compared in tiles on
+   full sets, all that are not of the commonest component with all others, and a
+   tile returns one link for a node and another component. So no link between
+   components is missed among the candidates, while a group of copies never
+   becomes all its pairs: its own component is not compared with itself.
 
 Defined cases: words and shingles are those of the query's contract. Null or
 empty texts, or texts without words, have no shingles and link with nothing.
@@ -35,6 +37,8 @@ from timedtext.llm import graph, shared, words
 
 SHINGLE, PERCENT = 5, 75
 HALVES, ROWS = 14, 3
+#: Nodes of either side of a tile.
+TILE = 512
 _rng = np.random.default_rng(75)
 _HASHES = 2 * HALVES * ROWS
 _FLIP = _rng.integers(0, 2**63, _HASHES, dtype=np.uint64)
@@ -119,7 +123,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", percent=PERCE
     first = classes.select("node", "n", "second_keys", F.explode("first_keys").alias("k1"))
     shared_k1 = shared.written(first.groupBy("k1").agg(F.count("*").alias("c")).filter("c > 1").select("k1"), "shared-keys")
     crowded = first.join(shared_k1, "k1").select("node", "n", "k1", F.posexplode("second_keys").alias("j", "k2"))
-    tables = shared.written(crowded.select(F.xxhash64("k1", "j", "k2").alias("key"), "node", "n"), "tables")
+    tables = shared.written(crowded.select(F.xxhash64("k1", "j", "k2").alias("key"), "k1", "node", "n"), "tables")
     least = tables.groupBy("key").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("na"), F.count("*").alias("c")).filter("c > 1").drop("c")
     least = shared.written(least, "smallest")
     stars = tables.join(least, "key").filter(F.col("node") != F.col("a")).filter(_close("n", "na", percent))
@@ -135,15 +139,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", percent=PERCE
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
     links = _verified(best, sets, percent)
     parts = shared.written(graph.connected_components(links), "parts")
-    rest = _apart(stars.select("a", "b"), parts)
-    links = links.union(_verified(rest, sets, percent))
-    parts = shared.written(graph.connected_components(links), "parts")
-    labelled = tables.join(least.select("key"), "key", "left_semi").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-    mixed = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    open_keys = shared.written(labelled.join(shared.written(mixed, "mixed-keys"), "key"), "open-keys")
-    x, y = open_keys.toDF("key", "a", "na", "pa"), open_keys.toDF("key", "b", "nb", "pb")
-    across = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _close("na", "nb", percent)).select("a", "b").distinct()
-    links = links.union(_verified(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), sets, percent))
+    links = links.union(_open_links(tables, least, parts, sets, percent))
     parts = shared.written(graph.connected_components(links), "parts")
 
     named = parts.join(classes.select("node", "first_id"), "node")
@@ -155,12 +151,61 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", percent=PERCE
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs of which the two are in different components."""
-    a, b = parts.select(F.col("node").alias("a"), F.col("component").alias("pa")), parts.select(F.col("node").alias("b"), F.col("component").alias("pb"))
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return shared.written(both.filter(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b"), "apart")
+def _tile_links(t: pa.Table, percent: int) -> pa.Table:
+    """(a, b): for each asking node and each other component that it has a link to among the others, one such link."""
+    asks, node, part = (np.asarray(t.column(c)) for c in ("asks", "node", "part"))
+    lists = t.column("s").combine_chunks()
+    sets = [np.asarray(lists[i].values) for i in range(len(lists))]
+    others = np.flatnonzero(~asks)
+    sizes = np.array([len(sets[i]) for i in others])
+    known, place = np.unique(np.concatenate([np.zeros(0, np.int64), *(sets[i] for i in others)]), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    a, b = [], []
+    for x in np.flatnonzero(asks) if len(others) else ():
+        at = np.searchsorted(known, sets[x])
+        at = at[(at < len(known))]
+        mark = np.zeros(len(known), np.int64)
+        mark[at[np.isin(known[at], sets[x])]] = 1
+        common = np.add.reduceat(mark[place], starts)
+        hits = np.flatnonzero((common * 100 >= percent * (len(sets[x]) + sizes - common)) & (part[others] != part[x]))
+        for i in np.unique(part[others][hits], return_index=True)[1]:
+            a.append(node[x])
+            b.append(node[others[hits[i]]])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _open_links(tables: DataFrame, least: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components under a table key, verified on full sets, written."""
+    labelled = tables.join(least.select("key"), "key", "left_semi").join(parts, "node", "left").select("key", "k1", "node", F.coalesce("component", "node").alias("part"))
+    mixed = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+    members = labelled.join(shared.written(mixed, "open-keys"), "key", "left_semi").groupBy("k1", "node").agg(F.first("part").alias("part"))
+    members = shared.written(members, "open-nodes")
+    counts = members.groupBy("k1", "part").agg(F.count("*").alias("c")).groupBy("k1").agg(F.max_by("part", F.struct("c", "part")).alias("most"), F.max("c").alias("c"), F.sum("c").alias("all"))
+    counts = counts.select("k1", "most", F.ceil((F.col("all") - F.col("c")) / TILE).cast("int").alias("askers"), F.ceil(F.col("all") / TILE).cast("int").alias("others"))
+    rows = members.join(shared.written(counts, "tiles"), "k1")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking = rows.filter("part <> most").select("k1", "node", "part", F.lit(True).alias("asks"), own(F.col("askers")).alias("i"), every(F.col("others")).alias("j"))
+    others = rows.select("k1", "node", "part", F.lit(False).alias("asks"), every(F.col("askers")).alias("i"), own(F.col("others")).alias("j"))
+    tiles = asking.union(others).join(sets, "node")
+    found = tiles.groupBy("k1", "i", "j").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long")
+    return shared.written(found.distinct(), "links")
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(shared.documents(spark, sf_dir))
+
+
+SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) >= {SHINGLE} THEN list_distinct(list_transform(range(1, len(w) - {SHINGLE} + 2), lambda i: array_to_string(w[i:i + {SHINGLE} - 1], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+x AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, low.b AS component_id, doc_id = low.b AS kept FROM s JOIN low ON low.a = doc_id"""

@@ -54,7 +54,8 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
     low = np.where(own, -np.inf, about - error)
     least = np.partition(low, len(cid) - k, axis=1)[:, len(cid) - k] if len(cid) > k else np.full(len(qid), -np.inf)
     rows, cols = np.nonzero((about + error >= least[:, None]) & ~own)
-    scores = np.einsum("ij,ij->i", q[rows], c[cols])
+    # summed from left to right, so that a score doesn't depend on the tile
+    scores = np.concatenate([np.cumsum(q[rows[i : i + 65_536]] * c[cols[i : i + 65_536]], axis=1)[:, -1] for i in range(0, len(rows), 65_536)] or [np.zeros(0)])
     out = []
     ends = np.searchsorted(rows, np.arange(len(qid) + 1))
     for i, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
@@ -87,3 +88,11 @@ def nearest(df: DataFrame, is_query: Column, k=K, query_block=QUERY_BLOCK, block
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+_GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+SQL = f"""
+WITH v AS MATERIALIZED (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_GOOD}),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}"""

@@ -21,4 +21,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mix_sources": mixing.SQL, "op9_line_dedup": line_dedup.SQL}
+    return {
+        "op1_mix_sources": mixing.SQL,
+        "op5_nearest": nearest.SQL,
+        "op7_near_dup": near_dup.SQL,
+        "op9_line_dedup": line_dedup.SQL,
+        "op10_vector_dedup": vector_dedup.SQL,
+    }
