@@ -19,4 +19,5 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[1])
     return session
