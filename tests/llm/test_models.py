@@ -1,4 +1,4 @@
-"""The classifier and the toxicity model: held-out accuracy, defined cases; and the pipeline."""
+"""The classifier and the toxicity model: held-out accuracy and defined cases."""
 
 import os
 
@@ -80,21 +80,3 @@ def test_evidence_over_pieces_is_that_of_the_whole(monkeypatch):
     monkeypatch.setattr(words.batches, "__defaults__", (64,))
     pieces = toxicity.evidence(["x", text, text], kept)
     assert {s for _, s, *_ in pieces} == {s for s, *_ in whole}
-
-
-@needs_data
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    small = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    step = docs
-    sizes = []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        step = stage(spark, step, small)
-        assert step.columns == docs.columns
-        step = spark.createDataFrame(step.collect(), docs.schema)
-        sizes.append(step.count())
-    assert sizes[0] < docs.count() and sizes[1] == sizes[0] and sizes[2] <= sizes[1] and sizes[3] == sizes[2]
-    last = corpus_pipeline.STAGES[-1][1](spark, step, small)
-    assert last.count() == sizes[-1] and last.filter("n_tokens <> size(ids)").count() == 0
