@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from timedtext.llm import graph, shared, words
 
 SHINGLE, PERCENT = 5, 75
-HALVES, ROWS = 14, 3
+HALVES, ROWS = 20, 3
 #: Nodes of either side of a tile.
 TILE = 512
 _rng = np.random.default_rng(75)
@@ -120,9 +120,10 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", percent=PERCE
     classes = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("first_keys").alias("first_keys"), F.first("second_keys").alias("second_keys"))
     classes = shared.written(classes, "classes")
 
-    first = classes.select("node", "n", "second_keys", F.explode("first_keys").alias("k1"))
+    first = classes.select("node", F.explode("first_keys").alias("k1"))
     shared_k1 = shared.written(first.groupBy("k1").agg(F.count("*").alias("c")).filter("c > 1").select("k1"), "shared-keys")
-    crowded = first.join(shared_k1, "k1").select("node", "n", "k1", F.posexplode("second_keys").alias("j", "k2"))
+    crowded = shared.written(first.join(shared_k1, "k1"), "crowded").join(classes.select("node", "n", "second_keys"), "node")
+    crowded = crowded.select("node", "n", "k1", F.posexplode("second_keys").alias("j", "k2"))
     tables = shared.written(crowded.select(F.xxhash64("k1", "j", "k2").alias("key"), "k1", "node", "n"), "tables")
     least = tables.groupBy("key").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("na"), F.count("*").alias("c")).filter("c > 1").drop("c")
     least = shared.written(least, "smallest")
