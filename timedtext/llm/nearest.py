@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from timedtext.llm import vectors
+from timedtext.llm import shared, vectors
 
 K, QUERY_BLOCK, BLOCK = 20, 512, 4096
 #: For rounding errors of the bounds themselves, by far larger than these.
@@ -67,6 +67,7 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
 def nearest(df: DataFrame, is_query: Column, k=K, query_block=QUERY_BLOCK, block=BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for a table of vec_id and embedding; is_query tells the queries by vec_id."""
     rows = vectors.distinct_vectors(df.filter("vec_id is not null"), "vec_id").select("vec_id", "embedding", "dim", is_query.alias("is_query"))
+    rows = shared.written(rows, "vectors")
     n, queries = rows.agg(F.count("*"), F.count_if("is_query")).first()
     blocks, query_blocks = -(-n // block) or 1, -(-queries // query_block) or 1
     place = F.xxhash64("vec_id", "embedding")
