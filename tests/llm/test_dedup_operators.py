@@ -197,6 +197,16 @@ def test_mix_keeps_every_row(spark):
         mixing.mix(df, spark.createDataFrame([("hot", 0.0)], "source string, weight double"))
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", "s", 7, {"k": 1})] * 3, "doc_id long, text string, source string, n int, m map<string,int>")
+    odd = df.select("*", *(F.col("n").alias(c) for c in ("quota", "period", "slots", "slot", "mix_block", "turn", "weight")))
+    assert [(r.quota, r.slots, r.m) for r in mixing.mix(odd).collect()] == [(7, 7, {"k": 1})] * 3
+    odd = df.select("*", *(F.col("n").alias(c) for c in ("drop_bitmap", "kept_lines", "pos", "line", "key", "h1", "n_lines", "word")))
+    assert [(r.pos, r.kept_lines, r.n_lines) for r in line_dedup.dedup_lines(odd).collect()] == [(7, ["a"], 1)] * 3
+    odd = df.select("*", *(F.col("n").alias(c) for c in ("node", "key", "a", "b", "s", "component_id", "kept")))
+    assert [tuple(r) for r in near_dup.near_duplicates(odd).collect()] == [(1, 1, 1, True)] * 3
+
+
 def test_digest_of_kept_lines(spark, tmp_path):
     spark.createDataFrame([(1, "a\nb")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert line_dedup.op9_line_dedup(spark, str(tmp_path)).first().kept_sha256 == hashlib.sha256(b"a\nb").hexdigest()

@@ -62,7 +62,11 @@ def drop_bitmaps(docs: DataFrame, doc_id="doc_id", text="text", min_documents=MI
 
 
 def dedup_lines(docs: DataFrame, doc_id="doc_id", text="text", **rule) -> DataFrame:
-    """`docs` with the columns kept_lines, n_lines, n_dropped and drop_bitmap (an array of 64-bit words; null: nothing dropped)."""
+    """`docs` with the columns kept_lines, n_lines, n_dropped and drop_bitmap (an array of 64-bit words; null: nothing dropped).
+
+    Columns that have these names are replaced.
+    """
+    docs = docs.drop("kept_lines", "n_lines", "n_dropped", "drop_bitmap")
     sparse = drop_bitmaps(docs, doc_id, text, **rule)
     dense = sparse.select(_ID, _TEXT, F.expr("transform(sequence(0, array_max(map_keys(dropped))), w -> coalesce(dropped[w], 0L))").alias("drop_bitmap"))
     b = dense.select(F.col(_ID).alias("__b_id"), F.col(_TEXT).alias("__b_text"), "drop_bitmap")

@@ -13,7 +13,9 @@ Defined cases: a null source is a source of its own, named by the empty string
 together with any that is so named. Sources without a target weight get
 `default_weight`; zero and negative weights are refused. When a source has run
 out, its slots stay empty and the others keep their order, so no row is lost.
-Rows with equal doc_id are all kept. An empty table gives an empty result.
+Rows with equal doc_id are all kept. An empty table gives an empty result. All
+columns are carried; those named mix_block, mix_slot, mix_row or mix_rank are
+replaced.
 """
 
 from __future__ import annotations
@@ -71,9 +73,10 @@ def ranked(docs: DataFrame, doc_id="doc_id", source="source", seed=SEED) -> Data
     buckets = max(1, docs.count() // ROWS_PER_BUCKET)
     key = docs.withColumn(_SOURCE, F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn(_KEY, _order(F.col(doc_id), seed))
     key = key.withColumn(_BUCKET, F.floor(F.conv(F.substring(_KEY, 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("long"))
+    ties = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]  # what can be hashed
     before = key.groupBy(_SOURCE, _BUCKET).agg(F.count("*").alias("n"))
     before = before.select(_SOURCE, _BUCKET, (F.sum("n").over(W.partitionBy(_SOURCE).orderBy(_BUCKET)) - F.col("n")).alias("__mix_before"))
-    within = key.withColumn("__mix_n", F.row_number().over(W.partitionBy(_SOURCE, _BUCKET).orderBy(_KEY, F.xxhash64(*docs.columns))))
+    within = key.withColumn("__mix_n", F.row_number().over(W.partitionBy(_SOURCE, _BUCKET).orderBy(_KEY, F.xxhash64(*ties))))
     joined = within.join(before, [_SOURCE, _BUCKET])
     return joined.withColumn("mix_rank", F.col("__mix_before") + F.col("__mix_n") - 1).drop("__mix_before", "__mix_n", _KEY, _BUCKET)
 
@@ -91,12 +94,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id="doc_id", sour
         weights = there.join(named, "source", "left").select("source", F.coalesce("weight", F.lit(float(default_weight))).alias("weight"))
     plan = period_plan(shared.written(weights, "mix-weights"), resolution)
     turns = plan.groupBy("source", "quota", "period").agg(F.array_sort(F.collect_list(F.struct("turn", "slot"))).alias("turns"))
-    turns = turns.select(F.col("source").alias(_SOURCE), "quota", "period", F.expr("transform(turns, x -> x.slot)").alias("slots"))
+    turns = turns.select(F.col("source").alias(_SOURCE), F.col("quota").alias("__mix_quota"), F.col("period").alias("__mix_period"), F.expr("transform(turns, x -> x.slot)").alias("__mix_slots"))
     turns = shared.written(turns, "mix-plan")
     block = F.floor(F.col("mix_rank") / block_rows)
     placed = ranked(docs, doc_id, source, seed).withColumn("mix_block", block).join(F.broadcast(turns), _SOURCE)
-    slot = F.expr("(mix_block div quota) * period + slots[cast(mix_block % quota as int)]")
-    return placed.withColumn("mix_slot", slot).withColumn("mix_row", (F.col("mix_rank") % block_rows).cast("int")).drop(_SOURCE, "mix_rank", "quota", "period", "slots")
+    slot = F.expr("(mix_block div __mix_quota) * __mix_period + __mix_slots[cast(mix_block % __mix_quota as int)]")
+    return placed.withColumn("mix_slot", slot).withColumn("mix_row", (F.col("mix_rank") % block_rows).cast("int")).drop(_SOURCE, "mix_rank", "__mix_quota", "__mix_period", "__mix_slots")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
