@@ -147,3 +147,12 @@ def test_overlapping_windows_cover_all(spark):
     rows = recognize.recognize_overlapping(blocks(spark, [1.0] * 50), fake, 16, 8).orderBy("seq").collect()
     assert [round(r.start_s * 16_000) for r in rows] == list(range(0, 50, 4))
     assert recognize.overlapping_windows(blocks(spark, list(range(50))), 16, 8).filter(F.col("win") == 1).first().samples == [float(x) for x in range(8, 24)]
+
+
+def test_clip_intervals_over_cells(spark):
+    rng = np.random.default_rng(8)
+    speech = [("r", int(a), int(a + n)) for a, n in zip(rng.integers(0, 500, 60), rng.integers(1, 120, 60), strict=True)]
+    windows = [("r", i, i * 37, 50) for i in range(15)]
+    got = cuts.clip_intervals(spark.createDataFrame(speech, "rec string, start_sample long, end_sample long"), spark.createDataFrame(windows, "rec string, win long, from_sample long, n_samples long"), cell=20)
+    want = sorted((w, max(a - f, 0), min(b - f, n)) for _, a, b in speech for _, w, f, n in windows if a < f + n and b > f)
+    assert sorted(tuple(r)[1:] for r in got.collect()) == want

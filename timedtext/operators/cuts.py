@@ -52,11 +52,17 @@ def commit_segments(segments: DataFrame, cuts: DataFrame, key=("rec", "win")) ->
     return segments.join(cuts, list(key)).filter(F.col("end_s") <= F.col("cut") / float(RATE))
 
 
-def clip_intervals(speech: DataFrame, windows: DataFrame, key="rec") -> DataFrame:
-    """(rec, win, start_sample, end_sample): speech within each window it meets, in window time. windows: rec, win, from_sample, n_samples."""
-    w = windows.select(key, "win", "from_sample", "n_samples")
-    both = speech.select(key, F.col("start_sample").alias("s"), F.col("end_sample").alias("e")).join(w, key)
-    both = both.filter((F.col("s") < F.col("from_sample") + F.col("n_samples")) & (F.col("e") > F.col("from_sample")))
+def clip_intervals(speech: DataFrame, windows: DataFrame, key="rec", cell=600 * RATE) -> DataFrame:
+    """(rec, win, start_sample, end_sample): speech within each window it meets, in window time. windows: rec, win, from_sample, n_samples.
+
+    Both are sent to the cells of time that they meet and joined by cell, so that a
+    long recording is many small joins; a pair counts in the first cell it shares.
+    """
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / cell), F.floor(F.greatest(high - 1, low) / cell)))
+    w = windows.select(key, "win", "from_sample", "n_samples", cells(F.col("from_sample"), F.col("from_sample") + F.col("n_samples")).alias("cell"))
+    s = speech.select(key, F.col("start_sample").alias("s"), F.col("end_sample").alias("e"), cells(F.col("start_sample"), F.col("end_sample")).alias("cell"))
+    both = s.join(w, [key, "cell"]).filter((F.col("s") < F.col("from_sample") + F.col("n_samples")) & (F.col("e") > F.col("from_sample")))
+    both = both.filter(F.col("cell") == F.floor(F.greatest("s", "from_sample") / cell))
     start = F.least(F.greatest(F.col("s") - F.col("from_sample"), F.lit(0)), F.col("n_samples"))
     end = F.least(F.greatest(F.col("e") - F.col("from_sample"), F.lit(0)), F.col("n_samples"))
     return both.select(key, "win", start.cast("long").alias("start_sample"), F.greatest(start, end).cast("long").alias("end_sample"))
