@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from timedtext.functions.scratch import written
+
 #: Extensions that count as media.
 MEDIA = ("3gp", "aac", "aif", "aiff", "asf", "avi", "flac", "m2ts", "m4a", "m4b", "m4v", "mka", "mkv", "mov", "mp3", "mp4", "mpeg", "mpg", "mts", "oga", "ogg", "opus", "ts", "wav", "webm", "wma", "wmv")
 #: Formats and their extensions.
@@ -58,12 +60,25 @@ def expand_formats(jobs: DataFrame, formats="all") -> DataFrame:
     return jobs.withColumn("format", F.explode(F.array(*map(F.lit, wanted))))
 
 
+def global_number(df: DataFrame, order: list[str], name="number") -> DataFrame:
+    """`df` with numbers from 1 in the order of all rows.
+
+    Rows are range-partitioned and numbered within; the counts of the partitions
+    before, a row for each, give the rest. No task sorts the whole table.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn(name, within).join(before, "__part").withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__before")
+
+
 def numbered_names(inputs: DataFrame, prefix: str, order: list[str], by: list[str] | None = None) -> DataFrame:
     """`number` and `name`, prefix_001 and so on in the order of the inputs (of each group `by`); long numbers are never cut."""
     if not re.fullmatch("[A-Za-z0-9_-]+", prefix):
         raise ValueError("a prefix has letters, digits, underscores and hyphens only")
-    number = F.row_number().over(W.partitionBy(*(by or [])).orderBy(*order)).cast("long")
-    return inputs.withColumn("number", number).withColumn("name", F.format_string(f"{prefix}_%03d", "number"))
+    numbered = inputs.withColumn("number", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")) if by else global_number(inputs, order)
+    return numbered.withColumn("name", F.format_string(f"{prefix}_%03d", "number"))
 
 
 def output_paths(jobs: DataFrame, formats="all", source="path", name: str | None = None, output_dir: str | None = None) -> DataFrame:
