@@ -13,7 +13,7 @@ all tables with a chance of about 2 (1 - 0.75^ROWS)^HALVES.
    are formed. A table key whose nodes are of several components is still open.
    Under each first key, the nodes of its open keys are compared in tiles on
    full sets, all that are not of the commonest component with all others, and a
-   tile returns one link for a node and another component. So no link between
+   tile returns the pairs of components that are linked. So no link between
    components is missed among the candidates, while a group of copies never
    becomes all its pairs: its own component is not compared with itself.
 
@@ -138,10 +138,13 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", percent=PERCE
     sets = shared.written(sets, "sets")
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    links = _verified(best, sets, percent)
-    parts = shared.written(graph.connected_components(links), "parts")
-    links = links.union(_open_links(tables, least, parts, sets, percent))
-    parts = shared.written(graph.connected_components(links), "parts")
+    parts = shared.written(graph.connected_components(_verified(best, sets, percent)), "parts")
+    # components that the open keys link become one
+    merged = graph.connected_components(_open_links(tables, least, parts, sets, percent)).toDF("component", "whole")
+    wholes = shared.written(merged, "wholes")
+    parts = parts.join(wholes, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    alone = wholes.join(parts, F.col("node") == wholes["component"], "left_anti").toDF("node", "component")
+    parts = shared.written(parts.unionByName(alone), "parts")
 
     named = parts.join(classes.select("node", "first_id"), "node")
     smallest = shared.written(named.groupBy("component").agg(F.min("first_id").alias("low_id")), "components")
@@ -153,8 +156,8 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", percent=PERCE
 
 
 def _tile_links(t: pa.Table, percent: int) -> pa.Table:
-    """(a, b): for each asking node and each other component that it has a link to among the others, one such link."""
-    asks, node, part = (np.asarray(t.column(c)) for c in ("asks", "node", "part"))
+    """(a, b): the component of an asking node and another one that it has a link to among the other nodes."""
+    asks, part = (np.asarray(t.column(c)) for c in ("asks", "part"))
     lists = t.column("s").combine_chunks()
     sets = [np.asarray(lists[i].values) for i in range(len(lists))]
     others = np.flatnonzero(~asks)
@@ -169,14 +172,14 @@ def _tile_links(t: pa.Table, percent: int) -> pa.Table:
         mark[at[np.isin(known[at], sets[x])]] = 1
         common = np.add.reduceat(mark[place], starts)
         hits = np.flatnonzero((common * 100 >= percent * (len(sets[x]) + sizes - common)) & (part[others] != part[x]))
-        for i in np.unique(part[others][hits], return_index=True)[1]:
-            a.append(node[x])
-            b.append(node[others[hits[i]]])
+        linked = np.unique(part[others][hits])
+        a.extend([part[x]] * len(linked))
+        b.extend(linked.tolist())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _open_links(tables: DataFrame, least: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components under a table key, verified on full sets, written."""
+    """Pairs of components with a link under a table key, verified on full sets, written."""
     labelled = tables.join(least.select("key"), "key", "left_semi").join(parts, "node", "left").select("key", "k1", "node", F.coalesce("component", "node").alias("part"))
     mixed = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
     members = labelled.join(shared.written(mixed, "open-keys"), "key", "left_semi").groupBy("k1", "node").agg(F.first("part").alias("part"))
