@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timedtext.llm import graph, shared, words
+from timedtext.llm.vector_dedup import forest
 
 SHINGLE, PERCENT = 5, 75
 HALVES, ROWS = 20, 3
@@ -156,7 +157,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", percent=PERCE
 
 
 def _tile_links(t: pa.Table, percent: int) -> pa.Table:
-    """(a, b): the component of an asking node and another one that it has a link to among the other nodes."""
+    """(a, b): a spanning forest of the components of asking nodes and those that these have a link to among the other nodes."""
     asks, part = (np.asarray(t.column(c)) for c in ("asks", "part"))
     lists = t.column("s").combine_chunks()
     sets = [np.asarray(lists[i].values) for i in range(len(lists))]
@@ -175,7 +176,12 @@ def _tile_links(t: pa.Table, percent: int) -> pa.Table:
         linked = np.unique(part[others][hits])
         a.extend([part[x]] * len(linked))
         b.extend(linked.tolist())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    # a spanning forest says as much as all pairs
+    ids, at = np.unique(np.array([a, b], np.int64), return_inverse=True)
+    at = at.reshape(2, -1)
+    root = forest(len(ids), at[0], at[1])
+    kept = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[kept], pa.int64()), "b": pa.array(ids[root[kept]], pa.int64())})
 
 
 def _open_links(tables: DataFrame, least: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
