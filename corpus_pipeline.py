@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from timedtext.llm import bpe, line_dedup, mixing, near_dup, quality, shared
 
+_ROW = "__row"
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
@@ -28,10 +30,12 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document of each group of near-duplicates, the one of smallest id, once."""
-    kept = shared.written(near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return left.dropDuplicates(["doc_id"])
+    """Leaves one row of each group of near-duplicates, the one of smallest id (a null id comes last); rows are told apart by a number, not by doc_id."""
+    rows = shared.written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(_ROW).alias("row")).alias("key")
+    found = near_dup.near_duplicates(rows.select(key, "text"), doc_id="key")
+    kept = shared.written(found.filter("kept").select(F.col("doc_id.row").alias(_ROW)), "kept")
+    return rows.join(kept, _ROW, "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

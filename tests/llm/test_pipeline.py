@@ -67,3 +67,14 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and out.filter(F.col("n_tokens") != F.size("ids")).count() == 0
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c") + " end"), (4, text("c")), (5, text("d")), (5, text("e")), (5, text("e"))]
+    rows += [(6, text("f")), (7, text("f") + " end"), (7, text("g")), (8, ""), (8, ""), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.drop_near_duplicates(spark, df, SF)
+    want = [(None, text("a")), (None, text("b")), (4, text("c")), (5, text("d")), (5, text("e")), (6, text("f")), (7, text("g")), (8, ""), (8, ""), (None, None), (None, None)]
+    assert out.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
