@@ -1,8 +1,10 @@
 """BPE, secret scans and token counts against the libraries and plain loops."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -131,6 +133,37 @@ def test_nested_layers(wrap, layers):
     assert any(k == 0 and 2 <= a and b <= len(text) - 4 and b - a >= len(wrap("hunter22")) * 0.5 for a, k, b in spans) and secret_scan.scan(text)[2] >= layers
 
 
+@pytest.mark.parametrize(
+    "data",
+    [
+        gzip.compress(SECRET.encode() + bytes(600)),
+        bz2.compress(b"\x1b[31m" + SECRET.encode() + b"\x1b[0m"),
+        b"\xef\xbb\xbf" + SECRET.encode(),
+        f"\xa0{SECRET}\u200b\x0c".encode(),
+        f"é {SECRET}".encode("latin-1"),
+        SECRET.encode("utf-16"),
+        SECRET.encode("utf-16-be"),
+        SECRET.encode("utf-32"),
+        gzip.compress(b"first ") + gzip.compress(SECRET.encode()),
+        gzip.compress(SECRET[:9].encode()) + bytes(20) + gzip.compress(SECRET[9:].encode()),
+        bz2.compress(b"first ") + bz2.compress(SECRET.encode()),
+        lzma.compress(b"first ") + lzma.compress(SECRET.encode()),
+        zlib.compress(b"first ") + SECRET.encode(),
+        b"x " + SECRET.encode(),
+        zlib.compress(SECRET.encode() + bytes(RANDOM.randrange(256) for _ in range(100_000)))[:-9_000],
+    ],
+)
+def test_bytes_that_are_no_text_hide_nothing(data):
+    run = base64.b64encode(data).decode()
+    assert (2, 0, 2 + len(run.rstrip("="))) in [(a, k, min(b, 2 + len(run.rstrip("=")))) for a, k, b in secret_scan.scan(f": {run} .")[1]]
+
+
+def test_valid_parts_of_url_runs():
+    escaped = "".join(f"%{b:02x}" for b in b"password=abcdef")
+    assert secret_scan.scan(f"%E9%fF{escaped}%E9 x")[1] == [(6, 0, 6 + len(escaped))]
+    assert secret_scan.scan("%E9%FF" * 20)[2] == 1
+
+
 def test_spans_are_exact_in_escapes():
     text = "x%20" + urllib.parse.quote("password=abcdef") + " y"
     assert (4, 0, 4 + len("password%3Dabcdef")) in secret_scan.scan(text)[1]

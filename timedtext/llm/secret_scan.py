@@ -3,7 +3,8 @@
 A worklist starts with the text as it is. Each layer is scanned for secrets,
 then unwrapped: URL escapes and Unicode escapes give a layer of the same text
 with them resolved; a run of base64 gives a layer with what it stands for, after
-decompression where it is gzip, zlib, bzip2 or xz data. Layers are worked on until
+decompression of all members where it is gzip, zlib, bzip2 or xz data. Bytes that
+are no text do not hide the text beside them. Layers are worked on until
 there are none left; a layer that was there before is not worked on again, which
 ends cycles. Each character of a layer knows its place in the text, so every
 span is one of the text: escapes map by character, base64 by its whole run.
@@ -39,9 +40,14 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MAX_BYTES = 64 << 20
+#: No secret, plain or encoded, is shorter than the shortest assignment, and all of its characters are ASCII.
+RUN = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
+WIDE = re.compile(rb"[\x20-\x7e\t\r\n](?:\x00[\x20-\x7e\t\r\n]){11,}|[\x20-\x7e\t\r\n](?:\x00{3}[\x20-\x7e\t\r\n]){11,}")
+MAX_BYTES, SLICE = 64 << 20, 1 << 16
 
 Span = tuple[int, int, int]
+#: Text, length of the escape it stands for, and escape characters for each of its own (0: all of them).
+Part = tuple[str, int, int]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -69,7 +75,7 @@ class Layer:
 
 
 def _escaped(layer: Layer, pattern: re.Pattern, resolve) -> Layer | None:
-    """The layer with all escapes resolved; resolve gives (text, number of escape characters each stands for, or 0 for all)."""
+    """The layer with all escapes resolved; resolve gives parts (text, length of the escape, number of escape characters each stands for, or 0 for all)."""
     out, starts, ends, at = [], [], [], 0
     text, changed = layer.text, False
     for m in pattern.finditer(text):
@@ -77,8 +83,10 @@ def _escaped(layer: Layer, pattern: re.Pattern, resolve) -> Layer | None:
         if made is None:
             continue
         changed = True
-        new, each = made
-        for a, b, s, step in ((at, m.start(), text[at : m.start()], 1), (m.start(), m.end(), new, each)):
+        parts = [(at, m.start(), text[at : m.start()], 1)]
+        for new, n, each in made:
+            parts.append((max(parts[-1][1], m.start()), max(parts[-1][1], m.start()) + n, new, each))
+        for a, b, s, step in parts:
             out.append(s)
             if not layer.whole:
                 for k in range(len(s)):
@@ -98,46 +106,64 @@ def _escaped(layer: Layer, pattern: re.Pattern, resolve) -> Layer | None:
     return Layer("".join(out), starts, ends)
 
 
-def _url(run: str) -> tuple[str, int] | None:
+def _url(run: str) -> list[Part] | None:
     raw = bytes.fromhex(run.replace("%", ""))
     try:
-        return raw.decode(), 3 * raw.isascii()
+        return [(raw.decode(), len(run), 3 * raw.isascii())]
     except UnicodeDecodeError:
-        return None
+        # what is not UTF-8 stays escaped, the rest is resolved
+        parts = [(f"%{ord(c) - 0xDC00:02X}", 3, 1) if 0xDC80 <= ord(c) <= 0xDCFF else (c, 3 * len(c.encode()), 0) for c in raw.decode(errors="surrogateescape")]
+        return parts if any(step == 0 for *_, step in parts) else None
 
 
-def _unicode(run: str) -> tuple[str, int] | None:
+def _unicode(run: str) -> list[Part] | None:
     codes = [int(x.strip("{}"), 16) for x in re.split(r"\\[uUx]", run)[1:]]
     if len(codes) == 2:
-        return chr(0x10000 + ((codes[0] & 0x3FF) << 10) + (codes[1] & 0x3FF)), 0
-    return None if codes[0] > 0x10FFFF or 0xD800 <= codes[0] < 0xE000 else (chr(codes[0]), 0)
+        return [(chr(0x10000 + ((codes[0] & 0x3FF) << 10) + (codes[1] & 0x3FF)), len(run), 0)]
+    return None if codes[0] > 0x10FFFF or 0xD800 <= codes[0] < 0xE000 else [(chr(codes[0]), len(run), 0)]
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\n\r\t" for c in text) else None
+def _texts(raw: bytes) -> list[str]:
+    """What there is to read in any data: as UTF-8 with bytes that are none replaced, and runs of UTF-16 or UTF-32; none where no run is long enough for a secret, plain or encoded."""
+    out = [raw.decode(errors="replace")] if RUN.search(raw) else []
+    wide = [m[0].replace(b"\0", b"").decode() for m in WIDE.finditer(raw)]
+    return [*out, "\n".join(wide)] if wide else out
 
 
-def _inflate(raw: bytes, room: int) -> tuple[bytes | None, bool]:
-    """Decompressed data, or None if it is none; whether it is more than there is room for."""
+def _decompressor(raw: bytes):
     if raw[:2] == b"\x1f\x8b":
-        job = zlib.decompressobj(31)
-    elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        job = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        job = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        job = lzma.LZMADecompressor(memlimit=128 << 20)
-    else:
-        return None, False
-    try:
-        out = job.decompress(raw, room + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None, False
-    return (None, True) if len(out) > room else (out, False)
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=128 << 20)
+    return None
+
+
+def _inflate(raw: bytes, room: int) -> tuple[bytes | None, bytes, bool]:
+    """Decompressed data of all members, or None if there is none; what is left to read as it is; whether there is more than there is room for."""
+    out, done = [], False
+    rest = raw
+    while (job := _decompressor(rest)) is not None:
+        size = sum(map(len, out))
+        try:
+            for i in range(0, len(rest), SLICE):
+                out.append(job.decompress(rest[i : i + SLICE], room + 1 - size))
+                size += len(out[-1])
+                if size > room:
+                    return None, b"", True
+                if job.eof:
+                    break
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            break  # what came before the error counts; the data is read as it is, too
+        if not job.eof:
+            break
+        # gzip and xz allow zeros after a member
+        done, rest = True, (job.unused_data + rest[i + SLICE :]).lstrip(b"\0")
+    made = b"".join(out)
+    return (made if done or made else None), rest, False
 
 
 def _base64(run: str) -> bytes | None:
@@ -171,14 +197,14 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], int, bool]:
         for m in BASE64.finditer(layer.text):
             if (raw := _base64(m[0])) is None:
                 continue
-            while raw is not None:
-                made, more = _inflate(raw, room)
+            packed = [raw]
+            while packed:
+                made, rest, more = _inflate(packed.pop(), room)
                 cut_off |= more
-                if made is None:
-                    break
-                room, raw = room - len(made), made
-            if raw is not None and (inner := _readable(raw)):
-                new.append(Layer(inner, whole=layer.span(*m.span())))
+                if made:
+                    room -= len(made)
+                    packed.append(made)
+                new += [Layer(t, whole=layer.span(*m.span())) for t in _texts(rest)]
         for x in new:
             if x is not None and (key := (x.text, x.whole)) not in seen:
                 seen.add(key)
