@@ -158,6 +158,22 @@ def test_bytes_that_are_no_text_hide_nothing(data):
     assert (2, 0, 2 + len(run.rstrip("="))) in [(a, k, min(b, 2 + len(run.rstrip("=")))) for a, k, b in secret_scan.scan(f": {run} .")[1]]
 
 
+@pytest.mark.parametrize("width", [19, 64, 76])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, lzma.compress])
+@pytest.mark.parametrize(("first", "join", "last"), [("é:\n", "\n", "\n."), ("-----BEGIN X KEY-----\n", "\r\n", "\n-----END"), ('"\\n', "\\n", '\\n"'), ("k: |\n    ", "\n    ", "\nplain words"), ("a word\n", "\n\t", "")])
+def test_base64_over_lines(width, pack, first, join, last):
+    noise = "".join(RANDOM.choice("ghijk lmnop") for _ in range(400))
+    run = base64.b64encode(pack((noise + SECRET + noise).encode())).decode().rstrip("=")
+    lines = [run[i : i + width] for i in range(0, len(run), width)]
+    text = first + join.join(lines) + last
+    start, end = len(first), len(first) + len(join.join(lines))
+    assert any(k == 0 and a == start and end <= b <= end + len(last) for a, k, b in secret_scan.scan(text)[1])
+
+
+def test_base64_over_lines_is_linear():
+    assert secret_scan.scan("A" * 3_000_000 + "\n" + "word\n" * 300_000)[2] < 20
+
+
 def test_valid_parts_of_url_runs():
     escaped = "".join(f"%{b:02x}" for b in b"password=abcdef")
     assert secret_scan.scan(f"%E9%fF{escaped}%E9 x")[1] == [(6, 0, 6 + len(escaped))]

@@ -2,7 +2,7 @@
 
 A worklist starts with the text as it is. Each layer is scanned for secrets,
 then unwrapped: URL escapes and Unicode escapes give a layer of the same text
-with them resolved; a run of base64 gives a layer with what it stands for, after
+with them resolved; a run of base64, in a line or over lines, gives a layer with what it stands for, after
 decompression of all members where it is gzip, zlib, bzip2 or xz data. Bytes that
 are no text do not hide the text beside them. Layers are worked on until
 there are none left; a layer that was there before is not worked on again, which
@@ -40,6 +40,8 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r[ \t]*+\n|[\r\n])[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
 #: No secret, plain or encoded, is shorter than the shortest assignment, and all of its characters are ASCII.
 RUN = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
 WIDE = re.compile(rb"[\x20-\x7e\t\r\n](?:\x00[\x20-\x7e\t\r\n]){11,}|[\x20-\x7e\t\r\n](?:\x00{3}[\x20-\x7e\t\r\n]){11,}")
@@ -166,6 +168,41 @@ def _inflate(raw: bytes, room: int) -> tuple[bytes | None, bytes, bool]:
     return (made if done or made else None), rest, False
 
 
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, what to decode) of runs of base64: in a line, and over lines.
+
+    Lines that follow each other are taken as one run, and so is each series of
+    lines of one width with a shorter one at its end, as other words may stand before it.
+    """
+    for m in BASE64.finditer(text):
+        yield *m.span(), m[0]
+    # an escaped line break counts as one; places stay the same
+    plain = text.replace("\\r", " \r").replace("\\n", " \n") if "\\" in text else text
+    if plain != text:
+        for m in BASE64.finditer(plain):
+            yield *m.span(), m[0]
+    if "\n" not in plain and "\r" not in plain:
+        return
+    for m in LINES.finditer(plain):
+        if m.end() - m.start() < 17:
+            continue
+        lines = [x.span() for x in LINE.finditer(plain, *m.span())]
+        groups, i = {(0, len(lines))}, 0
+        while i < len(lines):
+            j, width = i + 1, lines[i][1] - lines[i][0]
+            while j < len(lines) and lines[j][1] - lines[j][0] == width:
+                j += 1
+            if j < len(lines) and lines[j][1] - lines[j][0] < width:
+                j += 1
+            if j - i > 1:
+                groups.add((i, j))
+            i = j
+        for i, j in sorted(groups):
+            body = "".join(plain[a:b] for a, b in lines[i:j]).rstrip("=")
+            if len(body) >= 16:
+                yield lines[i][0], lines[j - 1][1], body[: len(body) - (len(body) % 4 == 1)]
+
+
 def _base64(run: str) -> bytes | None:
     body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
     if len(body) % 4 == 1:
@@ -194,8 +231,8 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], int, bool]:
             new.append(_escaped(layer, URL, _url))
         if "\\" in layer.text:
             new.append(_escaped(layer, UNICODE, _unicode))
-        for m in BASE64.finditer(layer.text):
-            if (raw := _base64(m[0])) is None:
+        for start, end, run in _runs(layer.text):
+            if (raw := _base64(run)) is None:
                 continue
             packed = [raw]
             while packed:
@@ -204,7 +241,7 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], int, bool]:
                 if made:
                     room -= len(made)
                     packed.append(made)
-                new += [Layer(t, whole=layer.span(*m.span())) for t in _texts(rest)]
+                new += [Layer(t, whole=layer.span(start, end)) for t in _texts(rest)]
         for x in new:
             if x is not None and (key := (x.text, x.whole)) not in seen:
                 seen.add(key)
