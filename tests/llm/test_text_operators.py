@@ -195,6 +195,14 @@ def test_scan_ends_and_is_bounded(monkeypatch):
     assert secret_scan.scan("%25" * 50 + "41")[2] < 10 and secret_scan.scan(None) == ([], [], 1, False)
 
 
+def test_scan_goes_up_to_the_bound_and_says_so(spark, tmp_path):
+    large = base64.b64encode(zlib.compress(SECRET.encode() + bytes(secret_scan.MAX_BYTES + 1))).decode().rstrip("=")
+    small = base64.b64encode(zlib.compress(SECRET.encode())).decode().rstrip("=")
+    spark.createDataFrame([(1, large), (2, small)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = secret_scan.op3_secret_scan(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.spans, r.cut_off) for r in rows] == [(f"assign:0:{len(large)}", True), (f"assign:0:{len(small)}", False)]
+
+
 def test_scan_columns(spark):
     df = spark.createDataFrame([(1, "token: abcdef AKIA" + "A" * 16, "k"), (2, None, None), (3, "", None)], "doc_id long, text string, spans string")
     rows = {r.doc_id: r for r in secret_scan.scan_secrets(df, keep=["doc_id"]).collect()}

@@ -11,7 +11,7 @@ span is one of the text: escapes map by character, base64 by its whole run.
 
 Defined cases: null and empty texts have no spans. A span that several layers
 show counts once. Data that decompresses to more than MAX_BYTES a document is
-not unwrapped further, and `cut_off` says so. Equal rows are scanned each; all
+scanned up to there, and `cut_off` says so. Equal rows are scanned each; all
 other columns are carried.
 """
 
@@ -145,7 +145,7 @@ def _decompressor(raw: bytes):
 
 
 def _inflate(raw: bytes, room: int) -> tuple[bytes | None, bytes, bool]:
-    """Decompressed data of all members, or None if there is none; what is left to read as it is; whether there is more than there is room for."""
+    """Decompressed data of all members, as far as there is room, or None if there is none; what is left to read as it is; whether there is more than there is room for."""
     out, done = [], False
     rest = raw
     while (job := _decompressor(rest)) is not None:
@@ -155,7 +155,7 @@ def _inflate(raw: bytes, room: int) -> tuple[bytes | None, bytes, bool]:
                 out.append(job.decompress(rest[i : i + SLICE], room + 1 - size))
                 size += len(out[-1])
                 if size > room:
-                    return None, b"", True
+                    return b"".join(out)[:room], b"", True
                 if job.eof:
                     break
         except (zlib.error, OSError, EOFError, lzma.LZMAError):
@@ -214,7 +214,7 @@ def _base64(run: str) -> bytes | None:
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span], int, bool]:
-    """Base spans, all spans, number of layers, and whether something was too large to unwrap."""
+    """Base spans, all spans, number of layers, and whether something was too large to unwrap whole."""
     text = text or ""
     base = base_spans(text)
     spans, work, seen, room, cut_off = set(base), [Layer(text)], {(text, None)}, MAX_BYTES, False
@@ -276,4 +276,4 @@ def scan_secrets(df: DataFrame, text="text", keep: list[str] | None = None) -> D
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = scan_secrets(shared.documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
-    return done.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return done.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "cut_off")
