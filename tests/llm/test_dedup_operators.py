@@ -178,6 +178,34 @@ def test_mix_is_less_than_a_block_off(spark, weights):
     assert n == {r.source: r.quota for r in plan}
 
 
+@pytest.mark.parametrize(
+    ("weights", "blocks"),
+    [
+        ([5.0, 3.0, 1.0, 0.01], [3000, 2000, 900, 9]),
+        ([1.0], [50]),
+        ([50.0] + [1.0] * 2000, [900] + [2] * 2000),
+        ([RANDOM.random() + 0.01 for _ in range(60)], [RANDOM.randrange(400) for _ in range(60)]),
+    ],
+)
+def test_slots_are_less_than_a_block_off_the_target_weights(weights, blocks):
+    total = sum(weights)
+    seen, last = [], -1
+    for i, j, slot in mixing.block_slots(weights, blocks):
+        w = weights[i] / total
+        assert slot > last and int(j / w - 1e-3) <= slot < (j + 1) / w + 1 + 1e-3  # the window of an error below one block
+        seen.append((i, j))
+        last = slot
+    assert sorted(seen) == [(i, j) for i, n in enumerate(blocks) for j in range(n)]
+
+
+def test_mix_is_less_than_a_block_off_the_target_weights(spark):
+    sizes = {"hot": 6400} | {f"s{i}": 1 for i in range(1000)}
+    df = spark.createDataFrame([(k, s) for s, n in sizes.items() for k in range(n)], "doc_id long, source string")
+    share = 80 / (80 + 1000)
+    for r in mixing.mix(df, block_rows=4).filter("source = 'hot'").collect():
+        assert int(r.mix_block / share - 1e-3) <= r.mix_slot < (r.mix_block + 1) / share + 1
+
+
 def test_mix_keeps_every_row(spark):
     rows = [(i % 40 if i < 300 else i, RANDOM.choice(["hot"] * 5 + ["a", "b", None]), i) for i in range(500)] + [(None, "a", 1)]
     df = spark.createDataFrame(rows, "doc_id long, source string, mix_n int")

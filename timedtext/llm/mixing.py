@@ -1,13 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
 The documents of a source are shuffled by a seeded hash and cut into blocks.
-A source with quota q of a period of Q slots has its block j released at
-floor(j Q / q) and due at ceil((j + 1) Q / q). Earliest deadline first gives
-every slot to one released block; the quotas sum to Q, so every deadline holds
-and after any number of slots each source is less than one block away from its
-share. All windows repeat after Q slots, so the plan of one period, which only
-depends on the weights, is all that has to be worked out; its size is bounded
-by the number of sources times `resolution`.
+A source with quota q of Q slots has its block j released at floor(j Q / q) and
+due at ceil((j + 1) Q / q). Earliest deadline first gives every slot to one
+released block; the quotas sum to Q, so every deadline holds and after any
+number of slots each source is less than one block away from its share. Quotas
+are weights in units of 1 / FINE of their sum, so the share is the target weight
+itself as far as slots can tell. The plan is worked out on the driver by heaps,
+over as many slots as the last source needs; it has a number for each block.
+With a `resolution`, quotas are rounded to it, and one period of Q slots is the
+plan, whose size is bounded by the number of sources times `resolution`.
 
 Defined cases: a null source is a source of its own, named by the empty string
 together with any that is so named. Sources without a target weight get
@@ -20,6 +22,11 @@ replaced.
 
 from __future__ import annotations
 
+import heapq
+from array import array
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,6 +35,9 @@ from timedtext.llm import shared
 
 RESOLUTION, BLOCK_ROWS, SEED = 500, 16, "mix-1"
 MAX_SOURCES, ROWS_PER_BUCKET = 10_000, 1_000
+FINE, MAX_SLOTS = 2**40, 10**9
+#: Blocks of a source in one row of a plan.
+PLAN_ROW = 4096
 _SOURCE, _KEY, _BUCKET = "__mix_source", "__mix_key", "__mix_bucket"
 
 
@@ -61,6 +71,48 @@ def period_plan(weights: DataFrame, resolution=RESOLUTION) -> DataFrame:
     return slots.withColumn("turn", F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1)
 
 
+def quotas(weights: list[float]) -> list[int]:
+    total = sum(weights)
+    return [max(1, round(w / total * FINE)) for w in weights]
+
+
+def block_slots(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source's place, block, slot) in the order of slots, for as many blocks as each source has; slots of one that has run out are passed over."""
+    qs = quotas(weights)
+    q, left, slot = sum(qs), sum(blocks), 0
+    if max((-(-n * q // x) for n, x in zip(blocks, qs, strict=True)), default=0) > MAX_SLOTS:
+        raise ValueError(f"a source would need more than {MAX_SLOTS} slots")
+    due = [(-(-q // x), i, 0) for i, x in enumerate(qs)]
+    heapq.heapify(due)
+    later: list[tuple[int, int, int]] = []
+    while left:
+        while later and later[0][0] <= slot:
+            _, i, j = heapq.heappop(later)
+            heapq.heappush(due, (-(-(j + 1) * q // qs[i]), i, j))
+        _, i, j = heapq.heappop(due)
+        if j < blocks[i]:
+            left -= 1
+            yield i, j, slot
+        heapq.heappush(later, ((j + 1) * q // qs[i], i, j + 1))
+        slot += 1
+
+
+def _exact_plan(docs: DataFrame, weights: DataFrame, source: str, block_rows: int) -> DataFrame:
+    """(source, part, slots): the slots of PLAN_ROW blocks of a source each, written."""
+    n = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    # a source without documents holds its slots, too
+    rows = sorted(weights.join(n, "source", "left").select("source", F.col("weight").cast("double"), F.coalesce("blocks", F.lit(0))).collect())
+    if not all(w is not None and w > 0 for _, w, _ in rows):
+        raise ValueError("a target weight is not positive")
+    slots = [array("q") for _ in rows]
+    for i, _, slot in block_slots([w for _, w, _ in rows], [b for *_, b in rows]):
+        slots[i].append(slot)
+    plan = [(r[0], k // PLAN_ROW, s[k : k + PLAN_ROW]) for r, s in zip(rows, slots, strict=True) for k in range(0, len(s), PLAN_ROW)]
+    columns = zip((pa.string(), pa.int64(), pa.list_(pa.int64())), zip(*plan) if plan else ((), (), ()), strict=True)
+    table = pa.table([pa.array(list(c), kind) for kind, c in columns], ["source", "part", "slots"])
+    return shared.written(docs.sparkSession.createDataFrame(table), "mix-plan")
+
+
 def _order(doc_id: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
@@ -81,10 +133,10 @@ def ranked(docs: DataFrame, doc_id="doc_id", source="source", seed=SEED) -> Data
     return joined.withColumn("mix_rank", F.col("__mix_before") + F.col("__mix_n") - 1).drop("__mix_before", "__mix_n", _KEY, _BUCKET)
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id="doc_id", source="source", block_rows=BLOCK_ROWS, resolution=RESOLUTION, default_weight: float | None = None, seed=SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id="doc_id", source="source", block_rows=BLOCK_ROWS, resolution: int | None = None, default_weight: float | None = None, seed=SEED) -> DataFrame:
     """`docs` with mix_block (number of the block in its source), mix_slot (its place in the interleaving) and mix_row (place in the block).
 
-    weights: (source, weight); `square_root_weights` if None.
+    weights: (source, weight); `square_root_weights` if None. resolution: the weights as they are if None.
     """
     if weights is None:
         weights = square_root_weights(docs, source)
@@ -92,14 +144,19 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id="doc_id", sour
         named = weights.select(F.coalesce("source", F.lit("")).alias("source"), F.col("weight").cast("double").alias("weight"))
         there = docs.select(F.coalesce(F.col(source), F.lit("")).alias("source")).distinct()
         weights = there.join(named, "source", "left").select("source", F.coalesce("weight", F.lit(float(default_weight))).alias("weight"))
-    plan = period_plan(shared.written(weights, "mix-weights"), resolution)
-    turns = plan.groupBy("source", "quota", "period").agg(F.array_sort(F.collect_list(F.struct("turn", "slot"))).alias("turns"))
-    turns = turns.select(F.col("source").alias(_SOURCE), F.col("quota").alias("__mix_quota"), F.col("period").alias("__mix_period"), F.expr("transform(turns, x -> x.slot)").alias("__mix_slots"))
-    turns = shared.written(turns, "mix-plan")
-    block = F.floor(F.col("mix_rank") / block_rows)
-    placed = ranked(docs, doc_id, source, seed).withColumn("mix_block", block).join(F.broadcast(turns), _SOURCE)
-    slot = F.expr("(mix_block div __mix_quota) * __mix_period + __mix_slots[cast(mix_block % __mix_quota as int)]")
-    return placed.withColumn("mix_slot", slot).withColumn("mix_row", (F.col("mix_rank") % block_rows).cast("int")).drop(_SOURCE, "mix_rank", "__mix_quota", "__mix_period", "__mix_slots")
+    weights = shared.written(weights, "mix-weights")
+    placed = ranked(docs, doc_id, source, seed).withColumn("mix_block", F.floor(F.col("mix_rank") / block_rows))
+    if resolution is None:
+        plan = _exact_plan(docs, weights, source, block_rows).toDF(_SOURCE, "__mix_part", "__mix_slots")
+        placed = placed.withColumn("__mix_part", F.expr(f"mix_block div {PLAN_ROW}")).join(plan, [_SOURCE, "__mix_part"])
+        slot = F.expr(f"__mix_slots[cast(mix_block % {PLAN_ROW} as int)]")
+    else:
+        plan = period_plan(weights, resolution)
+        turns = plan.groupBy("source", "quota", "period").agg(F.array_sort(F.collect_list(F.struct("turn", "slot"))).alias("turns"))
+        turns = turns.select(F.col("source").alias(_SOURCE), F.col("quota").alias("__mix_quota"), F.col("period").alias("__mix_period"), F.expr("transform(turns, x -> x.slot)").alias("__mix_slots"))
+        placed = placed.join(F.broadcast(shared.written(turns, "mix-plan")), _SOURCE)
+        slot = F.expr("(mix_block div __mix_quota) * __mix_period + __mix_slots[cast(mix_block % __mix_quota as int)]")
+    return placed.withColumn("mix_slot", slot).withColumn("mix_row", (F.col("mix_rank") % block_rows).cast("int")).drop(_SOURCE, "mix_rank", "__mix_quota", "__mix_period", "__mix_part", "__mix_slots")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
