@@ -45,8 +45,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, in the order of the mix, with their number."""
-    coded = bpe.encode(docs, keep=["doc_id", "lang", "source", "n_chars"])
+    """Token ids of every document, with their number and the document's place in the mix.
+
+    Readers deal files and rows out anew, so the place is worked out again; the mix depends on the rows only.
+    """
+    coded = bpe.encode(mixing.mix(docs), keep=["doc_id", "lang", "source", "n_chars", "mix_slot", "mix_row"])
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

@@ -78,3 +78,11 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     want = [(None, text("a")), (None, text("b")), (4, text("c")), (5, text("d")), (5, text("e")), (6, text("f")), (7, text("g")), (8, ""), (8, ""), (None, None), (None, None)]
     assert out.columns == df.columns
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
+
+
+def test_tokens_carry_the_place_in_the_mix(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", "abcab"[i % 5], 6) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    corpus_pipeline.mix_sources(spark, df, SF).write.parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.encode_text(spark, spark.read.parquet(str(tmp_path / "mixed")).orderBy("doc_id"), SF).collect()
+    assert {(r.doc_id, r.mix_slot, r.mix_row) for r in out} == {(r.doc_id, r.mix_slot, r.mix_row) for r in mixing.mix(df).collect()} and len(out) == 200
