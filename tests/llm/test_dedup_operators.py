@@ -225,6 +225,15 @@ def test_mix_keeps_every_row(spark):
         mixing.mix(df, spark.createDataFrame([("hot", 0.0)], "source string, weight double"))
 
 
+def test_mix_refuses_sources_without_a_weight(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id long, source string")
+    given = lambda *rows: spark.createDataFrame(list(rows), "source string, weight double")
+    for w in (given(("a", 1.0), ("b", 1.0)), given(("a", 1.0), (None, 1.0))):
+        with pytest.raises(ValueError, match="no target weight"):
+            mixing.mix(df, w)
+    assert mixing.mix(df, given(("a", 1.0), ("b", 2.0), (None, 1.0))).count() == 3
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a", "s", 7, {"k": 1})] * 3, "doc_id long, text string, source string, n int, m map<string,int>")
     odd = df.select("*", *(F.col("n").alias(c) for c in ("quota", "period", "slots", "slot", "mix_block", "turn", "weight")))

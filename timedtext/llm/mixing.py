@@ -13,7 +13,7 @@ plan, whose size is bounded by the number of sources times `resolution`.
 
 Defined cases: a null source is a source of its own, named by the empty string
 together with any that is so named. Sources without a target weight get
-`default_weight`; zero and negative weights are refused. When a source has run
+`default_weight`, and are refused where that is None; zero and negative weights are refused. When a source has run
 out, its slots stay empty and the others keep their order, so no row is lost.
 Rows with equal doc_id are all kept. An empty table gives an empty result. All
 columns are carried; those named mix_block, mix_slot, mix_row or mix_rank are
@@ -140,10 +140,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id="doc_id", sour
     """
     if weights is None:
         weights = square_root_weights(docs, source)
-    elif default_weight is not None:
+    else:
         named = weights.select(F.coalesce("source", F.lit("")).alias("source"), F.col("weight").cast("double").alias("weight"))
         there = docs.select(F.coalesce(F.col(source), F.lit("")).alias("source")).distinct()
-        weights = there.join(named, "source", "left").select("source", F.coalesce("weight", F.lit(float(default_weight))).alias("weight"))
+        if default_weight is not None:
+            weights = there.join(named, "source", "left").select("source", F.coalesce("weight", F.lit(float(default_weight))).alias("weight"))
+        elif there.join(named, "source", "left_anti").limit(1).count():
+            raise ValueError("a source has no target weight")
+        else:
+            weights = named
     weights = shared.written(weights, "mix-weights")
     placed = ranked(docs, doc_id, source, seed).withColumn("mix_block", F.floor(F.col("mix_rank") / block_rows))
     if resolution is None:
