@@ -28,7 +28,9 @@ def key(line):
     return line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
 
 
-def test_line_dedup_is_brute_force(spark):
+@pytest.mark.parametrize("sampled", [0.0, 1.0])
+def test_line_dedup_is_brute_force(spark, monkeypatch, sampled):
+    monkeypatch.setattr(line_dedup, "SAMPLED", sampled)  # at 1, the commonest lines are dealt by document
     pool = ["Common É line", " common É LINE\t", "other", "", "  ", "\x0b", "ÉCOLE", "école", "once\r"]
     texts = ["\n".join(RANDOM.choice([*pool, f"own {i} {k}"]) for k in range(RANDOM.choice([1, 3, 200]))) for i in range(60)] + [None, "", "\n\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -38,12 +40,32 @@ def test_line_dedup_is_brute_force(spark):
     for i, d in enumerate(docs):
         kept = [x for x in d if not (key(x) and n[key(x)] >= 10)]
         assert (got[i].n_lines, got[i].n_dropped, got[i].kept_lines) == (len(d), len(d) - len(kept), kept)
+        assert got[i].keep_runs is None or [d[k] for r in got[i].keep_runs for k in range(r["at"], r["at"] + r["n"])] == kept
     assert any(r.n_dropped for r in got.values())
+    lines = line_dedup.hashed_lines(df, "doc_id", "text", 1)
+    assert line_dedup.heavy_hashes(lines, 4).count() == (sampled > 0) * sum(c > 8 and c * 16 >= lines.count() for c in Counter(k for d in docs for k in map(key, d) if k).values())
+
+
+@pytest.mark.parametrize("sampled", [0.0, 1.0])
+def test_lines_of_one_document_with_two_texts(spark, monkeypatch, sampled):
+    monkeypatch.setattr(line_dedup, "SAMPLED", sampled)
+    rows = [(i, "x\ny") for i in range(9)] + [(8, "own\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.n_dropped == 0 for r in line_dedup.dedup_lines(df).collect())
+    got = line_dedup.dedup_lines(df.union(spark.createDataFrame([(9, "x")], df.schema)))
+    assert sorted((r.doc_id, r.kept_lines) for r in got.collect()) == sorted([(i, ["y"]) for i in range(9)] + [(8, ["own"]), (9, [])])
+
+
+def test_line_dedup_sorts_once_and_streams(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5, 6)], "__line_doc long, __line_text long, n int, pos int, h1 long, h2 long")
+    plan = line_dedup.streamed(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and plan.count("Sort [") == 1 and "pos" in plan[plan.index("Sort [") :].split("\n")[0] and "hashpartitioning" not in plan
 
 
 def test_line_dedup_keeps_first_and_repeated_rows(spark):
     df = spark.createDataFrame([(2, "a\nb\na", "x"), (1, "b\nA", "x"), (1, "b\nA", "x"), (None, "a", "y")], "doc_id long, text string, n_lines string")
-    rows = line_dedup.dedup_lines(df.drop("n_lines"), min_documents=2, keep_first=True).collect()
+    rows = line_dedup.dedup_lines(df, min_documents=2, keep_first=True).collect()
+    assert [r.n_lines for r in rows if r.doc_id == 2] == [3]
     # a null id comes first, so its "a" is the first one
     assert sorted((r.doc_id or 0, r.kept_lines) for r in rows) == [(0, ["a"]), (1, ["b"]), (1, ["b"]), (2, [])]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
