@@ -1,6 +1,7 @@
 """Line dedup, near-duplicates, vectors and mixing against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -186,18 +187,13 @@ def test_quantisation_bounds():
         assert [n for k, n, _ in got if k == i] == [100 + j for j in np.argsort(-(c @ q[i]), kind="stable")[:7]]
 
 
-@pytest.mark.parametrize("weights", [{"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.01}, {"a": 1.0}, {f"s{i}": 1.0 + i for i in range(9)}])
-def test_mix_is_less_than_a_block_off(spark, weights):
-    w = spark.createDataFrame(list(weights.items()), "source string, weight double")
-    plan = mixing.period_plan(w, 60).orderBy("slot").collect()
-    period = plan[0].period
-    assert [r.slot for r in plan] == list(range(period))
-    n = Counter()
-    for r in plan:
-        n[r.source] += 1
-        for s in {x.source: x.quota for x in plan}.items():
-            assert abs(n[s[0]] - s[1] * (r.slot + 1) / period) < 1
-    assert n == {r.source: r.quota for r in plan}
+def test_every_source_is_less_than_a_block_off_at_every_slot():
+    weights = [1 / (i + 1) for i in range(1000)]
+    share = np.array(weights) / sum(weights)
+    n = np.zeros(1000)
+    for i, _, slot in itertools.islice(mixing.block_slots(weights, [10_000] * 1000), 20_000):
+        n[i] += 1
+        assert slot + 1 == n.sum() and np.abs(n - share * (slot + 1)).max() < 1 + 1e-6
 
 
 @pytest.mark.parametrize(
@@ -228,6 +224,13 @@ def test_mix_is_less_than_a_block_off_the_target_weights(spark):
         assert int(r.mix_block / share - 1e-3) <= r.mix_slot < (r.mix_block + 1) / share + 1
 
 
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 20)
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, "a").otherwise("b").alias("source"))
+    rows = mixing.mix(df).collect()
+    assert Counter(Counter((r.source, r.mix_block) for r in rows).values()) == {50: 20} and len({r.mix_slot for r in rows}) == 20
+
+
 def test_mix_keeps_every_row(spark):
     rows = [(i % 40 if i < 300 else i, RANDOM.choice(["hot"] * 5 + ["a", "b", None]), i) for i in range(500)] + [(None, "a", 1)]
     df = spark.createDataFrame(rows, "doc_id long, source string, mix_n int")

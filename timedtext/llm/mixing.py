@@ -1,23 +1,26 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights by Pfair scheduling.
 
 The documents of a source are shuffled by a seeded hash and cut into blocks.
-A source with quota q of Q slots has its block j released at floor(j Q / q) and
-due at ceil((j + 1) Q / q). Earliest deadline first gives every slot to one
-released block; the quotas sum to Q, so every deadline holds and after any
-number of slots each source is less than one block away from its share. Quotas
-are weights in units of 1 / FINE of their sum, so the share is the target weight
-itself as far as slots can tell. The plan is worked out on the driver by heaps,
-over as many slots as the last source needs; it has a number for each block.
-With a `resolution`, quotas are rounded to it, and one period of Q slots is the
-plan, whose size is bounded by the number of sources times `resolution`.
+A source of weight w (its share of all weights) has its block j released at
+floor(j / w) and due at ceil((j + 1) / w). Earliest deadline first gives every
+slot to one released block; as the shares sum to 1, every deadline holds, and
+after any number of slots each source is less than one block away from its
+share. Weights are whole numbers of 1 / FINE of their sum, so windows are exact.
+
+Rows go through DataFrame operations only. The order of blocks is sequential by
+nature, each slot depending on all before it, so it is worked out on the driver:
+a heap with one entry for each source, and a number for each block. To bound
+that, a block has `block_rows` rows or, in tables of more than BLOCKS times so
+many, as many as make BLOCKS blocks; so the plan has at most BLOCKS numbers and
+one for each source, whatever the table's size.
 
 Defined cases: a null source is a source of its own, named by the empty string
 together with any that is so named. Sources without a target weight get
-`default_weight`, and are refused where that is None; zero and negative weights are refused. When a source has run
-out, its slots stay empty and the others keep their order, so no row is lost.
-Rows with equal doc_id are all kept. An empty table gives an empty result. All
-columns are carried; those named mix_block, mix_slot, mix_row or mix_rank are
-replaced.
+`default_weight`, and are refused where that is None; zero, negative, null and
+infinite weights are refused. When a source has run out, its slots stay empty
+and the others keep their order, so no row is lost. Rows with equal doc_id are
+all kept; texts play no part. An empty table gives an empty result. All columns
+are carried; those named mix_block, mix_slot, mix_row or mix_rank are replaced.
 """
 
 from __future__ import annotations
@@ -33,11 +36,12 @@ from pyspark.sql import Window as W
 
 from timedtext.llm import shared
 
-RESOLUTION, BLOCK_ROWS, SEED = 500, 16, "mix-1"
-MAX_SOURCES, ROWS_PER_BUCKET = 10_000, 1_000
+BLOCK_ROWS, SEED = 16, "mix-1"
+#: Blocks of a plan, and hash ranges of rows; larger tables have larger ones.
+BLOCKS, ROWS_PER_BUCKET = 1 << 20, 1_000
 FINE, MAX_SLOTS = 2**40, 10**9
 #: Blocks of a source in one row of a plan.
-PLAN_ROW = 4096
+PLAN_ROW = 64
 _SOURCE, _KEY, _BUCKET = "__mix_source", "__mix_key", "__mix_bucket"
 
 
@@ -46,31 +50,6 @@ def square_root_weights(docs: DataFrame, source="source") -> DataFrame:
     return docs.groupBy(F.coalesce(source, F.lit("")).alias("source")).agg(F.sqrt(F.count("*").cast("double")).alias("weight"))
 
 
-def period_plan(weights: DataFrame, resolution=RESOLUTION) -> DataFrame:
-    """(source, quota, period, slot, turn): which source has each slot of a period, and for which time."""
-    if weights.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    if weights.filter(~(F.col("weight") > 0)).limit(1).count():
-        raise ValueError("a target weight is not positive")
-    one = weights.agg(F.array_sort(F.collect_list(F.struct("source", F.col("weight").cast("double").alias("weight")))).alias("w"))
-    one = one.selectExpr("w", "aggregate(w, 0D, (a, x) -> a + x.weight) AS total")
-    one = one.selectExpr(f"transform(w, x -> named_struct('source', x.source, 'quota', greatest(1L, cast(round(x.weight / total * {resolution}) as bigint)))) AS s")
-    one = one.selectExpr("s", "aggregate(s, 0L, (a, x) -> a + x.quota) AS q")
-    plan = one.filter("q > 0").selectExpr(
-        "s", "q",
-        """aggregate(sequence(0L, q - 1),
-             named_struct('done', transform(s, x -> 0L), 'out', cast(array() as array<int>)),
-             (a, t) -> transform(array(array_min(filter(
-                 transform(s, (x, i) -> IF(a.done[i] < x.quota AND a.done[i] * q div x.quota <= t,
-                                           named_struct('due', ((a.done[i] + 1) * q + x.quota - 1) div x.quota, 'i', i), null)),
-                 x -> x is not null)).i),
-               p -> named_struct('done', transform(a.done, (n, i) -> IF(i = p, n + 1, n)), 'out', array_append(a.out, p)))[0],
-             a -> a.out) AS picks""",
-    )
-    slots = plan.select("s", "q", F.posexplode("picks").alias("slot", "pick")).select(F.expr("s[pick].source").alias("source"), F.expr("s[pick].quota").alias("quota"), F.col("q").alias("period"), F.col("slot").cast("long"))
-    return slots.withColumn("turn", F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1)
-
-
 def quotas(weights: list[float]) -> list[int]:
     total = sum(weights)
     return [max(1, round(w / total * FINE)) for w in weights]
@@ -102,7 +81,7 @@ def _exact_plan(docs: DataFrame, weights: DataFrame, source: str, block_rows: in
     n = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
     # a source without documents holds its slots, too
     rows = sorted(weights.join(n, "source", "left").select("source", F.col("weight").cast("double"), F.coalesce("blocks", F.lit(0))).collect())
-    if not all(w is not None and w > 0 for _, w, _ in rows):
+    if not all(w is not None and 0 < w < float("inf") for _, w, _ in rows):
         raise ValueError("a target weight is not positive")
     slots = [array("q") for _ in rows]
     for i, _, slot in block_slots([w for _, w, _ in rows], [b for *_, b in rows]):
@@ -122,7 +101,7 @@ def ranked(docs: DataFrame, doc_id="doc_id", source="source", seed=SEED) -> Data
 
     A source is cut into hash ranges of about ROWS_PER_BUCKET rows; a row's number is its number in the range plus the counts of the ranges before, so a source of any size is ranked by many tasks.
     """
-    buckets = max(1, docs.count() // ROWS_PER_BUCKET)
+    buckets = max(1, min(BLOCKS, docs.count() // ROWS_PER_BUCKET))
     key = docs.withColumn(_SOURCE, F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn(_KEY, _order(F.col(doc_id), seed))
     key = key.withColumn(_BUCKET, F.floor(F.conv(F.substring(_KEY, 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("long"))
     ties = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]  # what can be hashed
@@ -133,10 +112,14 @@ def ranked(docs: DataFrame, doc_id="doc_id", source="source", seed=SEED) -> Data
     return joined.withColumn("mix_rank", F.col("__mix_before") + F.col("__mix_n") - 1).drop("__mix_before", "__mix_n", _KEY, _BUCKET)
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id="doc_id", source="source", block_rows=BLOCK_ROWS, resolution: int | None = None, default_weight: float | None = None, seed=SEED) -> DataFrame:
+def rows_of_a_block(docs: DataFrame, block_rows=BLOCK_ROWS) -> int:
+    return max(block_rows, -(-docs.count() // BLOCKS))
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id="doc_id", source="source", block_rows=BLOCK_ROWS, default_weight: float | None = None, seed=SEED) -> DataFrame:
     """`docs` with mix_block (number of the block in its source), mix_slot (its place in the interleaving) and mix_row (place in the block).
 
-    weights: (source, weight); `square_root_weights` if None. resolution: the weights as they are if None.
+    weights: (source, weight); `square_root_weights` if None.
     """
     if weights is None:
         weights = square_root_weights(docs, source)
@@ -149,19 +132,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id="doc_id", sour
             raise ValueError("a source has no target weight")
         else:
             weights = named
-    weights = shared.written(weights, "mix-weights")
+    block_rows = rows_of_a_block(docs, block_rows)
+    plan = _exact_plan(docs, shared.written(weights, "mix-weights"), source, block_rows).toDF(_SOURCE, "__mix_part", "__mix_slots")
     placed = ranked(docs, doc_id, source, seed).withColumn("mix_block", F.floor(F.col("mix_rank") / block_rows))
-    if resolution is None:
-        plan = _exact_plan(docs, weights, source, block_rows).toDF(_SOURCE, "__mix_part", "__mix_slots")
-        placed = placed.withColumn("__mix_part", F.expr(f"mix_block div {PLAN_ROW}")).join(plan, [_SOURCE, "__mix_part"])
-        slot = F.expr(f"__mix_slots[cast(mix_block % {PLAN_ROW} as int)]")
-    else:
-        plan = period_plan(weights, resolution)
-        turns = plan.groupBy("source", "quota", "period").agg(F.array_sort(F.collect_list(F.struct("turn", "slot"))).alias("turns"))
-        turns = turns.select(F.col("source").alias(_SOURCE), F.col("quota").alias("__mix_quota"), F.col("period").alias("__mix_period"), F.expr("transform(turns, x -> x.slot)").alias("__mix_slots"))
-        placed = placed.join(F.broadcast(shared.written(turns, "mix-plan")), _SOURCE)
-        slot = F.expr("(mix_block div __mix_quota) * __mix_period + __mix_slots[cast(mix_block % __mix_quota as int)]")
-    return placed.withColumn("mix_slot", slot).withColumn("mix_row", (F.col("mix_rank") % block_rows).cast("int")).drop(_SOURCE, "mix_rank", "__mix_quota", "__mix_period", "__mix_part", "__mix_slots")
+    placed = placed.withColumn("__mix_part", F.expr(f"mix_block div {PLAN_ROW}")).join(plan, [_SOURCE, "__mix_part"])
+    placed = placed.withColumn("mix_slot", F.expr(f"__mix_slots[cast(mix_block % {PLAN_ROW} as int)]"))
+    return placed.withColumn("mix_row", (F.col("mix_rank") % block_rows).cast("int")).drop(_SOURCE, "mix_rank", "__mix_part", "__mix_slots")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,23 +147,26 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_sql(docs: str) -> str:
-    """DuckDB: CTEs up to `placed` over the relation `docs`; every slot of the period is one step of a recursion."""
+    """DuckDB: CTEs up to `placed` over the relation `docs`; a step of the recursion is a slot, until the last block of each source has had its deadline."""
     return f"""
-WITH RECURSIVE w AS (SELECT coalesce(source, '') AS source, sqrt(count(*)::DOUBLE) AS weight FROM {docs} GROUP BY 1),
-quotas AS MATERIALIZED (SELECT source, greatest(1, round(weight / (SELECT sum(weight) FROM w) * {RESOLUTION}))::BIGINT AS quota FROM w),
-one AS MATERIALIZED (SELECT list(source ORDER BY source) AS s, list(quota ORDER BY source) AS qs, sum(quota)::BIGINT AS q FROM quotas),
+WITH RECURSIVE size AS (SELECT greatest({BLOCK_ROWS}, (count(*) + {BLOCKS} - 1) // {BLOCKS})::BIGINT AS rows FROM {docs}),
+w AS MATERIALIZED (SELECT coalesce(source, '') AS source, sqrt(count(*)::DOUBLE) AS weight, (count(*) + any_value(rows) - 1) // any_value(rows) AS blocks FROM {docs}, size GROUP BY 1),
+total AS (SELECT list_reduce(list(weight ORDER BY source), lambda a, b: a + b) AS total FROM w),
+quotas AS MATERIALIZED (SELECT source, blocks, greatest(1, round(weight / total * {FINE}))::HUGEINT AS quota FROM w, total),
+one AS MATERIALIZED (SELECT list(source ORDER BY source) AS s, list(quota ORDER BY source) AS qs, list(blocks ORDER BY source) AS ns, sum(quota)::HUGEINT AS q FROM quotas),
+upto AS MATERIALIZED (SELECT max((blocks * q + quota - 1) // quota) AS last FROM quotas, one),
 steps AS (
-  SELECT 0::BIGINT AS t, list_transform(qs, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM one
+  SELECT 0::BIGINT AS t, list_transform(qs, lambda x: 0::HUGEINT) AS done, NULL::BIGINT AS pick FROM one
   UNION ALL
   SELECT t + 1, list_transform(done, lambda n, i: CASE WHEN i = p THEN n + 1 ELSE n END), p
-  FROM (SELECT t, done, list_min(list_filter(list_transform(done, lambda n, i: CASE WHEN n < qs[i] AND n * q // qs[i] <= t
-                 THEN ((n + 1) * q + qs[i] - 1) // qs[i] * 100000 + i END), lambda v: v IS NOT NULL)) % 100000 AS p
-        FROM steps, one WHERE t < q)),
+  FROM (SELECT t, done, (list_min(list_filter(list_transform(done, lambda n, i: CASE WHEN n * q // qs[i] <= t
+                 THEN ((n + 1) * q + qs[i] - 1) // qs[i] * 10000000 + i END), lambda v: v IS NOT NULL)) % 10000000)::BIGINT AS p
+        FROM steps, one, upto WHERE t < last)),
 slots AS (SELECT s[pick] AS source, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM steps, one WHERE pick IS NOT NULL),
 ranks AS (SELECT *, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5('{SEED}|' || coalesce(doc_id::VARCHAR, ''))) - 1 AS mix_rank FROM {docs}),
 placed AS (
-  SELECT r.*, mix_rank // {BLOCK_ROWS} AS mix_block, (mix_rank // {BLOCK_ROWS}) // quota * q + slot AS mix_slot, (mix_rank % {BLOCK_ROWS})::INT AS mix_row
-  FROM ranks r JOIN quotas u ON coalesce(r.source, '') = u.source JOIN slots l ON l.source = u.source AND l.turn = (mix_rank // {BLOCK_ROWS}) % quota, one)"""
+  SELECT r.*, mix_rank // rows AS mix_block, slot AS mix_slot, (mix_rank % rows)::INT AS mix_row
+  FROM ranks r, size JOIN slots l ON l.source = coalesce(r.source, '') AND l.turn = mix_rank // rows)"""
 
 
 SQL = plan_sql("documents") + "\nSELECT doc_id, source, mix_block, mix_slot, mix_row FROM placed"
