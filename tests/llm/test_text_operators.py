@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import itertools
 import lzma
 import random
 import re
@@ -17,7 +18,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from timedtext.llm import bpe, secret_scan, token_counts
 
@@ -58,6 +59,24 @@ def test_bpe_on_any_text_and_ids(text, ids):
     assert v.decode(np.array(ids)).decode(errors="replace") == t.decode(ids, skip_special_tokens=False)
 
 
+def test_words_of_every_code_point_are_the_library_s():
+    v = bpe.vocabulary(None)
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 20_000):
+        text = "".join(f"{c}'s{c}1a{c}\n" for c in points[i : i + 20_000])
+        words = [w for part in v.pieces(text) for w in part]
+        ends = list(itertools.accumulate(map(len, words)))
+        assert ends == [b for _, (_, b) in cut(text)]
+
+
+def test_bpe_of_letters_that_are_later(reference):
+    v = bpe.vocabulary(None)
+    for c in "\u0558\u0c5c\u208f\ua7ce\U0002b73a":
+        for t in (f"{c}'s", f"x{c}1 {c}{c}'ll", f"é {c}<|endoftext|>{c}'s"):
+            assert v.encode([t])[0].tolist() == reference.encode(t, add_special_tokens=False).ids
+
+
 def test_bpe_slices_of_long_texts(reference, monkeypatch):
     monkeypatch.setattr(bpe, "SLICE_CHARS", 100)
     monkeypatch.setattr(bpe, "SLICE_WORDS", 7)
@@ -71,7 +90,10 @@ def test_bpe_columns(spark, reference):
     df = spark.createDataFrame([(1, "Hello world", "x"), (1, "Hello world", "x"), (2, None, None), (None, "", "y")], "doc_id long, text string, ids string")
     out = bpe.decode(bpe.encode(df, keep=["doc_id"]), text="decoded")
     assert sorted((r.doc_id or 0, r.ids, r.decoded) for r in out.collect()) == sorted([(1, reference.encode("Hello world").ids, "Hello world")] * 2 + [(2, [], ""), (0, [], "")])
-    assert bpe.encode(df.limit(0)).count() == 0
+    assert bpe.encode(df.limit(0)).count() == 0 and bpe.decode(bpe.encode(df.limit(0))).count() == 0
+    odd = bpe.encode(df.withColumn("__bpe_ids", F.lit(7)).withColumn("words", F.lit("w"))).orderBy(F.col("doc_id").asc_nulls_first()).first()
+    assert (odd.ids, odd["__bpe_ids"], odd.words, odd.text) == ([], 7, "w", "")
+    assert sorted(r.text for r in bpe.decode(bpe.encode(df)).collect()) == ["", "", "Hello world", "Hello world"]
     assert bpe.decode(spark.createDataFrame([([None, 60_000, 50_256, -3],), (None,)], "ids array<int>")).collect() == [([None, 60_000, 50_256, -3], "<|endoftext|>"), (None, "")]
 
 

@@ -10,8 +10,10 @@ steps. Tokenizers are read, never trained.
 
 Defined cases: null and empty texts have no ids. Ids outside the vocabulary
 decode to nothing, and bytes that are not UTF-8 to U+FFFD, as the tokenizers
-library does. Repeated rows stay; all other columns are carried. A very long
-text is worked on in slices, so only its ids and a slice are in memory.
+library does. Repeated rows stay; an empty table gives an empty one. All other
+columns are carried, and one that has the name of the result is replaced, in
+`encode` as in `decode`. A very long text is worked on in slices, so only its
+ids and a slice are in memory.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,8 @@ from timedtext.llm import shared
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the byte-level pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same without some letters and numbers.
+NARROWED = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{0}]]+| ?[\p{{N}}--[{0}]]+| ?[^\s[\p{{L}}\p{{N}}--[{0}]]]+|\s+(?!\S)|\s+"
 NONE = np.int64(1) << 60
 #: Sizes of trees that are worked on together; longer words go one by one.
 WIDTHS, ROWS = (4, 8, 16, 32, 64), 4096
@@ -46,6 +51,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.cache
+def later_letters() -> frozenset[str]:
+    """Letters and numbers of the regex package's version of Unicode that are neither in the tokenizers library's.
+
+    Only what Python's own older version does not know is put to the library.
+    """
+    from tokenizers import pre_tokenizers
+
+    known = regex.compile(r"\p{L}|\p{N}")
+    asked = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] not in "LN" and known.match(c)]
+    # a letter stays with the letter before it, a number with the digit behind it
+    begins = {a for _, (a, _) in pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str("".join(f"a{c}1\n" for c in asked))}
+    return frozenset(c for k, c in enumerate(asked) if 4 * k + 1 in begins and 4 * k + 2 in begins)
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, .. of all ranges, one after the other."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -88,7 +108,8 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.later = regex.compile(PATTERN), later_letters()
+        self.narrowed = regex.compile(NARROWED.format("".join(sorted(self.later))), regex.V1) if self.later else self.pattern
         self.words = Words(self.special)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,10 +202,12 @@ class Vocabulary:
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
                 yield [part]
-            elif len(part) <= SLICE_CHARS:
-                yield self.pattern.findall(part)
+                continue
+            pattern = self.pattern if part.isascii() or self.later.isdisjoint(part) else self.narrowed
+            if len(part) <= SLICE_CHARS:
+                yield pattern.findall(part)
             else:
-                found = (m[0] for m in self.pattern.finditer(part))
+                found = (m[0] for m in pattern.finditer(part))
                 while some := list(itertools.islice(found, SLICE_WORDS)):
                     yield some
 
