@@ -153,11 +153,38 @@ def test_vector_dedup_is_brute_force(spark, chunk):
 
 def test_collisions_are_counted():
     rng = np.random.default_rng(1)
-    a, b = rng.normal(size=(20, 8)), rng.normal(size=(30, 8))
-    assert (vector_dedup.collisions(a, b, 0.5) == (np.abs(a[:, None] - b) <= 0.5).sum(axis=2)).all()
+    a, b = rng.normal(size=(200, 32)), rng.normal(size=(300, 32))
+    b[:20] = a[:20] + rng.normal(size=(20, 32)) * 0.5
+    near = np.abs(a[:, None] - b) <= 0.8
+    half, whole = vector_dedup.needed_collisions(16, miss=0.005), vector_dedup.needed_collisions(32, miss=0.005)
+    want = np.nonzero((near[:, :, :16].sum(axis=2) >= half) & (near.sum(axis=2) >= whole))
+    got = vector_dedup.colliding_pairs(a, b, 0.8, miss=0.01)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want] and len(got[0]) >= 10
     assert 15 <= vector_dedup.needed_collisions() <= 25
 
 
+def test_few_chunks_of_spread_vectors_meet(spark):
+    rng = np.random.default_rng(3)
+    centres = np.linalg.qr(rng.normal(size=(40, 40)))[0]
+    tiles = {}
+    for size in (10, 40):
+        rows = [(i, (centres[i % 40] + rng.normal(size=40) * 0.01).tolist(), 1, 40, i) for i in range(40 * size)]
+        df = spark.createDataFrame(rows, "node long, embedding array<double>, label int, dim int, copies int").withColumn("node", F.xxhash64("node"))
+        placed = vector_dedup.chunked(df, 10)
+        tiles[size] = vector_dedup.near_chunks(placed, 0.374).count()
+        assert placed.count() == 40 * size and placed.groupBy("chunk").count().agg(F.max("count")).first()[0] <= 10
+    assert tiles[40] < tiles[10] * 12 and tiles[40] < (40 * 4) ** 2 / 2 / 2
+
+
+@pytest.mark.parametrize("axes_sample", [0, 5_000])
+def test_scaled_copies_fall_into_several_chunks(spark, monkeypatch, axes_sample):
+    monkeypatch.setattr(vector_dedup, "AXES_SAMPLE", axes_sample)
+    rows = [(i, [float(i + 1), 2.0 * (i + 1)], 0, "x") for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node string")
+    got = vector_dedup.link_vectors(df, chunk=8).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(99, 0)} and len(got) == 100
+
+
 @pytest.mark.parametrize(("query_block", "block"), [(4, 32), (512, 4096)])
 def test_nearest_is_brute_force(spark, query_block, block):
     rows = vector_rows()

@@ -1,20 +1,24 @@
 """Nearest neighbours by a block matrix join with int8 tiles.
 
 Queries and candidates are dealt into blocks, and a task has the tile of one
-query block and one candidate block. Vectors are rounded to int8 with a scale
-of their own; the tile's product of those gives every inner product up to an
-error that is bounded by the norms of what rounding took away. A candidate is
-kept if the most it can be reaches the k-th largest of what others are at
-least, so none of the tile's nearest is lost; those are computed again in
-double precision, and a heap keeps k of them for each query. The heaps of all
-tiles of a query meet in a ranking that is cut to k before and after its
-shuffle. Work grows with queries times candidates, in blocks of fixed size.
+query block and one candidate block. Blocks are large, so that a vector goes
+through the shuffle few times, and a task works through its tile in parts of
+PART by PART. Vectors are rounded to int8 with a scale of their own; a part's
+product of those gives every inner product up to an error that is bounded by the
+norms of what rounding took away. A candidate is kept if the most it can be
+reaches what the k-th is at least, in the part or in the parts before, so none
+of the tile's nearest is lost; those are computed again in double precision and
+go into the query's heap of k, which all parts share. The heaps of all tiles of
+a query meet in a ranking that is cut to k before and after its shuffle. Work
+grows with queries times candidates; a vector's copies with their number over
+the side of a block.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components are neither queries nor candidates, nor are rows with a null id.
 Rows with the same id and the same vector count once; a query's own id is never
 its candidate. Vectors are only compared with those of equal length. Ties go to
-the smaller id. With fewer than k candidates all are returned.
+the smaller id. With fewer than k candidates all are returned; an empty table
+has no rows. Of extra columns none is returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import Window as W
 
 from timedtext.llm import shared, vectors
 
-K, QUERY_BLOCK, BLOCK = 20, 512, 4096
+K, QUERY_BLOCK, BLOCK, PART = 20, 4096, 16_384, 1024
 #: For rounding errors of the bounds themselves, by far larger than these.
 SLACK = 1e-6
 
@@ -42,26 +46,36 @@ def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return values, scale[:, 0], np.linalg.norm(stands, axis=1), np.linalg.norm(x - stands, axis=1)
 
 
-def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, part: int = PART) -> list[tuple[int, int, float]]:
     """(query, candidate, score) of the k nearest within the tile for each query."""
     a, sa, na, ea = rounded(q)
     b, sb, nb, eb = rounded(c)
     exact = np.float32 if q.shape[1] <= 1024 else np.float64  # whole numbers, so the product is exact
-    about = (a.astype(exact) @ b.astype(exact).T).astype(np.float64) * sa[:, None] * sb
-    # x.y - x'.y' = x'.(y - y') + (x - x').y, where |y| <= |y'| + |y - y'|
-    error = na[:, None] * eb + ea[:, None] * (nb + eb) + SLACK * (na + ea)[:, None] * (nb + eb)
-    own = qid[:, None] == cid
-    low = np.where(own, -np.inf, about - error)
-    least = np.partition(low, len(cid) - k, axis=1)[:, len(cid) - k] if len(cid) > k else np.full(len(qid), -np.inf)
-    rows, cols = np.nonzero((about + error >= least[:, None]) & ~own)
-    # summed from left to right, so that a score doesn't depend on the tile
-    scores = np.concatenate([np.cumsum(q[rows[i : i + 65_536]] * c[cols[i : i + 65_536]], axis=1)[:, -1] for i in range(0, len(rows), 65_536)] or [np.zeros(0)])
-    out = []
-    ends = np.searchsorted(rows, np.arange(len(qid) + 1))
-    for i, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-        best = heapq.nsmallest(k, zip((-scores[x:y]).tolist(), cid[cols[x:y]].tolist(), strict=True))
-        out += [(int(qid[i]), n, -s) for s, n in best]
-    return out
+    a, b = a.astype(exact), b.astype(exact)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in qid]
+    sure = np.full(len(qid), -np.inf)  # the k-th best score so far
+    for x in range(0, len(qid), part):
+        mine = slice(x, x + part)
+        for y in range(0, len(cid), part):
+            others = slice(y, y + part)
+            about = (a[mine] @ b[others].T).astype(np.float64) * sa[mine, None] * sb[others]
+            # x.y - x'.y' = x'.(y - y') + (x - x').y, where |y| <= |y'| + |y - y'|
+            size = nb[others] + eb[others]
+            error = na[mine, None] * eb[others] + ea[mine, None] * size + SLACK * (na[mine] + ea[mine])[:, None] * size
+            own = qid[mine, None] == cid[others]
+            low = np.where(own, -np.inf, about - error)
+            least = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] > k else np.full(len(low), -np.inf)
+            rows, cols = np.nonzero((about + error >= np.maximum(least, sure[mine])[:, None]) & ~own)
+            rows, cols = rows + x, cols + y
+            # summed from left to right, so that a score doesn't depend on the tile
+            scores = np.concatenate([np.cumsum(q[rows[i : i + 65_536]] * c[cols[i : i + 65_536]], axis=1)[:, -1] for i in range(0, len(rows), 65_536)] or [np.zeros(0)])
+            for i, s, n in zip(rows.tolist(), scores.tolist(), cid[cols].tolist(), strict=True):
+                if len(heaps[i]) < k:
+                    heapq.heappush(heaps[i], (s, -n))
+                elif (s, -n) > heaps[i][0]:
+                    heapq.heapreplace(heaps[i], (s, -n))
+            sure[mine] = [h[0][0] if len(h) == k else -np.inf for h in heaps[mine]]
+    return [(i, -n, s) for i, h in zip(qid.tolist(), heaps, strict=True) for s, n in h]
 
 
 def nearest(df: DataFrame, is_query: Column, k=K, query_block=QUERY_BLOCK, block=BLOCK) -> DataFrame:

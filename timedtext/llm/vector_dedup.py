@@ -4,33 +4,46 @@ Two unit vectors at the limit of similarity are at distance D, so their
 projections on a random Gaussian direction differ by a normal variable with
 deviation D. A tile of two chunks sorts the second chunk on each of many
 directions; a query-centred window of WIDTH x D finds the collisions of each
-vector of the first, and they are counted by pair. Pairs that reach a count,
-set so that a linked pair misses it with a chance of at most MISS, are verified
-in double precision.
-
-Vectors are only compared within a label, which is dealt into chunks of about
-CHUNK by hash; every pair of chunks is a tile, so a label of any size is worked
-on by many tasks. A tile returns counts of links and a spanning forest, never
-pairs.
+vector of the first, and they are counted by pair: on half of the directions
+for all pairs, on the others only for those that have a count by then which a
+linked pair misses with a chance of at most MISS / 2. Pairs that reach such a
+count over all directions are verified in double precision.
+
+Vectors are only compared within a label, whatever its size by many tasks. On
+the main axes of a bounded sample, two linked vectors are no further apart than
+D. So a label is laid out by the sides that its vectors are on and along the
+first axis, and cut into chunks of at most CHUNK; only chunks whose boxes on the
+axes come as close as D meet in a tile. A tile returns counts of links and a spanning forest, never
+pairs. Neither the sample nor the axes have an effect on what is found.
 
 Defined cases: a row with a null label, or a vector that is null, zero or holds
 null or non-finite components, links with nothing. Equal vectors of a label are
 one node with copies, each of which links with all others. Vectors of different
 length don't link. A null vec_id is never the smallest of a group with others.
+Rows with one vec_id are rows of their own. An empty table gives an empty
+result. Of extra columns none is returned, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from timedtext.llm import graph, shared, vectors
 
 SIMILARITY, DIRECTIONS, WIDTH, MISS, CHUNK = 0.93, 32, 1.5, 1e-4, 1024
+#: Axes of boxes, and vectors of each length that they are fitted on.
+AXES, AXES_SAMPLE = 8, 5_000
+#: Chunks of a task that cuts.
+SLAB = 16
 
 
 def needed_collisions(directions=DIRECTIONS, width=WIDTH, miss=MISS) -> int:
@@ -48,17 +61,78 @@ def directions(dim: int, n=DIRECTIONS) -> np.ndarray:
     return np.random.default_rng(93).standard_normal((dim, n))
 
 
-def collisions(a: np.ndarray, b: np.ndarray, reach: float) -> np.ndarray:
-    """How many columns of a and b have the two within `reach`, by pair of rows."""
+def windows(a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each row of b in the order of b's projections, and the places from low to high that are within `reach` of each row of a."""
+    order = np.argsort(b, kind="stable")
+    place = np.empty(len(b), np.int32)
+    place[order] = np.arange(len(b), dtype=np.int32)
+    return place, np.searchsorted(b[order], a - reach, "left").astype(np.int32), np.searchsorted(b[order], a + reach, "right").astype(np.int32)
+
+
+def colliding_pairs(a: np.ndarray, b: np.ndarray, reach: float, miss=MISS) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of a and b that are within `reach` in so many columns that a linked pair has fewer with a chance of at most `miss`."""
+    n = a.shape[1]
+    half = n // 2
     counts = np.zeros((len(a), len(b)), np.uint8)
-    for x, y in zip(a.T, b.T, strict=True):
-        order = np.argsort(y, kind="stable")
-        place = np.empty(len(y), np.int32)
-        place[order] = np.arange(len(y), dtype=np.int32)
-        low = np.searchsorted(y[order], x - reach, "left").astype(np.int32)[:, None]
-        high = np.searchsorted(y[order], x + reach, "right").astype(np.int32)[:, None]
-        counts += (place >= low) & (place < high)
-    return counts
+    for k in range(half):
+        place, low, high = windows(a[:, k], b[:, k], reach)
+        counts += (place >= low[:, None]) & (place < high[:, None])
+    rows, cols = np.nonzero(counts >= needed_collisions(half, miss=miss / 2))
+    found = counts[rows, cols]
+    for k in range(half, n):
+        place, low, high = windows(a[:, k], b[:, k], reach)
+        found += (place[cols] >= low[rows]) & (place[cols] < high[rows])
+    enough = found >= needed_collisions(n, miss=miss / 2)
+    return rows[enough], cols[enough]
+
+
+def main_axes(nodes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors, the middle of a sample of about AXES_SAMPLE nodes, and orthonormal columns along which it varies most."""
+    share = min(1.0, AXES_SAMPLE / max(nodes.count(), 1))
+    rows = nodes.filter(F.pmod("node", F.lit(1 << 30)) < int(share * (1 << 30))).select("dim", "embedding").toArrow()
+    dims, out = np.asarray(rows.column("dim")), {}
+    for dim in np.unique(dims):
+        x = vectors.matrix(rows.column("embedding").filter(pa.array(dims == dim)))
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        middle = x.mean(axis=0)
+        out[int(dim)] = middle, np.linalg.svd(x - middle, full_matrices=False)[2][:AXES].T
+    return out
+
+
+def chunked(nodes: DataFrame, chunk: int) -> DataFrame:
+    """`nodes` with at, the places of the unit vector on the axes, sides, a bit for each of them, and chunk, the number of its chunk; written."""
+    axes = main_axes(nodes)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            at = np.zeros((t.num_rows, AXES))
+            dims = np.asarray(t.column("dim"))
+            for dim in np.unique(dims):
+                mine = np.flatnonzero(dims == dim)
+                x = vectors.matrix(t.column("embedding").take(pa.array(mine)))
+                middle, a = axes.get(int(dim), (np.zeros(dim), np.zeros((dim, 0))))
+                at[mine, : a.shape[1]] = (x / np.linalg.norm(x, axis=1, keepdims=True) - middle) @ a
+            lists = pa.ListArray.from_arrays(np.arange(0, at.size + 1, AXES, dtype=np.int32), pa.array(at.ravel()))
+            yield pa.RecordBatch.from_arrays([*t.columns, lists, pa.array((at > 0) @ (1 << np.arange(AXES)), pa.int64())], [*t.schema.names, "at", "sides"])
+
+    placed = nodes.mapInArrow(place, T.StructType([*nodes.schema, T.StructField("at", T.ArrayType(T.DoubleType())), T.StructField("sides", T.LongType())]))
+    placed = shared.written(placed, "vector-places")
+    slabs = placed.repartitionByRange(-(-placed.count() // (SLAB * chunk)) or 1, "label", "dim", "sides", F.get("at", F.lit(0)), "node")
+    slabs = shared.written(slabs.withColumn("slab", F.spark_partition_id()), "vector-slabs")
+    turn = F.row_number().over(W.partitionBy("label", "dim", "slab").orderBy("sides", F.get("at", F.lit(0)), "node")) - 1
+    return shared.written(slabs.withColumn("chunk", F.col("slab").cast("long") * (1 << 32) + F.floor(turn / chunk)).drop("slab"), "vector-chunks")
+
+
+def near_chunks(placed: DataFrame, distance: float) -> DataFrame:
+    """(label, dim, i, j): the pairs of chunks, and each with itself, whose boxes are no further apart than `distance`; written."""
+    side = lambda f: F.array(*(f(F.get("at", F.lit(k))) for k in range(AXES)))
+    boxes = shared.written(placed.groupBy("label", "dim", "chunk").agg(side(F.min).alias("low"), side(F.max).alias("high")), "vector-boxes")
+    a = boxes.select("label", "dim", F.col("chunk").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
+    b = boxes.select("label", "dim", F.col("chunk").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    gap = lambda k: F.greatest(F.get("low_i", F.lit(k)) - F.get("high_j", F.lit(k)), F.get("low_j", F.lit(k)) - F.get("high_i", F.lit(k)), F.lit(0.0))
+    apart = functools.reduce(lambda x, y: x + y, (gap(k) * gap(k) for k in range(AXES)))
+    pairs = a.join(b, ["label", "dim"]).filter((F.col("i") <= F.col("j")) & (apart <= distance * distance * (1 + 1e-9)))
+    return shared.written(pairs.select("label", "dim", "i", "j"), "vector-tiles")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,13 +151,14 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def link_vectors(df: DataFrame, similarity=SIMILARITY, chunk=CHUNK) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of vec_id, embedding and label."""
     distance = math.sqrt(2 - 2 * similarity) * (1 + 1e-9)
-    count = needed_collisions()
     node = F.xxhash64("label", "embedding")
     nodes = shared.written(vectors.distinct_vectors(df.filter("label is not null"), "label").withColumn("node", node), "vectors")
-    groups = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    placed = nodes.join(shared.written(groups, "chunks"), ["label", "dim"])
-    placed = placed.withColumn("mine", F.pmod("node", "chunks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    tiles = placed.select("node", "copies", "embedding", "label", "dim", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    placed = chunked(nodes, chunk)
+    pairs = near_chunks(placed, distance)
+    rows = placed.select("label", "dim", "node", "copies", "embedding", F.col("chunk").alias("mine"))
+    # a chunk's vectors go to each of its tiles, once to that with itself
+    sides = pairs.withColumn("mine", F.col("i")).union(pairs.filter("i <> j").withColumn("mine", F.col("j")))
+    tiles = rows.join(sides, ["label", "dim", "mine"])
 
     def run(t: pa.Table) -> pa.Table:
         ids, copies, mine = (np.asarray(t.column(c)) for c in ("node", "copies", "mine"))
@@ -93,17 +168,13 @@ def link_vectors(df: DataFrame, similarity=SIMILARITY, chunk=CHUNK) -> DataFrame
         norms = np.linalg.norm(raw, axis=1)
         unit = raw / norms[:, None]
         lines = unit @ directions(raw.shape[1])
-        same = mine[0] == mine[-1]
-        split = 0 if same else int(np.searchsorted(mine, mine[-1]))
-        if not same or t.column("i")[0].as_py() == t.column("j")[0].as_py():
-            first = slice(0, len(ids)) if same else slice(0, split)
-            a, b = np.nonzero(collisions(lines[first], lines[split:], WIDTH * distance) >= count)
-            b = b + split
-            a, b = (a[a < b], b[a < b]) if same else (a, b)
-            cosine = np.einsum("ij,ij->i", raw[a], raw[b]) / (norms[a] * norms[b])
-            a, b = a[cosine >= similarity], b[cosine >= similarity]
-        else:  # the other chunk of the tile is empty
-            a = b = np.zeros(0, np.int64)
+        split = int(np.searchsorted(mine, mine[-1]))
+        first = slice(0, split or len(ids))
+        a, b = colliding_pairs(lines[first], lines[split:], WIDTH * distance)
+        b = b + split
+        a, b = (a, b) if split else (a[a < b], b[a < b])
+        cosine = np.einsum("ij,ij->i", raw[a], raw[b]) / (norms[a] * norms[b])
+        a, b = a[cosine >= similarity], b[cosine >= similarity]
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
