@@ -88,7 +88,10 @@ def variant(words, share):
     return " ".join(out)
 
 
-def test_near_duplicates_are_brute_force(spark):
+@pytest.mark.parametrize(("tile", "shingles"), [(512, 1 << 20), (5, 400)])
+def test_near_duplicates_are_brute_force(spark, monkeypatch, tile, shingles):
+    monkeypatch.setattr(near_dup, "TILE", tile)
+    monkeypatch.setattr(near_dup, "TILE_SHINGLES", shingles)
     texts = []
     for _ in range(12):
         base = [f"w{RANDOM.randrange(400)}" for _ in range(RANDOM.choice([8, 60, 300]))]
@@ -102,6 +105,12 @@ def test_near_duplicates_are_brute_force(spark):
     assert len(set(low.values())) < len(texts) - 20
 
 
+def test_names_of_sets():
+    texts = ["a b c d e f", "u v w x y z", "a b c", "A  b\nC", "one", None, "p q r s t u v w x y z 1 2 3"]
+    names = near_dup.names(texts, near_dup.shingle_sets(texts))
+    assert len({tuple(n) for n in names}) == 6 and (names[2] == names[3]).all() and len({int(n[1]) for n in names}) == 6
+
+
 def test_near_duplicates_of_one_large_group(spark):
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join(base)] * 100 + [variant(base, 0.01) for _ in range(200)]

@@ -12,20 +12,26 @@ all tables with a chance of about 2 (1 - 0.75^ROWS)^HALVES.
 3. The likeliest such pair of each node is verified on full sets and components
    are formed. A table key whose nodes are of several components is still open.
    Under each first key, the nodes of its open keys are compared in tiles on
-   full sets, all that are not of the commonest component with all others, and a
-   tile returns the pairs of components that are linked. So no link between
-   components is missed among the candidates, while a group of copies never
-   becomes all its pairs: its own component is not compared with itself.
+   full sets, all that are not of the commonest component with all others of a
+   size that allows the similarity, and a tile returns the pairs of components
+   that are linked. So no link between components is missed among the candidates,
+   while a group of copies never becomes all its pairs: its own component is not
+   compared with itself. Tiles are bounded in shingles, as in nodes.
 
 Defined cases: words and shingles are those of the query's contract. Null or
 empty texts, or texts without words, have no shingles and link with nothing.
 Rows that share a doc_id are separate rows; a null doc_id is never the smallest
-one of a group that has others. Extra columns are not returned; join by doc_id.
-Nodes are named by a 64-bit hash of the set, and shingles by 64-bit hashes.
+one of a group that has others. An empty table gives an empty result. Extra
+columns are not returned, whatever their names; join by doc_id. Shingles are
+compared by 64-bit hashes, and sets are the same where 128 bits of them are; for
+texts of few words, the second half of those is a digest of the words.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +44,15 @@ from timedtext.llm.vector_dedup import forest
 
 SHINGLE, PERCENT = 5, 75
 HALVES, ROWS = 20, 3
-#: Nodes of either side of a tile.
-TILE = 512
+#: Nodes of either side of a tile, and about the shingles that they may have together; one node more than that is a side of its own.
+TILE, TILE_SHINGLES = 512, 1 << 20
+#: Words up to which a set's name has a digest of the shingles themselves.
+FEW = 12
 _rng = np.random.default_rng(75)
 _HASHES = 2 * HALVES * ROWS
 _FLIP = _rng.integers(0, 2**63, _HASHES, dtype=np.uint64)
 _ODD = _rng.integers(0, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WORD, _LOWER = re.compile(r"[^\x20\x09-\x0D]+"), str.maketrans(shared.UPPER, shared.LOWER)
 _PLACE = _rng.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,31 +81,43 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    factors = _PLACE[:ROWS]
-    lanes = np.arange(2 * HALVES, dtype=np.uint64) << np.uint64(40)
+def names(texts: list[str | None], sets: list[np.ndarray], size=SHINGLE) -> np.ndarray:
+    """Two columns of 64 bits for each set, the same for equal sets."""
+    out = np.zeros((len(sets), 2), np.uint64)
+    for k, s in enumerate(sets):
+        out[k] = s.sum() ^ np.uint64(len(s)), words.mix(s ^ _PLACE[0]).sum()
+        if 0 < len(s) <= FEW - size + 1 and len(w := _WORD.findall(texts[k].translate(_LOWER))) <= FEW:
+            shingles = sorted({" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))})
+            out[k, 1] = int.from_bytes(hashlib.blake2b("\n".join(shingles).encode("utf-8", "surrogatepass"), digest_size=8).digest())
+    return words.mix(out)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[pa.Array]]]:
+    """Parts of batches with the sets of their texts, and the columns of names."""
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             b = batch.slice(i, 512)
-            sets = shingle_sets(b.column(1).to_pylist())
-            sizes = np.array([len(s) for s in sets])
-            node = np.array([words.mix(np.array([s.sum() ^ np.uint64(len(s))]))[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            low = np.array([minhashes(s) for s in sets], np.uint64).reshape(len(sets), 2 * HALVES, ROWS)
-            keys = words.mix((low * factors).sum(axis=2) + lanes).view(np.int64)
-            none = sizes == 0
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(k).ravel()), HALVES).cast(pa.list_(t)) for k, t in ((keys[:, :HALVES], pa.int64()), (keys[:, HALVES:].astype(np.int32), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(node, mask=none), *lists], ["doc_id", "n_shingles", "node", "first_keys", "second_keys"])
+            texts = b.column("text").to_pylist()
+            sets = shingle_sets(texts)
+            none = np.array([len(s) == 0 for s in sets])
+            yield b, sets, [pa.array(np.ascontiguousarray(x), mask=none) for x in names(texts, sets).view(np.int64).T]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    factors = _PLACE[:ROWS]
+    lanes = np.arange(2 * HALVES, dtype=np.uint64) << np.uint64(40)
+    for b, sets, named in _slices(batches):
+        low = np.array([minhashes(s) for s in sets], np.uint64).reshape(len(sets), 2 * HALVES, ROWS)
+        keys = words.mix((low * factors).sum(axis=2) + lanes).view(np.int64)
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(k).ravel()), HALVES).cast(pa.list_(t)) for k, t in ((keys[:, :HALVES], pa.int64()), (keys[:, HALVES:].astype(np.int32), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *named, *lists], ["doc_id", "n_shingles", "n1", "n2", "first_keys", "second_keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 512):
-            b = batch.slice(i, 512)
-            sets = shingle_sets(b.column(1).to_pylist())
-            node = np.array([words.mix(np.array([s.sum() ^ np.uint64(len(s))]))[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node, mask=np.array([len(s) == 0 for s in sets])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "s"])
+    for _, sets, named in _slices(batches):
+        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*named, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["n1", "n2", "s"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -116,10 +137,10 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", percent=PERCE
     """(doc_id, n_shingles, component_id, kept), a row for each of `docs`."""
     kind = dict(docs.dtypes)[doc_id]
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketches = texts.mapInArrow(_sketch, f"doc_id {kind}, n_shingles long, node long, first_keys array<long>, second_keys array<int>")
+    sketches = texts.mapInArrow(_sketch, f"doc_id {kind}, n_shingles long, n1 long, n2 long, first_keys array<long>, second_keys array<int>")
     sketches = shared.written(sketches, "sketches")
-    classes = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("first_keys").alias("first_keys"), F.first("second_keys").alias("second_keys"))
-    classes = shared.written(classes, "classes")
+    classes = sketches.filter("n1 is not null").groupBy("n1", "n2").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("first_keys").alias("first_keys"), F.first("second_keys").alias("second_keys"))
+    classes = shared.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     first = classes.select("node", F.explode("first_keys").alias("k1"))
     shared_k1 = shared.written(first.groupBy("k1").agg(F.count("*").alias("c")).filter("c > 1").select("k1"), "shared-keys")
@@ -132,11 +153,11 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", percent=PERCE
     stars = shared.written(stars.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c")), "stars")
 
     wanted = tables.join(least.select("key"), "key", "left_semi").select("node").distinct()
-    rows = classes.join(wanted, "node", "left_semi").select(F.col("first_id"))
-    rows = shared.written(rows.distinct(), "wanted")
-    some = texts.join(rows, texts["doc_id"].eqNullSafe(rows["first_id"]), "left_semi")
-    sets = some.mapInArrow(_sets, "node long, s array<long>").filter("node is not null").groupBy("node").agg(F.first("s").alias("s"))
-    sets = shared.written(sets, "sets")
+    rows = shared.written(classes.join(wanted, "node", "left_semi").select("n1", "n2", "node", "first_id"), "wanted")
+    ids = rows.select("first_id").distinct()
+    some = texts.join(ids, texts["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
+    sets = some.mapInArrow(_sets, "n1 long, n2 long, s array<long>").join(rows.select("n1", "n2", "node"), ["n1", "n2"])
+    sets = shared.written(sets.groupBy("node").agg(F.first("s").alias("s")), "sets")
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
     parts = shared.written(graph.connected_components(_verified(best, sets, percent)), "parts")
@@ -149,10 +170,10 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", percent=PERCE
 
     named = parts.join(classes.select("node", "first_id"), "node")
     smallest = shared.written(named.groupBy("component").agg(F.min("first_id").alias("low_id")), "components")
-    of_node = classes.select("node", "first_id").join(parts.join(smallest, "component").select("node", "low_id"), "node", "left")
-    of_node = shared.written(of_node.select("node", F.coalesce("low_id", "first_id").alias("low_id")), "of-node")
-    out = sketches.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("low_id"))
+    of_node = classes.select("n1", "n2", "node", "first_id").join(parts.join(smallest, "component").select("node", "low_id"), "node", "left")
+    of_node = shared.written(of_node.select("n1", "n2", F.coalesce("low_id", "first_id").alias("low_id")), "of-node")
+    out = sketches.select("doc_id", "n_shingles", "n1", "n2").join(of_node, ["n1", "n2"], "left")
+    component = F.when(F.col("n1").isNull(), F.col("doc_id")).otherwise(F.col("low_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -186,19 +207,26 @@ def _tile_links(t: pa.Table, percent: int) -> pa.Table:
 
 def _open_links(tables: DataFrame, least: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of components with a link under a table key, verified on full sets, written."""
-    labelled = tables.join(least.select("key"), "key", "left_semi").join(parts, "node", "left").select("key", "k1", "node", F.coalesce("component", "node").alias("part"))
+    labelled = tables.join(least.select("key"), "key", "left_semi").join(parts, "node", "left")
+    size = F.floor(F.log(F.col("n")) / math.log(100 / percent * (1 + 1e-9))).cast("int")
+    labelled = labelled.select("key", "k1", "node", size.alias("size"), F.coalesce("component", "node").alias("part"))
     mixed = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    members = labelled.join(shared.written(mixed, "open-keys"), "key", "left_semi").groupBy("k1", "node").agg(F.first("part").alias("part"))
+    members = labelled.join(shared.written(mixed, "open-keys"), "key", "left_semi").groupBy("k1", "node").agg(F.first("part").alias("part"), F.first("size").alias("size"))
     members = shared.written(members, "open-nodes")
-    counts = members.groupBy("k1", "part").agg(F.count("*").alias("c")).groupBy("k1").agg(F.max_by("part", F.struct("c", "part")).alias("most"), F.max("c").alias("c"), F.sum("c").alias("all"))
-    counts = counts.select("k1", "most", F.ceil((F.col("all") - F.col("c")) / TILE).cast("int").alias("askers"), F.ceil(F.col("all") / TILE).cast("int").alias("others"))
-    rows = members.join(shared.written(counts, "tiles"), "k1")
+    most = members.groupBy("k1", "part").agg(F.count("*").alias("c")).groupBy("k1").agg(F.max_by("part", F.struct("c", "part")).alias("most"))
+    rows = members.join(shared.written(most, "largest-parts"), "k1")
+    # sets that are similar enough are of one size class or of two that follow each other
+    asking = rows.filter("part <> most").select("k1", "node", "part", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"), F.lit(True).alias("asks"))
+    rows = shared.written(asking.unionByName(rows.select("k1", "node", "part", "size", F.lit(False).alias("asks"))), "sides")
+    side = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(TILE_SHINGLES / F.pow(F.lit(100 / percent), F.col("size") + 1))))
+    counts = rows.groupBy("k1", "size").agg(F.ceil(F.count_if("asks") / side).cast("int").alias("askers"), F.ceil(F.count_if(~F.col("asks")) / side).cast("int").alias("others"))
+    rows = rows.join(shared.written(counts.filter("askers > 0 and others > 0"), "tiles"), ["k1", "size"])
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asking = rows.filter("part <> most").select("k1", "node", "part", F.lit(True).alias("asks"), own(F.col("askers")).alias("i"), every(F.col("others")).alias("j"))
-    others = rows.select("k1", "node", "part", F.lit(False).alias("asks"), every(F.col("askers")).alias("i"), own(F.col("others")).alias("j"))
+    asking = rows.filter("asks").select("k1", "size", "node", "part", "asks", own(F.col("askers")).alias("i"), every(F.col("others")).alias("j"))
+    others = rows.filter("not asks").select("k1", "size", "node", "part", "asks", every(F.col("askers")).alias("i"), own(F.col("others")).alias("j"))
     tiles = asking.union(others).join(sets, "node")
-    found = tiles.groupBy("k1", "i", "j").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long")
+    found = tiles.groupBy("k1", "size", "i", "j").applyInArrow(lambda t: _tile_links(t, percent), "a long, b long")
     return shared.written(found.distinct(), "links")
 
 
