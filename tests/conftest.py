@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -19,5 +20,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[1])
+    # workers get functions of the tests by the names of their modules
+    here = Path(__file__).resolve().parent
+    session.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(map(str, (here.parent, here, here / "llm")))
     return session

@@ -55,7 +55,7 @@ def test_append_and_read_journal(spark, tmp_path):
     (tmp_path / "r" / "manifest.json").write_text(json.dumps({"schema_version": 3, "chunks": 2, "samples": 320_000, "languages": ["en"], "last_hash": "x", "finished": True, "published_hashes": {}}))
     manifests, chunks = tables.read_journal(spark, str(tmp_path))
     got = chunks.orderBy("index").collect()
-    assert [(r.index, r.language, [s.text for s in r.segments]) for r in got] == [(0, "en", ["a"]), (1, "", [])]
+    assert [(r["index"], r.language, [s.text for s in r.segments]) for r in got] == [(0, "en", ["a"]), (1, "", [])]
     assert [x.reason for x in journal.verify_chain(chunks.withColumnRenamed("index", "idx"), 160_000).orderBy("idx").collect()] == [None, None]
     assert manifests.first().samples == 320_000
 

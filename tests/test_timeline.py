@@ -31,15 +31,25 @@ def test_jitter_and_gaps():
     assert place([(5, 1000), (None, 10)]) == [(5, True, False), (1005, False, False)]
 
 
+def test_frames_without_samples_and_out_of_range():
+    assert place([(0, 1000), (50_000, 0), (1000, 10)]) == [(0, False, False), (50_000, True, False), (1000, False, False)]
+    # what has no samples does not begin the timeline, but its timestamp is the first
+    assert place([(500, 0), (700, 10), (710, 5)]) == [(500, True, False), (0, True, False), (10, False, False)]
+    assert place([(0, 1000), (2**62, 10), (1000, 10)]) == [(0, False, False), (None, None, None), (1000, False, False)]
+    assert place([(0, None), (0, 10)])[1] == (0, False, False)
+    with pytest.raises(ValueError, match="out of range"):
+        tl.place_frame((0, 0), 2**62, 1, 0, 1, False, "auto", strict=True)
+
+
 @pytest.mark.parametrize("ppm", [20, 100, 1000])
 def test_slow_clock_loses_nothing(ppm):
     state, resets, total = None, 0, 0
     for i in range(60_000):
-        state, (start, _, reset, _) = tl.place_frame(state, round(i * 1024 * (1 - ppm / 1e6)), 1024, 0, 1, False, "auto")
+        state, (start, _, reset, _) = tl.place_frame(state, i * 1600 * (1_000_000 - ppm) // 1_000_000, 1600, 0, 1, False, "auto")
         resets += reset
         assert start == total
-        total += 1024
-    assert state[0] == total and resets > 0
+        total += 1600
+    assert state[0] == total and 0 < resets < 60
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -23,22 +23,26 @@ def classify_code(code: Column | str) -> Column:
     return F.when(c >= 0, "ok").when(c.isin(AGAIN, END_OF_FILE), "flow").when(c.isin(NO_MEMORY, EXIT, INTERRUPTED), "fatal").otherwise("recoverable")
 
 
-def rescale_pts(pts: Column | str, numerator: int, denominator: int, strict=False) -> Column:
-    """Ticks of numerator/denominator seconds to samples, rounded half away from zero; null, or an error if `strict`, when out of range."""
+def rescale_pts(pts: Column | str, numerator: int, denominator: int, strict=False, origin: Column | str | None = None) -> Column:
+    """Ticks of numerator/denominator seconds to samples, rounded half away from zero, less `origin` samples; null, or an error if `strict`, when out of range."""
     c = (F.col(pts) if isinstance(pts, str) else pts).cast("decimal(19,0)")
     up, down = F.lit(numerator * RATE).cast("decimal(10,0)"), F.lit(denominator).cast("decimal(9,0)")
     # half away from zero: floor((2 |x| u + d) / 2 d)
     whole = F.floor((F.abs(c) * up * 2 + down) / (down * 2))
     signed = F.when(c < 0, -whole).otherwise(whole)
     bad = F.raise_error(F.lit("timestamp out of range")).cast("long") if strict else F.lit(None).cast("long")
-    return F.when(F.abs(signed) <= _BOUND, signed.cast("long")).when(c.isNotNull(), bad)
+    start = F.lit(0) if origin is None else F.coalesce(F.col(origin) if isinstance(origin, str) else origin, F.lit(0))
+    return F.when((F.abs(signed) <= _BOUND) & (F.abs(start) <= _BOUND), signed.cast("long") - start).when(c.isNotNull(), bad)
 
 
 def origin(frames: DataFrame, key="rec", order="seq", container: str | None = None, stream: str | None = None) -> DataFrame:
-    """(rec, origin): the container's start, else the earliest start of a stream, else the first usable timestamp less where it is expected."""
-    first = F.min_by("pts", F.when(F.col("pts").isNotNull(), F.col(order)))
+    """(rec, origin): the container's start, else the earliest start of a stream, else the first usable timestamp less where that frame is expected, behind the samples before it."""
+    before = F.coalesce(F.sum("n_samples").over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    delay = F.coalesce("delay", F.lit(0)) if "delay" in frames.columns else F.lit(0)
+    rows = frames.withColumn("__first", F.col("pts") - before - delay)
+    first = F.min_by("__first", F.when(F.col("pts").isNotNull(), F.col(order)))
     starts = [*([F.min(container)] if container else []), *([F.min(stream)] if stream else [])]
-    return frames.groupBy(key).agg(F.coalesce(*starts, first).cast("long").alias("origin"))
+    return rows.groupBy(key).agg(F.coalesce(*starts, first).cast("long").alias("origin"))
 
 
 def last_frame_seconds(frames: DataFrame, key="rec", order="seq") -> DataFrame:
@@ -59,26 +63,35 @@ def decode_error_totals(frames: DataFrame, key="rec", code="code") -> DataFrame:
     return frames.groupBy(key).agg(F.count_if(classify_code(code) == "recoverable").alias("errors"))
 
 
-def place_frame(state: tuple | None, pts: int | None, n: int, delay: int, tolerance: int, transport: bool, gaps: str) -> tuple[tuple, tuple]:
-    """The state (end of the timeline, shift) after a frame, and the frame's (start, discontinuity, reset, end).
+def place_frame(state: tuple | None, pts: int | None, n: int | None, delay: int | None, tolerance: int | None, transport: bool | None, gaps: str, strict=False) -> tuple[tuple | None, tuple]:
+    """The state (end of the timeline or None, shift) after a frame, and the frame's (start, discontinuity, reset, end).
 
     Where the timestamp is close to the expected place, the frame goes there. An
     earlier one moves all that follows, so that no sample is lost; so does a later
-    one behind a long gap of a transport stream. Any other gap is kept.
+    one behind a long gap of a transport stream. Any other gap is kept. A frame
+    without samples has a place but does not move the end. One that is out of range
+    has no place and changes nothing, or is an error if `strict`. Null stands for 0
+    in all but pts.
     """
-    if state is None:
-        start = delay if pts is None else pts
-        return (start + n, 0), (start, start != delay, False, start + n)
-    end, shift = state
-    expected = end + delay
-    off = 0 if pts is None else pts + shift - expected
-    jitter = max(JITTER, tolerance)
-    reset = off < -jitter or (gaps == "auto" and bool(transport) and off > LONGEST_GAP)
-    start = expected if reset or abs(off) <= jitter else expected + off
-    if reset:
-        shift -= off
-    end = max(end, start + n)
-    return (end, shift), (start, reset or start != expected, reset, end)
+    n, delay, tolerance = n or 0, delay or 0, tolerance or 0
+    end, shift = state or (None, 0)
+    expected = (end or 0) + delay
+    start = expected if pts is None else pts + shift
+    if not -_BOUND <= start <= _BOUND or expected > _BOUND:
+        if strict:
+            raise ValueError("timestamp out of range")
+        return state, (None, None, None, end or 0)
+    reset = False
+    if state is not None:  # the first timestamp is no jitter
+        off, jitter = start - expected, max(JITTER, tolerance)
+        reset = off < -jitter or (gaps == "auto" and bool(transport) and off > LONGEST_GAP)
+        if reset:
+            shift -= off
+        if reset or off <= jitter:
+            start = expected
+    if n:
+        end = start + n if end is None else max(end, start + n)
+    return (end, shift), (start, reset or start != expected, reset, end or 0)
 
 
 def aligned_type(frames: DataFrame, key="rec", order="seq") -> T.StructType:
@@ -87,14 +100,14 @@ def aligned_type(frames: DataFrame, key="rec", order="seq") -> T.StructType:
     return T.StructType([frames.schema[key], frames.schema[order], *(T.StructField(n, k) for n, k in new)])
 
 
-def align_timeline(frames: DataFrame, gaps="auto", key="rec", order="seq") -> DataFrame:
-    """(rec, seq, start, discontinuity, reset, timeline_end, n_samples) of each frame; gaps is auto or preserve."""
+def align_timeline(frames: DataFrame, gaps="auto", key="rec", order="seq", strict=False) -> DataFrame:
+    """(rec, seq, start, discontinuity, reset, timeline_end, n_samples) of each frame; gaps is auto or preserve. A timestamp out of range has no start, or is an error if `strict`."""
     if gaps not in ("auto", "preserve"):
         raise ValueError("gaps is auto or preserve")
 
     def step(state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
         rec, seq, pts, n, delay, tolerance, transport = row
-        state, placed = place_frame(state, pts, n, delay, tolerance, transport, gaps)
+        state, placed = place_frame(state, pts, n, delay, tolerance, transport, gaps, strict)
         return state, [(rec, seq, *placed, n)]
 
     rows = frames.select(key, order, "pts", "n_samples", "delay", "tolerance", "transport")
@@ -104,7 +117,7 @@ def align_timeline(frames: DataFrame, gaps="auto", key="rec", order="seq") -> Da
 def silence_fill(aligned: DataFrame, key="rec", order="seq") -> DataFrame:
     """`aligned` with silence, the zero samples to insert before a frame, and drop, its samples that overlap or lie before the origin."""
     w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    end = F.greatest(F.lit(0), F.coalesce(F.max(F.col("start") + F.col("n_samples")).over(w), F.lit(0)))
+    end = F.greatest(F.lit(0), F.coalesce(F.max(F.when(F.col("n_samples") > 0, F.col("start") + F.col("n_samples"))).over(w), F.lit(0)))
     out = aligned.withColumn("__end", end)
     silence = F.greatest(F.lit(0), F.col("start") - F.col("__end"))
     drop = F.when(F.col("start") < F.col("__end"), F.least(F.col("__end") - F.col("start"), F.col("n_samples"))).otherwise(0)
@@ -136,7 +149,7 @@ def decode_budget(events: DataFrame, strict=False, limit_s=30, key="rec", order=
 
 
 def frame_events(frames: DataFrame, key="rec", order="seq") -> DataFrame:
-    """Frames as decoder events, four to a frame in order: input is awaited, the packet, and what became of it."""
+    """Frames as decoder events, three to a frame in order: input is awaited, the packet, and what became of it."""
     rows = packet_seconds(frames, key, order)
     kinds = F.array(*(F.struct(F.lit(i).alias("i"), k.alias("kind")) for i, k in enumerate((F.lit("await"), F.lit("packet"), F.when(F.col("code") < 0, "error").otherwise("frame")))))
     rows = rows.select(key, order, "seconds", "code", F.explode(kinds).alias("e"))

@@ -88,11 +88,11 @@ Q = {
     ),
     "late_policy": (
         late,
-        f"WITH {qt.ALIGNED.format(auto='')} SELECT rec, count(*) AS n, CAST(sum(n_samples) AS BIGINT) AS samples, max(pos) AS timeline_end FROM st GROUP BY rec",
+        f"WITH {qt.ALIGNED.format(auto='')} SELECT rec, count(*) AS n, CAST(sum(n_samples) AS BIGINT) AS samples, max(coalesce(pos, 0)) AS timeline_end FROM st GROUP BY rec",
     ),
     "stream_budget": (
-        lambda v: through(v, tl.frame_events(v.frames_v).withColumn("seq", F.col("seq") - 3), lambda s: st.stream_budget(s, limit_s=1)).withColumn("seq", F.col("seq") + 3),
-        f"WITH {qt.EVENTS} {qt.BUDGET.format(reason='time', cond='''damaged AND round(spent, 9) >= 1 AND kind IN ('await', 'error')''')}",
+        lambda v: through(v, qt.long_packets(v).withColumn("seq", F.col("seq") - 3), lambda s: st.stream_budget(s, limit_s=3)).withColumn("seq", F.col("seq") + 3),
+        f"WITH {qt.EVENTS} {qt.LATE}",
     ),
     "stream_windows": (windows, qt.Q["recognize_windows"][1].replace("false AS whole, ", "")),
     "stream_paragraphs": (

@@ -14,19 +14,22 @@ MIN_SILENCE_MS, GRID_S = 500, 30
 ALIGNED = """
   f AS MATERIALIZED (SELECT * FROM frames_v), st AS (
     SELECT rec, seq, n_samples, coalesce(pts, delay)::BIGINT AS s, coalesce(pts, delay) <> delay AS disc, false AS rs,
-           (coalesce(pts, delay) + n_samples)::BIGINT AS pos, 0::BIGINT AS sh
+           CASE WHEN n_samples > 0 THEN (coalesce(pts, delay) + n_samples)::BIGINT END AS pos, 0::BIGINT AS sh
     FROM f WHERE seq = 1
     UNION ALL
-    SELECT rec, seq, n_samples, s2, rst OR s2 <> e, rst, greatest(pos, s2 + n_samples), CASE WHEN rst THEN sh - d ELSE sh END
+    SELECT rec, seq, n_samples, s2, rst OR s2 <> e, rst, CASE WHEN n_samples > 0 THEN greatest(pos, s2 + n_samples) ELSE pos END, CASE WHEN rst THEN sh - d ELSE sh END
     FROM (SELECT *, CASE WHEN snap OR rst THEN e ELSE e + d END AS s2
       FROM (SELECT *, d BETWEEN -j AND j AS snap, d < -j OR ({auto}transport AND d > 160000) AS rst
-        FROM (SELECT f.rec, f.seq, f.n_samples, f.transport, st.pos, st.sh, st.pos + f.delay AS e,
-                     coalesce(f.pts + st.sh - (st.pos + f.delay), 0) AS d, greatest(1600, f.tolerance) AS j
+        FROM (SELECT f.rec, f.seq, f.n_samples, f.transport, st.pos, st.sh, coalesce(st.pos, 0) + f.delay AS e,
+                     coalesce(f.pts + st.sh - (coalesce(st.pos, 0) + f.delay), 0) AS d, greatest(1600, f.tolerance) AS j
               FROM st JOIN f ON f.rec = st.rec AND f.seq = st.seq + 1))))"""
-SHOWN = "SELECT rec, seq, s AS start, disc AS discontinuity, rs AS reset, pos AS timeline_end FROM st"
+ORIGIN = """
+  b AS (SELECT rec, seq, pts - delay - coalesce(sum(n_samples) OVER (PARTITION BY rec ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM frames_v),
+  o AS (SELECT rec, CAST(arg_min(place, seq) FILTER (WHERE place IS NOT NULL) AS BIGINT) AS origin FROM b GROUP BY rec)"""
+SHOWN = "SELECT rec, seq, s AS start, disc AS discontinuity, rs AS reset, coalesce(pos, 0) AS timeline_end FROM st"
 #: Decoder events in order, as three of each frame.
 SECONDS = """
-  p AS (SELECT *, last_value(CASE WHEN code >= 0 THEN n_samples / 16000.0::DOUBLE END IGNORE NULLS)
+  p AS (SELECT *, last_value(CASE WHEN code >= 0 AND n_samples > 0 THEN n_samples / 16000.0::DOUBLE END IGNORE NULLS)
                     OVER (PARTITION BY rec ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_frame_seconds FROM frames_v),
   q AS (SELECT *, coalesce(CASE WHEN packet_seconds > 0 THEN packet_seconds END, last_frame_seconds, 0.0::DOUBLE) AS seconds FROM p)"""
 EVENTS = SECONDS + """,
@@ -37,6 +40,10 @@ BUDGET = """,
   h AS (SELECT *, coalesce(sum(seconds) FILTER (WHERE kind = 'packet' AND seconds > 0) OVER w, 0) AS spent, bool_or(kind = 'error') OVER w AS damaged
         FROM g WINDOW w AS (PARTITION BY rec, frames ORDER BY seq ROWS UNBOUNDED PRECEDING))
   SELECT rec, min(seq) AS seq, '{reason}' AS reason FROM h WHERE {cond} GROUP BY rec"""
+#: The first event at which the time rule fails, with packets that are twenty times as long as those of the frames.
+LATE = BUDGET.format(reason="time", cond="damaged AND round(spent, 9) >= 3 AND kind IN ('await', 'error')").replace("coalesce(sum(seconds)", "coalesce(sum(seconds * 20)")
+#: Each error of a frame of even number as 600 without a packet between them, so that two in a row are too many.
+STALLED = """s AS (SELECT rec, seq * 600 + k AS seq, kind FROM e, (SELECT unnest(range(600)) AS k) WHERE kind IN ('error', 'frame') AND (k = 0 OR kind = 'error'))"""
 WINDOWS = "w AS MATERIALIZED (SELECT rec, win, max(n_samples) AS n_samples, max(preferred) AS preferred, max(guard) AS guard FROM windows_v GROUP BY ALL)"
 SAFE = WINDOWS + """,
   d AS (SELECT *, start_sample / 16000.0::DOUBLE AS a, end_sample / 16000.0::DOUBLE AS b, n_samples / 16000.0::DOUBLE AS whole FROM windows_v),
@@ -58,6 +65,18 @@ def speech(v):
     return v.windows_v.select("rec", "win", "start_sample", "end_sample")
 
 
+def long_packets(v):
+    """Decoder events whose packets are twenty times as long as those of the frames."""
+    return tl.frame_events(v.frames_v).withColumn("seconds", F.col("seconds") * 20)
+
+
+def stalled_events(v):
+    """Frames and errors only, each error 600 times."""
+    e = tl.frame_events(v.frames_v).filter("kind in ('error', 'frame')")
+    times = F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == "error", 599).otherwise(0)))
+    return e.withColumn("k", times).withColumn("seq", F.col("seq") * 600 + F.col("k")).drop("k")
+
+
 def fake_recognizer(samples):
     """A segment for every eight samples, and the rest as one."""
     edges = [*range(0, len(samples), 8), len(samples)]
@@ -86,7 +105,11 @@ Q = {
         lambda v: v.frames_v.select("rec", "seq", tl.rescale_pts("pts", 1, 44100).alias("samples")),
         "SELECT rec, seq, CAST(sign(pts) * ((abs(pts)::HUGEINT * 16000 * 2 + 44100) // 88200) AS BIGINT) AS samples FROM frames_v",
     ),
-    "origin": (lambda v: tl.origin(v.frames_v), "SELECT rec, arg_min(pts, seq) FILTER (WHERE pts IS NOT NULL) AS origin FROM frames_v GROUP BY rec"),
+    "rescale_pts_origin": (
+        lambda v: v.frames_v.join(tl.origin(v.frames_v), "rec").select("rec", "seq", tl.rescale_pts("pts", 1, 44100, origin="origin").alias("samples")),
+        f"WITH {ORIGIN} SELECT rec, seq, CAST(sign(pts) * ((abs(pts)::HUGEINT * 16000 * 2 + 44100) // 88200) AS BIGINT) - coalesce(origin, 0) AS samples FROM frames_v JOIN o USING (rec)",
+    ),
+    "origin": (lambda v: tl.origin(v.frames_v), f"WITH {ORIGIN} SELECT rec, origin FROM o"),
     "last_frame_seconds": (lambda v: tl.last_frame_seconds(v.frames_v).select("rec", "seq", "last_frame_seconds"), f"WITH {SECONDS} SELECT rec, seq, last_frame_seconds FROM q"),
     "packet_seconds": (lambda v: tl.packet_seconds(v.frames_v).select("rec", "seq", "seconds"), f"WITH {SECONDS} SELECT rec, seq, seconds FROM q"),
     "decode_error_totals": (lambda v: tl.decode_error_totals(v.frames_v), "SELECT rec, count(*) FILTER (WHERE code < 0) AS errors FROM frames_v GROUP BY rec"),
@@ -94,12 +117,19 @@ Q = {
     "align_timeline_preserve": (lambda v: tl.align_timeline(v.frames_v, "preserve").drop("n_samples"), f"WITH {ALIGNED.format(auto='false AND ')} {SHOWN}"),
     "silence_fill": (
         lambda v: tl.silence_fill(tl.align_timeline(v.frames_v)).select("rec", "seq", "silence", "drop"),
-        f"""WITH {ALIGNED.format(auto='')}, x AS (SELECT *, greatest(0, coalesce(max(s + n_samples) OVER (PARTITION BY rec ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS e FROM st)
+        f"""WITH {ALIGNED.format(auto='')}, x AS (SELECT *, greatest(0, coalesce(max(s + n_samples) FILTER (WHERE n_samples > 0) OVER (PARTITION BY rec ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS e FROM st)
             SELECT rec, seq, CAST(greatest(0, s - e) AS BIGINT) AS silence, CAST(CASE WHEN s < e THEN least(e - s, n_samples) ELSE 0 END AS BIGINT) AS "drop" FROM x""",
     ),
     "decode_budget": (
-        lambda v: tl.decode_budget(tl.frame_events(v.frames_v), limit_s=1).select("rec", "seq", "reason"),
-        f"WITH {EVENTS} {BUDGET.format(reason='time', cond='''damaged AND round(spent, 9) >= 1 AND kind IN ('await', 'error')''')}",
+        lambda v: tl.decode_budget(long_packets(v), limit_s=3).select("rec", "seq", "reason"),
+        f"WITH {EVENTS} {LATE}",
+    ),
+    "decode_budget_stalled": (
+        lambda v: tl.decode_budget(stalled_events(v), limit_s=0).select("rec", "seq", "reason"),
+        f"""WITH {EVENTS}, {STALLED},
+            m AS (SELECT *, count(*) FILTER (WHERE kind <> 'error') OVER (PARTITION BY rec ORDER BY seq ROWS UNBOUNDED PRECEDING) AS moves FROM s),
+            n AS (SELECT *, row_number() OVER (PARTITION BY rec, moves ORDER BY seq) - CASE WHEN moves > 0 THEN 1 ELSE 0 END AS stuck FROM m)
+            SELECT rec, min(seq) AS seq, 'stalled' AS reason FROM n WHERE kind = 'error' AND stuck >= 1024 GROUP BY rec""",
     ),
     "decode_budget_strict": (lambda v: tl.decode_budget(tl.frame_events(v.frames_v), strict=True).select("rec", "seq", "reason"), f"WITH {EVENTS} {BUDGET.format(reason='strict', cond='''kind = 'error' ''')}"),
     "with_tail_interval": (

@@ -40,7 +40,7 @@ VIEWS = {
          CASE WHEN event_type = 'view' THEN NULL ELSE CAST(n_samples AS DOUBLE) / 16000 END AS packet_seconds
   FROM (SELECT *, CAST(SUM(n_samples) {_RUNNING} AS BIGINT) - n_samples AS ideal
         FROM (SELECT user_id AS rec, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS seq,
-                     event_id, event_type, CAST(1024 + event_id % 577 AS BIGINT) AS n_samples FROM events) AS b) AS c""",
+                     event_id, event_type, CASE WHEN event_id % 101 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(1024 + event_id % 577 AS BIGINT) END AS n_samples FROM events) AS b) AS c""",
     "windows_v": """
   SELECT rec, CAST(floor(start_ms / 30000.0) AS BIGINT) AS win, seq,
          CAST(start_ms % 30000 AS BIGINT) * 16 AS start_sample,
