@@ -4,49 +4,81 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from timedtext.functions.text import RATE
 from timedtext.operators.fold import fold
+from timedtext.operators.segments import invalid_reason
+
+
+def _segment_reason(segments: str) -> Column:
+    """Why the first bad segment of a record is one; null if all are right."""
+    low, high = F.col("start_sample") / float(RATE), F.col("end_sample") / float(RATE)
+
+    def wrong(x: Column) -> Column:
+        times = invalid_reason(x["start"], x["end"], low, high, x["no_speech_prob"])
+        return F.coalesce(times, F.when(F.coalesce(x["text"], F.lit("")) == "", "text"))
+
+    return F.get(F.filter(F.transform(segments, wrong), lambda r: r.isNotNull()), F.lit(0))
 
 
 def verify_chain(chunks: DataFrame, limit_samples: int, manifests: DataFrame | None = None, key="rec", order="idx") -> DataFrame:
-    """`chunks` with `reason`: index, start, length, hash or language; null where the record is right.
+    """`chunks` with `reason`: unreadable, index, start, length, hash, language, text or what is wrong with a segment's times; null where the record is right.
 
     chunks: idx, start_sample, end_sample, previous_hash, language, raw and, if there,
-    n_segments. With manifests (rec, chunks, samples, last_hash), only their committed
-    chunks are looked at.
+    segments (start, end, text, no_speech_prob in recording time) or n_segments, and a
+    reason of their reader's, which stays. A record in which one of these is null is
+    unreadable. With manifests (rec, chunks, samples, last_hash), only their committed
+    chunks are looked at, and what is unreadable.
     """
     if manifests is not None:
-        chunks = chunks.join(manifests.select(key, "chunks"), key).filter(F.col(order) < F.col("chunks")).drop("chunks")
-    w = W.partitionBy(key).orderBy(order)
+        chunks = chunks.join(manifests.select(key, "chunks"), key).filter(F.col(order).isNull() | (F.col(order) < F.col("chunks"))).drop("chunks")
+    w = W.partitionBy(key).orderBy(F.col(order).asc_nulls_last())
     rows = chunks.withColumn("__n", F.row_number().over(w) - 1).withColumn("__at", F.coalesce(F.lag("end_sample").over(w), F.lit(0)))
     rows = rows.withColumn("__hash", F.coalesce(F.lag(F.sha2("raw", 256)).over(w), F.lit("")))
+    needed = [order, "start_sample", "end_sample", "previous_hash", "language", "raw", *(c for c in ("segments", "n_segments") if c in chunks.columns)]
+    unreadable = F.exists(F.array(*(F.col(c).isNull() for c in needed)), lambda x: x)
     length = F.col("end_sample") - F.col("start_sample")
-    reason = F.when(F.col(order) != F.col("__n"), "index").when(F.col("start_sample") != F.col("__at"), "start").when((length <= 0) | (length > limit_samples), "length")
+    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(unreadable, "unreadable") if "reason" in chunks.columns else F.when(unreadable, "unreadable")
+    reason = reason.when(F.col(order) != F.col("__n"), "index").when(F.col("start_sample") != F.col("__at"), "start").when((length <= 0) | (length > limit_samples), "length")
     reason = reason.when(F.col("previous_hash") != F.col("__hash"), "hash")
-    if "n_segments" in chunks.columns:
-        reason = reason.when((F.col("n_segments") > 0) != (F.col("language") != ""), "language")
+    count = F.size("segments") if "segments" in chunks.columns else F.col("n_segments") if "n_segments" in chunks.columns else None
+    if count is not None:
+        reason = reason.when((count > 0) != (F.col("language") != ""), "language")
+    if "segments" in chunks.columns:
+        reason = reason.otherwise(_segment_reason("segments"))
     return rows.withColumn("reason", reason).drop("__n", "__at", "__hash")
 
 
-def recording_totals(chunks: DataFrame, key="rec", order="idx") -> DataFrame:
-    """(rec, chunks, samples, duration_s, last_hash) of the stored records."""
+def recording_totals(chunks: DataFrame, manifests: DataFrame | None = None, key="rec", order="idx") -> DataFrame:
+    """(rec, chunks, samples, duration_s, last_hash) of the stored records, and finished of manifests that have it."""
     totals = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.max("end_sample").alias("samples"), F.max_by(F.sha2("raw", 256), order).alias("last_hash"))
-    return totals.select(key, "chunks", "samples", (F.col("samples") / float(RATE)).alias("duration_s"), "last_hash")
+    totals = totals.select(key, "chunks", "samples", (F.col("samples") / float(RATE)).alias("duration_s"), "last_hash")
+    return totals if manifests is None else totals.join(manifests.select(key, "finished"), key, "left")
+
+
+def detected_languages(chunks: DataFrame, key="rec", order="idx") -> DataFrame:
+    """(rec, languages): the languages of the records in the order in which they first come."""
+    first = chunks.filter(F.col("language") != "").groupBy(key, "language").agg(F.min(order).alias("first"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "language"))), lambda x: x["language"]).alias("languages"))
 
 
 def valid_recordings(chunks: DataFrame, limit_samples: int, manifests: DataFrame, key="rec", order="idx") -> DataFrame:
-    """(rec, valid): every committed record is right and their totals are those of the manifest."""
+    """(rec, valid): every committed record is right and their totals, and languages if the manifests have them, are those of the manifest."""
     checked = verify_chain(chunks, limit_samples, manifests, key, order)
-    totals = recording_totals(checked, key, order).join(checked.groupBy(key).agg(F.bool_and(F.col("reason").isNull()).alias("records")), key)
-    m = manifests.select(key, F.col("chunks").alias("m_chunks"), F.col("samples").alias("m_samples"), F.col("last_hash").alias("m_hash"))
+    totals = recording_totals(checked, None, key, order).join(checked.groupBy(key).agg(F.bool_and(F.col("reason").isNull()).alias("records")), key)
+    m = manifests.select(key, F.col("chunks").alias("m_chunks"), F.col("samples").alias("m_samples"), F.col("last_hash").alias("m_hash"), *([F.col("languages").alias("m_languages")] if "languages" in manifests.columns else []))
     same = F.col("records") & (F.col("chunks") == F.col("m_chunks")) & (F.col("samples") == F.col("m_samples")) & (F.col("last_hash") == F.col("m_hash"))
     empty = (F.col("m_chunks") == 0) & (F.col("m_samples") == 0)
-    return m.join(totals, key, "left").select(key, F.coalesce(same, empty, F.lit(False)).alias("valid"))
+    joined = m.join(totals, key, "left")
+    if "languages" in manifests.columns:
+        none = F.array().cast("array<string>")
+        joined = joined.join(detected_languages(checked, key, order), key, "left")
+        same = same & (F.coalesce("languages", none) == F.coalesce("m_languages", none))
+    return joined.select(key, F.coalesce(same, empty, F.lit(False)).alias("valid"))
 
 
 def link_chain(chunks: DataFrame, key="rec", order="idx") -> DataFrame:

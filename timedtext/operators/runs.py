@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,10 +108,27 @@ def benchmark_ratio(measurements: DataFrame, a: str, b: str, by="device", key: l
     return out.select(*(key or []), F.col(a).alias("a_s"), F.col(b).alias("b_s"), (F.col(a) / F.col(b)).alias("ratio"))
 
 
+def json_leaves(text: str | None) -> list[tuple[str, str | None]] | None:
+    """(pointer, value) of what has no members in a JSON text, with ~ and / escaped in names; numbers as they are written. Null for text that is no JSON."""
+    try:
+        todo = [("", json.loads(text, parse_float=str, parse_int=str, parse_constant=str))] if text is not None else []
+    except (ValueError, RecursionError):
+        return None
+    out = []
+    while todo:
+        at, x = todo.pop()
+        if isinstance(x, (dict, list)) and x:
+            members = x.items() if isinstance(x, dict) else enumerate(x)
+            todo += [(f"{at}/{str(name).replace('~', '~0').replace('/', '~1')}", v) for name, v in members]
+        else:
+            out.append((at, x if x is None or isinstance(x, str) else json.dumps(x)))
+    return out
+
+
 def flatten_json(df: DataFrame, json: str, key: str) -> DataFrame:
-    """(key, pointer, value) of the members of a JSON object, by one level; objects within stay JSON text."""
-    rows = df.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("name", "value"))
-    return rows.select(key, F.concat(F.lit("/"), "name").alias("pointer"), "value")
+    """(key, pointer, value) of all that has no members in a JSON text, at any depth; null and what is no JSON have no rows."""
+    leaves = F.udf(json_leaves, "array<struct<pointer: string, value: string>>", useArrow=True)
+    return df.select(key, F.explode(leaves(json)).alias("x")).select(key, "x.pointer", "x.value")
 
 
 def duration_after_vad(duration: Column | str, vad: Column | str) -> Column:

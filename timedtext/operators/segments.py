@@ -28,19 +28,20 @@ def drop_blank(segments: DataFrame, text="text") -> DataFrame:
     return segments.filter(t.trim_text(text) != "")
 
 
-def invalid_reason(start="start_s", end="end_s", low: Column | float = 0.0, high: Column | float = float("inf"), probability: str | None = None) -> Column:
+def invalid_reason(start: Column | str = "start_s", end: Column | str = "end_s", low: Column | float = 0.0, high: Column | float = float("inf"), probability: Column | str | None = None) -> Column:
     """Why a segment is invalid; null if it is valid."""
     finite = lambda c: ~F.isnan(c) & (F.abs(c) != float("inf"))
-    numbers = [F.col(x) for x in (start, end, *([probability] if probability else []))]
+    numbers = [F.col(x) if isinstance(x, str) else x for x in (start, end, *([] if probability is None else [probability]))]
+    start, end = numbers[:2]
     all_finite = F.lit(True)
     for c in numbers:
         all_finite = all_finite & F.coalesce(finite(c), F.lit(False))
     low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
     return (
         F.when(~all_finite, "not finite")
-        .when(F.col(start) < low, "starts too early")
-        .when(F.col(end) < F.col(start), "ends before its start")
-        .when(F.col(end) > high, "ends too late")
+        .when(start < low, "starts too early")
+        .when(end < start, "ends before its start")
+        .when(end > high, "ends too late")
     )
 
 

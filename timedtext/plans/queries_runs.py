@@ -208,6 +208,12 @@ Q = {
         lambda v: runs.flatten_json(v.events, "props", "event_id"),
         "SELECT event_id, '/' || k AS pointer, props::JSON ->> k AS value FROM (SELECT event_id, props, unnest(json_keys(props::JSON)) AS k FROM events)",
     ),
+    "flatten_json_nested": (
+        lambda v: runs.flatten_json(v.events.select("event_id", F.concat(F.lit('{"a/b":{"~":'), "props", F.lit('},"c":[1.50,null,"'), "event_type", F.lit('"],"d":{}}')).alias("doc")), "doc", "event_id"),
+        """WITH x AS (SELECT event_id, event_type, props::JSON AS props FROM events)
+           SELECT event_id, '/a~1b/~0/' || k AS pointer, props ->> k AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM x)
+           UNION ALL SELECT event_id, '/c/0', '1.50' FROM x UNION ALL SELECT event_id, '/c/1', NULL FROM x UNION ALL SELECT event_id, '/c/2', event_type FROM x UNION ALL SELECT event_id, '/d', '{}' FROM x""",
+    ),
     "effective_duration_after_vad": (
         lambda v: v.docseg_v.select("doc_id", runs.duration_after_vad(F.col("end_s") - F.col("start_s"), F.col("doc_id") % 3 == 0).alias("duration")),
         "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN end_s - start_s END AS duration FROM docseg_v",

@@ -42,6 +42,17 @@ BREAKS = """
 _breaks = lambda view: BREAKS.format(normal=NORMAL, end=END.format("x"), view=view)
 _numbered = "(SELECT *, CAST(sum(b::INT) OVER (PARTITION BY rec ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS paragraph FROM st)"
 
+#: Recordings whose texts are blank, and what the others are written as: a row for each paragraph, cue or segment.
+BLANKED = "('src3', 'src7')"
+PUBLISHED = f"""
+  srt AS (SELECT rec, CAST(row_number() OVER ({W}) AS BIGINT) AS cue, {clock(MS.format('start_s'), ',')} AS a, {clock(MS.format('end_s'), ',')} AS b, {NORMAL} AS x FROM docseg_v),
+  rows AS (
+    SELECT rec, 'text' AS format, CASE WHEN paragraph > 0 THEN 2 ELSE 1 END AS lines, string_agg(x, ' ' ORDER BY k) AS x FROM {_numbered} GROUP BY rec, paragraph
+    UNION ALL SELECT rec, 'srt', 4, cue || a || ' --> ' || b || x FROM srt
+    UNION ALL SELECT rec, 'vtt', 4, cue || {clock('start_ms', '.')} || ' --> ' || {clock('end_ms', '.')} || text FROM ({VTT})
+    UNION ALL SELECT DISTINCT rec, 'vtt', 2, 'WEBVTT' FROM docseg_v
+    UNION ALL SELECT rec, 'json', 1, text FROM docseg_v)"""
+
 Q = {
     "vtt_cues": (
         lambda v: s.vtt_cues(v.docseg_v),
@@ -155,6 +166,12 @@ Q = {
                    sum(end_ms) AS ends FROM seg_v LEFT JOIN body USING (rec) GROUP BY rec""".replace("sum(end_ms)", "CAST(sum(end_ms) AS BIGINT)"),
     ),
     "publish_all": (
+        lambda v: _published(v),
+        f"""WITH {_breaks('docseg_v')}, {PUBLISHED} SELECT rec, format, count(*) AS parts, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(length(x)) AS BIGINT) AS chars
+            FROM rows WHERE rec NOT IN {BLANKED} GROUP BY rec, format
+            UNION ALL SELECT DISTINCT rec, 'failed', 0, 0, 0 FROM docseg_v WHERE rec IN {BLANKED}""",
+    ),
+    "render_counts": (
         lambda v: sinks.render_counts(v.seg_v)[0],
         f"WITH {_breaks('seg_v')} SELECT rec, CAST(sum(b::INT) + 1 AS BIGINT) AS paragraphs, any_value(c) AS cues FROM st JOIN (SELECT rec, count(*) AS c FROM seg_v GROUP BY rec) USING (rec) GROUP BY rec",
     ),
@@ -194,6 +211,21 @@ def _json(v):
     return docs.select("rec", F.size("d.segments").cast("long").alias("n"), "d.language", "d.duration", "d.duration_after_vad", "d.text", ends.alias("ends"))
 
 
+def _published(v):
+    """Every format of all recordings, published and read again; a time line tells a cue, and a line that is not empty a paragraph."""
+    segs = v.docseg_v.withColumn("text", F.when(F.expr(f"rec in {BLANKED}"), F.lit(" ")).otherwise(F.col("text")))
+    headers = segs.groupBy("rec").agg((F.max("end_ms").cast("double") / 1000).alias("duration")).select("rec", F.col("rec").alias("source"), F.lit("none").alias("model"), "duration", F.lit(False).alias("vad"), F.create_map(F.lit("vad"), F.lit("false")).alias("run"))
+    path = fresh_path(v.spark, "published")
+    failed = sinks.publish_all(segs, path, headers=headers, pause_ms=PAUSE_MS)
+    out = failed.select("rec", F.lit("failed").alias("format"), *(F.lit(0).cast("long").alias(c) for c in ("parts", "lines", "chars")))
+    for name, part in (("text", F.col("value") != ""), ("srt", F.col("value").contains(" --> ")), ("vtt", F.col("value").rlike("^(WEBVTT|[0-9:.]+ --> .*)$"))):
+        lines = v.spark.read.text(f"{path}/{name}")
+        counts = lines.groupBy("rec").agg(F.count_if(part).alias("parts"), F.count("*").alias("lines"), F.sum(F.char_length("value")).alias("chars"))
+        out = out.union(counts.select("rec", F.lit(name), "parts", "lines", "chars"))
+    back = tables.read_transcripts(v.spark, f"{path}/json")
+    return out.union(back.groupBy("source").agg(F.count("*").alias("parts"), F.sum(F.char_length("text")).alias("chars")).select("source", F.lit("json"), "parts", "parts", "chars"))
+
+
 def _transcripts(v):
     """Documents as JSON, written and read again."""
     segs = v.seg_v
@@ -213,11 +245,11 @@ def _journal(v):
 
 
 def _catalog(v):
-    """A catalog of artifacts for each source, one JSON array a file, written and read again."""
+    """Catalogs of at most a thousand artifacts for each source, a JSON array each, written and read again."""
     name = F.col("doc_id").cast("string")
     entry = F.struct(F.concat(F.lit("m"), name).alias("name"), F.concat(name, F.lit(".bin")).alias("file"), F.concat(F.lit("https://example.org/"), name).alias("url"), F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("bytes"))
     path = fresh_path(v.spark, "catalog")
-    v.documents.groupBy("source").agg(F.to_json(F.collect_list(entry)).alias("value")).write.partitionBy("source").text(path)
+    v.documents.groupBy("source", F.floor(F.col("doc_id") / 1000)).agg(F.to_json(F.collect_list(entry)).alias("value")).select("source", "value").write.partitionBy("source").text(path)
     return tables.read_catalog(v.spark, path).select("name", "file", "url", "sha256", "bytes")
 
 

@@ -20,13 +20,22 @@ TRANSCRIPT = (
 CATALOG = "name string, file string, url string, sha256 string, bytes long"
 
 
+def _parsed(raw: DataFrame, schema: str, limit: int = RECORD_BYTES) -> DataFrame:
+    """`raw` with the fields of its records and `reason`, too large or unreadable: such a record has null fields, and one that is too large no text."""
+    large = F.octet_length("raw") > limit
+    rows = raw.withColumn("reason", F.when(large, "too large")).withColumn("raw", F.when(~large, F.col("raw"))).withColumn("r", F.from_json("raw", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"}))
+    bad = F.coalesce(F.col("r.__bad").isNotNull(), F.lit(True))
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(bad, "unreadable"))).withColumn("r", F.when(~bad, F.col("r")))
+    return rows.select(*raw.columns, "reason", "r.*").drop("__bad")
+
+
 def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))
-    return raw.filter(F.octet_length("raw") <= RECORD_BYTES).withColumn("r", F.from_json("raw", schema)).select("file", "raw", "r.*")
+    return _parsed(raw.select("file", "raw"), schema)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(rec, file, raw, record fields) of the chunk records in a folder for each recording; `raw` keeps the bytes that the chain hashes."""
+    """(rec, file, raw, reason, record fields) of the chunk records in a folder for each recording; `raw` keeps the bytes that the chain hashes, and reason tells records that are refused."""
     rows = _records(spark, path, CHUNK).withColumn("rec", F.regexp_extract("file", r"([^/]+)/[^/]+\z", 1))
     return rows.filter(F.col("file").rlike(r"/chunk-\d+\.json\z"))
 
@@ -42,9 +51,8 @@ def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_appended(spark: SparkSession, path: str) -> DataFrame:
-    """(rec, raw, record fields) of a table of records that append_journal has written."""
-    rows = spark.read.parquet(path).select("rec", "raw").filter(F.octet_length("raw") <= RECORD_BYTES)
-    return rows.withColumn("r", F.from_json("raw", CHUNK)).select("rec", "raw", "r.*")
+    """(rec, raw, reason, record fields) of a table of records that append_journal has written."""
+    return _parsed(spark.read.parquet(path).select("rec", "raw"), CHUNK)
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
