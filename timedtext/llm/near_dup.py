@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", percent=PERCE
 
     wanted = tables.join(least.select("key"), "key", "left_semi").select("node").distinct()
     rows = shared.written(classes.join(wanted, "node", "left_semi").select("n1", "n2", "node", "first_id"), "wanted")
-    ids = rows.select("first_id").distinct()
+    ids = shared.written(rows.select("first_id").distinct(), "wanted-ids")
     some = texts.join(ids, texts["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
     sets = some.mapInArrow(_sets, "n1 long, n2 long, s array<long>").join(rows.select("n1", "n2", "node"), ["n1", "n2"])
     sets = shared.written(sets.groupBy("node").agg(F.first("s").alias("s")), "sets")
