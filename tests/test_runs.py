@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from timedtext.operators import audio, jobs, journal, runs
 from timedtext.plans.queries_audio import as_wav
 from timedtext.sources import media, sinks, tables
 from timedtext.streaming import operators as streams
+from timedtext.streaming.ordered import use_rocksdb
 
 
 def test_paths(spark):
@@ -49,6 +51,8 @@ def test_append_and_read_journal(spark, tmp_path):
     results = spark.createDataFrame([("r", 0, 0, 160_000, "en", [(0.0, 1.0, " a ", 0.1), (1.0, 2.0, " \n", 0.1), (5.0, 4.0, "bad", 0.1)]), ("r", 1, 160_000, 320_000, "en", [])], f"rec string, idx long, start_sample long, end_sample long, language string, segments {seg}")
     records, bad = sinks.append_rows(results)
     assert [r.reason for r in bad.collect()] == ["ends before its start"]
+    seen, watch = journal.observed(records.withColumn("start_sample", F.lit(0)).withColumn("end_sample", F.lit(16_000)))
+    assert seen.count() == 2 and watch.get["chunks"] == 2 and watch.get["samples"] == 32_000
     (tmp_path / "r").mkdir()
     for r in records.collect():
         (tmp_path / "r" / f"chunk-{r.idx}.json").write_text(r.raw)
@@ -58,6 +62,37 @@ def test_append_and_read_journal(spark, tmp_path):
     assert [(r["index"], r.language, [s.text for s in r.segments]) for r in got] == [(0, "en", ["a"]), (1, "", [])]
     assert [x.reason for x in journal.verify_chain(chunks.withColumnRenamed("index", "idx"), 160_000).orderBy("idx").collect()] == [None, None]
     assert manifests.first().samples == 320_000
+    (tmp_path / "r" / "chunk-2.json").write_text('{"index": 2, "start')
+    (tmp_path / "r" / "chunk-3.json").write_text("no record")
+    checked = journal.verify_chain(tables.read_journal(spark, str(tmp_path))[1].withColumnRenamed("index", "idx"), 160_000)
+    assert sorted((r.idx is None, r.reason or "") for r in checked.collect()) == [(False, ""), (False, ""), (True, "unreadable"), (True, "unreadable")]
+    large = tables._parsed(spark.createDataFrame([('{"index": 5}',), ('{"index":5}',), (None,)], "raw string"), tables.CHUNK, limit=11)
+    assert sorted((r.reason or "", r.raw or "", r["index"] or 0) for r in large.collect()) == [("", '{"index":5}', 5), ("too large", "", 0), ("unreadable", "", 0)]
+
+
+def test_whole_records_are_checked(spark):
+    kind = "rec string, idx long, start_sample long, end_sample long, previous_hash string, language string, raw string, segments array<struct<start: double, `end`: double, text: string, no_speech_prob: double>>"
+    good = ("r", 0, 0, 16_000, "", "en", "{}", [(0.0, 0.5, "x", 0.1), (0.5, 1.0, "y", 0.1)])
+    reason = lambda **c: journal.verify_chain(spark.createDataFrame([tuple(c.get(n, v) for n, v in zip(kind_names, good, strict=True))], kind), 16_000).first().reason
+    kind_names = ("rec", "idx", "start_sample", "end_sample", "previous_hash", "language", "raw", "segments")
+    assert reason() is None and reason(segments=[], language="") is None
+    for name in kind_names[1:]:
+        assert reason(**{name: None}) == "unreadable"
+    assert reason(language="") == "language" and reason(segments=[]) == "language" and reason(previous_hash="x") == "hash"
+    assert reason(segments=[good[7][0], (0.5, 1.5, "y", 0.1)]) == "ends too late" and reason(segments=[(-0.1, 0.5, "x", 0.1)]) == "starts too early"
+    assert reason(segments=[(0.5, 0.4, "x", 0.1)]) == "ends before its start" and reason(segments=[(float("nan"), 1.0, "x", 0.1)]) == "not finite"
+    assert reason(segments=[(0.0, 1.0, "", 0.1)]) == "text" and reason(segments=[(0.0, 1.0, None, 0.1)]) == "text"
+    chunks = spark.createDataFrame([good], kind)
+    for languages, valid in ((["en"], True), (["ru"], False), ([], False)):
+        m = spark.createDataFrame([("r", 1, 16_000, hashlib.sha256(b"{}").hexdigest(), languages, True)], "rec string, chunks long, samples long, last_hash string, languages array<string>, finished boolean")
+        assert journal.valid_recordings(chunks, 16_000, m).first().valid is valid
+    assert journal.recording_totals(chunks, m).first().finished is True
+
+
+def test_json_leaves():
+    assert sorted(runs.json_leaves('{"a": {"b/c": [1, {"~": null}], "d": {}}, "e": true, "f": "x"}'), key=str) == sorted([("/a/b~1c/0", "1"), ("/a/b~1c/1/~0", None), ("/a/d", "{}"), ("/e", "true"), ("/f", "x")], key=str)
+    assert runs.json_leaves("{") is None and runs.json_leaves(None) == [] and runs.json_leaves("3") == [("", "3")]
+    assert runs.json_leaves('{"a":' * 300 + "1.50" + "}" * 300) == [("/a" * 300, "1.50")]
 
 
 def test_settings(spark):
@@ -99,6 +134,16 @@ def test_resampling_keeps_a_tone(spark):
     assert len(got) == 16_000 and np.sum((got - want)[:-5] ** 2) / np.sum(want**2) < 0.005
 
 
+@pytest.mark.parametrize("rate", [44_100, 48_000])
+def test_resampling_takes_out_what_lies_above(spark, rate):
+    t = np.arange(rate) / rate
+    low, high = np.sin(2 * np.pi * 3000 * t), np.sin(2 * np.pi * 11_000 * t)
+    rows = spark.createDataFrame([("r", i, (low + high)[a : a + 5000].tolist(), rate, 1) for i, a in enumerate(range(0, rate, 5000))], "rec string, seq long, samples array<double>, rate int, channels int")
+    got = np.concatenate([r.samples for r in audio.downmix_resample(rows).orderBy("start_sample").collect()])
+    want = np.sin(2 * np.pi * 3000 * np.arange(16_000) / 16_000)
+    assert len(got) == 16_000 and np.sum((got - want)[100:-100] ** 2) / np.sum(want**2) < 0.005
+
+
 def test_format_change_keeps_samples(spark):
     rows = spark.createDataFrame([("r", 0, [0.5] * 4800, 48_000, 1), ("r", 1, [0.25] * 1600, 16_000, 1)], "rec string, seq long, samples array<double>, rate int, channels int")
     got = np.concatenate([r.samples for r in audio.downmix_resample(rows).orderBy("start_sample").collect()])
@@ -113,6 +158,32 @@ def test_publish_batch_is_idempotent(spark, tmp_path):
     changed = df.withColumn("content", F.concat("content", F.lit("!")))
     assert streams.publish_batch(changed.filter("format = 'srt'"), sink).count() == 1
     assert spark.read.parquet(sink).count() == 2
+    assert streams.publish_batch(changed.filter("format = 'srt'"), sink).count() == 1
+    # several contents of one key in a batch: one is published, also for a null key
+    many = spark.createDataFrame([("s", None, x) for x in ("a", "b", "a", "c")] + [("t", "srt", "z")] * 2, "rec string, format string, content string")
+    for _ in range(2):
+        assert streams.publish_batch(many, sink).groupBy("rec").count().orderBy("rec").collect() == [("r", 1), ("s", 2)]
+        assert spark.read.parquet(sink).groupBy("rec").count().orderBy("rec").collect() == [("r", 2), ("s", 1), ("t", 1)]
+
+
+def test_idle_state_expires_and_repeats_are_skipped(spark, tmp_path):
+    use_rocksdb(spark)
+    schema = "rec long, seq long, pts long, n_samples long, delay long, tolerance long, transport boolean"
+    frame = lambda rec, seq: (rec, seq, None, 10, 0, 1, False)
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([frame(1, 1), frame(1, 3), frame(1, 3), frame(1, 1), frame(1, 4), frame(2, None)])
+    out = streams.stream_align_timeline(streams.stream_table(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), idle=2.0)
+    query = out.writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
+    got = lambda: [(r.seq, r.start) for r in spark.table("idle").collect()]
+    try:
+        for _ in range(120):
+            if len(got()) == 3:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    # what was held for the sake of frame 2 is placed when the recording is given up
+    assert got() == [(1, 0), (3, 10), (4, 20)]
 
 
 def test_resume_refuses_other_settings(spark, tmp_path):

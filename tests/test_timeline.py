@@ -34,7 +34,7 @@ def test_jitter_and_gaps():
 def test_frames_without_samples_and_out_of_range():
     assert place([(0, 1000), (50_000, 0), (1000, 10)]) == [(0, False, False), (50_000, True, False), (1000, False, False)]
     # what has no samples does not begin the timeline, but its timestamp is the first
-    assert place([(500, 0), (700, 10), (710, 5)]) == [(500, True, False), (0, True, False), (10, False, False)]
+    assert place([(500, 0), (700, 10), (710, 5)]) == [(500, True, False), (0, False, False), (10, False, False)]
     assert place([(0, 1000), (2**62, 10), (1000, 10)]) == [(0, False, False), (None, None, None), (1000, False, False)]
     assert place([(0, None), (0, 10)])[1] == (0, False, False)
     with pytest.raises(ValueError, match="out of range"):
@@ -126,6 +126,18 @@ def test_safe_cut(spark, seconds, segments, preferred, guard, want):
     assert recognize.boundary(seconds * 16_000, preferred * 16_000, [(a, b, "", 0.0) for a, b in segments], guard * 16_000) == want * 16_000
 
 
+@pytest.mark.parametrize("times", [(float("nan"), 1.0), (0.0, float("inf")), (-0.1, 1.0), (1.0, 0.5), (0.0, 4.1)])
+def test_times_outside_the_window_are_refused(times):
+    with pytest.raises(ValueError):
+        recognize.boundary(64_000, 64_000, [(*times, "x", 0.0)], 0)
+    w = recognize.Windows(64_000, 0, lambda x: ("en", [(*times, "x", 0.0)]), len)
+    with pytest.raises(ValueError):
+        list(w.push(np.ones(64_000, np.float32)))
+    w = recognize.Windows(80_000, 0, lambda x: ("en", [(*times, "x", 0.0)]), len)
+    with pytest.raises(ValueError):
+        list(w.push(np.ones(64_000, np.float32))) + list(w.finish())
+
+
 def fake(samples):
     step = 4
     return "en", [(i / 16_000, min(i + step, len(samples)) / 16_000, f"s{i}", 0.0) for i in range(0, len(samples), step)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from timedtext.functions.text import RATE
+from timedtext.operators.fold import values
 
 BLOCK = 65_536
+#: Zero crossings of the resampler's sinc on either side, the share of the band that passes, and samples made at once.
+ZEROS, PASS, PART = 32, 0.94, 4096
 
 
 def digital_silence(samples: Column | str) -> Column:
@@ -52,34 +57,61 @@ def pcm_blocks(pcm: DataFrame, block=BLOCK, key="rec", order="i", sample="x") ->
 
 
 class Resampler:
-    """Mono at 16 kHz from blocks of one format, by linear interpolation over an averaged signal; the tail is carried."""
+    """Mono at 16 kHz from blocks of one format.
+
+    A sample is a weighted mean of the TAPS input samples around its place, by a
+    windowed sinc whose pass band ends at the lower of both rates' halves, so that
+    what lies above does not fold into speech. Beyond its ends, the input goes on
+    with its first and last sample. Only a tail of the input is carried.
+    """
 
     def __init__(self, rate: int, channels: int) -> None:
+        if rate <= 0 or channels <= 0:
+            raise ValueError("no such format")
         self.rate, self.channels = rate, channels
+        common = math.gcd(rate, RATE)
+        self.up, self.down = RATE // common, rate // common
+        self.half = math.ceil(ZEROS * max(1.0, rate / RATE))
         self.held, self.at, self.made = np.zeros(0), 0, 0  # the input from index `at` on, and the number of samples made
+        self.weights = _sinc_weights(rate, self.up, self.half)
 
     def push(self, samples: np.ndarray) -> np.ndarray:
         x = np.asarray(samples, np.float64).reshape(-1, self.channels)
         # two channels keep their power: their sum times sqrt(1/2)
         mono = x.sum(axis=1) * (np.sqrt(0.5) if self.channels == 2 else 1 / self.channels)
         self.held = np.concatenate([self.held, mono])
-        return self._make(self.at + len(self.held) - 1)
+        # a sample needs `half` of the input behind its place
+        return self._make(max(0, -(-(self.at + len(self.held) - self.half) * self.up // self.down)))
 
     def drain(self) -> np.ndarray:
         """What is left, as at the end of the input or of a format."""
-        n = self.at + len(self.held)
-        return self._make(n - 1, whole=-(-n * RATE // self.rate))
-
-    def _make(self, last: int, whole: int | None = None) -> np.ndarray:
-        # sample k lies at k * rate / 16000 of the input
-        upto = max(last * RATE // self.rate + 1 if len(self.held) else 0, 0) if whole is None else whole
-        k = np.arange(self.made, max(upto, self.made))
-        out = np.interp(k * self.rate / RATE - self.at, np.arange(len(self.held)), self.held) if len(k) and len(self.held) else np.zeros(0)
-        self.made += len(k)
-        done = min(int(self.made * self.rate / RATE) - self.at - 1, len(self.held) - 1)
+        return self._make(-(-(self.at + len(self.held)) * self.up // self.down))
+
+    def _make(self, upto: int) -> np.ndarray:
+        parts = [self._part(k, min(k + PART, upto)) for k in range(self.made, upto, PART)] if len(self.held) else []
+        self.made = max(self.made, upto) if len(self.held) else self.made
+        done = min(self.made * self.down // self.up - self.half - self.at, len(self.held) - 1)
         if done > 0:
             self.held, self.at = self.held[done:], self.at + done
-        return out.astype(np.float32)
+        return np.concatenate([np.zeros(0, np.float32), *parts])
+
+    def _part(self, first: int, last: int) -> np.ndarray:
+        """The samples of numbers first to last: number k lies at k * down / up of the input."""
+        k = np.arange(first, last)
+        if self.up == self.down:
+            return self.held[k - self.at].astype(np.float32)
+        around = np.arange(1 - self.half, self.half + 1)
+        places = np.clip((k * self.down // self.up)[:, None] + around - self.at, 0, len(self.held) - 1)
+        return np.einsum("ij,ij->i", self.held[places], self.weights[k * self.down % self.up]).astype(np.float32)
+
+
+@functools.lru_cache(maxsize=8)
+def _sinc_weights(rate: int, up: int, half: int) -> np.ndarray:
+    """A row for each of `up` places between two input samples: the weights of the samples around, which sum to 1."""
+    away = np.arange(1 - half, half + 1) - np.arange(up)[:, None] / up
+    band = PASS * min(1.0, RATE / rate)
+    w = np.sinc(away * band) * np.i0(9 * np.sqrt(np.clip(1 - (away / half) ** 2, 0, None)))
+    return w / w.sum(axis=1, keepdims=True)
 
 
 def downmix_resample(pcm: DataFrame, key="rec", order="seq", block=BLOCK) -> DataFrame:
@@ -92,7 +124,7 @@ def downmix_resample(pcm: DataFrame, key="rec", order="seq", block=BLOCK) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, made, current = None, 0, None
         for batch in batches:
-            for rec, samples, rate, channels in zip(*(batch.column(c).to_pylist() for c in (key, "samples", "rate", "channels")), strict=True):
+            for rec, samples, rate, channels in zip(*(values(batch.column(c)) for c in (key, "samples", "rate", "channels")), strict=True):
                 if current is not None and (rec != last or (rate, channels) != (current.rate, current.channels)):
                     tail = current.drain()
                     if len(tail):
@@ -101,7 +133,7 @@ def downmix_resample(pcm: DataFrame, key="rec", order="seq", block=BLOCK) -> Dat
                     current = None
                 current = current or Resampler(rate, channels)
                 last = rec
-                x = current.push(np.array(samples))
+                x = current.push(samples)
                 for i in range(0, len(x), block):
                     yield out(rec, made + i, x[i : i + block])
                 made += len(x)

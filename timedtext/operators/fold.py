@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,11 +20,19 @@ Step = Callable[[State, tuple], tuple[State, Iterable[tuple]]]
 ROWS = 4096
 
 
+def values(column: pa.Array) -> list:
+    """A column's values; lists of numbers are views of the batch, not Python lists."""
+    kind = column.type
+    if not (pa.types.is_list(kind) and (pa.types.is_integer(kind.value_type) or pa.types.is_floating(kind.value_type))) or column.flatten().null_count:
+        return column.to_pylist()
+    return [np.asarray(x.values) if x.is_valid else None for x in column]
+
+
 def fold(df: DataFrame, key: str, order: list[str], init: Callable[[], State], step: Step, schema: StructType, finish: Callable[[State], Iterable[tuple]] | None = None) -> DataFrame:
     """Rows that `step` returns for each row, and `finish` for each key's last state.
 
     step takes (state, row), the row as a tuple in the order of df's columns, and
-    returns (state, rows of `schema`).
+    returns (state, rows of `schema`). Lists of numbers are numpy arrays.
     """
     place = df.columns.index(key)
 
@@ -40,7 +49,7 @@ def fold(df: DataFrame, key: str, order: list[str], init: Callable[[], State], s
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for row in zip(*map(values, part.columns), strict=True):
                     if not begun or row[place] != last:
                         if begun and finish:
                             out.extend(finish(state))

@@ -27,20 +27,30 @@ MAX_WINDOW = 600 * RATE
 SEGMENTS = "array<struct<start_s double, end_s double, text string, no_speech_prob double>>"
 
 
+def checked_times(segments: list[Segment], samples: int) -> np.ndarray:
+    """Starts and ends as rows; an error where a recognizer's times are not finite, reversed or outside its window."""
+    times = np.array([(s, e) for s, e, *_ in segments], np.float64).reshape(-1, 2)
+    if not (np.isfinite(times).all() and (times[:, 0] >= 0).all() and (times[:, 0] <= times[:, 1]).all() and (times[:, 1] <= samples / RATE).all()):
+        raise ValueError("a recognizer's segment is not within its window")
+    return times
+
+
+def safe_ends(times: np.ndarray, samples: int, above: int, upto: int) -> np.ndarray:
+    """The sample places, above one and up to another, where a segment has ended and all that come later in the list are still to begin."""
+    if not len(times):
+        return np.zeros(0, np.int64)
+    whole = samples / RATE
+    places = np.ceil(np.maximum.accumulate(times[:, 1]) * RATE)
+    begins = np.append(np.minimum.accumulate(times[:0:-1, 0])[::-1], whole)
+    return places[(places > above) & (places <= upto) & (np.minimum(begins, whole) >= places / RATE)].astype(np.int64)
+
+
 def boundary(samples: int, preferred: int, segments: list[Segment], guard: int) -> int:
-    """The last safe end of a segment within the window, or all of the window."""
+    """Where a window is cut: the last safe end up to `preferred` and `guard` samples before the window's end, or all of the window."""
     if not 0 < preferred <= samples:
-        raise ValueError("invalid preferred boundary")
-    target = min(preferred, max(0, samples - guard))
-    best, reached = 0, 0.0
-    starts = [s[0] for s in segments]
-    later = [*np.minimum.accumulate(starts[::-1])[::-1].tolist()[1:], samples / RATE] if segments else []
-    for (_, end, *_), following in zip(segments, later, strict=True):
-        reached = max(reached, end)
-        at = int(np.ceil(reached * RATE))
-        if 0 < at <= target and min(following, samples / RATE) >= at / RATE:
-            best = at
-    return best or samples
+        raise ValueError("no such boundary")
+    ends = safe_ends(checked_times(segments, samples), samples, 0, min(preferred, max(samples - guard, 0)))
+    return int(ends[-1]) if len(ends) else samples
 
 
 class Windows:
@@ -71,6 +81,7 @@ class Windows:
         if not silent:
             self.recognized += len(window)
             language, segments = self.recognize(window)
+            checked_times(segments, len(window))
             if not last:
                 count = boundary(len(window), self.choose_cut(window), segments, self.guard) if segments else len(window)
         whole = not last and count == len(window) and bool(segments)
@@ -143,29 +154,31 @@ def recognize_overlapping(blocks: DataFrame, recognize: Recognize, size: int, ov
     windows = overlapping_windows(blocks, size, overlap, key)
     kind = dict(blocks.dtypes)[key]
 
+    hop, names = size - overlap, ("start_s", "end_s", "text", "no_speech_prob")
+    shape = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("text", pa.string()), ("no_speech_prob", pa.float64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("start_s", "end_s", "text", "no_speech_prob")
         for b in batches:
+            lists, found = b.column("samples"), []
             for i in range(b.num_rows):
-                samples = np.asarray(b.column("samples")[i].values, np.float32)
-                language, segments = recognize(samples) if len(samples) and (samples != 0).any() else ("", [])
+                samples = np.asarray(lists[i].values, np.float32)
+                language, segments = recognize(samples) if (samples != 0).any() else ("", [])
+                # the samples of a window's own end are those of its last safe end in the overlap
+                ends = safe_ends(checked_times(segments, len(samples)), len(samples), hop, size)
                 kept = [dict(zip(names, (s, e, t.strip(" \n\r\t"), p), strict=True)) for s, e, t, p in segments if t.strip(" \n\r\t")]
-                shape = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("text", pa.string()), ("no_speech_prob", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([b.column(key)[i : i + 1], b.column("win")[i : i + 1], pa.array([len(samples)], pa.int64()), pa.array([language]), pa.array([kept], shape)], [key, "win", "n", "language", "segments"])
-
-    found = windows.select(key, "win", "samples").mapInArrow(run, f"`{key}` {kind}, win long, n long, language string, segments {SEGMENTS}")
-    hop, by = size - overlap, W.partitionBy(key).orderBy("win")
-    found = found.withColumn("final", F.lead("win").over(by).isNull())
-    rows = found.select(key, "win", "n", "final", "language", F.posexplode_outer("segments").alias("pos", "s")).select(key, "win", "n", "final", "language", "pos", "s.*")
-    w = W.partitionBy(key, "win").orderBy("pos")
-    rows = rows.withColumn("upto", F.max("end_s").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("next", F.min("start_s").over(w.rowsBetween(1, W.unboundedFollowing)))
-    at = F.ceil(F.col("upto") * RATE)
-    safe = (at > hop) & (at <= size) & (F.coalesce("next", F.col("n") / float(RATE)) >= at / float(RATE))
-    cuts = rows.groupBy(key, "win", "n", "final").agg(F.max_by(at, F.when(safe, F.col("pos"))).alias("cut"))
-    inside = F.when(F.col("final"), F.col("n")).otherwise(F.coalesce("cut", F.lit(hop)))
-    cuts = cuts.select(key, "win", (F.col("win") * hop + inside).alias("to")).withColumn("from", F.coalesce(F.lag("to").over(by), F.lit(0)))
+                found.append((len(samples), int(ends[-1]) if len(ends) else hop, language, kept))
+            kinds = (pa.int64(), pa.int64(), pa.string(), shape)
+            columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [()] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("win"), *columns], [key, "win", "n", "cut", "language", "segments"])
+
+    found = windows.select(key, "win", "samples").mapInArrow(run, f"`{key}` {kind}, win long, n long, cut long, language string, segments {SEGMENTS}")
+    by = W.partitionBy(key).orderBy("win")
+    inside = F.when(F.lead("win").over(by).isNull(), F.col("n")).otherwise(F.col("cut"))
+    ends = found.withColumn("to", F.col("win") * hop + inside)
+    ends = ends.withColumn("from", F.coalesce(F.lag("to").over(by), F.lit(0)))
+    rows = ends.select(key, "win", "from", "to", "language", F.posexplode("segments").alias("pos", "s")).select(key, "win", "from", "to", "language", "pos", "s.*")
     base = F.col("win") * hop / float(RATE)
-    kept = rows.filter("pos is not null").join(cuts, [key, "win"]).withColumn("start_s", F.col("start_s") + base).withColumn("end_s", F.col("end_s") + base)
+    kept = rows.withColumn("start_s", F.col("start_s") + base).withColumn("end_s", F.col("end_s") + base)
     kept = kept.filter((F.col("end_s") <= F.col("to") / float(RATE)) & (F.col("start_s") >= F.col("from") / float(RATE)))
     seq = (F.row_number().over(W.partitionBy(key).orderBy("win", "pos")) - 1).cast("long")
     return kept.select(key, seq.alias("seq"), "win", "start_s", "end_s", "text", "no_speech_prob", "language")

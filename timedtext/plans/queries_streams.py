@@ -15,13 +15,15 @@ from timedtext.streaming.ordered import use_rocksdb
 EPOCH = "timestamp_millis({0})"
 
 
-def through(v, df, make, files=4, per_trigger=2):
-    """`df` as a stream of files through make, and what comes out as a table."""
+def through(v, df, make, files=4, per_trigger=2, closing=None):
+    """`df` as a stream of files through make, and what comes out as a table. `closing` comes after all that, in a run of its own."""
     source, sink, checkpoint = (fresh_path(v.spark, x) for x in ("stream-in", "stream-out", "stream-state"))
-    (df.repartition(files) if files else df).write.parquet(source)
     use_rocksdb(v.spark)
-    out = make(st.stream_table(v.spark, source, df.schema, per_trigger))
-    st.run_available(out, sink, checkpoint)
+    for part, n in ((df, files), (closing, 1)):
+        if part is not None:
+            (part.repartition(n) if n else part).write.mode("append").parquet(source)
+            out = make(st.stream_table(v.spark, source, df.schema, per_trigger))
+            st.run_available(out, sink, checkpoint)
     return v.spark.read.schema(out.schema).parquet(sink)
 
 
@@ -29,14 +31,14 @@ def paragraphs(v):
     """Sessions by recording and language of one-language input; the watermark is closed by a row far ahead."""
     rows = v.seg_v.select("rec", F.timestamp_millis("start_ms").alias("ts"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), F.lit("xx").alias("language"))
     ahead = v.seg_v.groupBy().agg((F.max("end_ms") + 86_400_000 * 30).alias("ms")).select(F.lit(-1).cast("long").alias("rec"), F.timestamp_millis("ms").alias("ts"), F.lit(0).cast("long").alias("duration_ms"), F.lit("xx").alias("language"))
-    done = through(v, rows.unionByName(ahead), lambda s: st.stream_paragraphs(s, qs.PAUSE_MS), files=1)
+    done = through(v, rows, lambda s: st.stream_paragraphs(s, qs.PAUSE_MS), per_trigger=1000, closing=ahead)
     return done.filter("rec >= 0").select("rec", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")
 
 
 def grid(v):
     rows = v.seg_v.select("rec", F.timestamp_millis("start_ms").alias("ts"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
     ahead = v.seg_v.groupBy().agg((F.max("end_ms") + 86_400_000 * 30).alias("ms")).select(F.lit(-1).cast("long").alias("rec"), F.timestamp_millis("ms").alias("ts"), F.lit(0).cast("long").alias("duration_ms"))
-    done = through(v, rows.unionByName(ahead), lambda s: st.stream_grid_totals(s, 30), files=1)
+    done = through(v, rows, lambda s: st.stream_grid_totals(s, 30), per_trigger=1000, closing=ahead)
     return done.filter("rec >= 0").select("rec", F.unix_millis("start").alias("start_ms"), "n", "speech_ms")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from timedtext.operators.audio import BLOCK, Resampler
 
-#: Bytes to (rate, channels, interleaved samples).
-Decode = Callable[[bytes], tuple[int, int, np.ndarray]]
+#: Bytes to (rate, channels, interleaved samples, of which slices are taken).
+Decode = Callable[[bytes], tuple[int, int, Sequence]]
 
 
 def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -21,7 +21,30 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "modificationTime", "length")
 
 
-def decode_wav(raw: bytes) -> tuple[int, int, np.ndarray]:
+class WavSamples:
+    """The samples of a WAV file's data as floats; a slice is converted when it is taken."""
+
+    def __init__(self, data: memoryview, kind: int, bits: int) -> None:
+        self.data, self.kind, self.bits = data, kind, bits
+
+    def __len__(self) -> int:
+        return len(self.data) // (self.bits // 8)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        first, last, _ = part.indices(len(self))
+        data = self.data[first * self.bits // 8 : last * self.bits // 8]
+        if self.kind == 3:
+            return np.frombuffer(data, f"<f{self.bits // 8}").astype(np.float32)
+        if self.bits == 8:
+            return (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
+        if self.bits == 24:
+            wide = np.zeros((len(data) // 3, 4), np.uint8)
+            wide[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+            return (wide.view("<i4")[:, 0] / 2.0**31).astype(np.float32)
+        return (np.frombuffer(data, f"<i{self.bits // 8}") / 2.0 ** (self.bits - 1)).astype(np.float32)
+
+
+def decode_wav(raw: bytes) -> tuple[int, int, WavSamples]:
     """RIFF files with PCM of 8, 16, 24 or 32 bits, or floats of 32 or 64."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
@@ -36,22 +59,10 @@ def decode_wav(raw: bytes) -> tuple[int, int, np.ndarray]:
             if kind == 0xFFFE:
                 kind = int.from_bytes(raw[body + 24 : body + 26], "little")
         elif name == b"data":
-            if kind is None:
+            if not channels or (kind, bits) not in ((1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)):
                 break
-            data = raw[body : body + size]
-            width = bits // 8
-            data = data[: len(data) // (width * channels) * width * channels]
-            if kind == 3:
-                return rate, channels, np.frombuffer(data, "<f4" if bits == 32 else "<f8").astype(np.float32)
-            if kind == 1 and bits == 8:
-                return rate, channels, (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
-            if kind == 1 and bits == 24:
-                wide = np.zeros((len(data) // 3, 4), np.uint8)
-                wide[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-                return rate, channels, (wide.view("<i4")[:, 0] / 2.0**31).astype(np.float32)
-            if kind == 1 and bits in (16, 32):
-                return rate, channels, (np.frombuffer(data, f"<i{width}") / 2.0 ** (bits - 1)).astype(np.float32)
-            break
+            size = min(size, len(raw) - body)
+            return rate, channels, WavSamples(memoryview(raw)[body : body + size - size % (bits // 8 * channels)], kind, bits)
         at = body + size + size % 2
     raise ValueError("a WAV file without samples that can be read")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
@@ -13,6 +16,9 @@ from timedtext.operators import recognize as rec_ops
 from timedtext.operators import runs, timeline
 from timedtext.streaming.ordered import ordered_fold
 
+#: Parts of a published table.
+BUCKETS = 256
+
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType | str, per_trigger: int = 1, format: str = "parquet") -> DataFrame:
     """A folder of files as a stream of at most `per_trigger` files at a time."""
@@ -25,19 +31,19 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode="append")
     query.awaitTermination()
 
 
-def stream_align_timeline(frames: DataFrame, gaps="auto", key="rec") -> DataFrame:
+def stream_align_timeline(frames: DataFrame, gaps="auto", key="rec", idle: float | None = None) -> DataFrame:
     """align_timeline with its state by recording. frames have seq from 1 on; late ones are placed in their turn and never dropped."""
     columns = [key, "seq", "pts", "n_samples", "delay", "tolerance", "transport"]
 
     def step(state, row):
         rec, seq, pts, n, delay, tolerance, transport = row
-        state, placed = timeline.place_frame(state, None if pts is None else int(pts), int(n), int(delay), int(tolerance), bool(transport), gaps)
-        return state, [(rec, int(seq), *placed, int(n))]
+        state, placed = timeline.place_frame(state, *(None if x is None else int(x) for x in (pts, n, delay, tolerance)), transport, gaps)
+        return state, [(rec, int(seq), *placed, n)]
 
-    return ordered_fold(frames.select(columns), key, columns, "seq", 1, lambda r: int(r[1]) + 1, lambda: None, step, timeline.aligned_type(frames, key))
+    return ordered_fold(frames.select(columns), key, columns, "seq", 1, lambda r: int(r[1]) + 1, lambda: None, step, timeline.aligned_type(frames, key), idle)
 
 
-def stream_budget(events: DataFrame, strict=False, limit_s=30, key="rec") -> DataFrame:
+def stream_budget(events: DataFrame, strict=False, limit_s=30, key="rec", idle: float | None = None) -> DataFrame:
     """decode_budget with its state by recording: one row when a recording first fails. events: seq from 0 on, kind, seconds, recoverable."""
     columns = [key, "seq", "kind", "seconds", "recoverable"]
 
@@ -61,10 +67,10 @@ def stream_budget(events: DataFrame, strict=False, limit_s=30, key="rec") -> Dat
 
     schema = T.StructType([events.schema[key], T.StructField("seq", T.LongType()), T.StructField("reason", T.StringType())])
     rows = events.withColumn("recoverable", timeline.classify_code("code") == "recoverable").select(columns)
-    return ordered_fold(rows, key, columns, "seq", 0, lambda r: int(r[1]) + 1, lambda: (0.0, False, 0, False), step, schema)
+    return ordered_fold(rows, key, columns, "seq", 0, lambda r: int(r[1]) + 1, lambda: (0.0, False, 0, False), step, schema, idle)
 
 
-def stream_windows(blocks: DataFrame, recognize: rec_ops.Recognize, choose_cut: rec_ops.ChooseCut, limit: int, guard: int, key="rec") -> DataFrame:
+def stream_windows(blocks: DataFrame, recognize: rec_ops.Recognize, choose_cut: rec_ops.ChooseCut, limit: int, guard: int, key="rec", idle: float | None = None) -> DataFrame:
     """recognize_windows with the tail of each recording in state. A block without samples marks the recording's end."""
     columns = [key, "start_sample", "samples"]
 
@@ -80,7 +86,7 @@ def stream_windows(blocks: DataFrame, recognize: rec_ops.Recognize, choose_cut:
     def after(row) -> int:
         return int(row[1]) + (len(row[2]) if row[2] is not None else 0)
 
-    return ordered_fold(blocks.select(columns), key, columns, "start_sample", 0, after, lambda: None, step, rec_ops.committed_type(blocks.schema[key]))
+    return ordered_fold(blocks.select(columns), key, columns, "start_sample", 0, after, lambda: None, step, rec_ops.committed_type(blocks.schema[key]), idle)
 
 
 def stream_paragraphs(segments: DataFrame, pause_ms: int, key="rec", delay="1 hour") -> DataFrame:
@@ -101,23 +107,40 @@ def stream_grid_totals(segments: DataFrame, seconds=120, key="rec", delay="1 hou
     return rows.agg(F.count("*").alias("n"), F.sum("duration_ms").alias("speech_ms")).select(key, F.col("w.start").alias("start"), "n", "speech_ms")
 
 
+def _known(spark: SparkSession, path: str, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """What the table at `path` has in the buckets of `rows`, of which there are at most BUCKETS."""
+    buckets = [r[0] for r in rows.select("bucket").distinct().collect()]
+    try:
+        return spark.read.parquet(path).filter(F.col("bucket").isin(buckets)).select(*columns)
+    except AnalysisException:  # the first batch
+        return rows.limit(0).select(*columns)
+
+
 def publish_batch(results: DataFrame, sink: str, key=("rec", "format")) -> DataFrame:
     """Publishes the results (key, content) that the sink does not have and returns those that differ from what it has, which are quarantined.
 
-    A repeat of what is there changes nothing.
+    A repeat of what is there changes nothing, in the quarantine neither. Of several
+    contents of one key in a batch, the one of least hash is published, the others
+    differ from it. Both tables are kept by buckets of the key, and a batch reads keys
+    and hashes of its own buckets only.
     """
     spark = results.sparkSession
-    rows = results.withColumn("hash", F.sha2("content", 256))
-    try:
-        there = spark.read.parquet(sink).select(*key, F.col("hash").alias("was"))
-    except AnalysisException:  # the first batch
-        there = rows.limit(0).select(*key, F.col("hash").alias("was"))
-    joined = rows.join(there, list(key), "left").persist()
-    joined.filter("was is null").drop("was").write.mode("append").parquet(sink)
-    changed = joined.filter("was <> hash")
-    changed.write.mode("append").parquet(f"{sink}-quarantine")
+    rows = results.withColumn("hash", F.sha2("content", 256)).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+    rows = rows.dropDuplicates([*key, "hash"]).persist()
+    same = lambda other: functools.reduce(lambda a, b: a & b, (rows[k].eqNullSafe(other[k]) for k in key))
+    there = _known(spark, sink, rows, ["bucket", *key, F.col("hash").alias("was")])
+    joined = rows.join(there, (rows["bucket"] == there["bucket"]) & same(there), "left").select(rows["*"], "was")
+    turn = F.row_number().over(W.partitionBy(*key).orderBy("hash"))
+    joined = joined.withColumn("turn", turn).persist()
+    joined.filter("was is null and turn = 1").drop("was", "turn").write.mode("append").partitionBy("bucket").parquet(sink)
+    changed = joined.filter("was <> hash or (was is null and turn > 1)").drop("was", "turn")
+    before = _known(spark, f"{sink}-quarantine", rows, ["bucket", *key, "hash"])
+    again = functools.reduce(lambda a, b: a & b, (changed[k].eqNullSafe(before[k]) for k in (*key, "hash", "bucket")))
+    changed.join(before, again, "left_anti").write.mode("append").partitionBy("bucket").parquet(f"{sink}-quarantine")
     joined.unpersist()
-    return spark.read.parquet(f"{sink}-quarantine")
+    rows.unpersist()
+    schema = T.StructType([*results.schema, T.StructField("hash", T.StringType()), T.StructField("bucket", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{sink}-quarantine")
 
 
 def stream_publish(results: DataFrame, sink: str, checkpoint: str, key=("rec", "format")) -> StreamingQuery:

@@ -3,7 +3,15 @@
 Rows of a recording may arrive in any order. Each has a place, and the state
 knows the place that comes next: rows that fit are applied, later ones are held
 in state until the gap closes, and earlier ones, which were applied before, are
-skipped. No row is dropped for being late, as there is no watermark.
+skipped, as is a second row at a place that is held: both are repeats of a source
+that delivers at least once. A row without a place is skipped, too. No row is
+dropped for being late, as there is no watermark.
+
+The state of a recording without new rows for `idle` expires: rows that are
+still held are applied in their order, over the gaps, and the state goes. What
+comes after that begins anew. Spark runs batch after batch for the sake of such
+timers, so a stream with `idle` needs a trigger that goes on and must be stopped;
+one that ends when all is read has to do without.
 """
 
 from __future__ import annotations
@@ -25,21 +33,25 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _Ordered(StatefulProcessor):
-    def __init__(self, columns, first, place, after, init, step, names) -> None:
-        self.columns, self.first, self.place, self.after, self.begin, self.step, self.names = columns, first, place, after, init, step, names
+    def __init__(self, columns, first, place, after, init, step, names, idle_ms) -> None:
+        self.columns, self.first, self.place, self.after, self.begin, self.step, self.names, self.idle_ms = columns, first, place, after, init, step, names, idle_ms
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("state", "next long, data binary")
+        self.handle = handle
+        self.state = handle.getValueState("state", "next long, timer long, data binary")
         self.held = handle.getMapState("held", "place long", "row binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  # Spark's names
         saved = self.state.get()
-        expected, state = (int(saved[0]), pickle.loads(saved[1])) if saved else (self.first, self.begin())
-        new = sorted((int(r[self.place]), r) for frame in rows for r in frame[self.columns].astype(object).where(frame[self.columns].notna(), None).itertuples(index=False, name=None))
+        expected, timer, state = (int(saved[0]), int(saved[1]), pickle.loads(saved[2])) if saved else (self.first, -1, self.begin())
+        frames = (frame[self.columns].astype(object).where(frame[self.columns].notna(), None) for frame in rows)
+        new = [r for frame in frames for r in frame.itertuples(index=False, name=None) if r[self.place] is not None]
         out: list[tuple] = []
-        for at, row in new:
+        for row in sorted(new, key=lambda r: int(r[self.place])):
+            at = int(row[self.place])
             if at > expected:
-                self.held.updateValue((at,), (pickle.dumps(row),))
+                if not self.held.containsKey((at,)):
+                    self.held.updateValue((at,), (pickle.dumps(row),))
             elif at == expected:
                 state, made = self.step(state, row)
                 out.extend(made)
@@ -50,15 +62,32 @@ class _Ordered(StatefulProcessor):
                     state, made = self.step(state, waiting)
                     out.extend(made)
                     expected = self.after(waiting)
-        self.state.update((expected, pickle.dumps(state)))
+        if self.idle_ms:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.state.update((expected, timer, pickle.dumps(state)))
+        yield pd.DataFrame(out, columns=self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        saved = self.state.get()
+        out: list[tuple] = []
+        if saved:
+            state = pickle.loads(saved[2])
+            for _, (row,) in sorted((int(k[0]), v) for k, v in self.held.iterator()):
+                state, made = self.step(state, pickle.loads(row))
+                out.extend(made)
+        self.held.clear()
+        self.state.clear()
         yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
         pass
 
 
-def ordered_fold(stream: DataFrame, key: str, columns: list[str], place: str, first: int, after: Callable[[tuple], int], init: Callable[[], object], step: Callable[[object, tuple], tuple[object, Iterable[tuple]]], schema: StructType) -> DataFrame:
-    """The rows that step makes of each row, recording by recording, in the order of `place`, which starts at `first` and goes on at after(row)."""
+def ordered_fold(stream: DataFrame, key: str, columns: list[str], place: str, first: int, after: Callable[[tuple], int], init: Callable[[], object], step: Callable[[object, tuple], tuple[object, Iterable[tuple]]], schema: StructType, idle: float | None = None) -> DataFrame:
+    """The rows that step makes of each row, recording by recording, in the order of `place`, which starts at `first` and goes on at after(row). idle: seconds after which state expires; never if None."""
     names = [f.name for f in schema]
-    processor = _Ordered(columns, first, columns.index(place), after, init, step, names)
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="none")
+    processor = _Ordered(columns, first, columns.index(place), after, init, step, names, int(idle * 1000) if idle else 0)
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if idle else "none")
