@@ -209,20 +209,53 @@ def test_spans_are_exact_in_escapes():
     assert (0, 0, len(text)) in secret_scan.scan(text)[1]
 
 
-def test_scan_ends_and_is_bounded(monkeypatch):
-    monkeypatch.setattr(secret_scan, "MAX_BYTES", 1000)
+@pytest.mark.parametrize("glue", ["/", "-", "x/", "path/to-", "key_", "ab+"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_base64_with_letters_glued_to_it(glue, pack):
+    run = base64.b64encode(pack(SECRET.encode())).decode().rstrip("=")
+    assert any(k == 0 and a <= len(glue) + 2 and b == len(glue + run) + 2 for a, k, b in secret_scan.scan(f": {glue}{run} .")[1])
+
+
+def nested(data):
+    return base64.b64encode(zlib.compress(data)).decode()
+
+
+PIECES = [SECRET.encode(), b"AKIA" + b"ABCD" * 5, b"0123456789abcdef" * 3, SECRET.encode("utf-16"), nested(SECRET.encode()).encode(), b"words, and words. ", bytes(range(256)), "\u00e9 \u6f22, ".encode() * 3, b"api_key  =   " + b"k" * 300, b"%70assword%3dabcdefgh"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), min_size=1, max_size=30), st.sampled_from([b", ", b"; ", b"", b"\n"]), st.integers(1, 400))
+def test_windows_lose_nothing(parts, join, size):
+    text = f"x {nested(join.join(parts))} y"
+    whole = secret_scan.scan(text)
+    window, secret_scan.WINDOW, secret_scan.ROOM = secret_scan.WINDOW, size, 64
+    try:
+        cut = secret_scan.scan(text)
+    finally:
+        secret_scan.WINDOW, secret_scan.ROOM = window, 1 << 20
+    assert cut[:2] == whole[:2] and not cut[3]
+
+
+def test_scan_ends():
     bomb = base64.b64encode(zlib.compress(b"secret=abcdefgh " * 10_000)).decode()
-    _, spans, layers, cut_off = secret_scan.scan(bomb)
-    assert cut_off and layers < 5
+    assert secret_scan.scan(bomb)[2:] == (2, False)
     assert secret_scan.scan("%25" * 50 + "41")[2] < 10 and secret_scan.scan(None) == ([], [], 1, False)
+    # a stream of members that never stop being compressed data, and one that only looks like it
+    deep = SECRET.encode()
+    for _ in range(50):
+        deep = gzip.compress(deep)
+    assert len(secret_scan.scan(f". {base64.b64encode(deep).decode()} .")[1]) == 1
+    assert any(k == 0 for _, k, _ in secret_scan.scan(f". {base64.b64encode(b'BZh9 ' + SECRET.encode()).decode()} .")[1])
 
 
-def test_scan_goes_up_to_the_bound_and_says_so(spark, tmp_path):
-    large = base64.b64encode(zlib.compress(SECRET.encode() + bytes(secret_scan.MAX_BYTES + 1))).decode().rstrip("=")
+def test_data_of_any_size_is_scanned_to_its_end(spark, tmp_path, monkeypatch):
+    large = base64.b64encode(zlib.compress(bytes(70 << 20) + b", " + SECRET.encode())).decode().rstrip("=")
     small = base64.b64encode(zlib.compress(SECRET.encode())).decode().rstrip("=")
     spark.createDataFrame([(1, large), (2, small)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = secret_scan.op3_secret_scan(spark, str(tmp_path)).orderBy("doc_id").collect()
-    assert [(r.spans, r.cut_off) for r in rows] == [(f"assign:0:{len(large)}", True), (f"assign:0:{len(small)}", False)]
+    assert [(r.spans, r.cut_off) for r in rows] == [(f"assign:0:{len(large)}", False), (f"assign:0:{len(small)}", False)]
+    monkeypatch.setattr(secret_scan, "XZ_MEMORY", 1 << 16)
+    assert secret_scan.scan(base64.b64encode(lzma.compress(SECRET.encode())).decode())[3]
 
 
 def test_scan_columns(spark):

@@ -2,17 +2,26 @@
 
 A worklist starts with the text as it is. Each layer is scanned for secrets,
 then unwrapped: URL escapes and Unicode escapes give a layer of the same text
-with them resolved; a run of base64, in a line or over lines, gives a layer with what it stands for, after
-decompression of all members where it is gzip, zlib, bzip2 or xz data. Bytes that
-are no text do not hide the text beside them. Layers are worked on until
-there are none left; a layer that was there before is not worked on again, which
-ends cycles. Each character of a layer knows its place in the text, so every
-span is one of the text: escapes map by character, base64 by its whole run.
+with them resolved; a run of base64, in a line or over lines, gives layers of
+what it stands for, after decompression of all members, and of what these hold
+in turn, where it is gzip, zlib, bzip2 or xz data. Bytes that are no text do not
+hide the text beside them. Layers are worked on until there are none left; a
+layer that was there before is not worked on again, which ends cycles. Each
+character of a layer knows its place in the text, so every span is one of the
+text: escapes map by character, base64 by its whole run.
+
+Decompressed data is a stream, whatever its size: it is cut into windows of
+about WINDOW bytes where neither a secret nor an encoded run can go on, and each
+is a layer that is gone before the next one is made. So memory is bounded by a
+window, by a run that is longer, or by compressed data within compressed data,
+which is held whole. Layers are remembered by digests.
 
 Defined cases: null and empty texts have no spans. A span that several layers
-show counts once. Data that decompresses to more than MAX_BYTES a document is
-scanned up to there, and `cut_off` says so. Equal rows are scanned each; all
-other columns are carried.
+show counts once. A very long text is scanned whole, and so is what it unpacks
+to; only xz data that asks for more than XZ_MEMORY bytes of memory is not
+unpacked, and `cut_off` says so. Equal rows are scanned each; an empty table
+gives an empty one. All other columns are carried; those that have the names of
+the results are replaced.
 """
 
 from __future__ import annotations
@@ -20,10 +29,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
+import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +53,14 @@ UNICODE = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r[ \t]*+\n|[\r\n])[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+#: How base64 of gzip, zlib, bzip2 and xz data begins.
+HEADS = re.compile(r"(?<=[+/_-])(?:H4sI|e[AFJN]|Qlpo|[/_]Td6WFo)")
 #: No secret, plain or encoded, is shorter than the shortest assignment, and all of its characters are ASCII.
 RUN = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
 WIDE = re.compile(rb"[\x20-\x7e\t\r\n](?:\x00[\x20-\x7e\t\r\n]){11,}|[\x20-\x7e\t\r\n](?:\x00{3}[\x20-\x7e\t\r\n]){11,}")
-MAX_BYTES, SLICE = 64 << 20, 1 << 16
+#: A byte behind which nothing that is looked for goes on, in 8-bit text or in wider one.
+BREAK = re.compile(rb"\x00{8}|(?<!\x00)[\x01-\x08\x0b\x0c\x0e-\x1f!#$&()*,;<>?@^`|~](?!\x00)")
+WINDOW, SLICE, ROOM, XZ_MEMORY = 4 << 20, 1 << 16, 1 << 20, 256 << 20
 
 Span = tuple[int, int, int]
 #: Text, length of the escape it stands for, and escape characters for each of its own (0: all of them).
@@ -140,32 +155,86 @@ def _decompressor(raw: bytes):
     if raw[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if raw[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=128 << 20)
+        return lzma.LZMADecompressor(memlimit=XZ_MEMORY)
     return None
 
 
-def _inflate(raw: bytes, room: int) -> tuple[bytes | None, bytes, bool]:
-    """Decompressed data of all members, as far as there is room, or None if there is none; what is left to read as it is; whether there is more than there is room for."""
-    out, done = [], False
-    rest = raw
-    while (job := _decompressor(rest)) is not None:
-        size = sum(map(len, out))
+def _slices(raw: bytes) -> Iterator[bytes]:
+    return (raw[i : i + SLICE] for i in range(0, len(raw), SLICE))
+
+
+def _fed(job, data: bytes) -> Iterator[bytes]:
+    """What a decompressor makes of data, in parts of bounded size."""
+    more = True
+    while more and not job.eof:
+        out = job.decompress(data, ROOM)
+        if hasattr(job, "unconsumed_tail"):
+            data = job.unconsumed_tail
+            more = bool(data) or len(out) == ROOM
+        else:
+            data, more = b"", not job.needs_input and not job.eof
+        if out:
+            yield out
+
+
+def _members(raw: bytes, rest: list[bytes], refused: list[bool]) -> Iterator[bytes]:
+    """Decompressed data of all members that follow each other; what is none goes to `rest`, as does a member that breaks off, whole."""
+    at = 0
+    while (job := _decompressor(raw[at : at + 6])) is not None:
+        end = at
         try:
-            for i in range(0, len(rest), SLICE):
-                out.append(job.decompress(rest[i : i + SLICE], room + 1 - size))
-                size += len(out[-1])
-                if size > room:
-                    return b"".join(out)[:room], b"", True
-                if job.eof:
-                    break
-        except (zlib.error, OSError, EOFError, lzma.LZMAError):
-            break  # what came before the error counts; the data is read as it is, too
+            while not job.eof and end < len(raw):
+                part = raw[end : end + SLICE]
+                end += len(part)
+                yield from _fed(job, part)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError) as e:
+            refused.append("emory" in str(e))
+            break
         if not job.eof:
             break
-        # gzip and xz allow zeros after a member
-        done, rest = True, (job.unused_data + rest[i + SLICE :]).lstrip(b"\0")
-    made = b"".join(out)
-    return (made if done or made else None), rest, False
+        at = end - len(job.unused_data)
+        while raw[at : at + 1] == b"\0":  # gzip and xz allow zeros after a member
+            at += 1
+    rest.append(raw[at:])
+
+
+def _windows(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """A stream in windows that are cut behind a BREAK."""
+    held, size, looked = [], 0, 0
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size >= WINDOW:
+            whole = b"".join(held)
+            breaks = [m.end() for m in BREAK.finditer(whole, looked, len(whole) - 1)]
+            cut = breaks[-1] if breaks else 0
+            if cut:
+                yield whole[:cut]
+            # without a break, as much again is read before the next try
+            held, size, looked = [whole[cut:]], 0, 0 if cut else max(0, len(whole) - 8)
+    yield b"".join(held)
+
+
+def unpacked(raw: bytes, refused: list[bool]) -> Iterator[bytes]:
+    """Windows of what data stands for after decompression at any depth. `refused` gets a true for data that asked for too much memory."""
+    work, seen = [raw], set()
+    while work:
+        raw = work.pop()
+        if (digest := hashlib.sha256(raw).digest()) in seen:  # data may unpack to itself
+            continue
+        seen.add(digest)
+        rest: list[bytes] = []
+        made = _members(raw, rest, refused)
+        first = next(made, b"")
+        while len(first) < 6 and (more := next(made, None)) is not None:
+            first += more
+        stream = itertools.chain([first], made)
+        if _decompressor(first[:6]) is not None:
+            work.append(b"".join(stream))
+        else:
+            yield from _windows(stream)
+        for x in rest:
+            yield from _windows(_slices(x))
 
 
 def _runs(text: str) -> Iterator[tuple[int, int, str]]:
@@ -213,40 +282,42 @@ def _base64(run: str) -> bytes | None:
         return None
 
 
+def _within(layer: Layer, refused: list[bool]) -> Iterator[Layer]:
+    """The layers that a layer holds."""
+    if "%" in layer.text and (x := _escaped(layer, URL, _url)):
+        yield x
+    if "\\" in layer.text and (x := _escaped(layer, UNICODE, _unicode)):
+        yield x
+    for start, end, run in _runs(layer.text):
+        # other letters may be glued to the run's beginning: text shows at one of four offsets, compressed data by its head
+        for at in sorted({0, 1, 2, 3, *(m.start() for m in HEADS.finditer(run))}):
+            if len(run) - at >= 16 and (raw := _base64(run[at:])) is not None:
+                whole = layer.span(start + at, end) if len(run) == end - start else layer.span(start, end)
+                for window in unpacked(raw, refused):
+                    yield from (Layer(t, whole=whole) for t in _texts(window))
+
+
 def scan(text: str | None) -> tuple[list[Span], list[Span], int, bool]:
-    """Base spans, all spans, number of layers, and whether something was too large to unwrap whole."""
+    """Base spans, all spans, number of layers, and whether something was not unpacked."""
     text = text or ""
     base = base_spans(text)
-    spans, work, seen, room, cut_off = set(base), [Layer(text)], {(text, None)}, MAX_BYTES, False
-    n = 0
+    spans, seen, refused = set(base), set(), []
+    work, n = [iter([Layer(text)])], 0
     while work:
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        key = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.whole
+        if key in seen:
+            continue
+        seen.add(key)
         n += 1
         if n > 1:
             for a, kind, b in base_spans(layer.text):
                 x, y = layer.span(a, b)
                 spans.add((x, kind, y))
-        new = []
-        if "%" in layer.text:
-            new.append(_escaped(layer, URL, _url))
-        if "\\" in layer.text:
-            new.append(_escaped(layer, UNICODE, _unicode))
-        for start, end, run in _runs(layer.text):
-            if (raw := _base64(run)) is None:
-                continue
-            packed = [raw]
-            while packed:
-                made, rest, more = _inflate(packed.pop(), room)
-                cut_off |= more
-                if made:
-                    room -= len(made)
-                    packed.append(made)
-                new += [Layer(t, whole=layer.span(start, end)) for t in _texts(rest)]
-        for x in new:
-            if x is not None and (key := (x.text, x.whole)) not in seen:
-                seen.add(key)
-                work.append(x)
-    return base, sorted(spans), n, cut_off
+        work.append(_within(layer, refused))
+    return base, sorted(spans), n, any(refused)
 
 
 def shown(spans: list[Span]) -> str:
