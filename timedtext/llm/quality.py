@@ -5,16 +5,21 @@ digits, symbols, length, whether it repeats the word before). Each unit has a
 sparse random index vector. The context vector of a unit is the sum of the
 index vectors of the units of the words around it, gathered over the sample;
 units fall into UNITS hashed places, so the table is of fixed size for any
-vocabulary. A document is the mean of the context vectors of its units, from its whole
-text. A network with one hidden layer gives a score; a temperature that is
-fitted on a tenth of the sample that the network has not seen calibrates it.
+vocabulary, and rare words may share one. A document is the mean of the context
+vectors of its units, from its whole text. A network with one hidden layer gives
+a score; a temperature that is fitted on a tenth of the sample that the network
+has not seen calibrates it.
 
-The model is fitted on at most labelled.SAMPLE labelled documents, which are
-turned into numbers by tasks; only those and the table reach the driver.
+The model is fitted on at most labelled.SAMPLE labelled documents of at most
+labelled.BYTES bytes each, which are turned into numbers by tasks; only those and
+the table, of fixed size, reach the driver.
 
 Defined cases: null and empty texts have a zero vector and a score like others.
 Without any labelled rows every score is 0.5. Repeated rows and ids are scored
-each; labels, lang, source and doc_id play no part in a score.
+each; labels, lang, source and doc_id play no part in a score. A very long text
+is worked on in pieces with the words around them, so its vector is that of the
+whole. An empty table gives an empty one. All other columns are carried; one
+named score is replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ from pyspark.sql import types as T
 
 from timedtext.llm import labelled, shared, words
 
-UNITS, DIMENSIONS, NONZERO, SPAN = 1 << 13, 48, 6, 2
-HIDDEN, ROUNDS, THRESHOLD = 24, 300, 0.3
+UNITS, DIMENSIONS, NONZERO, SPAN = 1 << 15, 48, 6, 2
+HIDDEN, ROUNDS, DECAY, THRESHOLD = 24, 300, 1e-4, 0.3
 _SHAPES = 1 << 10
 
 
@@ -60,36 +65,39 @@ def index_vectors() -> np.ndarray:
 
 
 def context_sums(texts: list[str | None]) -> np.ndarray:
-    """The sum of the index vectors of the words around, for each unit."""
+    """The sum of the index vectors of the words around, for each unit. A shape depends on the word before, so pieces have one more word around them."""
     index, out = index_vectors(), np.zeros((UNITS, DIMENSIONS), np.float32)
-    for _, held in words.batches(texts):
-        scan = words.Scan(held)
+    for _, scan, own in words.framed_batches(texts, SPAN + 1):
         u = units(scan)
-        own = index[u].sum(axis=0)
-        around = np.zeros_like(own)
+        vector = index[u].sum(axis=0)
+        around = np.zeros_like(vector)
         for k in range(1, SPAN + 1):
             together = (scan.owners[k:] == scan.owners[:-k])[:, None]
-            around[k:] += own[:-k] * together
-            around[:-k] += own[k:] * together
+            around[k:] += vector[:-k] * together
+            around[:-k] += vector[k:] * together
         for x in u:
+            x = np.where(own, x, UNITS)
             order = np.argsort(x, kind="stable")
             places, begins = np.unique(x[order], return_index=True)
             if len(places):
-                out[places] += np.add.reduceat(around[order], begins, axis=0)
+                sums = np.add.reduceat(around[order], begins, axis=0)
+                out[places[places < UNITS]] += sums[places < UNITS]
     return out
 
 
 def vectors(texts: list[str | None], table: np.ndarray) -> np.ndarray:
-    """The mean of the context vectors of each text's units, and the log of the number of words."""
-    counts = np.zeros((len(texts), UNITS), np.float32)
-    for owners, held in words.batches(texts):
-        scan = words.Scan(held)
-        rows = np.asarray(owners)[scan.owners]
-        for x in units(scan):
-            places, n = np.unique(rows * UNITS + x, return_counts=True)
-            counts.ravel()[places] += n
-    n = counts.sum(axis=1, keepdims=True)
-    return np.concatenate([counts @ table / np.maximum(n, 1), np.log1p(n)], axis=1).astype(np.float64)
+    """The mean of the context vectors of each text's units, and the log of the number of units."""
+    found: list[np.ndarray] = []
+    for rows, scan, own in words.framed_batches(texts, SPAN + 1):
+        found += [(rows * UNITS + x)[own] for x in units(scan)]
+    keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+    rows, total = keys // UNITS, np.zeros(len(texts))
+    sums = np.zeros((len(texts), DIMENSIONS))
+    if len(keys):
+        some, begins = np.unique(rows, return_index=True)
+        sums[some] = np.add.reduceat(table[keys % UNITS].astype(np.float64) * n[:, None], begins, axis=0)
+        total[some] = np.add.reduceat(n, begins)
+    return np.concatenate([sums / np.maximum(total, 1)[:, None], np.log1p(total)[:, None]], axis=1)
 
 
 class Network:
@@ -104,10 +112,7 @@ class Network:
         z, t = (x[~fresh] - self.mean) / self.scale, y[~fresh]
         m, v = [np.zeros_like(a) for a in self.w], [np.zeros_like(a) for a in self.w]
         for step in range(1, ROUNDS + 1):
-            a = np.tanh(z @ self.w[0] + self.w[1])
-            d = (1 / (1 + np.exp(-(a @ self.w[2] + self.w[3]))) - t) / len(t)
-            back = np.outer(d, self.w[2]) * (1 - a * a)
-            grads = [z.T @ back + 1e-4 * self.w[0], back.sum(axis=0), a.T @ d + 1e-4 * self.w[2], d.sum(keepdims=True)]
+            _, grads = self.loss(z, t)
             for k, g in enumerate(grads):
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 self.w[k] = self.w[k] - 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -116,6 +121,15 @@ class Network:
             loss = lambda temp: np.mean(np.logaddexp(0, s / temp) - t * s / temp)
             self.temperature = min(np.geomspace(0.5, 8, 61), key=loss)
 
+    def loss(self, z: np.ndarray, t: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The mean log loss with a penalty on weights, and its gradient, at standardised inputs."""
+        a = np.tanh(z @ self.w[0] + self.w[1])
+        s = a @ self.w[2] + self.w[3]
+        d = (1 / (1 + np.exp(-s)) - t) / len(t)
+        back = np.outer(d, self.w[2]) * (1 - a * a)
+        value = np.mean(np.logaddexp(0, s) - t * s) + DECAY / 2 * (np.sum(self.w[0] ** 2) + np.sum(self.w[2] ** 2))
+        return float(value), [z.T @ back + DECAY * self.w[0], back.sum(axis=0), a.T @ d + DECAY * self.w[2], d.sum(keepdims=True)]
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3]
 
@@ -136,13 +150,15 @@ def fit(docs: DataFrame, labels: DataFrame, label="quality") -> tuple[np.ndarray
 
     def gather(t: pa.Table) -> pa.Table:
         total = sum(context_sums(texts) for _, texts in _texts(t.to_batches()))
-        return pa.table({"sums": pa.array([np.ascontiguousarray(total, np.float32).tobytes()], pa.binary())})
-
-    # PARTS rows of fixed size
-    sums = [np.frombuffer(r.sums, np.float32).reshape(UNITS, DIMENSIONS) for r in sample.groupBy("part").applyInArrow(gather, "sums binary").collect()]
-    if not sums:
-        return np.zeros((UNITS, DIMENSIONS), np.float32), None
-    table = np.sum(sums, axis=0)
+        some = np.flatnonzero(total.any(axis=1))
+        return pa.table({"unit": pa.array(some, pa.int64()), "sums": pa.FixedSizeListArray.from_arrays(pa.array(total[some].ravel()), DIMENSIONS).cast(pa.list_(pa.float32()))})
+
+    gathered = sample.groupBy("part").applyInArrow(gather, "unit long, sums array<float>")
+    sums = gathered.groupBy("unit").agg(F.array(*(F.sum(F.get("sums", F.lit(k))).cast("float") for k in range(DIMENSIONS))).alias("sums")).toArrow()  # at most UNITS rows
+    table = np.zeros((UNITS, DIMENSIONS), np.float32)
+    if not sums.num_rows:
+        return table, None
+    table[np.asarray(sums.column("unit"))] = np.asarray(sums.column("sums").combine_chunks().flatten()).reshape(-1, DIMENSIONS)
     table = table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-9)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

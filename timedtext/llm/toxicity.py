@@ -7,14 +7,17 @@ kept feature, and a document 1 - prod(1 - p) over all its sentences. The
 weights follow from the labels of documents alone, by gradient steps on the
 likelihood of that noisy-or; then the sentences over a threshold are told.
 
-The model is fitted on at most labelled.SAMPLE labelled documents, counted and
-turned into numbers by tasks; counts of fixed size and short lists of kept
-features reach the driver.
+The model is fitted on at most labelled.SAMPLE labelled documents of at most
+labelled.BYTES bytes each, counted and turned into numbers by tasks; counts of
+fixed size and the kept features of their sentences reach the driver.
 
 Defined cases: sentences end at . ! ? or a line feed. Null and empty texts, and
 texts without kept features, have the score FLOOR. Without any labelled rows every
 score is FLOOR. Repeated rows and ids are scored each; labels, lang, source and
-doc_id play no part in a score.
+doc_id play no part in a score. A very long text is worked on in pieces that end
+where sentences do, so its score is that of the whole. An empty table gives an
+empty one. All other columns are carried; those named score or offending are
+replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from timedtext.llm import labelled, shared, words
 
 PLACES, FEATURES, LEAST = 1 << 19, 2048, 4
 BEGINNINGS = (4, 5, 6, 7, 8)
-ROUNDS, THRESHOLD, FLOOR = 400, 0.5, 1e-3
+ROUNDS, DECAY, THRESHOLD, FLOOR = 400, 0.05, 0.5, 1e-3
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".!?\n"]] = True
 
@@ -55,7 +58,7 @@ def document_counts(texts: list[str | None], y: np.ndarray) -> np.ndarray:
     """In how many documents of either label each feature is."""
     out = np.zeros((2, PLACES), np.int32)
     seen: dict[int, list[np.ndarray]] = {}
-    for owners, held in words.batches(texts):
+    for owners, held in words.batches(texts, between=_ENDS):
         s = Sentences(held)
         rows = np.asarray(owners)[s.scan.owners[s.word]]
         pairs = np.unique(rows * PLACES + s.place)
@@ -83,7 +86,7 @@ def kept_features(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
 def evidence(texts: list[str | None], kept: np.ndarray) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
     """(text, sentence, start, end, features) of each sentence with kept features; start and end in code points of the text."""
     done: dict[int, tuple[int, int]] = {}  # sentences and code points of the pieces before
-    for owners, held in words.batches(texts):
+    for owners, held in words.batches(texts, between=_ENDS):
         s = Sentences(held)
         feature = kept[s.place]
         hits = np.flatnonzero(feature >= 0)
@@ -109,16 +112,23 @@ def evidence(texts: list[str | None], kept: np.ndarray) -> Iterator[tuple[int, i
             done[row] = (sentences + int(_ENDS[raw].sum()), points + int(np.count_nonzero((raw & 0xC0) != 0x80)))
 
 
+def likelihood(w: np.ndarray, b: float, y: np.ndarray, documents: np.ndarray, sentences: np.ndarray, features: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """The log-likelihood of the labels under the noisy-or, and its gradient by weights and bias."""
+    z = b + np.bincount(sentences, w[features], minlength=len(documents))
+    p = 1 / (1 + np.exp(-z))
+    # the log of 1 - p, summed, is minus this; a little more, so that a document without sentences is possible under either label
+    total = np.bincount(documents, np.logaddexp(0, z), minlength=len(y)) + 1e-6
+    pull = np.where(y == 1, np.exp(-total) / -np.expm1(-total), -1.0)[documents] * p
+    return float(np.where(y == 1, np.log(-np.expm1(-total)), -total).sum()), np.bincount(features, pull[sentences], minlength=len(w)), float(pull.sum())
+
+
 def train(y: np.ndarray, documents: np.ndarray, sentences: np.ndarray, features: np.ndarray, n: int) -> tuple[np.ndarray, float]:
     """Weights and bias of the noisy-or. documents: the document of each sentence; sentences, features: the entries of the sentences' features."""
     w, b = np.full(n, 1.0), -2.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, ROUNDS + 1):
-        z = b + np.bincount(sentences, w[features], minlength=len(documents))
-        p = 1 / (1 + np.exp(-z))
-        total = np.bincount(documents, np.logaddexp(0, z), minlength=len(y)) + 1e-6
-        pull = np.where(y == 1, np.exp(-total) / -np.expm1(-total), -1.0)[documents] * p
-        g = np.append(np.bincount(features, pull[sentences], minlength=n) - 0.05 * w, pull.sum())
+        _, gw, gb = likelihood(w, b, y, documents, sentences, features)
+        g = np.append(gw - DECAY * w, gb)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w + move[:-1], b + move[-1]

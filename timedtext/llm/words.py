@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,7 @@ import numpy as np
 PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Blanks and all of ASCII that is not a letter or a digit.
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -34,22 +37,45 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
-    """`text` cut at blanks into pieces of at most `size` bytes, more only where a word is longer."""
+def pieces(text: bytes, size: int = PIECE, between=_SPACE) -> Iterator[bytes]:
+    """`text` cut behind blanks, or other bytes, into pieces of at most `size` bytes, more only where there is none."""
     at = 0
     while len(text) - at > size:
         window = np.frombuffer(text, np.uint8, size, at)
-        blanks = np.flatnonzero(_SPACE[window])
+        blanks = np.flatnonzero(between[window])
         if len(blanks):
             end = at + int(blanks[-1]) + 1
         else:
-            rest = np.flatnonzero(_SPACE[np.frombuffer(text, np.uint8, len(text) - at - size, at + size)])
+            rest = np.flatnonzero(between[np.frombuffer(text, np.uint8, len(text) - at - size, at + size)])
             end = at + size + int(rest[0]) + 1 if len(rest) else len(text)
         yield text[at:end]
         at = end
     yield text[at:]
 
 
+def _last_words(text: bytes, end: int, span: int) -> bytes:
+    """The last `span` words of text[:end], as far as there are so many."""
+    size = 64
+    while True:
+        # the first word of a part may be cut
+        part = text[max(0, end - size) : end]
+        found = _WORDS.findall(part)
+        if len(found) > span or size >= end:
+            return b" ".join(found[-span:])
+        size *= 4
+
+
+def framed(text: bytes, span: int, size: int = PIECE) -> Iterator[tuple[bytes, int, int]]:
+    """The pieces of a text, each with the `span` words before and behind it, and how many of its words are such at its begin and end."""
+    at = 0
+    for piece in pieces(text, size):
+        end = at + len(piece)
+        before = _last_words(text, at, span)
+        behind = b" ".join(m[0] for m in itertools.islice(_WORDS.finditer(text, end), span))
+        yield b" ".join(x for x in (before, piece, behind) if x), len(before.split(b" ")) if before else 0, len(behind.split(b" ")) if behind else 0
+        at = end
+
+
 class Scan:
     """The words of some texts: hash, start and end in `raw`, and the number of the text."""
 
@@ -74,13 +100,14 @@ class Scan:
         return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def batches(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[list[int], list[bytes]]]:
+def batches(texts: list[str | None], size: int | None = None, between=_SPACE) -> Iterator[tuple[list[int], list[bytes]]]:
     """Pieces of texts, together at most about `size` bytes, with the number of the text that each is from."""
+    size = size or PIECE
     owners: list[int] = []
     held: list[bytes] = []
     n = 0
     for k, text in enumerate(texts):
-        for piece in pieces((text or "").encode("utf-8", "surrogatepass"), size):
+        for piece in pieces((text or "").encode("utf-8", "surrogatepass"), size, between):
             if held and n + len(piece) > size:
                 yield owners, held
                 owners, held, n = [], [], 0
@@ -91,6 +118,31 @@ def batches(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[list[i
         yield owners, held
 
 
+def framed_batches(texts: list[str | None], span: int, size: int | None = None) -> Iterator[tuple[np.ndarray, Scan, np.ndarray]]:
+    """Scans of pieces with the words around them: the text that each word is from, the scan, and which words are the piece's own."""
+    size = size or PIECE
+    held: list[tuple[int, bytes, int, int]] = []
+
+    def made() -> tuple[np.ndarray, Scan, np.ndarray]:
+        scan = Scan([x for _, x, _, _ in held])
+        first = np.cumsum(scan.counts) - scan.counts
+        place = np.arange(len(scan.hashes)) - first[scan.owners]
+        lead, tail = (np.array([x[i] for x in held], np.int64) for i in (2, 3))
+        own = (place >= lead[scan.owners]) & (place < (scan.counts - tail)[scan.owners])
+        return np.array([k for k, *_ in held], np.int64)[scan.owners], scan, own
+
+    n = 0
+    for k, text in enumerate(texts):
+        for piece, lead, tail in framed((text or "").encode("utf-8", "surrogatepass"), span, size):
+            if held and n + len(piece) > size:
+                yield made()
+                held, n = [], 0
+            held.append((k, piece, lead, tail))
+            n += len(piece)
+    if held:
+        yield made()
+
+
 def word_hashes(texts: list[str | None], fold=True) -> list[np.ndarray]:
     """For each text the hashes of its words in order; A-Z count as a-z with `fold`."""
     parts: list[list[np.ndarray]] = [[] for _ in texts]
