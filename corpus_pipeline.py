@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet and read again as the next stage's `docs`. All but the last return
-the columns of documents.
+the columns of documents. Extra columns are carried; one that has a name of an
+operator's result gets that result.
+
+Defined cases, in all stages: rows are told apart as rows, so repeated rows and
+rows with one id or a null id are handled each. A null or empty text has a score
+like others, loses no line, links with nothing, has its place in the mix and no
+tokens; a text that was null stays null. Very long texts are worked on whole. A
+null source is one of its own. Ties between near-duplicates go to the smaller
+id, then to the row that comes first. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,9 +20,6 @@ from pyspark.sql import functions as F
 
 from timedtext.llm import bpe, line_dedup, mixing, near_dup, quality, shared
 
-_ROW = "__row"
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -31,11 +36,12 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves one row of each group of near-duplicates, the one of smallest id (a null id comes last); rows are told apart by a number, not by doc_id."""
-    rows = shared.written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(_ROW).alias("row")).alias("key")
+    number = max(docs.columns, key=len) + "_row"  # a name that no column has
+    rows = shared.written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(number).alias("row")).alias("key")
     found = near_dup.near_duplicates(rows.select(key, "text"), doc_id="key")
-    kept = shared.written(found.filter("kept").select(F.col("doc_id.row").alias(_ROW)), "kept")
-    return rows.join(kept, _ROW, "left_semi").select(docs.columns)
+    kept = shared.written(found.filter("kept").select(F.col("doc_id.row").alias(number)), "kept")
+    return rows.join(kept, number, "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +55,8 @@ def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Readers deal files and rows out anew, so the place is worked out again; the mix depends on the rows only.
     """
-    coded = bpe.encode(mixing.mix(docs), keep=["doc_id", "lang", "source", "n_chars", "mix_slot", "mix_row"])
+    mixed = mixing.mix(docs)
+    coded = bpe.encode(mixed, keep=[c for c in mixed.columns if c not in ("text", "ids", "n_tokens", "mix_block")])
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

@@ -51,6 +51,9 @@ def test_stages(spark, tmp_path):
 
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     scores = {r.doc_id: r.score for r in quality.score_quality(first, quality.fit(first, labels), keep=["doc_id"]).collect()}
+    y = {r.doc_id: r["quality"] for r in labels.collect()}
+    kept = {d.doc_id for d in inputs[1]}
+    assert all(i in kept for i, q in y.items() if q == 1) and not any(i in kept for i, q in y.items() if q == 0)
     assert rows(inputs[1]) == rows(d for d in inputs[0] if scores[d.doc_id] >= 0.3) and len(inputs[1]) < len(inputs[0])
     assert rows(inputs[2]) == after_lines(inputs[1]) and rows(inputs[2]) != rows(inputs[1])
     assert rows(inputs[3]) == without_near_duplicates(inputs[2]) and len(inputs[3]) < len(inputs[2])
@@ -64,6 +67,29 @@ def test_stages(spark, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in inputs[5])
 
 
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    long = "\n".join(f"line {i} of a very long text that goes on" for i in range(20_000))
+    rows = [(i, f"Common line\nand a good sentence of number {i} that is like no other one {i * i}.", "en", "abc"[i % 3], 60) for i in range(12)]
+    rows += [(None, None, None, None, None), (None, None, None, None, None), (20, "", "en", None, 0), (21, long, "en", "a", len(long)), (22, long + " end", None, "a", None), (0, rows[0][1], "en", "b", 60), (23, " \n", "", "", 2)]
+    kind = "doc_id long, text string, lang string, source string, n_chars int"
+    df = spark.createDataFrame(rows, kind).select("*", *(F.lit(7).alias(c) for c in ("mix_slot", "ids", "score", "node", "keep_runs", "__row")))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = spark.createDataFrame(rows, kind) if i == 3 else df.drop("mix_slot", "ids") if i == 4 else df
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(i)))
+        out = spark.read.parquet(str(tmp_path / str(i)))
+        assert i == 4 or out.columns == docs.columns
+        got = Counter((r.doc_id, r.text) for r in out.collect()) if i < 4 else None
+        if i in (0, 3):
+            assert not got - Counter((r[0], r[1]) for r in rows) and (i == 0 or got == Counter((r[0], r[1]) for r in rows))
+        elif i == 1:
+            assert got == Counter((r[0], r[1] if r[1] is None else "\n".join(x for x in r[1].split("\n") if x != "Common line")) for r in rows)
+        elif i == 2:
+            assert got == Counter((r[0], r[1]) for r in rows) - Counter([(22, long + " end"), (0, rows[0][1])])
+        else:
+            assert Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in rows) and out.filter("n_tokens = 0").count() == 3 and out.filter("node = 7").count() == len(rows)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and out.filter(F.col("n_tokens") != F.size("ids")).count() == 0
