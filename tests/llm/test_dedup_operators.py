@@ -308,3 +308,12 @@ def test_clashing_names(spark):
 def test_digest_of_kept_lines(spark, tmp_path):
     spark.createDataFrame([(1, "a\nb")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert line_dedup.op9_line_dedup(spark, str(tmp_path)).first().kept_sha256 == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_vectors_with_clashing_names(spark):
+    rows = [(i, [1.0, float(i % 3)], 0) for i in range(9)] * 2 + [(None, [1.0, 0.0], 0), (50, None, None)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    odd = plain.select("*", *(F.lit("x").alias(c) for c in ("q", "c", "asks", "rank", "score", "query_id", "is_query", "dim", "copies", "first_id", "node", "chunk", "mine", "i", "j", "at", "sides", "slab", "kept", "n_links")))
+    for op in (lambda d: nearest.nearest(d, F.col("vec_id") % 4 == 0, k=3), vector_dedup.link_vectors):
+        want = Counter(map(tuple, op(plain).collect()))
+        assert Counter(map(tuple, op(odd).collect())) == want and sum(want.values()) in (9, 20)

@@ -264,3 +264,12 @@ def test_scan_columns(spark):
     assert (rows[1].n_assign, rows[1].n_access, rows[1].n_hex, rows[1].base_spans) == (1, 1, 0, "assign:0:13,access:14:34") and rows[2].spans == rows[3].spans == ""
     digest = secret_scan.scan_secrets(df, keep=["doc_id"]).select(F.sha2("base_spans", 256).alias("h")).filter("doc_id = 1").first().h
     assert digest == hashlib.sha256(b"assign:0:13,access:14:34").hexdigest() and secret_scan.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_counts_carry_columns(spark, pieces):
+    rows = [(1, "Some words here", 5, "x"), (1, "Some words here", 5, "x"), (None, None, None, "y"), (2, "", 1, None), (3, "a b " * 5000, 2, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, n_bytes string").withColumn("over_limit", F.lit("?")).withColumn("batch", F.lit(1))
+    got = token_counts.count_tokens(df, limit=100)
+    want = [(i, len((t or "").encode()), len(pieces.encode(t or "")), len(pieces.encode(t or "")) > 100, 1) for i, t, *_ in rows]
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_bytes", "n_tokens", "over_limit", "batch").collect()), key=str) == sorted(want, key=str)
+    assert token_counts.count_tokens(df.limit(0)).count() == 0

@@ -9,7 +9,10 @@ loaded, so no merge crosses such a place and what lies on either side has no
 effect on the other. An overlap without such a place is widened until there is
 one or the text ends.
 
-Defined cases: null and empty texts have 0 tokens. Equal rows are counted each.
+Defined cases: null and empty texts have 0 tokens. Equal rows are counted each,
+whatever their ids. A very long text without any place to splice is encoded as a
+whole. An empty table gives an empty one. All other columns are carried; those
+named n_bytes, n_tokens or over_limit are replaced.
 """
 
 from __future__ import annotations
@@ -98,7 +101,8 @@ def count_tokens(df: DataFrame, text="text", path: str | None = None, limit=LIMI
                 counts += c.count([t or "" for t in batch.iloc[i : i + 256]])
             yield pd.Series(counts, dtype="int64")
 
-    out = df.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("n_tokens", n_tokens(F.coalesce(text, F.lit(""))))
+    counts = [F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), n_tokens(F.coalesce(text, F.lit(""))).alias("n_tokens")]
+    out = df.select(*(c for c in df.columns if c not in ("n_bytes", "n_tokens", "over_limit")), *counts)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
