@@ -86,5 +86,8 @@ def test_sinks_round_trip(spark, tmp_path):
     jobs = df.select("rec").distinct().select(F.col("rec").alias("path"), F.lit(1).alias("n"), F.lit("srt").alias("format"), F.concat("rec", F.lit(".srt")).alias("target"))
     sinks.write_mapping(jobs.withColumn("n", F.when(F.col("path") == "r", 2).otherwise(1)), "talk", "n", str(tmp_path / "mapping"))
     assert [(r.number, r.name, r.source) for r in spark.read.json(str(tmp_path / "mapping")).orderBy("number").collect()] == [(1, "talk_001", "silent"), (2, "talk_002", "r")]
+    (tmp_path / "json" / "rec=bad").mkdir()
+    (tmp_path / "json" / "rec=bad" / "bad.txt").write_text('{"schema_version": 1, "segments": []}\n{"schema_version": 2, "segm\n')
+    assert sorted(r.reason for r in tables.refused_transcripts(spark, str(tmp_path / "json")).collect()) == ["other schema", "unreadable"]
     back = tables.read_transcripts(spark, str(tmp_path / "json")).orderBy("seq").collect()
     assert [(r.seq, r.start_s, r.end_s, r.text, r.language) for r in back] == [(0, 0.0, 1.0, "One.", "en"), (1, 8.0, 9.5, "Two.", "en"), (2, 9.5, 9.75, "", "en")]

@@ -61,6 +61,13 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("source", F.col("seq").cast("long").alias("seq"), F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), "s.text", "s.no_speech_prob", "s.language")
 
 
+def refused_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, reason) of the documents that read_transcripts has no rows of: too large, unreadable, or of another schema."""
+    rows = _parsed(spark.read.text(path).select(F.col("value").alias("raw")), TRANSCRIPT)
+    other = F.when(F.coalesce("schema_version", F.lit(0)) != 2, "other schema")
+    return rows.select("raw", F.coalesce("reason", other).alias("reason")).filter("reason is not null")
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """(name, file, url, sha256, bytes) of an artifact catalog, one JSON array."""
     return spark.read.schema(CATALOG).option("multiLine", True).json(path)
