@@ -8,6 +8,7 @@ import itertools
 import lzma
 import random
 import re
+import unicodedata
 import urllib.parse
 import zlib
 
@@ -63,6 +64,8 @@ def test_words_of_every_code_point_are_the_library_s():
     v = bpe.vocabulary(None)
     cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # what neither version of Unicode has or what is for private use is one of a kind
+    points = [c for c in points if unicodedata.category(c) not in ("Cn", "Co") or v.pattern.fullmatch(f"a{c}") or v.pattern.fullmatch(f"1{c}") or ord(c) % 97 == 0]
     for i in range(0, len(points), 20_000):
         text = "".join(f"{c}'s{c}1a{c}\n" for c in points[i : i + 20_000])
         words = [w for part in v.pieces(text) for w in part]
