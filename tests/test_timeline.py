@@ -138,6 +138,15 @@ def test_times_outside_the_window_are_refused(times):
         list(w.push(np.ones(64_000, np.float32))) + list(w.finish())
 
 
+def test_windows_with_times_outside_have_no_cut(spark):
+    windows = spark.createDataFrame([("r", i, 64_000, 64_000, 0) for i in range(7)], "rec string, win long, n_samples long, preferred long, guard long")
+    times = [(float("nan"), 1.0), (0.0, float("inf")), (-0.1, 1.0), (1.0, 0.5), (0.0, 4.1), (0.0, 2.0)]
+    rows = spark.createDataFrame([("r", i, k, *t) for i, x in enumerate(times) for k, t in enumerate([x, (2.0, 4.0)])], "rec string, win long, seq long, start_s double, end_s double")
+    assert {r.win: r.cut for r in cuts.safe_cut(rows, windows).collect()} == {**dict.fromkeys(range(5)), 5: 64_000, 6: 64_000}
+    with pytest.raises(Exception, match="not within its window"):
+        cuts.safe_cut(rows, windows, strict=True).collect()
+
+
 def fake(samples):
     step = 4
     return "en", [(i / 16_000, min(i + step, len(samples)) / 16_000, f"s{i}", 0.0) for i in range(0, len(samples), step)]

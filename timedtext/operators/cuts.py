@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from timedtext.functions.text import RATE, seconds_to_samples
-from timedtext.operators.segments import last_qualifying
+from timedtext.operators.segments import invalid_reason, last_qualifying
 
 
 def with_tail_interval(speech: DataFrame, windows: DataFrame, key=("rec", "win")) -> DataFrame:
@@ -31,10 +31,12 @@ def pause_cut(speech: DataFrame, windows: DataFrame, min_silence_ms: int, key=("
     return cut.select(*key, F.coalesce("cut", "n_samples").alias("cut"))
 
 
-def safe_cut(segments: DataFrame, windows: DataFrame, key=("rec", "win"), order="seq") -> DataFrame:
+def safe_cut(segments: DataFrame, windows: DataFrame, key=("rec", "win"), order="seq", strict=False) -> DataFrame:
     """(key, cut): the last segment end that is at or before min(preferred, n_samples - guard) and that no later segment starts before, else the whole window.
 
     segments: start_s and end_s in window time; windows: n_samples, preferred and guard by key.
+    A window with a segment whose times are not finite or not within it has no cut, so
+    nothing is committed of it, or is an error if `strict`.
     """
     w = W.partitionBy(*key).orderBy(order)
     rows = segments.select(*key, order, "start_s", "end_s")
@@ -43,8 +45,11 @@ def safe_cut(segments: DataFrame, windows: DataFrame, key=("rec", "win"), order=
     at = seconds_to_samples("upto")
     target = F.least(F.col("preferred"), F.greatest(F.col("n_samples") - F.col("guard"), F.lit(0)))
     safe = (at > 0) & (at <= target) & (F.least(F.coalesce("next", F.col("n_samples") / float(RATE)), F.col("n_samples") / float(RATE)) >= at / float(RATE))
-    cut = last_qualifying(rows, [*key, "n_samples"], at, safe, F.col(order), "cut")
-    return cut.select(*key, F.coalesce("cut", "n_samples").alias("cut"))
+    wrong = F.col(order).isNotNull() & invalid_reason(high=F.col("n_samples") / float(RATE)).isNotNull()
+    rows = rows.withColumn("wrong", F.max(wrong).over(W.partitionBy(*key)))
+    cut = last_qualifying(rows, [*key, "n_samples", "wrong"], at, safe, F.col(order), "cut")
+    bad = F.raise_error(F.lit("a segment is not within its window")).cast("long") if strict else F.lit(None).cast("long")
+    return cut.select(*key, F.when(F.col("wrong"), bad).otherwise(F.coalesce("cut", "n_samples")).alias("cut"))
 
 
 def commit_segments(segments: DataFrame, cuts: DataFrame, key=("rec", "win")) -> DataFrame:
