@@ -24,7 +24,7 @@ def _parsed(raw: DataFrame, schema: str, limit: int = RECORD_BYTES) -> DataFrame
     """`raw` with the fields of its records and `reason`, too large or unreadable: such a record has null fields, and one that is too large no text."""
     large = F.octet_length("raw") > limit
     rows = raw.withColumn("reason", F.when(large, "too large")).withColumn("raw", F.when(~large, F.col("raw"))).withColumn("r", F.from_json("raw", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"}))
-    bad = F.coalesce(F.col("r.__bad").isNotNull(), F.lit(True))
+    bad = F.col("r").isNull() | F.col("r.__bad").isNotNull()
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(bad, "unreadable"))).withColumn("r", F.when(~bad, F.col("r")))
     return rows.select(*raw.columns, "reason", "r.*").drop("__bad")
 
