@@ -219,6 +219,7 @@ def test_quantisation_bounds():
     rng = np.random.default_rng(2)
     q, c = rng.normal(size=(5, 12)), rng.normal(size=(200, 12)) * rng.uniform(0.01, 100, (200, 1))
     got = nearest.tile(np.arange(5), q, np.arange(100, 300), c, 7)
+    assert all(nearest.tile(np.arange(5), q, np.arange(100, 300), c, 7, part) == got for part in (2, 5, 64))
     for i in range(5):
         assert [n for k, n, _ in got if k == i] == [100 + j for j in np.argsort(-(c @ q[i]), kind="stable")[:7]]
 

@@ -47,7 +47,7 @@ def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, part: int = PART) -> list[tuple[int, int, float]]:
-    """(query, candidate, score) of the k nearest within the tile for each query."""
+    """(query, candidate, score) of the k nearest within the tile for each query, nearest first."""
     a, sa, na, ea = rounded(q)
     b, sb, nb, eb = rounded(c)
     exact = np.float32 if q.shape[1] <= 1024 else np.float64  # whole numbers, so the product is exact
@@ -75,7 +75,7 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int,
                 elif (s, -n) > heaps[i][0]:
                     heapq.heapreplace(heaps[i], (s, -n))
             sure[mine] = [h[0][0] if len(h) == k else -np.inf for h in heaps[mine]]
-    return [(i, -n, s) for i, h in zip(qid.tolist(), heaps, strict=True) for s, n in h]
+    return [(i, -n, s) for i, h in zip(qid.tolist(), heaps, strict=True) for s, n in sorted(h, reverse=True)]
 
 
 def nearest(df: DataFrame, is_query: Column, k=K, query_block=QUERY_BLOCK, block=BLOCK) -> DataFrame:
