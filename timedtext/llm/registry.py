@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timedtext.llm import bpe, importance, line_dedup, mixing, near_dup, nearest, quality, secret_scan, token_counts, toxicity, vector_dedup
+from timedtext.llm import bpe, collocations, importance, line_dedup, mixing, near_dup, nearest, quality, secret_scan, token_counts, toxicity, vector_dedup
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_vector_dedup": vector_dedup.op10_vector_dedup,
+        "op11_collocations": collocations.op11_collocations,
         "op13_resample": importance.op13_resample,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql():
         "op7_near_dup": near_dup.SQL,
         "op9_line_dedup": line_dedup.SQL,
         "op10_vector_dedup": vector_dedup.SQL,
+        "op11_collocations": collocations.SQL,
         "op13_resample": importance.SQL,
     }
