@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timedtext.llm import bpe, collocations, importance, line_dedup, mixing, near_dup, nearest, quality, secret_scan, token_counts, toxicity, vector_dedup
+from timedtext.llm import bpe, collocations, importance, line_dedup, mixing, near_dup, nearest, quality, secret_scan, style_tree, token_counts, toxicity, vector_dedup
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_vector_dedup": vector_dedup.op10_vector_dedup,
         "op11_collocations": collocations.op11_collocations,
+        "op12_main_text": style_tree.op12_main_text,
         "op13_resample": importance.op13_resample,
     }
 
