@@ -33,9 +33,14 @@ def code_points(c: Column | str) -> Column:
     return F.char_length(_column(c)).cast("long")
 
 
+def finite(c: Column | str) -> Column:
+    c = _column(c)
+    return ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
 def milliseconds(seconds: Column | str) -> Column:
-    """Rounded half away from zero, after the multiplication."""
-    return F.round(_column(seconds) * 1000).cast("long")
+    """Rounded half away from zero, after the multiplication; null for what is not finite."""
+    return F.when(finite(seconds), F.round(_column(seconds) * 1000)).cast("long")
 
 
 def clock(ms: Column | str, point: str) -> Column:

@@ -16,10 +16,12 @@ def with_tail_interval(speech: DataFrame, windows: DataFrame, key=("rec", "win")
     return speech.select(*key, "start_sample", "end_sample").unionByName(tail)
 
 
-def pause_cut(speech: DataFrame, windows: DataFrame, min_silence_ms: int, key=("rec", "win")) -> DataFrame:
+def pause_cut(speech: DataFrame, windows: DataFrame, min_silence_ms: int, key=("rec", "win"), strict=False) -> DataFrame:
     """(key, cut): the middle of the last silence that is long enough and has its middle in the window's last quarter, else the window's end.
 
-    speech: ordered intervals that don't overlap; windows: n_samples by key.
+    speech: intervals that don't overlap; windows: n_samples by key. A window with
+    intervals that overlap, are reversed or null, or are not within it has no cut, or is
+    an error if `strict`.
     """
     rows = with_tail_interval(speech, windows, key).join(windows.select(*key, "n_samples"), list(key))
     w = W.partitionBy(*key).orderBy("start_sample", "end_sample")
@@ -27,16 +29,19 @@ def pause_cut(speech: DataFrame, windows: DataFrame, min_silence_ms: int, key=("
     rows = rows.withColumn("before", before).withColumn("middle", (F.col("before") + F.floor((F.col("start_sample") - F.col("before")) / 2)).cast("long"))
     long = (F.col("start_sample") > F.col("before")) & (F.col("start_sample") - F.col("before") >= min_silence_ms * (RATE // 1000))
     late = (F.col("middle") >= F.floor(F.col("n_samples") * 3 / 4)) & (F.col("middle") < F.col("n_samples"))
-    cut = last_qualifying(rows, [*key, "n_samples"], F.col("middle"), long & late, F.col("middle"), "cut")
-    return cut.select(*key, F.coalesce("cut", "n_samples").alias("cut"))
+    wrong = F.coalesce((F.col("start_sample") < F.col("before")) | (F.col("end_sample") < F.col("start_sample")) | (F.col("end_sample") > F.col("n_samples")), F.lit(True))
+    cut = rows.groupBy(*key).agg(F.max_by("middle", F.when(long & late, F.col("middle"))).alias("cut"), F.max("n_samples").alias("n_samples"), F.bool_or(wrong).alias("wrong"))
+    bad = F.raise_error(F.lit("invalid speech intervals")).cast("long") if strict else F.lit(None).cast("long")
+    return cut.select(*key, F.when(F.col("wrong"), bad).otherwise(F.coalesce("cut", "n_samples")).alias("cut"))
 
 
 def safe_cut(segments: DataFrame, windows: DataFrame, key=("rec", "win"), order="seq", strict=False) -> DataFrame:
     """(key, cut): the last segment end that is at or before min(preferred, n_samples - guard) and that no later segment starts before, else the whole window.
 
     segments: start_s and end_s in window time; windows: n_samples, preferred and guard by key.
-    A window with a segment whose times are not finite or not within it has no cut, so
-    nothing is committed of it, or is an error if `strict`.
+    A window with a segment whose times are not finite or not within it, or whose
+    preferred place is not above 0 and within it, has no cut, so nothing is committed of
+    it, or is an error if `strict`.
     """
     w = W.partitionBy(*key).orderBy(order)
     rows = segments.select(*key, order, "start_s", "end_s")
@@ -46,9 +51,10 @@ def safe_cut(segments: DataFrame, windows: DataFrame, key=("rec", "win"), order=
     target = F.least(F.col("preferred"), F.greatest(F.col("n_samples") - F.col("guard"), F.lit(0)))
     safe = (at > 0) & (at <= target) & (F.least(F.coalesce("next", F.col("n_samples") / float(RATE)), F.col("n_samples") / float(RATE)) >= at / float(RATE))
     wrong = F.col(order).isNotNull() & invalid_reason(high=F.col("n_samples") / float(RATE)).isNotNull()
-    rows = rows.withColumn("wrong", F.max(wrong).over(W.partitionBy(*key)))
+    nowhere = F.coalesce((F.col("preferred") <= 0) | (F.col("preferred") > F.col("n_samples")), F.lit(True))
+    rows = rows.withColumn("wrong", F.max(wrong | nowhere).over(W.partitionBy(*key)))
     cut = last_qualifying(rows, [*key, "n_samples", "wrong"], at, safe, F.col(order), "cut")
-    bad = F.raise_error(F.lit("a segment is not within its window")).cast("long") if strict else F.lit(None).cast("long")
+    bad = F.raise_error(F.lit("a segment or the preferred place is not within its window")).cast("long") if strict else F.lit(None).cast("long")
     return cut.select(*key, F.when(F.col("wrong"), bad).otherwise(F.coalesce("cut", "n_samples")).alias("cut"))
 
 

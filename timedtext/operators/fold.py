@@ -28,13 +28,15 @@ def values(column: pa.Array) -> list:
     return [np.asarray(x.values) if x.is_valid else None for x in column]
 
 
-def fold(df: DataFrame, key: str, order: list[str], init: Callable[[], State], step: Step, schema: StructType, finish: Callable[[State], Iterable[tuple]] | None = None) -> DataFrame:
+def fold(df: DataFrame, key: str | list[str], order: list[str], init: Callable[[], State], step: Step, schema: StructType, finish: Callable[[State], Iterable[tuple]] | None = None) -> DataFrame:
     """Rows that `step` returns for each row, and `finish` for each key's last state.
 
     step takes (state, row), the row as a tuple in the order of df's columns, and
-    returns (state, rows of `schema`). Lists of numbers are numpy arrays.
+    returns (state, rows of `schema`). Lists of numbers are numpy arrays, structs are
+    dicts. A key may be several columns.
     """
-    place = df.columns.index(key)
+    keys = [key] if isinstance(key, str) else key
+    places = [df.columns.index(k) for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = to_arrow_schema(schema)
@@ -50,10 +52,11 @@ def fold(df: DataFrame, key: str, order: list[str], init: Callable[[], State], s
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 for row in zip(*map(values, part.columns), strict=True):
-                    if not begun or row[place] != last:
+                    at_key = [row[i] for i in places]
+                    if at_key != last:
                         if begun and finish:
                             out.extend(finish(state))
-                        begun, last, state = True, row[place], init()
+                        begun, last, state = True, at_key, init()
                     state, rows = step(state, row)
                     out.extend(rows)
                 if out:
@@ -63,4 +66,4 @@ def fold(df: DataFrame, key: str, order: list[str], init: Callable[[], State], s
             if out:
                 yield made()
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

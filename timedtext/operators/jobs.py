@@ -96,7 +96,7 @@ def overwrites_input(outputs: DataFrame, inputs: DataFrame, target="target", pat
 
 def output_collisions(outputs: DataFrame, target="target", source="source") -> DataFrame:
     """(target, n_sources, first_source) of the targets that several sources have."""
-    return outputs.groupBy(target).agg(F.count("*").alias("n_sources"), F.min(source).alias("first_source")).filter("n_sources > 1")
+    return outputs.groupBy(target).agg(F.count_distinct(source).alias("n_sources"), F.min(source).alias("first_source")).filter("n_sources > 1")
 
 
 def complete_sets(outputs: DataFrame, files: DataFrame, key="job") -> DataFrame:

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from timedtext.functions.text import RATE
+from timedtext.functions.text import RATE, valid_language
 from timedtext.operators.fold import fold
-from timedtext.operators.segments import invalid_reason
+from timedtext.operators.runs import differing_fields
+from timedtext.operators.segments import MAX_LANGUAGES, invalid_reason
+
+
+#: Fixed value: the version of the manifests that are read.
+SCHEMA = 3
 
 
 def _segment_reason(segments: str) -> Column:
@@ -48,6 +53,7 @@ def verify_chain(chunks: DataFrame, limit_samples: int, manifests: DataFrame | N
     count = F.size("segments") if "segments" in chunks.columns else F.col("n_segments") if "n_segments" in chunks.columns else None
     if count is not None:
         reason = reason.when((count > 0) != (F.col("language") != ""), "language")
+    reason = reason.when(~valid_language("language"), "language")
     if "segments" in chunks.columns:
         reason = reason.otherwise(_segment_reason("segments"))
     return rows.withColumn("reason", reason).drop("__n", "__at", "__hash")
@@ -72,15 +78,64 @@ def valid_recordings(chunks: DataFrame, limit_samples: int, manifests: DataFrame
     totals = recording_totals(checked, None, key, order).join(checked.groupBy(key).agg(F.bool_and(F.col("reason").isNull()).alias("records")), key)
     m = manifests.select(key, F.col("chunks").alias("m_chunks"), F.col("samples").alias("m_samples"), F.col("last_hash").alias("m_hash"), *([F.col("languages").alias("m_languages")] if "languages" in manifests.columns else []))
     same = F.col("records") & (F.col("chunks") == F.col("m_chunks")) & (F.col("samples") == F.col("m_samples")) & (F.col("last_hash") == F.col("m_hash"))
-    empty = (F.col("m_chunks") == 0) & (F.col("m_samples") == 0)
+    empty = (F.col("m_chunks") == 0) & (F.col("m_samples") == 0) & (F.col("m_hash") == "")
     joined = m.join(totals, key, "left")
     if "languages" in manifests.columns:
         none = F.array().cast("array<string>")
         joined = joined.join(detected_languages(checked, key, order), key, "left")
-        same = same & (F.coalesce("languages", none) == F.coalesce("m_languages", none))
+        same = same & (F.coalesce("languages", none) == F.coalesce("m_languages", none)) & (F.size(F.coalesce("languages", none)) <= MAX_LANGUAGES)
+        empty = empty & (F.size(F.coalesce("m_languages", none)) == 0)
     return joined.select(key, F.coalesce(same, empty, F.lit(False)).alias("valid"))
 
 
+def manifest_reason(manifests: DataFrame) -> Column:
+    """Why a manifest, as read_manifests has it, is none: the reader's reason, `schema` or `manifest`; null if it is right."""
+    reader = F.col("reason") if "reason" in manifests.columns else F.lit(None).cast("string")
+    needed = ("fingerprint", "chunks", "samples", "languages", "last_hash", "finished", "published_hashes", "output_metadata.model", "output_metadata.run")
+    missing = F.exists(F.array(*(F.col(c).isNull() for c in needed)), lambda x: x)
+    return F.coalesce(reader, F.when(F.coalesce("schema_version", F.lit(0)) != SCHEMA, "schema").when(missing | (F.col("chunks") < 0) | (F.col("samples") < 0), "manifest"))
+
+
+def restore(manifests: DataFrame, chunks: DataFrame, jobs: DataFrame, limit_samples: int, resume=True, overwrite=False, key="rec", order="idx") -> DataFrame:
+    """(rec, action, reason): what becomes of the saved work of each recording.
+
+    `start` anew, where there is none, or none but a first record that was not committed
+    any more, or all is to be overwritten; `resume`; `publish` what is finished; or
+    `refuse`, with the reason: what is wrong with the manifest, `corrupt` records,
+    `unknown contents`, `manifest missing`, `saved progress` that may not be resumed, or
+    the settings that changed. manifests and chunks: as read_journal has them, chunks
+    with their index as idx; jobs: rec and its fingerprint, a JSON text, of now.
+    """
+    checked = manifests.withColumn("__reason", manifest_reason(manifests))
+    right = checked.filter("__reason is null")
+    # a record that cannot be read is not a committed one that is missing: the recording has unknown contents
+    records = chunks.filter(F.col(order).isNotNull())
+    valid = valid_recordings(records, limit_samples, right, key, order)
+    first = records.filter(F.col(order) == 0)
+    usable = verify_chain(first, limit_samples, None, key, order).select(key, F.col("reason").isNull().alias("usable"))
+    stored = chunks.groupBy(key).agg(F.count("*").alias("records"), F.count_if(F.coalesce(F.col(order) != 0, F.lit(True))).alias("others")).join(usable.groupBy(key).agg(F.bool_and("usable").alias("usable")), key, "left")
+    saved = right.select(key, F.get_json_object("raw", "$.fingerprint").alias("json"))
+    changed = differing_fields(saved, jobs.select(key, F.col("fingerprint").alias("json")), key)
+    state = checked.select(key, F.lit(True).alias("there"), "__reason", "chunks", "finished", F.size("published_hashes").alias("hashes"))
+    keys = jobs.select(key).union(manifests.select(key)).union(chunks.select(key)).distinct()
+    rows = keys
+    for part in (state, valid, stored, changed):
+        rows = rows.join(part, key, "left")
+    empty = (F.col("chunks") == 0) & ~F.col("finished") & (F.col("hashes") == 0)
+    refusal = (
+        F.when(F.col("there").isNull(), F.when(F.col("records") > 0, "manifest missing"))
+        .when(F.col("__reason").isNotNull(), F.col("__reason"))
+        .when(~F.col("valid"), "corrupt")
+        .when(empty, F.when(F.col("others") > 0, "unknown contents").when(~F.coalesce("usable", F.lit(True)), "corrupt"))
+        .when(F.lit(not resume), "saved progress")
+        .when(F.col("fields").isNotNull(), F.concat(F.lit("changed: "), "fields"))
+    )
+    begins = F.lit(overwrite and not resume) | F.col("there").isNull() | F.coalesce(empty, F.lit(False))
+    refusal = F.when(F.lit(not (overwrite and not resume)), refusal)
+    rows = rows.withColumn("reason", refusal)
+    return rows.select(key, F.when(F.col("reason").isNotNull(), "refuse").when(begins, "start").when(F.col("finished"), "publish").otherwise("resume").alias("action"), "reason")
+
+
 def link_chain(chunks: DataFrame, key="rec", order="idx") -> DataFrame:
     """(rec, idx, previous_hash, raw, hash): records whose hash covers the one before.
 

@@ -59,6 +59,8 @@ class Windows:
     def __init__(self, limit: int, guard: int, recognize: Recognize, choose_cut: ChooseCut, skip: int = 0, index: int = 0) -> None:
         if not 0 < limit <= MAX_WINDOW:
             raise ValueError("invalid window")
+        if guard < 0 or skip < 0:
+            raise ValueError("a negative guard or place")
         self.limit, self.guard, self.recognize, self.choose_cut = limit, guard, recognize, choose_cut
         self.buffer, self.position, self.index, self.skip, self.recognized = np.zeros(0, np.float32), skip, index, skip, 0
 
@@ -71,7 +73,9 @@ class Windows:
             yield self.commit(self.buffer[: self.limit], last=False)
 
     def finish(self) -> Iterator[dict]:
-        """At the end of the recording."""
+        """At the end of the recording; an error if that is before what is committed."""
+        if self.skip:
+            raise ValueError("the audio ends before the committed place")
         while len(self.buffer):
             yield self.commit(self.buffer, last=True)
 
@@ -107,7 +111,8 @@ def recognize_windows(blocks: DataFrame, recognize: Recognize, choose_cut: Choos
     """Committed windows of each recording, one after the other: where a window is cut tells where the next begins.
 
     blocks: rec, start_sample, samples; limit and guard in samples. With manifests
-    (rec, chunks, samples), what is committed is read but not recognized again.
+    (rec, chunks, samples), what is committed is read but not recognized again; audio
+    that ends before that place is an error (short_recordings tells them beforehand).
     `whole` marks windows that were committed whole for lack of a safe boundary.
     """
     rows = blocks.select(key, "start_sample", "samples", F.lit(0).cast("long").alias("skip"), F.lit(0).cast("long").alias("chunks"))
@@ -126,6 +131,15 @@ def recognize_windows(blocks: DataFrame, recognize: Recognize, choose_cut: Choos
     return fold(rows, key, ["start_sample"], lambda: None, step, committed_type(blocks.schema[key]), finish)
 
 
+def short_recordings(blocks: DataFrame, recordings: DataFrame, key="rec") -> DataFrame:
+    """(rec, reason) of the recordings that cannot be worked on: `empty` without a sample, `short` where the audio ends before what is committed. recordings: rec and, if there, samples."""
+    there = blocks.groupBy(F.col(key).alias("__rec")).agg(F.max(F.col("start_sample") + F.size("samples")).alias("__end"))
+    done = F.coalesce("samples", F.lit(0)) if "samples" in recordings.columns else F.lit(0)
+    rows = recordings.join(there, recordings[key] == there["__rec"], "left")
+    end = F.coalesce("__end", F.lit(0))
+    return rows.select(key, F.when(end < done, "short").when(end <= 0, "empty").alias("reason")).filter("reason is not null")
+
+
 def overlapping_windows(blocks: DataFrame, size: int, overlap: int, key="rec") -> DataFrame:
     """(rec, win, start_sample, samples): windows of `size` samples that overlap, on a fixed grid; each block is sent to the windows it meets."""
     if not 0 <= overlap < size:

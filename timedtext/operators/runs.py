@@ -131,6 +131,14 @@ def flatten_json(df: DataFrame, json: str, key: str) -> DataFrame:
     return df.select(key, F.explode(leaves(json)).alias("x")).select(key, "x.pointer", "x.value")
 
 
+def differing_fields(saved: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """(key, fields): the pointers of what differs between two JSON texts, nested members and items of lists too, sorted and joined with a comma; null is not the same as missing. Of keys that both have, and that differ."""
+    both = saved.select(key).join(current.select(key), key, "left_semi").distinct()
+    side = lambda df, name: flatten_json(df.join(both, key, "left_semi"), "json", key).select(key, "pointer", F.struct("value").alias(name))
+    rows = side(saved, "saved").join(side(current, "current"), [key, "pointer"], "full_outer")
+    return changed_fields(rows.filter(~F.col("saved").eqNullSafe(F.col("current"))), key)
+
+
 def duration_after_vad(duration: Column | str, vad: Column | str) -> Column:
     """Null if the speech filter was on, else the duration."""
     d, v = (F.col(c) if isinstance(c, str) else c for c in (duration, vad))

@@ -89,14 +89,26 @@ def srt_cues(segments: DataFrame, key="rec", order="seq") -> DataFrame:
 
 
 def vtt_cues(segments: DataFrame, key="rec", order="seq") -> DataFrame:
-    """(rec, cue, start_ms, end_ms, start, end, text) of WebVTT captions: starts never go back, ends are at least 1 ms later."""
+    """(rec, cue, start_ms, end_ms, start, end, text) of WebVTT captions: starts never go back, nor before 0, ends are at least 1 ms later.
+
+    A cue with a time that is not finite has null times, and moves no other.
+    """
     w = W.partitionBy(key).orderBy(order)
-    out = segments.withColumn("start_ms", F.max(t.milliseconds("start_s")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = out.withColumn("end_ms", F.greatest(t.milliseconds("end_s"), F.col("start_ms") + 1))
+    good = t.finite("start_s") & t.finite("end_s")
+    latest = F.max(F.when(good, t.milliseconds("start_s"))).over(w.rowsBetween(W.unboundedPreceding, 0))
+    out = segments.withColumn("start_ms", F.when(good, F.greatest(latest, F.lit(0))))
+    out = out.withColumn("end_ms", F.when(good, F.greatest(t.milliseconds("end_s"), F.col("start_ms") + 1)))
     out = cue_index(out, key, order)
     return out.select(key, "cue", "start_ms", "end_ms", t.vtt_time("start_ms").alias("start"), t.vtt_time("end_ms").alias("end"), t.cue_escape("text").alias("text"))
 
 
+def refused_cue(caption: str, start: Column | str = "start_s", end: Column | str = "end_s") -> Column:
+    """Why a segment cannot be a caption: a time that is null or not finite, or, in `srt`, negative; null if it can."""
+    times = [F.col(x) if isinstance(x, str) else x for x in (start, end)]
+    reason = F.when(~(F.coalesce(t.finite(times[0]), F.lit(False)) & F.coalesce(t.finite(times[1]), F.lit(False))), "not finite")
+    return reason.when((times[0] < 0) | (times[1] < 0), "negative") if caption == "srt" else reason
+
+
 def last_qualifying(df: DataFrame, keys: list[str], value: Column, condition: Column, order: Column, name="value") -> DataFrame:
     """(keys, value) of each group's last row that meets the condition, without a sort; null if none does."""
     return df.groupBy(*keys).agg(F.max_by(value, F.when(condition, order)).alias(name))

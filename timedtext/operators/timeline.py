@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from timedtext.functions.text import RATE
-from timedtext.operators.fold import fold
+from timedtext.operators.scan import BITS, block_scan
 
 #: Jitter that is snapped, the longest gap that is kept in a transport stream, and errors without progress.
 JITTER, LONGEST_GAP, STALLED = RATE // 10, 10 * RATE, 1024
@@ -84,7 +84,7 @@ def place_frame(state: tuple | None, pts: int | None, n: int | None, delay: int
     reset = False
     if state is not None:  # the first timestamp is no jitter
         off, jitter = start - expected, max(JITTER, tolerance)
-        reset = off < -jitter or (gaps == "auto" and bool(transport) and off > LONGEST_GAP)
+        reset = off < -jitter or (gaps == "auto" and bool(transport) and off > max(jitter, LONGEST_GAP))
         if reset:
             shift -= off
         if reset or off <= jitter:
@@ -100,8 +100,95 @@ def aligned_type(frames: DataFrame, key="rec", order="seq") -> T.StructType:
     return T.StructType([frames.schema[key], frames.schema[order], *(T.StructField(n, k) for n, k in new)])
 
 
-def align_timeline(frames: DataFrame, gaps="auto", key="rec", order="seq", strict=False) -> DataFrame:
-    """(rec, seq, start, discontinuity, reset, timeline_end, n_samples) of each frame; gaps is auto or preserve. A timestamp out of range has no start, or is an error if `strict`."""
+def timeline_sums(rows: list[tuple], gaps: str) -> tuple:
+    """A block of frames (rec, seq, pts, n, delay, tolerance, transport) as a function of the state before it.
+
+    What a frame does depends on the lead alone, the end less the shift: it is snapped
+    if its timestamp is near the lead, and else puts the lead where its own timestamp
+    ends, whatever it was. So a block has a range of leads that are snapped all through
+    and come out moved by a sum, and ranges that leave it at the same frame and all come
+    out with the same lead. Returns, range by range, lowest and highest lead, whether the
+    lead that comes out is fixed, it or by how much it moves, and what is added to the
+    shift: `some`, and the lead itself where `by_lead` is 1. Last, the state behind the
+    block where it is a recording's first.
+    """
+    low, high, moved = -_BOUND, _BOUND, 0
+    fixed: dict[int, tuple[int, list[list[int]]]] = {}  # lead: what was added to the shift since, and (low, high, by_lead, some)
+    begin: tuple | None = None
+    begun = False
+
+    def put(into: dict, lead: int, added: int, ranges: list) -> None:
+        there = into.get(lead)
+        if there is None:
+            into[lead] = (added, ranges)
+        else:
+            there[1].extend([a, b, c, x + added - there[0]] for a, b, c, x in ranges)
+
+    for row in rows:
+        _, _, pts, n, delay, tolerance, transport = row
+        n, delay, jitter = n or 0, delay or 0, max(JITTER, tolerance or 0)
+        snapped = delay + n if n else 0
+        if pts is None:
+            fixed = {lead + snapped: x for lead, x in fixed.items()}
+            moved += snapped
+        else:
+            far = max(jitter, LONGEST_GAP) if gaps == "auto" and transport else None
+            then: dict[int, tuple[int, list[list[int]]]] = {}
+            for lead, (added, ranges) in fixed.items():
+                off = pts - delay - lead
+                if off < -jitter or (far is not None and off > far):
+                    put(then, pts + n if n else lead + off, added - off, ranges)
+                elif off > jitter:
+                    put(then, pts + n if n else lead, added, ranges)
+                else:
+                    put(then, lead + snapped, added, ranges)
+            near = pts - delay - moved
+            if low <= high and near + jitter < high:
+                put(then, pts + n if n else pts - delay, 0, [[max(low, near + jitter + 1), high, 1, -near]])
+                high = near + jitter
+            if low <= high and far is not None and low < near - far:
+                put(then, pts + n if n else pts - delay, 0, [[low, min(high, near - far - 1), 1, -near]])
+                low = near - far
+            if low <= high and n and low < near - jitter:
+                put(then, pts + n, 0, [[low, min(high, near - jitter - 1), 0, 0]])
+                low = near - jitter
+            fixed = then
+            moved += snapped
+        if not begun:
+            begin, _ = place_frame(begin, pts, n, delay, tolerance, transport, gaps)
+            if begin is not None and begin[0] is not None:
+                put(fixed, begin[0] - begin[1], 0, [[1, 0, 0, begin[1]]])
+                begun = True
+    out = [(a, b, True, lead, c, x + added) for lead, (added, ranges) in fixed.items() for a, b, c, x in ranges]
+    first = next(((lead + shift, shift) for a, b, _, lead, _, shift in out if a > b), begin or (None, None))
+    out = [r for r in out if r[0] <= r[1]] + ([(low, high, False, moved, 0, 0)] if low <= high else [])
+    return (*map(list, zip(*out, strict=True)), *first)
+
+
+def timeline_after(state: tuple | None, sums: tuple) -> tuple:
+    """The state behind a block of timeline_sums."""
+    low, high, fixed, value, by_lead, some, end, shift = sums
+    if state is None:
+        return end, shift
+    before = (state[0] or 0) - state[1]
+    for i in range(len(low)):
+        if low[i] <= before <= high[i]:
+            shift = state[1] + by_lead[i] * before + some[i]
+            return shift + (value[i] if fixed[i] else before + value[i]), shift
+    raise ValueError("timestamp out of range")
+
+
+_LONG, _LONGS = T.LongType(), T.ArrayType(T.LongType())
+STATE = T.StructType([T.StructField("end", _LONG), T.StructField("shift", _LONG)])
+SUMS = T.StructType([T.StructField(n, k) for n, k in (("low", _LONGS), ("high", _LONGS), ("fixed", T.ArrayType(T.BooleanType())), ("value", _LONGS), ("by_lead", _LONGS), ("some", _LONGS), ("end", _LONG), ("shift", _LONG))])
+
+
+def align_timeline(frames: DataFrame, gaps="auto", key="rec", order="seq", strict=False, bits=BITS) -> DataFrame:
+    """(rec, seq, start, discontinuity, reset, timeline_end, n_samples) of each frame; gaps is auto or preserve. A timestamp out of range has no start, or is an error if `strict`.
+
+    A recording of several blocks of 2 ** bits frames is placed in parallel, unless its
+    timestamps could get out of range or it has negative lengths.
+    """
     if gaps not in ("auto", "preserve"):
         raise ValueError("gaps is auto or preserve")
 
@@ -111,7 +198,10 @@ def align_timeline(frames: DataFrame, gaps="auto", key="rec", order="seq", stric
         return state, [(rec, seq, *placed, n)]
 
     rows = frames.select(key, order, "pts", "n_samples", "delay", "tolerance", "transport")
-    return fold(rows, key, [order], lambda: None, step, aligned_type(frames, key, order))
+    double = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    reach = F.count("*") * (2 * F.max(F.abs(double("pts"))) + F.max(F.greatest(double("tolerance"), F.lit(float(LONGEST_GAP))))) + 2 * F.sum(double("n_samples") + double("delay"))
+    able = (F.min(double("n_samples")) >= 0) & (F.min(double("delay")) >= 0) & (reach < float(_BOUND // 4))
+    return block_scan(rows, key, order, lambda: None, step, aligned_type(frames, key, order), STATE, lambda block: timeline_sums(block, gaps), SUMS, timeline_after, able, bits)
 
 
 def silence_fill(aligned: DataFrame, key="rec", order="seq") -> DataFrame:

@@ -142,7 +142,7 @@ Q = {
             a AS (SELECT rec, win, start_sample AS s, end_sample AS e FROM windows_v UNION ALL SELECT rec, win, n_samples, n_samples FROM w),
             b AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY rec, win ORDER BY s, e), 0) AS p FROM a),
             c AS (SELECT *, p + (s - p) // 2 AS m FROM b)
-            SELECT c.rec, c.win, coalesce(max(m) FILTER (WHERE s > p AND s - p >= {MIN_SILENCE_MS * 16} AND m >= n_samples * 3 // 4 AND m < n_samples), any_value(n_samples)) AS cut
+            SELECT c.rec, c.win, CASE WHEN bool_or(s < p OR e < s OR e > n_samples) THEN NULL ELSE coalesce(max(m) FILTER (WHERE s > p AND s - p >= {MIN_SILENCE_MS * 16} AND m >= n_samples * 3 // 4 AND m < n_samples), any_value(n_samples)) END AS cut
             FROM c JOIN w ON w.rec = c.rec AND w.win = c.win GROUP BY c.rec, c.win""",
     ),
     "safe_cut": (lambda v: cuts.safe_cut(window_segments(v), windows(v)), f"WITH {SAFE} SELECT rec, win, cut FROM cuts"),

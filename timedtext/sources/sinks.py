@@ -31,26 +31,47 @@ def write_text(segs: DataFrame, path: str, pause_ms=2000, layout="paragraphs", k
     _lines(text_rows(segs, pause_ms, layout, key), path, key, ["paragraph"])
 
 
+def refused_cues(segs: DataFrame, caption: str, strict=False, key="rec", order="seq") -> DataFrame:
+    """(rec, seq, reason) of the segments whose times no caption can have (`caption`: srt or vtt); with `strict`, the first is an error."""
+    reason = segments.refused_cue(caption)
+    found = segs.select(key, order, reason.alias("reason")).filter("reason is not null")
+    return found.withColumn("reason", F.raise_error(F.concat(F.lit("invalid time: "), "reason")).cast("string")) if strict else found
+
+
+def _captions(segs: DataFrame, caption: str) -> DataFrame:
+    return segs.filter(segments.refused_cue(caption).isNull())
+
+
 def srt_rows(segs: DataFrame, key="rec") -> DataFrame:
-    """(rec, cue, value): number, times, text and an empty line."""
-    c = segments.srt_cues(segs, key)
+    """(rec, cue, value): number, times, text and an empty line; refused_cues has what is left out."""
+    c = segments.srt_cues(_captions(segs, "srt"), key)
     return c.select(key, "cue", F.concat(F.col("cue").cast("string"), F.lit("\n"), "start", F.lit(" --> "), "end", F.lit("\n"), "text", F.lit("\n")).alias("value"))
 
 
-def write_srt(segs: DataFrame, path: str, key="rec") -> None:
+def write_srt(segs: DataFrame, path: str, key="rec", strict=False) -> DataFrame:
+    """Writes the captions and returns those that are refused; with `strict` they are an error before anything is written."""
+    refused = refused_cues(segs, "srt", strict, key)
+    if strict:
+        refused.write.format("noop").mode("overwrite").save()
     _lines(srt_rows(segs, key), path, key, ["cue"])
+    return refused
 
 
 def vtt_rows(segs: DataFrame, key="rec") -> DataFrame:
     """(rec, cue, value): the header as cue -1, then the cues."""
-    c = segments.vtt_cues(segs, key)
+    c = segments.vtt_cues(_captions(segs, "vtt"), key)
     cues = c.select(key, "cue", F.concat(F.col("cue").cast("string"), F.lit("\n"), "start", F.lit(" --> "), "end", F.lit("\n"), "text", F.lit("\n")).alias("value"))
     header = segs.select(key).distinct().select(key, F.lit(-1).cast("long").alias("cue"), F.lit("WEBVTT\n").alias("value"))
     return header.unionByName(cues)
 
 
-def write_vtt(segs: DataFrame, path: str, key="rec") -> None:
+def write_vtt(segs: DataFrame, path: str, key="rec", strict=False) -> DataFrame:
+    """Writes the captions and returns those that are refused, as write_srt does."""
+    refused = refused_cues(segs, "vtt", strict, key)
+    if strict:
+        refused.write.format("noop").mode("overwrite").save()
     _lines(vtt_rows(segs, key), path, key, ["cue"])
+    return refused
 
 
 def json_documents(segs: DataFrame, headers: DataFrame, pause_ms=2000, layout="paragraphs", key="rec") -> DataFrame:
@@ -110,6 +131,13 @@ def append_journal(results: DataFrame, path: str, key="rec") -> None:
     append_rows(results, key)[0].write.mode("append").parquet(path)
 
 
+def write_journal(records: DataFrame, manifests: DataFrame, path: str, key="rec") -> None:
+    """Linked records (rec, idx, raw) and manifests (rec, raw) as JSON lines, for tables.read_journal_lines."""
+    for part, rows, order in (("chunks", records, ["idx"]), ("manifests", manifests, [])):
+        rows = rows.select(F.col(key).alias("rec"), *order, F.col("raw").alias("value")).repartition("rec").sortWithinPartitions("rec", *order)
+        rows.select("rec", "value").write.mode("overwrite").partitionBy("rec").text(f"{path}/{part}")
+
+
 def render_counts(segs: DataFrame, key="rec", pause_ms=2000) -> tuple[DataFrame, DataFrame]:
     """(rec, paragraphs, cues) of the recordings with text, and the keys of those without any, which are not published."""
     texts = paragraphs.paragraph_texts(segs, pause_ms, key=key).groupBy(key).agg(F.count("*").alias("paragraphs"))
@@ -118,16 +146,33 @@ def render_counts(segs: DataFrame, key="rec", pause_ms=2000) -> tuple[DataFrame,
     return both.filter("paragraphs is not null").select(key, "paragraphs", "cues"), both.filter("paragraphs is null").select(key)
 
 
+def default_headers(segs: DataFrame, key="rec") -> DataFrame:
+    """Headers of documents whose source is the key and whose duration is that of the segments; model and run are not known."""
+    none = F.lit(None).cast("string")
+    times = F.max(F.when(t.finite("end_s"), F.col("end_s")))
+    return segs.groupBy(key).agg(times.alias("duration")).select(key, F.col(key).cast("string").alias("source"), none.alias("model"), "duration", F.lit(False).alias("vad"), F.create_map().cast("map<string,string>").alias("run"))
+
+
 def publish_all(segs: DataFrame, path: str, formats=("text", "srt", "vtt", "json"), headers: DataFrame | None = None, render: Callable[[DataFrame], Column] | None = None, pause_ms=2000, key="rec") -> DataFrame:
-    """Writes every requested format of one result below `path` and returns the keys of recordings without text, which are refused.
+    """Writes every requested format of one result below `path` and returns (rec, reason) of the recordings that are refused: `no text`, or `invalid time` where a requested caption has one.
 
-    `render` gives a column of the segments that replaces their text first.
+    `render` gives a column of the segments that replaces their text first. Headers
+    of JSON documents are derived from the segments where none are given.
     """
+    writable = ("text", "srt", "vtt", "json")
+    if unknown := [f for f in formats if f not in writable]:
+        raise ValueError(f"unknown formats: {unknown}")
     if render:
         segs = segs.withColumn("text", render(segs))
     segs = segs.persist()
     try:
-        _, failed = render_counts(segs, key, pause_ms)
+        _, blank = render_counts(segs, key, pause_ms)
+        failed = blank.withColumn("reason", F.lit("no text"))
+        for caption in ("srt", "vtt"):
+            if caption in formats:
+                failed = failed.unionByName(refused_cues(segs, caption, key=key).select(key, F.lit("invalid time").alias("reason")))
+        failed = failed.groupBy(key).agg(F.max("reason").alias("reason"))
+        headers = headers if headers is not None else default_headers(segs, key)
         good = segs.join(failed, key, "left_anti")
         writers = {"text": lambda p: write_text(good, p, pause_ms, key=key), "srt": lambda p: write_srt(good, p, key), "vtt": lambda p: write_vtt(good, p, key), "json": lambda p: write_json(good, headers, p, pause_ms, key)}
         for f in formats:
