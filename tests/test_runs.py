@@ -190,3 +190,68 @@ def test_resume_refuses_other_settings(spark, tmp_path):
     a, b = spark.createDataFrame([(1, "x")], "job long, model string"), spark.createDataFrame([(1, "y")], "job long, model string")
     with pytest.raises(ValueError, match="/model"):
         streams.resume(a, str(tmp_path / "o"), str(tmp_path / "c"), a, b)
+
+
+def saved(spark, tmp_path, **changes):
+    """The decision on one recording whose saved files are changed: `manifest` and `fingerprint` update theirs, a number is a record's text, `drop` names files that are missing."""
+    kind = "rec string, idx long, start_sample long, end_sample long, language string, segments array<struct<start: double, `end`: double, text: string, no_speech_prob: double>>"
+    n = changes.pop("n", 2)
+    chunks = spark.createDataFrame([("r", i, i * 16_000, i * 16_000 + 16_000, "en", [(float(i), i + 0.5, "x", 0.1)]) for i in range(n)], kind)
+    records = journal.chunk_records(chunks).orderBy("idx").collect()
+    print_ = {"source": "a", "outputs": {"srt": "a.srt"}, "run": {"beam": "5", "list": ["1", "2"]}}
+    manifest = {"schema_version": 3, "fingerprint": print_, "output_metadata": {"model": "m", "run": {}}, "chunks": n, "samples": n * 16_000, "languages": ["en"] if n else [], "last_hash": hashlib.sha256(records[-1].raw.encode()).hexdigest() if n else "", "finished": False, "published_hashes": {}}
+    manifest |= changes.pop("manifest", {})
+    how = {k: changes.pop(k) for k in ("resume", "overwrite") if k in changes}
+    now = print_ | changes.pop("fingerprint", {})
+    files = {"manifest.json": json.dumps(manifest), **{f"chunk-{i}.json": x.raw for i, x in enumerate(records)}}
+    drop = changes.pop("drop", ())
+    files |= {f"chunk-{k[1:]}.json": v for k, v in changes.items()}
+    folder = tmp_path / str(time.monotonic_ns())
+    (folder / "r").mkdir(parents=True)
+    for name, x in files.items():
+        if name not in drop:
+            (folder / "r" / name).write_text(x)
+    manifests, read = tables.read_journal(spark, str(folder))
+    jobs = spark.createDataFrame([("r", json.dumps(now)), ("new", "{}")], "rec string, fingerprint string")
+    got = {x.rec: (x.action, x.reason) for x in journal.restore(manifests, read.withColumnRenamed("index", "idx"), jobs, 16_000, **how).collect()}
+    assert got.pop("new") == ("start", None)
+    return got["r"]
+
+
+def test_restoring(spark, tmp_path):
+    go = lambda **c: saved(spark, tmp_path, **c)
+    assert go() == ("resume", None)
+    assert go(manifest={"finished": True}) == ("publish", None)
+    assert go(resume=False) == ("refuse", "saved progress")
+    assert go(resume=False, overwrite=True, manifest={"schema_version": 1}) == ("start", None)
+    assert go(manifest={"schema_version": 2}) == ("refuse", "schema")
+    assert go(manifest={"samples": -1}) == ("refuse", "manifest") and go(manifest={"output_metadata": {"model": None, "run": {}}}) == ("refuse", "manifest")
+    assert go(manifest={"last_hash": "zz"}) == ("refuse", "corrupt") and go(manifest={"languages": []}) == ("refuse", "corrupt")
+    assert go(c1="{") == ("refuse", "corrupt") and go(drop=("chunk-1.json",)) == ("refuse", "corrupt")
+    assert go(drop=("manifest.json",)) == ("refuse", "manifest missing")
+    assert go(c2='{"index": 2}') == ("resume", None)  # not committed
+    assert go(fingerprint={"run": {"beam": "6", "list": ["1"]}, "extra": None}) == ("refuse", "changed: /extra, /run/beam, /run/list/1")
+
+
+def test_restoring_what_has_begun_only(spark, tmp_path):
+    go = lambda **c: saved(spark, tmp_path, **c)
+    nothing = {"chunks": 0, "samples": 0, "languages": [], "last_hash": ""}
+    assert go(n=0) == ("start", None)
+    assert go(n=1, manifest=nothing) == ("start", None)
+    assert go(n=2, manifest=nothing) == ("refuse", "unknown contents")
+    assert go(n=1, manifest=nothing, c0='{"index": 0, "start_sample": 3}') == ("refuse", "corrupt")
+    assert go(n=0, manifest={"last_hash": "zz"}) == ("refuse", "corrupt") and go(n=0, manifest={"languages": ["en"]}) == ("refuse", "corrupt")
+
+
+def test_languages_of_records(spark):
+    kind = "rec string, idx long, start_sample long, end_sample long, previous_hash string, language string, raw string, n_segments int"
+    reason = lambda x: journal.verify_chain(spark.createDataFrame([("r", 0, 0, 10, "", x, "{}", 1)], kind), 10).first().reason
+    assert [reason(x) for x in ("en", "zh-hant", "EN", "e n", "x" * 17, "en?")] == [None, None, "language", "language", "language", "language"]
+
+
+def test_files_are_whole(spark, tmp_path):
+    df = spark.createDataFrame([("a/1.txt", "x"), ("a/2.txt", None), ("b.txt", "é")], "name string, content string").repartition(2)
+    assert sinks.write_files(df, str(tmp_path)) == 3
+    assert {str(f.relative_to(tmp_path)): f.read_text() for f in tmp_path.rglob("*") if f.is_file()} == {"a/1.txt": "x", "a/2.txt": "", "b.txt": "é"}
+    with pytest.raises(Exception, match="no name"):
+        sinks.write_files(spark.createDataFrame([("../x", "y")], "name string, content string"), str(tmp_path))

@@ -75,11 +75,13 @@ class Resampler:
         self.held, self.at, self.made = np.zeros(0), 0, 0  # the input from index `at` on, and the number of samples made
         self.weights = _sinc_weights(rate, self.up, self.half)
 
-    def push(self, samples: np.ndarray) -> np.ndarray:
+    def mono(self, samples: np.ndarray) -> np.ndarray:
+        """The mean of the channels; two channels keep their power: their sum times sqrt(1/2)."""
         x = np.asarray(samples, np.float64).reshape(-1, self.channels)
-        # two channels keep their power: their sum times sqrt(1/2)
-        mono = x.sum(axis=1) * (np.sqrt(0.5) if self.channels == 2 else 1 / self.channels)
-        self.held = np.concatenate([self.held, mono])
+        return x.sum(axis=1) * (np.sqrt(0.5) if self.channels == 2 else 1 / self.channels)
+
+    def push(self, samples: np.ndarray) -> np.ndarray:
+        self.held = np.concatenate([self.held, self.mono(samples)])
         # a sample needs `half` of the input behind its place
         return self._make(max(0, -(-(self.at + len(self.held) - self.half) * self.up // self.down)))
 

@@ -94,9 +94,9 @@ def overwrites_input(outputs: DataFrame, inputs: DataFrame, target="target", pat
     return outputs.join(there, outputs[target] == there["__path"], "left_semi")
 
 
-def output_collisions(outputs: DataFrame, target="target", source="source") -> DataFrame:
-    """(target, n_sources, first_source) of the targets that several sources have."""
-    return outputs.groupBy(target).agg(F.count_distinct(source).alias("n_sources"), F.min(source).alias("first_source")).filter("n_sources > 1")
+def output_collisions(outputs: DataFrame, target="target", source="source", job: str | None = None) -> DataFrame:
+    """(target, n_sources, first_source) of the targets that several jobs have, or sources where jobs have no column; a target that one has twice is none."""
+    return outputs.groupBy(target).agg(F.count_distinct(job or source).alias("n_sources"), F.min(source).alias("first_source")).filter("n_sources > 1")
 
 
 def complete_sets(outputs: DataFrame, files: DataFrame, key="job") -> DataFrame:

@@ -96,6 +96,21 @@ def manifest_reason(manifests: DataFrame) -> Column:
     return F.coalesce(reader, F.when(F.coalesce("schema_version", F.lit(0)) != SCHEMA, "schema").when(missing | (F.col("chunks") < 0) | (F.col("samples") < 0), "manifest"))
 
 
+def manifest_records(records: DataFrame, fingerprints: DataFrame, metadata: DataFrame, finished: Column | None = None, key="rec", order="idx") -> DataFrame:
+    """(rec, raw): the manifest of the linked records (rec, idx, raw) of each recording. fingerprints: rec, fingerprint (a JSON text); metadata: rec, model, run (a map)."""
+    own = records.withColumn("__r", F.from_json("raw", "end_sample long, language string"))
+    totals = recording_totals(own.select(key, order, "raw", F.col("__r.end_sample").alias("end_sample")), None, key, order)
+    named = detected_languages(own.select(key, order, F.col("__r.language").alias("language")), key, order)
+    rows = fingerprints.join(totals, key, "left").join(named, key, "left").join(metadata, key, "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    fields = [
+        F.lit(SCHEMA).alias("schema_version"), F.struct("model", "run").alias("output_metadata"), number("chunks"), number("samples"), F.coalesce("languages", F.array().cast("array<string>")).alias("languages"),
+        F.coalesce("last_hash", F.lit("")).alias("last_hash"), (F.lit(False) if finished is None else finished).alias("finished"), F.create_map().cast("map<string,string>").alias("published_hashes"),
+    ]
+    body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return rows.select(key, F.concat(F.lit('{"fingerprint":'), "fingerprint", F.lit(","), F.substring(body, 2, 2**31 - 1)).alias("raw"))
+
+
 def restore(manifests: DataFrame, chunks: DataFrame, jobs: DataFrame, limit_samples: int, resume=True, overwrite=False, key="rec", order="idx") -> DataFrame:
     """(rec, action, reason): what becomes of the saved work of each recording.
 

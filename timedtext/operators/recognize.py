@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from timedtext.functions import scratch
 from timedtext.functions.text import RATE
 from timedtext.operators.fold import fold
 
@@ -196,3 +197,92 @@ def recognize_overlapping(blocks: DataFrame, recognize: Recognize, size: int, ov
     kept = kept.filter((F.col("end_s") <= F.col("to") / float(RATE)) & (F.col("start_s") >= F.col("from") / float(RATE)))
     seq = (F.row_number().over(W.partitionBy(key).orderBy("win", "pos")) - 1).cast("long")
     return kept.select(key, seq.alias("seq"), "win", "start_s", "end_s", "text", "no_speech_prob", "language")
+
+
+def _chains(blocks: DataFrame, begins: DataFrame, recognize: Recognize, choose_cut: ChooseCut, limit: int, guard: int, size: int, key: str) -> DataFrame:
+    """(rec, region, start_sample, ..., segments): the windows of each region from a given place to where the next region, or a known window, begins.
+
+    begins: rec, region, begin, and met, the starts of windows that need not be made again.
+    """
+    end = F.col("start_sample") + F.size("samples")
+    low = F.greatest(F.lit(0), F.floor((F.col("start_sample") - limit) / size))
+    spread = blocks.select(key, "start_sample", "samples", F.explode(F.sequence(low.cast("long"), F.floor((end - 1) / size).cast("long"))).alias("region"))
+    rows = spread.join(begins.select(key, "region", "begin", "met"), [key, "region"]).select(key, "region", "start_sample", "samples", "begin", "met")
+    fields = T.StructType([blocks.schema[key], T.StructField("region", T.LongType()), *committed_type(blocks.schema[key])[2:]])
+
+    class Region:
+        def __init__(self, row: tuple) -> None:
+            self.key, begin = row[:2], row[4]
+            self.at, self.stop, self.met = row[2], (row[1] + 1) * size, set(row[5].tolist() if isinstance(row[5], np.ndarray) else row[5])
+            self.windows = Windows(limit, guard, recognize, choose_cut, 0, 0)
+            self.windows.position, self.over = begin, False
+
+        def kept(self, made: Iterator[dict]) -> list[tuple]:
+            out = []
+            # the next window is made when it is asked for, so that none beyond the region is
+            while not self.over and (row := next(made, None)) is not None:
+                out.append((*self.key, *committed_row(None, row)[2:]))
+                self.over = self.windows.position >= self.stop or self.windows.position in self.met
+            return out
+
+        def push(self, at: int, samples: np.ndarray) -> list[tuple]:
+            gone = max(0, self.windows.position + len(self.windows.buffer) - at)
+            if self.over or gone >= len(samples):
+                return []
+            return self.kept(self.windows.push(samples[gone:]))
+
+    def step(state: Region | None, row: tuple) -> tuple[Region, list[tuple]]:
+        state = state or Region(row)
+        return state, state.push(row[2], np.array(row[3], np.float32))
+
+    def finish(state: Region) -> list[tuple]:
+        return state.kept(state.windows.finish())
+
+    return fold(rows, [key, "region"], ["start_sample"], lambda: None, step, fields, finish)
+
+
+def recognize_in_regions(blocks: DataFrame, recognize: Recognize, choose_cut: ChooseCut, limit: int, guard: int, region: int | None = None, rounds: int = 8, key="rec") -> DataFrame:
+    """The rows of recognize_windows, made in parallel within a recording, and `redone`, whether a window was not among those made first.
+
+    A recording is cut into regions of `region` samples, and the windows of each are made
+    as if one began where it does. Cuts lie in pauses, so that the windows of two
+    neighbours mostly meet soon: where the last window of a region ends, a window of the
+    next one begins, and all from there on are right. Where none does, the next region
+    is gone through again from there, to the first window that is known. A round does
+    that for all regions at once; what is still apart after `rounds` is done by
+    recognize_windows. `recognize` and `choose_cut` have to give the same for the same
+    samples.
+    """
+    size = region or 8 * limit
+    if size < limit:
+        raise ValueError("a region is shorter than a window")
+    none = F.array().cast("array<long>")
+    end = F.col("start_sample") + F.size("samples")
+    lengths = scratch.written(blocks.groupBy(key).agg(F.max(end).alias("total")).filter("total > 0"), "lengths")
+    regions = lengths.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / size).cast("long"))).alias("region"))
+    begins = regions.select(key, "region", (F.col("region") * size).alias("begin"), none.alias("met"))
+    chains = scratch.written(_chains(blocks, begins, recognize, choose_cut, limit, guard, size, key).withColumn("redone", F.lit(False)), "windows")
+    order = W.partitionBy(key).orderBy("region")
+    for turn in range(rounds + 1):
+        # where each region is entered, if all before it are right
+        ends = regions.join(chains.groupBy(key, "region").agg(F.max("end_sample").alias("end"), F.min("start_sample").alias("first"), F.array_sort(F.collect_list("start_sample")).alias("starts")), [key, "region"], "left")
+        entry = F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+        ends = ends.withColumn("begin", entry).join(lengths, key)
+        apart = (F.col("begin") < F.col("total")) & (F.col("begin") < (F.col("region") + 1) * size) & ~F.coalesce(F.array_contains("starts", F.col("begin")), F.lit(False))
+        state = scratch.written(ends.select(key, "region", "begin", F.coalesce("starts", none).alias("met"), apart.alias("apart")), "entries")
+        # what lies before a region's entry was a guess
+        chains = chains.join(state.select(key, "region", "begin"), [key, "region"]).filter(F.col("start_sample") >= F.col("begin")).drop("begin")
+        left = state.filter("apart")
+        if turn == rounds or not left.limit(1).count():
+            break
+        again = _chains(blocks, left, recognize, choose_cut, limit, guard, size, key).withColumn("redone", F.lit(True))
+        again = scratch.written(again, "windows")
+        # of a region that was gone through again, only what begins where that ended, or later, is still right
+        met = again.groupBy(key, "region").agg(F.max("end_sample").alias("from"))
+        old = chains.join(met, [key, "region"], "left").filter(F.col("from").isNull() | (F.col("start_sample") >= F.col("from"))).drop("from")
+        chains = scratch.written(old.unionByName(again), "windows")
+    slow = left.select(key).distinct()
+    rest = recognize_windows(blocks.join(slow, key, "left_semi"), recognize, choose_cut, limit, guard, key=key).withColumn("redone", F.lit(True))
+    number = (F.row_number().over(W.partitionBy(key).orderBy("start_sample")) - 1).cast("long")
+    fast = chains.join(slow, key, "left_anti").withColumn("idx", number)
+    return fast.select(rest.columns).unionByName(rest)

@@ -7,8 +7,9 @@ import struct
 import numpy as np
 from pyspark.sql import functions as F
 
+from timedtext.functions.scratch import fresh_path
 from timedtext.operators import audio
-from timedtext.sources import media
+from timedtext.sources import media, sinks
 
 RATE = 48_000
 
@@ -25,6 +26,14 @@ def _wav_files(v):
     return audio.pcm_blocks(v.pcm_v).select(F.col("rec").cast("string").alias("path"), make("samples").alias("content"))
 
 
+def _ranges(v):
+    """The files written, and read by ranges of 64 bytes."""
+    path = fresh_path(v.spark, "media")
+    sinks.write_files(_wav_files(v).select(F.concat("path", F.lit(".wav")).alias("name"), "content"), path)
+    rec = F.regexp_extract("rec", r"([0-9]+)\.wav\z", 1).cast("long")
+    return media.read_wav(v.spark, path, "*.wav", range_bytes=64, block=12).select(rec.alias("rec"), F.posexplode("samples").alias("pos", "x"), "start_sample").select("rec", (F.col("start_sample") + F.col("pos")).alias("i"), "x")
+
+
 Q = {
     "digital_silence": (lambda v: audio.silent_recordings(v.pcm_v), "SELECT rec, bool_and(x = 0) AS silent FROM pcm_v GROUP BY rec"),
     "digital_silence_blocks": (
@@ -49,6 +58,7 @@ Q = {
         lambda v: media.read_pcm(_wav_files(v), block=32).select(F.col("rec").cast("long").alias("rec"), F.posexplode("samples").alias("pos", "x"), "start_sample").select("rec", (F.col("start_sample") + F.col("pos")).alias("i"), "x"),
         "SELECT rec, i, x FROM pcm_v",
     ),
+    "read_wav": (lambda v: _ranges(v), "SELECT rec, i, x FROM pcm_v"),
     "downmix_resample": (
         # each block of 32 samples as two equal channels at 16 kHz: the sum times sqrt(1/2)
         lambda v: audio.downmix_resample(audio.pcm_blocks(v.pcm_v, 32).select("rec", F.col("start_sample").alias("seq"), F.flatten(F.transform("samples", lambda x: F.array(x, x))).alias("samples"), F.lit(16_000).alias("rate"), F.lit(2).alias("channels")))

@@ -103,7 +103,7 @@ Q = {
     "discover_media": (
         lambda v: j.discover_media(v.paths_v).select("input_index", "path", "position"),
         f"""SELECT input_index, path, row_number() OVER (PARTITION BY {DIR} ORDER BY encode({NAME}), input_index) AS position FROM paths_v
-            WHERE {EXT} IN ({', '.join(repr(x) for x in j.MEDIA)})""",
+            WHERE {EXT} IN ('3gp', 'aac', 'aif', 'aiff', 'asf', 'avi', 'flac', 'm2ts', 'm4a', 'm4b', 'm4v', 'mka', 'mkv', 'mov', 'mp3', 'mp4', 'mpeg', 'mpg', 'mts', 'oga', 'ogg', 'opus', 'ts', 'wav', 'webm', 'wma', 'wmv')""",
     ),
     "sort_by_name_bytes": (
         lambda v: j.sort_by_name_bytes(v.paths_v).select("input_index", "position"),
@@ -128,7 +128,7 @@ Q = {
         f"WITH {OUTPUTS} SELECT input_index, format, target FROM outputs WHERE target IN (SELECT path FROM paths_v)",
     ),
     "output_collisions": (
-        lambda v: j.output_collisions(outputs(v), source="path"),
+        lambda v: j.output_collisions(outputs(v), source="path", job="input_index"),
         f"WITH {OUTPUTS} SELECT target, count(*) AS n_sources, min(path) AS first_source FROM outputs GROUP BY target HAVING count(*) > 1",
     ),
     "complete_sets": (lambda v: j.complete_sets(outputs(v), files(v), "input_index"), f"WITH {OUTPUTS}, {FILES}, {COMPLETE} SELECT * FROM complete"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timedtext.functions import text as t
-from timedtext.functions.scratch import fresh_path
+from timedtext.functions.scratch import fresh_path, written
 from timedtext.operators import journal
 from timedtext.operators import paragraphs as p
 from timedtext.operators import segments as s
@@ -126,6 +126,7 @@ Q = {
               FROM (SELECT *, {NORMAL} AS x FROM seg_v) WHERE x <> '' WINDOW w AS ({W}))""",
     ),
     "paragraphs": (lambda v: p.paragraphs(v.docseg_v, PAUSE_MS).select("rec", "seq", "breaks", "paragraph"), f"WITH {_breaks('docseg_v')} SELECT rec, seq, b AS breaks, paragraph FROM {_numbered}"),
+    "paragraphs_in_blocks": (lambda v: p.paragraphs(v.docseg_v, PAUSE_MS, bits=4).select("rec", "seq", "breaks", "paragraph"), f"WITH {_breaks('docseg_v')} SELECT rec, seq, b AS breaks, paragraph FROM {_numbered}"),
     "paragraphs_by_pause": (lambda v: p.paragraphs(v.seg_v, PAUSE_MS).select("rec", "seq", "breaks", "paragraph"), f"WITH {_breaks('seg_v')} SELECT rec, seq, b AS breaks, paragraph FROM {_numbered}"),
     "transcript_text": (
         lambda v: p.transcript_text(v.seg_v, PAUSE_MS),
@@ -185,6 +186,17 @@ Q = {
            FROM (SELECT rec, seq AS idx, seq * 480000 AS start_sample, (seq + 1) * 480000 AS end_sample, trim(unnest(string_split(text, chr(10))), concat(' ', chr(10), chr(13), chr(9))) AS x FROM docseg_v)
            GROUP BY rec, idx, start_sample, end_sample""",
     ),
+    "restore": (
+        lambda v: _restored(v),
+        """SELECT rec, CASE WHEN k = 0 THEN 'resume' WHEN k = 1 THEN 'publish' WHEN k = 7 THEN 'start' ELSE 'refuse' END AS action,
+             CASE k WHEN 2 THEN 'changed: /outputs/srt, /run/parts/1' WHEN 3 THEN 'schema' WHEN 4 THEN 'corrupt' WHEN 5 THEN 'manifest missing' WHEN 6 THEN CASE WHEN n > 1 THEN 'unknown contents' END END AS reason
+           FROM (SELECT rec, count(*) AS n, CAST(regexp_extract(rec, '[0-9]+') AS INT) % 8 AS k FROM docseg_v GROUP BY rec)""",
+    ),
+    "refused_cues": (
+        lambda v: _refused(v),
+        """SELECT rec, seq, caption, CASE WHEN k < 2 THEN 'not finite' ELSE 'negative' END AS reason
+           FROM (SELECT rec, seq, (rec * 5 + seq) % 9 AS k, unnest(['srt', 'vtt']) AS caption FROM seg_v) WHERE k < 2 OR (k = 2 AND caption = 'srt')""",
+    ),
     "read_catalog": (
         lambda v: _catalog(v),
         "SELECT 'm' || doc_id AS name, doc_id || '.bin' AS file, 'https://example.org/' || doc_id AS url, sha256(text) AS sha256, n_chars AS bytes FROM documents",
@@ -235,15 +247,50 @@ def _transcripts(v):
     return tables.read_transcripts(v.spark, path)
 
 
+def _fingerprints(v):
+    """A fingerprint for each recording, as JSON."""
+    return v.docseg_v.select("rec").distinct().select("rec", F.concat(F.lit('{"source":"'), "rec", F.lit('","size":5,"outputs":{"srt":"a.srt"},"run":{"beam":"5","parts":[1,null]}}')).alias("fingerprint"))
+
+
+def _metadata(v):
+    return v.docseg_v.select("rec").distinct().select("rec", F.lit("m").alias("model"), F.create_map(F.lit("beam"), F.lit("5")).alias("run"))
+
+
+def _number():
+    return F.regexp_extract("rec", "[0-9]+", 0).cast("int") % 8
+
+
 def _journal(v):
-    """Records appended to a journal and read again, with their chain verified."""
+    """A journal written as files and read again, with its chain verified."""
     path = fresh_path(v.spark, "journal")
-    sinks.append_journal(_results(v), path)
-    rows = tables.read_appended(v.spark, path).withColumnRenamed("index", "idx").withColumn("n_segments", F.size("segments"))
-    checked = journal.verify_chain(rows, 480_000)
+    records = written(sinks.append_rows(_results(v))[0], "records")
+    sinks.write_journal(records, journal.manifest_records(records, _fingerprints(v), _metadata(v)), path)
+    manifests, chunks = tables.read_journal(v.spark, path)
+    rows = chunks.withColumnRenamed("index", "idx").withColumn("n_segments", F.size("segments"))
+    checked = journal.verify_chain(rows, 480_000, manifests)
     return checked.select("rec", "idx", "start_sample", "end_sample", F.col("n_segments").cast("long").alias("n"), F.col("reason").isNull().alias("linked"))
 
 
+def _restored(v):
+    """Journals by the number of their recording: whole, finished, of other settings, of another schema, with a wrong hash, without a manifest, and with records that no manifest counts."""
+    path = fresh_path(v.spark, "journal")
+    k = _number()
+    records = written(sinks.append_rows(_results(v))[0].filter((k != 7) | (F.col("idx") == 0)), "records")
+    prints = _fingerprints(v).withColumn("fingerprint", F.when(k == 2, F.replace(F.replace("fingerprint", F.lit("a.srt"), F.lit("b.srt")), F.lit(",null"), F.lit(""))).otherwise(F.col("fingerprint")))
+    manifests = journal.manifest_records(records.filter(k < 6), prints, _metadata(v), k == 1)
+    raw = F.when(k == 3, F.replace("raw", F.lit('"schema_version":3'), F.lit('"schema_version":2'))).when(k == 4, F.regexp_replace("raw", '"last_hash":"[0-9a-f]{8}', '"last_hash":"00000000')).otherwise(F.col("raw"))
+    sinks.write_journal(records, manifests.filter(k != 5).withColumn("raw", raw), path)
+    manifests, chunks = tables.read_journal(v.spark, path)
+    return journal.restore(manifests, chunks.withColumnRenamed("index", "idx"), _fingerprints(v), 480_000)
+
+
+def _refused(v):
+    """Segments some of whose times no caption can have."""
+    k = (F.col("rec") * 5 + F.col("seq")) % 9
+    segs = v.seg_v.withColumn("start_s", F.when(k == 0, float("nan")).when(k == 2, -1.0).otherwise(F.col("start_s"))).withColumn("end_s", F.when(k == 1, float("inf")).otherwise(F.col("end_s")))
+    return sinks.refused_cues(segs, "srt").withColumn("caption", F.lit("srt")).unionByName(sinks.refused_cues(segs, "vtt").withColumn("caption", F.lit("vtt")))
+
+
 def _catalog(v):
     """Catalogs of at most a thousand artifacts for each source, a JSON array each, written and read again."""
     name = F.col("doc_id").cast("string")

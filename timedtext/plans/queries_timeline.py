@@ -115,6 +115,7 @@ Q = {
     "decode_error_totals": (lambda v: tl.decode_error_totals(v.frames_v), "SELECT rec, count(*) FILTER (WHERE code < 0) AS errors FROM frames_v GROUP BY rec"),
     "align_timeline": (lambda v: tl.align_timeline(v.frames_v).drop("n_samples"), f"WITH {ALIGNED.format(auto='')} {SHOWN}"),
     "align_timeline_preserve": (lambda v: tl.align_timeline(v.frames_v, "preserve").drop("n_samples"), f"WITH {ALIGNED.format(auto='false AND ')} {SHOWN}"),
+    "align_timeline_in_blocks": (lambda v: tl.align_timeline(v.frames_v, bits=3).drop("n_samples"), f"WITH {ALIGNED.format(auto='')} {SHOWN}"),
     "silence_fill": (
         lambda v: tl.silence_fill(tl.align_timeline(v.frames_v)).select("rec", "seq", "silence", "drop"),
         f"""WITH {ALIGNED.format(auto='')}, x AS (SELECT *, greatest(0, coalesce(max(s + n_samples) FILTER (WHERE n_samples > 0) OVER (PARTITION BY rec ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS e FROM st)
@@ -176,6 +177,18 @@ Q = {
                     SELECT rec, n, silent, idx + 1, b, CAST(CASE WHEN n - b < 16 THEN n WHEN silent THEN b + 16 ELSE b + 8 END AS BIGINT) FROM st WHERE b < n)
            SELECT rec, idx, a AS start_sample, b AS end_sample, silent, false AS whole, CASE WHEN silent THEN 0 ELSE (b - a + 7) // 8 END AS n FROM st""",
     ),
+    "recognize_in_regions": (
+        # cuts at every second segment of eight, from wherever a region begins
+        lambda v: recognize.recognize_in_regions(audio.pcm_blocks(v.pcm_v, 32), fake_recognizer, choose_cut, 16, 4, 20).select("rec", "idx", "start_sample", "end_sample", "silent", "whole", F.size("segments").cast("long").alias("n")),
+        """WITH r AS (SELECT rec, max(i) + 1 AS n, bool_and(x = 0) AS silent FROM pcm_v GROUP BY rec),
+             st AS (SELECT rec, n, silent, 0::BIGINT AS idx, 0::BIGINT AS a, CAST(CASE WHEN n < 16 THEN n WHEN silent THEN 16 ELSE 8 END AS BIGINT) AS b FROM r UNION ALL
+                    SELECT rec, n, silent, idx + 1, b, CAST(CASE WHEN n - b < 16 THEN n WHEN silent THEN b + 16 ELSE b + 8 END AS BIGINT) FROM st WHERE b < n)
+           SELECT rec, idx, a AS start_sample, b AS end_sample, silent, false AS whole, CASE WHEN silent THEN 0 ELSE (b - a + 7) // 8 END AS n FROM st""",
+    ),
+    "short_recordings": (
+        lambda v: recognize.short_recordings(audio.pcm_blocks(v.pcm_v.filter("rec % 5 <> 1"), 32), v.pcm_v.groupBy("rec").agg((F.max("i") + F.when(F.col("rec") % 3 == 0, 2).otherwise(1)).alias("samples"))),
+        "SELECT rec, 'short' AS reason FROM pcm_v GROUP BY rec HAVING rec % 5 = 1 OR rec % 3 = 0",
+    ),
     "recognize_overlapping": (
         lambda v: recognize.recognize_overlapping(audio.pcm_blocks(v.pcm_v, 32), fake_recognizer, 24, 8).select("rec", "seq", "win", t.seconds_to_samples("start_s").alias("a"), t.seconds_to_samples("end_s").alias("b")),
         """WITH r AS (SELECT rec, max(i) + 1 AS n FROM pcm_v GROUP BY rec HAVING NOT bool_and(x = 0)),

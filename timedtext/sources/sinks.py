@@ -7,8 +7,11 @@ whole by a task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,11 +134,33 @@ def append_journal(results: DataFrame, path: str, key="rec") -> None:
     append_rows(results, key)[0].write.mode("append").parquet(path)
 
 
+def write_files(rows: DataFrame, path: str, name="name", content="content") -> int:
+    """Writes each row's content, a text or bytes, to a file of that name below `path`, by pyarrow's file systems, and returns how many. A file is complete or not there: it is written under another name first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        n = 0
+        for b in batches:
+            for at, data in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                if at is None or ".." in at.split("/") or at.startswith("/"):
+                    raise ValueError(f"no name of a file: {at}")
+                target = f"{top}/{at}"
+                store.create_dir(target.rpartition("/")[0])
+                part = f"{target}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(data.as_py() or b"")
+                store.move(part, target)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.select(name, content).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_journal(records: DataFrame, manifests: DataFrame, path: str, key="rec") -> None:
-    """Linked records (rec, idx, raw) and manifests (rec, raw) as JSON lines, for tables.read_journal_lines."""
-    for part, rows, order in (("chunks", records, ["idx"]), ("manifests", manifests, [])):
-        rows = rows.select(F.col(key).alias("rec"), *order, F.col("raw").alias("value")).repartition("rec").sortWithinPartitions("rec", *order)
-        rows.select("rec", "value").write.mode("overwrite").partitionBy("rec").text(f"{path}/{part}")
+    """Linked records (rec, idx, raw) and manifests (rec, raw) as read_journal has them: a folder for each recording, with a file for each record. A manifest is written when its records are there."""
+    name = lambda *part: F.concat(F.col(key).cast("string"), *part)
+    write_files(records.select(name(F.lit("/chunk-"), F.col("idx").cast("string"), F.lit(".json")).alias("name"), F.col("raw").alias("content")), path)
+    write_files(manifests.select(name(F.lit("/manifest.json")).alias("name"), F.col("raw").alias("content")), path)
 
 
 def render_counts(segs: DataFrame, key="rec", pause_ms=2000) -> tuple[DataFrame, DataFrame]:

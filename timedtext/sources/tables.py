@@ -50,12 +50,6 @@ def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read_manifests(spark, path), read_chunks(spark, path)
 
 
-def read_journal_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The same of folders `manifests` and `chunks` with a folder rec=... for each recording and a record a line, as sinks.write_journal has them."""
-    lines = lambda part: spark.read.text(f"{path}/{part}").select(F.col("rec").cast("string").alias("rec"), F.col("value").alias("raw"))
-    return _parsed(lines("manifests"), MANIFEST), _parsed(lines("chunks"), CHUNK)
-
-
 def read_appended(spark: SparkSession, path: str) -> DataFrame:
     """(rec, raw, reason, record fields) of a table of records that append_journal has written."""
     return _parsed(spark.read.parquet(path).select("rec", "raw"), CHUNK)
