@@ -215,6 +215,56 @@ def test_nearest_is_brute_force(spark, query_block, block):
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def brute_nearest(qid, q, cid, c, k):
+    """By computing every product from left to right; what is no number ranks first."""
+    out = []
+    for i, x in zip(qid, q, strict=True):
+        with np.errstate(all="ignore"):
+            scores = [(float(np.cumsum(x * y)[-1]), n) for n, y in zip(cid, c, strict=True) if n != i]
+        near = sorted(scores, key=lambda s: (not np.isnan(s[0]), -s[0] if s[0] == s[0] else 0, s[1]))[:k]
+        out += [(i, n, repr(s)) for s, n in near]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_nearest_of_vectors_of_any_size(seed):
+    rng = np.random.default_rng(seed)
+    m = rng.normal(size=(150, 6)) * 10.0 ** rng.choice([-300.0, -200.0, -160.0, -10.0, 0.0, 3.0, 150.0, 200.0, 300.0], (150, 1))
+    m[::7, 2] = 1e300
+    m[::9, 1:] = 0
+    m[5], m[6] = 5e-324, 1e308
+    ids = np.arange(150)
+    for part in (16, 1024):
+        got = nearest.tile(ids[:30], m[:30], ids, m, 5, part)
+        assert [(i, n, repr(s)) for i, n, s in got] == brute_nearest(ids[:30].tolist(), m[:30], ids.tolist(), m, 5)
+
+
+def test_no_candidate_is_lost(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 0.0]), (2, [1.0, 1.0]), (20, [3.0, -1.0])]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 0, k=3).collect()
+    assert Counter(r.query_id for r in got) == dict.fromkeys((0, 1, 2, 20), 3)
+    assert {(r.query_id, r.vec_id): r.score for r in got}[0, 1] == 1.0
+
+
+def test_vectors_of_any_size_link(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(6, 8))
+    rows = [(i, (base[i % 6] * float(10.0 ** rng.choice([-300, -200, -30, 0, 30, 200, 300]))).tolist(), 1) for i in range(60)] + [(99, [5e-324] * 8, 1), (98, [1e308] * 8, 1)]
+    got = {r.vec_id: (r.component_id, r.n_links) for r in vector_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), chunk=7).collect()}
+    assert got == {**{i: (i % 6, 9) for i in range(60)}, 98: (98, 1), 99: (98, 1)}
+
+
+def test_chunks_meet_by_the_cells_of_a_grid(spark):
+    rng = np.random.default_rng(6)
+    low = rng.uniform(-0.5, 0.5, (300, vector_dedup.AXES))
+    high = low + rng.uniform(0, 0.6, low.shape) * (rng.random(low.shape) < 0.4)
+    rows = [(1, 8, i, x.tolist()) for i in range(300) for x in (low[i], high[i])]
+    got = vector_dedup.near_chunks(spark.createDataFrame(rows, "label int, dim int, chunk long, at array<double>"), 0.37).collect()
+    gap = np.maximum(np.maximum(low[:, None] - high, low - high[:, None]), 0)
+    want = {(i, j) for i in range(300) for j in range(i, 300) if (gap[i, j] ** 2).sum() <= 0.37**2}
+    assert sorted((r.i, r.j) for r in got) == sorted(want) and 310 < len(want) < 20_000
+
+
 def test_quantisation_bounds():
     rng = np.random.default_rng(2)
     q, c = rng.normal(size=(5, 12)), rng.normal(size=(200, 12)) * rng.uniform(0.01, 100, (200, 1))

@@ -13,6 +13,10 @@ a query meet in a ranking that is cut to k before and after its shuffle. Work
 grows with queries times candidates; a vector's copies with their number over
 the side of a block.
 
+Bounds are those of vectors that a power of two has brought near 1, so vectors of any
+finite size are compared. Where a product may go beyond the range of doubles, it is
+computed as it is: it may be infinite, or no number, which ranks first, as in SQL.
+
 Defined cases: vectors that are null, zero or hold null or non-finite
 components are neither queries nor candidates, nor are rows with a null id.
 Rows with the same id and the same vector count once; a query's own id is never
@@ -36,6 +40,8 @@ from timedtext.llm import shared, vectors
 K, QUERY_BLOCK, BLOCK, PART = 20, 4096, 16_384, 1024
 #: For rounding errors of the bounds themselves, by far larger than these.
 SLACK = 1e-6
+#: Powers of two whose products are far from the ends of the range of doubles, and those whose sums may lie beyond it.
+USUAL, BEYOND = 250, 960
 
 
 def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,11 +54,15 @@ def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, part: int = PART) -> list[tuple[int, int, float]]:
     """(query, candidate, score) of the k nearest within the tile for each query, nearest first."""
-    a, sa, na, ea = rounded(q)
-    b, sb, nb, eb = rounded(c)
+    (near_q, power_q), (near_c, power_c) = vectors.scaled(q), vectors.scaled(c)
+    a, sa, na, ea = rounded(near_q)
+    b, sb, nb, eb = rounded(near_c)
+    # products of usual size are told apart as well without their powers of two
+    usual = max(np.abs(power_q).max(initial=0), np.abs(power_c).max(initial=0)) < USUAL
+    least_step = q.shape[1] * 2.0**-1072
     exact = np.float32 if q.shape[1] <= 1024 else np.float64  # whole numbers, so the product is exact
     a, b = a.astype(exact), b.astype(exact)
-    heaps: list[list[tuple[float, int]]] = [[] for _ in qid]
+    heaps: list[list[tuple[float, bool, int, float]]] = [[] for _ in qid]
     sure = np.full(len(qid), -np.inf)  # the k-th best score so far
     for x in range(0, len(qid), part):
         mine = slice(x, x + part)
@@ -63,19 +73,30 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int,
             size = nb[others] + eb[others]
             error = na[mine, None] * eb[others] + ea[mine, None] * size + SLACK * (na[mine] + ea[mine])[:, None] * size
             own = qid[mine, None] == cid[others]
-            low = np.where(own, -np.inf, about - error)
+            lowest, highest = about - error, about + error
+            power = power_q[mine, None] + power_c[others]
+            if usual:
+                factor = np.ldexp(1.0, power)
+                lowest, highest = lowest * factor, highest * factor
+            else:
+                lowest, highest = np.ldexp(lowest, power) - least_step, np.ldexp(highest, power) + least_step
+                beyond = power > BEYOND
+                lowest[beyond], highest[beyond] = -np.inf, np.inf
+            low = np.where(own, -np.inf, lowest)
             least = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] > k else np.full(len(low), -np.inf)
-            rows, cols = np.nonzero((about + error >= np.maximum(least, sure[mine])[:, None]) & ~own)
+            rows, cols = np.nonzero((highest >= np.maximum(least, sure[mine])[:, None]) & ~own)
             rows, cols = rows + x, cols + y
             # summed from left to right, so that a score doesn't depend on the tile
-            scores = np.concatenate([np.cumsum(q[rows[i : i + 65_536]] * c[cols[i : i + 65_536]], axis=1)[:, -1] for i in range(0, len(rows), 65_536)] or [np.zeros(0)])
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = np.concatenate([np.cumsum(q[rows[i : i + 65_536]] * c[cols[i : i + 65_536]], axis=1)[:, -1] for i in range(0, len(rows), 65_536)] or [np.zeros(0)])
             for i, s, n in zip(rows.tolist(), scores.tolist(), cid[cols].tolist(), strict=True):
+                entry = (s, False, -n, s) if s == s else (np.inf, True, -n, s)
                 if len(heaps[i]) < k:
-                    heapq.heappush(heaps[i], (s, -n))
-                elif (s, -n) > heaps[i][0]:
-                    heapq.heapreplace(heaps[i], (s, -n))
+                    heapq.heappush(heaps[i], entry)
+                elif entry[:3] > heaps[i][0][:3]:
+                    heapq.heapreplace(heaps[i], entry)
             sure[mine] = [h[0][0] if len(h) == k else -np.inf for h in heaps[mine]]
-    return [(i, -n, s) for i, h in zip(qid.tolist(), heaps, strict=True) for s, n in sorted(h, reverse=True)]
+    return [(i, -n, s) for i, h in zip(qid.tolist(), heaps, strict=True) for *_, n, s in sorted(h, key=lambda x: x[:3], reverse=True)]
 
 
 def nearest(df: DataFrame, is_query: Column, k=K, query_block=QUERY_BLOCK, block=BLOCK) -> DataFrame:

@@ -19,7 +19,8 @@ pairs. Neither the sample nor the axes have an effect on what is found.
 Defined cases: a row with a null label, or a vector that is null, zero or holds
 null or non-finite components, links with nothing. Equal vectors of a label are
 one node with copies, each of which links with all others. Vectors of different
-length don't link. A null vec_id is never the smallest of a group with others.
+length don't link. Finite vectors of any size do, as a power of two takes none of
+their cosine away. A null vec_id is never the smallest of a group with others.
 Rows with one vec_id are rows of their own. An empty table gives an empty
 result. Of extra columns none is returned, whatever their names.
 """
@@ -42,6 +43,8 @@ from timedtext.llm import graph, shared, vectors
 SIMILARITY, DIRECTIONS, WIDTH, MISS, CHUNK = 0.93, 32, 1.5, 1e-4, 1024
 #: Axes of boxes, and vectors of each length that they are fitted on.
 AXES, AXES_SAMPLE = 8, 5_000
+#: Axes of the grid by whose cells chunks find each other.
+GRID = 3
 #: Chunks of a task that cuts.
 SLAB = 16
 
@@ -92,7 +95,7 @@ def main_axes(nodes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     rows = nodes.filter(F.pmod("node", F.lit(1 << 30)) < int(share * (1 << 30))).select("dim", "embedding").toArrow()
     dims, out = np.asarray(rows.column("dim")), {}
     for dim in np.unique(dims):
-        x = vectors.matrix(rows.column("embedding").filter(pa.array(dims == dim)))
+        x, _ = vectors.scaled(vectors.matrix(rows.column("embedding").filter(pa.array(dims == dim))))
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         middle = x.mean(axis=0)
         out[int(dim)] = middle, np.linalg.svd(x - middle, full_matrices=False)[2][:AXES].T
@@ -109,7 +112,7 @@ def chunked(nodes: DataFrame, chunk: int) -> DataFrame:
             dims = np.asarray(t.column("dim"))
             for dim in np.unique(dims):
                 mine = np.flatnonzero(dims == dim)
-                x = vectors.matrix(t.column("embedding").take(pa.array(mine)))
+                x, _ = vectors.scaled(vectors.matrix(t.column("embedding").take(pa.array(mine))))
                 middle, a = axes.get(int(dim), (np.zeros(dim), np.zeros((dim, 0))))
                 at[mine, : a.shape[1]] = (x / np.linalg.norm(x, axis=1, keepdims=True) - middle) @ a
             lists = pa.ListArray.from_arrays(np.arange(0, at.size + 1, AXES, dtype=np.int32), pa.array(at.ravel()))
@@ -124,14 +127,25 @@ def chunked(nodes: DataFrame, chunk: int) -> DataFrame:
 
 
 def near_chunks(placed: DataFrame, distance: float) -> DataFrame:
-    """(label, dim, i, j): the pairs of chunks, and each with itself, whose boxes are no further apart than `distance`; written."""
+    """(label, dim, i, j): the pairs of chunks, and each with itself, whose boxes are no further apart than `distance`; written.
+
+    Boxes, half a distance wider on every side, are sent to the cells of a grid over the
+    first GRID axes that they meet, and joined by cell; a pair counts in the first cell
+    that both have. So a label's boxes are joined by many keys.
+    """
     side = lambda f: F.array(*(f(F.get("at", F.lit(k))) for k in range(AXES)))
     boxes = shared.written(placed.groupBy("label", "dim", "chunk").agg(side(F.min).alias("low"), side(F.max).alias("high")), "vector-boxes")
-    a = boxes.select("label", "dim", F.col("chunk").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
-    b = boxes.select("label", "dim", F.col("chunk").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    first = lambda k: F.floor((F.get("low", F.lit(k)) - distance / 2) / distance)
+    cells = boxes.withColumn("begin", F.array(*(first(k) for k in range(GRID))))
+    for k in range(GRID):
+        cells = cells.withColumn(f"cell{k}", F.explode(F.sequence(first(k), F.floor((F.get("high", F.lit(k)) + distance / 2) / distance))))
+    cell = [f"cell{k}" for k in range(GRID)]
+    a = cells.select("label", "dim", *cell, F.col("begin").alias("begin_i"), F.col("chunk").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
+    b = cells.select("label", "dim", *cell, F.col("begin").alias("begin_j"), F.col("chunk").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
     gap = lambda k: F.greatest(F.get("low_i", F.lit(k)) - F.get("high_j", F.lit(k)), F.get("low_j", F.lit(k)) - F.get("high_i", F.lit(k)), F.lit(0.0))
     apart = functools.reduce(lambda x, y: x + y, (gap(k) * gap(k) for k in range(AXES)))
-    pairs = a.join(b, ["label", "dim"]).filter((F.col("i") <= F.col("j")) & (apart <= distance * distance * (1 + 1e-9)))
+    here = functools.reduce(lambda x, y: x & y, (F.col(f"cell{k}") == F.greatest(F.get("begin_i", F.lit(k)), F.get("begin_j", F.lit(k))) for k in range(GRID)))
+    pairs = a.join(b, ["label", "dim", *cell]).filter(here & (F.col("i") <= F.col("j")) & (apart <= distance * distance * (1 + 1e-9)))
     return shared.written(pairs.select("label", "dim", "i", "j"), "vector-tiles")
 
 
@@ -164,7 +178,7 @@ def link_vectors(df: DataFrame, similarity=SIMILARITY, chunk=CHUNK) -> DataFrame
         ids, copies, mine = (np.asarray(t.column(c)) for c in ("node", "copies", "mine"))
         order = np.lexsort((ids, mine))
         ids, copies, mine = ids[order], copies[order], mine[order]
-        raw = vectors.matrix(t.column("embedding"))[order]
+        raw, _ = vectors.scaled(vectors.matrix(t.column("embedding"))[order])  # the cosine stays the same
         norms = np.linalg.norm(raw, axis=1)
         unit = raw / norms[:, None]
         lines = unit @ directions(raw.shape[1])

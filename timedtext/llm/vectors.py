@@ -21,6 +21,14 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows times a power of two each, so that their largest component is from 0.5 to 1, and the powers: squares of such rows neither over- nor underflow."""
+    _, power = np.frexp(np.abs(x).max(axis=1)) if x.size else (None, np.zeros(len(x), np.int32))
+    # in two steps, as the power of a number near the smallest one is more than a factor can be
+    half = power // 2
+    return np.ldexp(np.ldexp(x, -half[:, None]), (half - power)[:, None]), power.astype(np.int64)
+
+
 def distinct_vectors(df: DataFrame, *by: str) -> DataFrame:
     """The usable vectors, once for each value of `by`, with their number of components as dim and their rows counted as copies."""
     return df.filter(usable(F.col("embedding"))).groupBy(*by, "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id")).withColumn("dim", F.size("embedding"))
