@@ -113,10 +113,35 @@ def test_spliced_counts_are_whole_counts(pieces, chunk, overlap):
 def test_spliced_counts_of_any_text(text):
     c = token_counts.counter(None)
     small = token_counts.Counter.__new__(token_counts.Counter)
-    small.sp, small.chunk, small.overlap, small.proven = c.sp, 10, 2, True
+    small.sp, small.chunk, small.overlap, small.proven, small.joined = c.sp, 10, 2, True, c.joined
     assert small.count([text]) == [len(c.sp.encode(text))]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="的是漢字aab1０ﬁe\u0301🙂%=", max_size=120), st.sampled_from([3, 10, 40]))
+def test_spliced_counts_without_blanks(text, chunk):
+    c = token_counts.counter(None)
+    small = token_counts.Counter.__new__(token_counts.Counter)
+    small.sp, small.chunk, small.overlap, small.proven, small.joined = c.sp, chunk, 2, True, c.joined
+    assert small.count([text]) == [len(c.sp.encode(text))]
+
+
+def test_long_texts_without_blanks_are_spliced():
+    """Each character is encoded about once, not again and again with wider overlaps."""
+    c = token_counts.Counter(public_tokenizers.path(token_counts.VOCABULARY), 4096, 256)
+    rng = np.random.default_rng(2)
+    chinese = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 60_000)))
+    encoded = base64.b64encode(rng.bytes(60_000)).decode()
+    for text in (chinese, encoded, "的是不了在人" * 8000):
+        seen = []
+        bounds, c.bounds = c.bounds, lambda t, a, b, f=c.bounds, seen=seen: seen.append(b - a) or f(t, a, b)
+        assert c.count([text]) == [len(c.sp.encode(text))]
+        c.bounds = bounds
+        assert sum(seen) < 1.3 * len(text) and max(seen) < 3 * 4096
+    same = "a" * 20_000 + "的" + "b" * 10_000
+    assert c.count([same]) == [len(c.sp.encode(same))]
+
+
 def test_token_count_columns(spark):
     df = spark.createDataFrame([(1, "é a"), (2, None), (3, "")], "doc_id long, text string")
     assert [tuple(r)[2:] for r in token_counts.count_tokens(df).orderBy("doc_id").collect()] == [(4, 2, False), (0, 0, False), (0, 0, False)]
@@ -219,6 +244,21 @@ def test_base64_with_letters_glued_to_it(glue, pack):
     assert any(k == 0 and a <= len(glue) + 2 and b == len(glue + run) + 2 for a, k, b in secret_scan.scan(f": {glue}{run} .")[1])
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.text("abcXYZ019", max_size=9), st.text("abcXYZ019", max_size=9), st.sampled_from([bytes, gzip.compress, zlib.compress, lambda x: zlib.compress(x, 1), lambda x: zlib.compress(x, 9), lambda x: zlib.compress(x, 0), bz2.compress, lzma.compress, lambda x: lzma.compress(x, lzma.FORMAT_ALONE)]), st.booleans())
+def test_base64_with_any_letters_around_it(before, behind, pack, padded):
+    run = base64.b64encode(pack(SECRET.encode())).decode()
+    run = run if padded and not behind else run.rstrip("=")
+    text = f": {before}{run}{behind} ."
+    assert any(k == 0 and 2 <= a <= len(before) + 2 and b >= len(before + run) + 2 - 2 * padded for a, k, b in secret_scan.scan(text)[1]), text
+
+
+def test_letters_that_look_like_heads_are_linear():
+    rng = np.random.default_rng(1)
+    run = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 400_000)) + "eJw" * 2000
+    secret_scan.scan(run + "x" + base64.b64encode(gzip.compress(SECRET.encode())).decode())
+
+
 def nested(data):
     return base64.b64encode(zlib.compress(data)).decode()
 

@@ -4,7 +4,8 @@ A worklist starts with the text as it is. Each layer is scanned for secrets,
 then unwrapped: URL escapes and Unicode escapes give a layer of the same text
 with them resolved; a run of base64, in a line or over lines, gives layers of
 what it stands for, after decompression of all members, and of what these hold
-in turn, where it is gzip, zlib, bzip2 or xz data. Bytes that are no text do not
+in turn, where it is gzip, zlib, bzip2, xz or lzma data. Other letters may stand
+before and behind what is encoded, without a mark between. Bytes that are no text do not
 hide the text beside them. Layers are worked on until there are none left; a
 layer that was there before is not worked on again, which ends cycles. Each
 character of a layer knows its place in the text, so every span is one of the
@@ -53,8 +54,10 @@ UNICODE = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r[ \t]*+\n|[\r\n])[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
-#: How base64 of gzip, zlib, bzip2 and xz data begins.
-HEADS = re.compile(r"(?<=[+/_-])(?:H4sI|e[AFJN]|Qlpo|[/_]Td6WFo)")
+#: How base64 of gzip, zlib (of its four levels), bzip2, xz and lzma data begins.
+HEADS = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo|[/_]Td6WFo|XQAA")
+#: Letters of what may be compressed data that are tried before all of it is decoded.
+TRIED = 4096
 #: No secret, plain or encoded, is shorter than the shortest assignment, and all of its characters are ASCII.
 RUN = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
 WIDE = re.compile(rb"[\x20-\x7e\t\r\n](?:\x00[\x20-\x7e\t\r\n]){11,}|[\x20-\x7e\t\r\n](?:\x00{3}[\x20-\x7e\t\r\n]){11,}")
@@ -155,10 +158,33 @@ def _decompressor(raw: bytes):
     if raw[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if raw[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=XZ_MEMORY)
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=XZ_MEMORY)
+    if raw[:3] == b"\x5d\x00\x00":
+        return lzma.LZMADecompressor(lzma.FORMAT_ALONE, memlimit=XZ_MEMORY)
     return None
 
 
+def _seems_packed(run: str) -> bool:
+    """Whether the first letters of a run are data that decompresses, as far as they go."""
+    raw = _base64(run[:TRIED])
+    if not raw or (job := _decompressor(raw[:6])) is None:
+        return False
+    try:
+        job.decompress(raw, ROOM)
+    except (zlib.error, OSError, EOFError, lzma.LZMAError) as e:
+        return "emory" in str(e)
+    return True
+
+
+def _packed_letters(run: str) -> int:
+    """How many letters of a run are the whole compressed data that it begins with; 0 where that breaks off."""
+    raw, rest = _base64(run) or b"", []
+    for _ in _members(raw, rest, []):
+        pass
+    done = len(raw) - len(rest[0])
+    return done * 4 // 3
+
+
 def _slices(raw: bytes) -> Iterator[bytes]:
     return (raw[i : i + SLICE] for i in range(0, len(raw), SLICE))
 
@@ -273,9 +299,9 @@ def _runs(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _base64(run: str) -> bytes | None:
+    """What a run stands for; a letter too many, which stands for no byte, is left out."""
     body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
-    if len(body) % 4 == 1:
-        return None
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
@@ -289,8 +315,14 @@ def _within(layer: Layer, refused: list[bool]) -> Iterator[Layer]:
     if "\\" in layer.text and (x := _escaped(layer, UNICODE, _unicode)):
         yield x
     for start, end, run in _runs(layer.text):
-        # other letters may be glued to the run's beginning: text shows at one of four offsets, compressed data by its head
-        for at in sorted({0, 1, 2, 3, *(m.start() for m in HEADS.finditer(run))}):
+        covered = 0  # what is compressed data of an earlier head; heads in there are its bytes by chance
+        # other letters may be glued to the run: text shows at one of four offsets, compressed data wherever its head is
+        heads = [m.start() for m in HEADS.finditer(run) if _seems_packed(run[m.start() : m.start() + TRIED])]
+        for at in sorted({0, 1, 2, 3, *heads}):
+            if at > 3 and at < covered:
+                continue
+            if at in heads and at < heads[-1]:
+                covered = max(covered, at + _packed_letters(run[at:]))
             if len(run) - at >= 16 and (raw := _base64(run[at:])) is not None:
                 whole = layer.span(start + at, end) if len(run) == end - start else layer.span(start, end)
                 for window in unpacked(raw, refused):

@@ -3,15 +3,15 @@
 A text of up to CHUNK characters is encoded as it is. A longer one is cut into
 chunks that overlap; each is encoded with offsets, and two neighbours are
 spliced at a place in the overlap where both have a token boundary that is
-proven stable: a blank after something else. No piece of the vocabulary has its
-mark for a blank behind another character, which is looked up when it is
-loaded, so no merge crosses such a place and what lies on either side has no
-effect on the other. An overlap without such a place is widened until there is
-one or the text ends.
+proven stable: between two characters that no piece of the vocabulary has next to
+each other, which is looked up when it is loaded. No merge crosses such a place, so
+what lies on either side has no effect on the other. There are such places behind
+words, and in texts without blanks too. An overlap is made as wide as the nearest
+one asks for, and a chunk without any goes on to the next one.
 
 Defined cases: null and empty texts have 0 tokens. Equal rows are counted each,
-whatever their ids. A very long text without any place to splice is encoded as a
-whole. An empty table gives an empty one. All other columns are carried; those
+whatever their ids. A stretch without any place to splice, such as one letter over and
+over, is encoded as a whole. An empty table gives an empty one. All other columns are carried; those
 named n_bytes, n_tokens or over_limit are replaced.
 """
 
@@ -30,6 +30,8 @@ from timedtext.llm import shared
 VOCABULARY, LIMIT = "piece_bpe_32k.model", 4096
 CHUNK, OVERLAP = 65_536, 512
 BLANK = "▁"
+#: Characters that normal forms would change or put together.
+PROBE = "x ﬁ①Å e\u0301 각 \u3000y\xa0z\t\r\n  ²"
 
 
 class Counter:
@@ -38,8 +40,15 @@ class Counter:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.chunk, self.overlap = chunk, overlap
-        #: Whether a blank after something else always ends a token.
-        self.proven = not any(BLANK in self.sp.id_to_piece(i).lstrip(BLANK) for i in range(self.sp.get_piece_size()))
+        names = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
+        #: Pairs of characters that some piece has next to each other.
+        self.joined = frozenset(p[i : i + 2] for p in names for i in range(len(p) - 1))
+        #: Whether characters stay as they are but for blanks, and unknown ones are bytes, not one token together.
+        self.proven = self.sp.normalize(PROBE) == BLANK + PROBE.replace(" ", BLANK) and any(map(self.sp.is_byte, range(len(names))))
+
+    def stable(self, text: str, at: int) -> bool:
+        """Whether no token can have the characters on both sides of a place."""
+        return text[at - 1 : at + 1].replace(" ", BLANK) not in self.joined
 
     def count(self, texts: list[str]) -> list[int]:
         short = [t if len(t) <= self.chunk or not self.proven else "" for t in texts]
@@ -60,17 +69,18 @@ class Counter:
         counted = 0  # tokens before this place are counted
         here = self.bounds(text, start, end)
         while end < len(text):
-            wide, cut = self.overlap, None
-            while cut is None and wide < end - counted:
+            last = next((x for x in range(end - 1, counted, -1) if self.stable(text, x)), None)
+            wide, cut = self.overlap if last is None else self.overlap + end - last, None
+            while last is not None and cut is None and wide < end - counted:
                 begin = end - wide
                 upto = min(begin + max(self.chunk, 2 * wide), len(text))
                 there = self.bounds(text, begin, upto)
                 both = set(here) & set(there)
-                # what lies at or behind the last blank of this chunk may still grow, and so may the first token of the next
-                cut = max((x for x in both if max(begin, counted) < x < end and text[x] == " " and text[x - 1] not in (" ", BLANK)), default=None)
+                cut = max((x for x in both if max(begin, counted) < x < end and self.stable(text, x)), default=None)
                 wide *= 2
-            if cut is None:  # no place to splice in the whole chunk: take more text
-                upto = min(end + (end - counted), len(text))
+            if cut is None:  # no place to splice in the whole chunk: take more text, to behind the next place
+                after = next((x for x in range(end, len(text)) if self.stable(text, x)), len(text))
+                upto = min(after + self.overlap, len(text))
                 begin, there = start, self.bounds(text, start, upto)
             else:
                 total += sum(counted <= x < cut for x in here)
