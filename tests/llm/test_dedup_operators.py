@@ -311,11 +311,19 @@ def test_mix_is_less_than_a_block_off_the_target_weights(spark):
         assert int(r.mix_block / share - 1e-3) <= r.mix_slot < (r.mix_block + 1) / share + 1
 
 
-def test_blocks_grow_with_the_table(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCKS", 20)
+def test_empty_slots_are_passed_over():
+    found = list(mixing.block_slots([1.0, 1e-9], [100, 100]))
+    assert len(found) == 200 and found[-1][2] > 10**10
+    assert [slot for i, _, slot in found if i == 0][-1] < 110
+    assert sum(1 for _ in mixing.block_slots([3.0, 2.0, 1.0], [200_000] * 3)) == 600_000
+
+
+def test_plan_is_written_in_pieces(spark, monkeypatch):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, "a").otherwise("b").alias("source"))
-    rows = mixing.mix(df).collect()
-    assert Counter(Counter((r.source, r.mix_block) for r in rows).values()) == {50: 20} and len({r.mix_slot for r in rows}) == 20
+    whole = sorted(map(tuple, mixing.mix(df, block_rows=2).collect()))
+    monkeypatch.setattr(mixing, "PIECE", 7)
+    assert sorted(map(tuple, mixing.mix(df, block_rows=2).collect())) == whole
+    assert Counter(Counter((r[1], r[2]) for r in whole).values()) == {2: 500} and len({r[3] for r in whole}) == 500
 
 
 def test_mix_keeps_every_row(spark):

@@ -8,17 +8,19 @@ after any number of slots each source is less than one block away from its
 share. Weights are whole numbers of 1 / FINE of their sum, so windows are exact.
 
 Rows go through DataFrame operations only. The order of blocks is sequential by
-nature, each slot depending on all before it, so it is worked out on the driver:
-a heap with one entry for each source, and a number for each block. To bound
-that, a block has `block_rows` rows or, in tables of more than BLOCKS times so
-many, as many as make BLOCKS blocks; so the plan has at most BLOCKS numbers and
-one for each source, whatever the table's size.
+nature, each slot depending on all before it, so it is worked out on the driver, by
+heaps with one entry for each source that has blocks left. A slot for which no block
+is released stays empty, and time goes on to the next release, so the work is in
+proportion to the blocks there are. The plan is written in pieces of PIECE blocks as
+it is made: what the driver holds is a name, a weight and some numbers for each
+source, and a piece. Tables of billions of rows want larger blocks (`block_rows`),
+as the plan has a step for each.
 
 Defined cases: a null source is a source of its own, named by the empty string
 together with any that is so named. Sources without a target weight get
 `default_weight`, and are refused where that is None; zero, negative, null and
-infinite weights are refused. When a source has run out, its slots stay empty
-and the others keep their order, so no row is lost. Rows with equal doc_id are
+infinite weights are refused. A source that has run out takes no more slots, and each
+block of the others keeps its window, so no row is lost. Rows with equal doc_id are
 all kept; texts play no part. An empty table gives an empty result. All columns
 are carried; those named mix_block, mix_slot, mix_row or mix_rank are replaced.
 """
@@ -37,9 +39,11 @@ from pyspark.sql import Window as W
 from timedtext.llm import shared
 
 BLOCK_ROWS, SEED = 16, "mix-1"
-#: Blocks of a plan, and hash ranges of rows; larger tables have larger ones.
-BLOCKS, ROWS_PER_BUCKET = 1 << 20, 1_000
-FINE, MAX_SLOTS = 2**40, 10**9
+#: Hash ranges of rows at most, and rows of one otherwise.
+BUCKETS, ROWS_PER_BUCKET = 1 << 20, 1_000
+FINE = 2**40
+#: Blocks of the plan that are written together.
+PIECE = 1 << 18
 #: Blocks of a source in one row of a plan.
 PLAN_ROW = 64
 _SOURCE, _KEY, _BUCKET = "__mix_source", "__mix_key", "__mix_bucket"
@@ -56,23 +60,22 @@ def quotas(weights: list[float]) -> list[int]:
 
 
 def block_slots(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(source's place, block, slot) in the order of slots, for as many blocks as each source has; slots of one that has run out are passed over."""
+    """(source's place, block, slot) in the order of slots, for as many blocks as each source has; slots for which no block is released are passed over."""
     qs = quotas(weights)
-    q, left, slot = sum(qs), sum(blocks), 0
-    if max((-(-n * q // x) for n, x in zip(blocks, qs, strict=True)), default=0) > MAX_SLOTS:
-        raise ValueError(f"a source would need more than {MAX_SLOTS} slots")
-    due = [(-(-q // x), i, 0) for i, x in enumerate(qs)]
+    q, slot = sum(qs), 0
+    due = [(-(-q // x), i, 0) for i, x in enumerate(qs) if blocks[i]]
     heapq.heapify(due)
     later: list[tuple[int, int, int]] = []
-    while left:
+    while due or later:
+        if not due:
+            slot = max(slot, later[0][0])
         while later and later[0][0] <= slot:
             _, i, j = heapq.heappop(later)
             heapq.heappush(due, (-(-(j + 1) * q // qs[i]), i, j))
         _, i, j = heapq.heappop(due)
-        if j < blocks[i]:
-            left -= 1
-            yield i, j, slot
-        heapq.heappush(later, ((j + 1) * q // qs[i], i, j + 1))
+        yield i, j, slot
+        if j + 1 < blocks[i]:
+            heapq.heappush(later, ((j + 1) * q // qs[i], i, j + 1))
         slot += 1
 
 
@@ -83,13 +86,26 @@ def _exact_plan(docs: DataFrame, weights: DataFrame, source: str, block_rows: in
     rows = sorted(weights.join(n, "source", "left").select("source", F.col("weight").cast("double"), F.coalesce("blocks", F.lit(0))).collect())
     if not all(w is not None and 0 < w < float("inf") for _, w, _ in rows):
         raise ValueError("a target weight is not positive")
-    slots = [array("q") for _ in rows]
-    for i, _, slot in block_slots([w for _, w, _ in rows], [b for *_, b in rows]):
-        slots[i].append(slot)
-    plan = [(r[0], k // PLAN_ROW, s[k : k + PLAN_ROW]) for r, s in zip(rows, slots, strict=True) for k in range(0, len(s), PLAN_ROW)]
-    columns = zip((pa.string(), pa.int64(), pa.list_(pa.int64())), zip(*plan) if plan else ((), (), ()), strict=True)
-    table = pa.table([pa.array(list(c), kind) for kind, c in columns], ["source", "part", "slots"])
-    return shared.written(docs.sparkSession.createDataFrame(table), "mix-plan")
+    blocks = [b for *_, b in rows]
+    path, spark, made = shared.fresh_path(docs.sparkSession, "mix-plan"), docs.sparkSession, 0
+    held: dict[int, array] = {}
+    piece: list[tuple[str, int, array]] = []
+
+    def write() -> None:
+        columns = zip((pa.string(), pa.int64(), pa.list_(pa.int64())), zip(*piece) if piece else ((), (), ()), strict=True)
+        table = pa.table([pa.array(list(c), kind) for kind, c in columns], ["source", "part", "slots"])
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+        piece.clear()
+
+    for i, j, slot in block_slots([w for _, w, _ in rows], blocks):
+        held.setdefault(i, array("q")).append(slot)
+        if (j + 1) % PLAN_ROW == 0 or j + 1 == blocks[i]:
+            piece.append((rows[i][0], j // PLAN_ROW, held.pop(i)))
+        made += 1
+        if made % PIECE == 0 and piece:
+            write()
+    write()
+    return spark.read.schema("source string, part long, slots array<long>").parquet(path)
 
 
 def _order(doc_id: Column, seed: str) -> Column:
@@ -101,7 +117,7 @@ def ranked(docs: DataFrame, doc_id="doc_id", source="source", seed=SEED) -> Data
 
     A source is cut into hash ranges of about ROWS_PER_BUCKET rows; a row's number is its number in the range plus the counts of the ranges before, so a source of any size is ranked by many tasks.
     """
-    buckets = max(1, min(BLOCKS, docs.count() // ROWS_PER_BUCKET))
+    buckets = max(1, min(BUCKETS, docs.count() // ROWS_PER_BUCKET))
     key = docs.withColumn(_SOURCE, F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn(_KEY, _order(F.col(doc_id), seed))
     key = key.withColumn(_BUCKET, F.floor(F.conv(F.substring(_KEY, 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("long"))
     ties = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]  # what can be hashed
@@ -112,10 +128,6 @@ def ranked(docs: DataFrame, doc_id="doc_id", source="source", seed=SEED) -> Data
     return joined.withColumn("mix_rank", F.col("__mix_before") + F.col("__mix_n") - 1).drop("__mix_before", "__mix_n", _KEY, _BUCKET)
 
 
-def rows_of_a_block(docs: DataFrame, block_rows=BLOCK_ROWS) -> int:
-    return max(block_rows, -(-docs.count() // BLOCKS))
-
-
 def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id="doc_id", source="source", block_rows=BLOCK_ROWS, default_weight: float | None = None, seed=SEED) -> DataFrame:
     """`docs` with mix_block (number of the block in its source), mix_slot (its place in the interleaving) and mix_row (place in the block).
 
@@ -132,7 +144,6 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id="doc_id", sour
             raise ValueError("a source has no target weight")
         else:
             weights = named
-    block_rows = rows_of_a_block(docs, block_rows)
     plan = _exact_plan(docs, shared.written(weights, "mix-weights"), source, block_rows).toDF(_SOURCE, "__mix_part", "__mix_slots")
     placed = ranked(docs, doc_id, source, seed).withColumn("mix_block", F.floor(F.col("mix_rank") / block_rows))
     placed = placed.withColumn("__mix_part", F.expr(f"mix_block div {PLAN_ROW}")).join(plan, [_SOURCE, "__mix_part"])
@@ -147,9 +158,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_sql(docs: str) -> str:
-    """DuckDB: CTEs up to `placed` over the relation `docs`; a step of the recursion is a slot, until the last block of each source has had its deadline."""
+    """DuckDB: CTEs up to `placed` over the relation `docs`; a step of the recursion is a slot, until the last deadline; a source with blocks left competes."""
     return f"""
-WITH RECURSIVE size AS (SELECT greatest({BLOCK_ROWS}, (count(*) + {BLOCKS} - 1) // {BLOCKS})::BIGINT AS rows FROM {docs}),
+WITH RECURSIVE size AS (SELECT {BLOCK_ROWS}::BIGINT AS rows),
 w AS MATERIALIZED (SELECT coalesce(source, '') AS source, sqrt(count(*)::DOUBLE) AS weight, (count(*) + any_value(rows) - 1) // any_value(rows) AS blocks FROM {docs}, size GROUP BY 1),
 total AS (SELECT list_reduce(list(weight ORDER BY source), lambda a, b: a + b) AS total FROM w),
 quotas AS MATERIALIZED (SELECT source, blocks, greatest(1, round(weight / total * {FINE}))::HUGEINT AS quota FROM w, total),
@@ -159,7 +170,7 @@ steps AS (
   SELECT 0::BIGINT AS t, list_transform(qs, lambda x: 0::HUGEINT) AS done, NULL::BIGINT AS pick FROM one
   UNION ALL
   SELECT t + 1, list_transform(done, lambda n, i: CASE WHEN i = p THEN n + 1 ELSE n END), p
-  FROM (SELECT t, done, (list_min(list_filter(list_transform(done, lambda n, i: CASE WHEN n * q // qs[i] <= t
+  FROM (SELECT t, done, (list_min(list_filter(list_transform(done, lambda n, i: CASE WHEN n < ns[i] AND n * q // qs[i] <= t
                  THEN ((n + 1) * q + qs[i] - 1) // qs[i] * 10000000 + i END), lambda v: v IS NOT NULL)) % 10000000)::BIGINT AS p
         FROM steps, one, upto WHERE t < last)),
 slots AS (SELECT s[pick] AS source, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM steps, one WHERE pick IS NOT NULL),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.functions.scratch import shared_dir, written
+from timedtext.functions.scratch import fresh_path, shared_dir, written
 
-__all__ = ["ascii_lower", "documents", "shared_dir", "written"]
+__all__ = ["ascii_lower", "documents", "fresh_path", "shared_dir", "written"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
