@@ -15,6 +15,7 @@ id, then to the row that comes first. An empty table gives an empty one.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +52,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with their number and the document's place in the mix.
+    """Token ids of every document, with their number, and mix_file and mix_row, the document's place in the mix.
 
-    Readers deal files and rows out anew, so the place is worked out again; the mix depends on the rows only.
+    The stage before has laid the mix out in files and rows, so that is a document's
+    place, however readers deal files and rows out; it is not worked out again.
     """
-    mixed = mixing.mix(docs)
-    coded = bpe.encode(mixed, keep=[c for c in mixed.columns if c not in ("text", "ids", "n_tokens", "mix_block")])
+    placed = docs.drop("mix_file", "mix_row")
+    try:
+        placed = placed.select("*", F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    except AnalysisException:  # a table that is not in files has the order of its rows
+        placed = placed.select("*", F.lit("").alias("mix_file"), F.monotonically_increasing_id().alias("mix_row"))
+    coded = bpe.encode(placed, keep=[c for c in placed.columns if c not in ("text", "ids", "n_tokens")])
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
