@@ -203,8 +203,8 @@ def progress(commits: DataFrame, total_s: str, elapsed_s: str, key="rec", order=
     return rows.withColumn("percent", percent).withColumn("eta_s", eta).drop("__first", "__began")
 
 
-def observed(commits: DataFrame, name: str = "commits") -> tuple[DataFrame, Observation]:
-    """`commits` with metrics that Spark reports while they go through: chunks, samples and segments. On a stream, listeners get them by name."""
-    seen = Observation(name)
+def observed(commits: DataFrame, name: str = "commits") -> tuple[DataFrame, Observation | None]:
+    """`commits` with metrics that Spark reports while they go through: chunks, samples and segments. On a stream, listeners get them by name, batch by batch, and there is no observation."""
+    seen = None if commits.isStreaming else Observation(name)
     segments = F.sum(F.size("segments")) if "segments" in commits.columns else F.lit(None).cast("long")
-    return commits.observe(seen, F.count("*").alias("chunks"), F.sum(F.col("end_sample") - F.col("start_sample")).alias("samples"), segments.alias("segments")), seen
+    return commits.observe(seen or name, F.count("*").alias("chunks"), F.sum(F.col("end_sample") - F.col("start_sample")).alias("samples"), segments.alias("segments")), seen

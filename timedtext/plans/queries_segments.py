@@ -9,7 +9,7 @@ from timedtext.functions.scratch import fresh_path, written
 from timedtext.operators import journal
 from timedtext.operators import paragraphs as p
 from timedtext.operators import segments as s
-from timedtext.sources import sinks, tables
+from timedtext.sources import packed, sinks, tables
 
 PAUSE_MS = 2000
 _WS = r"[ \n\r\t]+"
@@ -172,6 +172,12 @@ Q = {
             FROM rows WHERE rec NOT IN {BLANKED} GROUP BY rec, format
             UNION ALL SELECT DISTINCT rec, 'failed', 0, 0, 0 FROM docseg_v WHERE rec IN {BLANKED}""",
     ),
+    "publish_packed": (
+        lambda v: _packed(v),
+        f"""SELECT rec::VARCHAR AS rec, 'srt' AS format, string_agg(cue || chr(10) || a || ' --> ' || b || chr(10) || x || chr(10) || chr(10), '' ORDER BY cue) AS content FROM (
+              SELECT rec, CAST(row_number() OVER ({W}) AS BIGINT) AS cue, {clock(MS.format('start_s'), ',')} AS a, {clock(MS.format('end_s'), ',')} AS b, {NORMAL} AS x FROM seg_v)
+            GROUP BY rec HAVING rec % 4 <> 3 AND bool_or(x <> '')""",
+    ),
     "render_counts": (
         lambda v: sinks.render_counts(v.seg_v)[0],
         f"WITH {_breaks('seg_v')} SELECT rec, CAST(sum(b::INT) + 1 AS BIGINT) AS paragraphs, any_value(c) AS cues FROM st JOIN (SELECT rec, count(*) AS c FROM seg_v GROUP BY rec) USING (rec) GROUP BY rec",
@@ -212,6 +218,15 @@ Q = {
 }
 
 
+def _packed(v):
+    """Captions of all recordings published in two runs, the second with some that differ from the first and so refused; then what can be read."""
+    path = fresh_path(v.spark, "packed")
+    packed.publish_packed(v.seg_v.filter("rec % 4 < 2"), path, ("srt",), version="a")
+    packed.publish_packed(v.seg_v.withColumn("text", F.when(F.expr("rec % 4 = 1"), F.lit("other")).otherwise(F.col("text"))), path, ("srt",), version="b")
+    packed.publish_packed(v.seg_v.filter("rec % 4 = 2"), path, ("srt",), version="c")
+    return packed.read_published(v.spark, path)
+
+
 def _json(v):
     """Documents as JSON, parsed again."""
     from timedtext.sources.tables import TRANSCRIPT
