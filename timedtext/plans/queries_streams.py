@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from timedtext.functions.scratch import fresh_path
-from timedtext.operators import audio
+from timedtext.functions.scratch import fresh_path, written
+from timedtext.operators import audio, recognize
 from timedtext.operators import timeline as tl
 from timedtext.plans import queries_segments as qs
 from timedtext.plans import queries_timeline as qt
@@ -50,6 +50,26 @@ def windows(v):
     return done.select("rec", "idx", "start_sample", "end_sample", "silent", F.size("segments").cast("long").alias("n"))
 
 
+def timeline_from_batch(v):
+    """The first frames of every other recording placed by a batch, and the rest by a stream that begins there."""
+    rows = v.frames_v.select(FRAMES)
+    first = rows.filter("rec % 2 = 0 and seq <= 5")
+    begin = st.timeline_state(first)
+    done = through(v, rows.filter("rec % 2 <> 0 or seq > 5"), lambda s: st.stream_align_timeline(s, begin=begin))
+    return tl.align_timeline(first).unionByName(done).drop("n_samples")
+
+
+def windows_from_batch(v):
+    """The first windows of every other recording from a batch, and the rest from a stream that begins there and reads only the samples from there on."""
+    blocks = audio.pcm_blocks(v.pcm_v, 8)
+    ends = blocks.groupBy("rec").agg(F.max(F.col("start_sample") + F.size("samples")).alias("start_sample")).withColumn("samples", F.array().cast("array<float>"))
+    first = recognize.recognize_windows(blocks, qt.fake_recognizer, qt.choose_cut, 16, 4).filter("rec % 2 = 0 and idx < 2")
+    begin = written(first.groupBy("rec").agg(F.max("end_sample").alias("samples"), F.count("*").alias("chunks")), "begin")
+    rest = blocks.unionByName(ends).join(begin.select("rec", F.col("samples").alias("at")), "rec", "left").filter("size(samples) = 0 or start_sample + size(samples) > coalesce(at, 0)").drop("at")
+    done = through(v, rest, lambda s: st.stream_windows(s, qt.fake_recognizer, qt.choose_cut, 16, 4, begin=begin))
+    return first.unionByName(done).select("rec", "idx", "start_sample", "end_sample", "silent", F.size("segments").cast("long").alias("n"))
+
+
 def publish(v):
     """Renderings published twice by a stream, the second time with some that differ."""
     rows = v.docseg_v.select("rec", F.col("seq").cast("string").alias("format"), F.col("text").alias("content"))
@@ -97,6 +117,8 @@ Q = {
         f"WITH {qt.EVENTS} {qt.LATE}",
     ),
     "stream_windows": (windows, qt.Q["recognize_windows"][1].replace("false AS whole, ", "")),
+    "stream_align_timeline_from_batch": (timeline_from_batch, f"WITH {qt.ALIGNED.format(auto='')} {qt.SHOWN}"),
+    "stream_windows_from_batch": (windows_from_batch, qt.Q["recognize_windows"][1].replace("false AS whole, ", "")),
     "stream_paragraphs": (
         paragraphs,
         f"""SELECT rec, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM (

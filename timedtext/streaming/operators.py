@@ -14,7 +14,9 @@ from pyspark.sql.utils import AnalysisException
 
 from timedtext.operators import recognize as rec_ops
 from timedtext.operators import runs, timeline
+from timedtext.operators.fold import fold
 from timedtext.streaming.ordered import ordered_fold
+from timedtext.streaming.windows import windowed
 
 #: Parts of a published table.
 BUCKETS = 256
@@ -31,8 +33,21 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode="append")
     query.awaitTermination()
 
 
-def stream_align_timeline(frames: DataFrame, gaps="auto", key="rec", idle: float | None = None) -> DataFrame:
-    """align_timeline with its state by recording. frames have seq from 1 on; late ones are placed in their turn and never dropped."""
+def timeline_state(frames: DataFrame, gaps="auto", key="rec") -> DataFrame:
+    """(rec, next, end, shift) behind the frames of a batch, for a stream that goes on from there."""
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, list]:
+        rec, seq, pts, n, delay, tolerance, transport = row
+        now, _ = timeline.place_frame(state and state[2], pts, n, delay, tolerance, transport, gaps)
+        return (rec, seq + 1, now), []
+
+    schema = T.StructType([frames.schema[key], T.StructField("next", T.LongType()), *timeline.STATE])
+    rows = frames.select(key, "seq", "pts", "n_samples", "delay", "tolerance", "transport")
+    return fold(rows, key, ["seq"], lambda: None, step, schema, lambda state: [(state[0], state[1], *state[2])])
+
+
+def stream_align_timeline(frames: DataFrame, gaps="auto", key="rec", idle: float | None = None, begin: DataFrame | None = None) -> DataFrame:
+    """align_timeline with its state by recording. frames have seq from 1 on; late ones are placed in their turn and never dropped. begin: timeline_state of what a batch has placed."""
     columns = [key, "seq", "pts", "n_samples", "delay", "tolerance", "transport"]
 
     def step(state, row):
@@ -40,7 +55,7 @@ def stream_align_timeline(frames: DataFrame, gaps="auto", key="rec", idle: float
         state, placed = timeline.place_frame(state, *(None if x is None else int(x) for x in (pts, n, delay, tolerance)), transport, gaps)
         return state, [(rec, int(seq), *placed, n)]
 
-    return ordered_fold(frames.select(columns), key, columns, "seq", 1, lambda r: int(r[1]) + 1, lambda: None, step, timeline.aligned_type(frames, key), idle)
+    return ordered_fold(frames.select(columns), key, columns, "seq", 1, lambda r: int(r[1]) + 1, lambda: None, step, timeline.aligned_type(frames, key), timeline.STATE, idle, begin)
 
 
 def stream_budget(events: DataFrame, strict=False, limit_s=30, key="rec", idle: float | None = None) -> DataFrame:
@@ -49,6 +64,7 @@ def stream_budget(events: DataFrame, strict=False, limit_s=30, key="rec", idle:
 
     def step(state, row):
         spent, damaged, stuck, failed = state
+        stuck = int(stuck)
         rec, seq, kind, seconds, recoverable = row
         reason = None
         if kind == "packet":
@@ -67,26 +83,17 @@ def stream_budget(events: DataFrame, strict=False, limit_s=30, key="rec", idle:
 
     schema = T.StructType([events.schema[key], T.StructField("seq", T.LongType()), T.StructField("reason", T.StringType())])
     rows = events.withColumn("recoverable", timeline.classify_code("code") == "recoverable").select(columns)
-    return ordered_fold(rows, key, columns, "seq", 0, lambda r: int(r[1]) + 1, lambda: (0.0, False, 0, False), step, schema, idle)
+    state = T.StructType([T.StructField("spent", T.DoubleType()), T.StructField("damaged", T.BooleanType()), T.StructField("stuck", T.LongType()), T.StructField("failed", T.BooleanType())])
+    return ordered_fold(rows, key, columns, "seq", 0, lambda r: int(r[1]) + 1, lambda: (0.0, False, 0, False), step, schema, state, idle)
 
 
-def stream_windows(blocks: DataFrame, recognize: rec_ops.Recognize, choose_cut: rec_ops.ChooseCut, limit: int, guard: int, key="rec", idle: float | None = None) -> DataFrame:
-    """recognize_windows with the tail of each recording in state. A block without samples marks the recording's end."""
-    columns = [key, "start_sample", "samples"]
+def stream_windows(blocks: DataFrame, recognize: rec_ops.Recognize, choose_cut: rec_ops.ChooseCut, limit: int, guard: int, key="rec", idle: float | None = None, begin: DataFrame | None = None) -> DataFrame:
+    """recognize_windows with the tail of each recording in state. A block without samples marks the recording's end.
 
-    def step(state, row):
-        rec, _, samples = row
-        state = state or {"position": 0, "index": 0, "buffer": np.zeros(0, np.float32)}
-        w = rec_ops.Windows(limit, guard, recognize, choose_cut, 0, state["index"])
-        w.position, w.buffer = state["position"], state["buffer"]
-        x = np.array(samples if samples is not None else [], np.float32)
-        made = [rec_ops.committed_row(rec, r) for r in (w.push(x) if len(x) else w.finish())]
-        return {"position": w.position, "index": w.index, "buffer": w.buffer}, made
-
-    def after(row) -> int:
-        return int(row[1]) + (len(row[2]) if row[2] is not None else 0)
-
-    return ordered_fold(blocks.select(columns), key, columns, "start_sample", 0, after, lambda: None, step, rec_ops.committed_type(blocks.schema[key]), idle)
+    begin: manifests (rec, chunks, samples) of what a batch has committed, whose samples
+    are not needed again.
+    """
+    return windowed(blocks, recognize, choose_cut, limit, guard, key, idle, begin)
 
 
 def stream_paragraphs(segments: DataFrame, pause_ms: int, key="rec", delay="1 hour") -> DataFrame:

@@ -7,6 +7,10 @@ skipped, as is a second row at a place that is held: both are repeats of a sourc
 that delivers at least once. A row without a place is skipped, too. No row is
 dropped for being late, as there is no watermark.
 
+State is kept in columns, which can be read by Spark's state data source: the fold's
+own in one value, rows that wait in a map by their place. A stream may begin where a
+batch ended: `begin` has the place that comes next and the state of each recording.
+
 The state of a recording without new rows for `idle` expires: rows that are
 still held are applied in their order, over the gaps, and the state goes. What
 comes after that begins anew. Spark runs batch after batch for the sake of such
@@ -16,11 +20,11 @@ one that ends when all is read has to do without.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
@@ -33,17 +37,33 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _Ordered(StatefulProcessor):
-    def __init__(self, columns, first, place, after, init, step, names, idle_ms) -> None:
+    def __init__(self, columns, first, place, after, init, step, names, idle_ms, row_type, state_type) -> None:
         self.columns, self.first, self.place, self.after, self.begin, self.step, self.names, self.idle_ms = columns, first, place, after, init, step, names, idle_ms
+        self.row_type, self.state_type = row_type, state_type
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "next long, timer long, data binary")
-        self.held = handle.getMapState("held", "place long", "row binary")
+        fields = [T.StructField("next", T.LongType()), T.StructField("timer", T.LongType()), *self.state_type]
+        self.state = handle.getValueState("state", StructType(fields))
+        self.held = handle.getMapState("held", "place long", self.row_type)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  # Spark's names
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803  # Spark's names
+        row = initialState.astype(object).where(initialState.notna(), None).iloc[0]
+        self.state.update((int(row["next"]), -1, *_typed([row[f.name] for f in self.state_type], self.state_type)))
+
+    def saved(self) -> tuple:
+        """The place that comes next, the timer and the fold's state; a state of nulls is one that has not begun."""
         saved = self.state.get()
-        expected, timer, state = (int(saved[0]), int(saved[1]), pickle.loads(saved[2])) if saved else (self.first, -1, self.begin())
+        if not saved:
+            return self.first, -1, self.begin()
+        state = tuple(saved[2:])
+        return int(saved[0]), int(saved[1]), None if all(x is None for x in state) else state
+
+    def save(self, expected: int, timer: int, state: tuple | None) -> None:
+        self.state.update((expected, timer, *([None] * len(self.state_type) if state is None else _typed(state, self.state_type))))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  # Spark's names
+        expected, timer, state = self.saved()
         frames = (frame[self.columns].astype(object).where(frame[self.columns].notna(), None) for frame in rows)
         new = [r for frame in frames for r in frame.itertuples(index=False, name=None) if r[self.place] is not None]
         out: list[tuple] = []
@@ -51,13 +71,13 @@ class _Ordered(StatefulProcessor):
             at = int(row[self.place])
             if at > expected:
                 if not self.held.containsKey((at,)):
-                    self.held.updateValue((at,), (pickle.dumps(row),))
+                    self.held.updateValue((at,), _typed(row, self.row_type))
             elif at == expected:
                 state, made = self.step(state, row)
                 out.extend(made)
                 expected = self.after(row)
                 while self.held.containsKey((expected,)):
-                    key_of, waiting = (expected,), pickle.loads(self.held.getValue((expected,))[0])
+                    key_of, waiting = (expected,), tuple(self.held.getValue((expected,)))
                     self.held.removeKey(key_of)
                     state, made = self.step(state, waiting)
                     out.extend(made)
@@ -67,16 +87,15 @@ class _Ordered(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(timer)
-        self.state.update((expected, timer, pickle.dumps(state)))
+        self.save(expected, timer, state)
         yield pd.DataFrame(out, columns=self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        saved = self.state.get()
         out: list[tuple] = []
-        if saved:
-            state = pickle.loads(saved[2])
-            for _, (row,) in sorted((int(k[0]), v) for k, v in self.held.iterator()):
-                state, made = self.step(state, pickle.loads(row))
+        if self.state.exists():
+            _, _, state = self.saved()
+            for _, row in sorted(((int(k[0]), tuple(v)) for k, v in self.held.iterator()), key=lambda x: x[0]):
+                state, made = self.step(state, row)
                 out.extend(made)
         self.held.clear()
         self.state.clear()
@@ -86,8 +105,27 @@ class _Ordered(StatefulProcessor):
         pass
 
 
-def ordered_fold(stream: DataFrame, key: str, columns: list[str], place: str, first: int, after: Callable[[tuple], int], init: Callable[[], object], step: Callable[[object, tuple], tuple[object, Iterable[tuple]]], schema: StructType, idle: float | None = None) -> DataFrame:
-    """The rows that step makes of each row, recording by recording, in the order of `place`, which starts at `first` and goes on at after(row). idle: seconds after which state expires; never if None."""
+def ordered_fold(stream: DataFrame, key: str, columns: list[str], place: str, first: int, after: Callable[[tuple], int], init: Callable[[], object], step: Callable[[tuple | None, tuple], tuple[tuple | None, Iterable[tuple]]], schema: StructType, state: StructType, idle: float | None = None, begin: DataFrame | None = None) -> DataFrame:
+    """The rows that step makes of each row, recording by recording, in the order of `place`, which starts at `first` and goes on at after(row).
+
+    The fold's state is a tuple of the type `state`, or None. idle: seconds after which
+    state expires; never if None. begin: key, next (a place) and the columns of `state`,
+    a row for each recording that a batch has begun.
+    """
     names = [f.name for f in schema]
-    processor = _Ordered(columns, first, columns.index(place), after, init, step, names, int(idle * 1000) if idle else 0)
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if idle else "none")
+    row_type = StructType([stream.schema[c] for c in columns])
+    processor = _Ordered(columns, first, columns.index(place), after, init, step, names, int(idle * 1000) if idle else 0, row_type, state)
+    initial = None if begin is None else begin.select(key, "next", *(f.name for f in state)).groupBy(key)
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if idle else "none", initialState=initial)
+
+
+def _typed(row: Iterable, kind: StructType) -> tuple:
+    """Values as state takes them: numbers that came through pandas as floats are whole again where their column is."""
+
+    def one(x, t: T.DataType):
+        if x is None:
+            return None
+        made = int if isinstance(t, T.IntegralType) else float if isinstance(t, T.FractionalType) else bool if isinstance(t, T.BooleanType) else None
+        return made(x) if made else x
+
+    return tuple(one(x, f.dataType) for x, f in zip(row, kind, strict=True))
