@@ -192,55 +192,59 @@ def test_resume_refuses_other_settings(spark, tmp_path):
         streams.resume(a, str(tmp_path / "o"), str(tmp_path / "c"), a, b)
 
 
-def saved(spark, tmp_path, **changes):
-    """The decision on one recording whose saved files are changed: `manifest` and `fingerprint` update theirs, a number is a record's text, `drop` names files that are missing."""
-    kind = "rec string, idx long, start_sample long, end_sample long, language string, segments array<struct<start: double, `end`: double, text: string, no_speech_prob: double>>"
+def write_saved(folder, **changes):
+    """The files of one recording: `manifest` updates its manifest, c0, c1, ... are a record's text, `drop` names files that are missing. Returns its fingerprint of now."""
     n = changes.pop("n", 2)
-    chunks = spark.createDataFrame([("r", i, i * 16_000, i * 16_000 + 16_000, "en", [(float(i), i + 0.5, "x", 0.1)]) for i in range(n)], kind)
-    records = journal.chunk_records(chunks).orderBy("idx").collect()
+    raws, last = [], ""
+    for i in range(n):
+        record = {"index": i, "start_sample": i * 16_000, "end_sample": (i + 1) * 16_000, "previous_hash": last, "language": "en", "segments": [{"start": float(i), "end": i + 0.5, "text": "x", "no_speech_prob": 0.1}]}
+        raws.append(json.dumps(record))
+        last = hashlib.sha256(raws[-1].encode()).hexdigest()
     print_ = {"source": "a", "outputs": {"srt": "a.srt"}, "run": {"beam": "5", "list": ["1", "2"]}}
-    manifest = {"schema_version": 3, "fingerprint": print_, "output_metadata": {"model": "m", "run": {}}, "chunks": n, "samples": n * 16_000, "languages": ["en"] if n else [], "last_hash": hashlib.sha256(records[-1].raw.encode()).hexdigest() if n else "", "finished": False, "published_hashes": {}}
-    manifest |= changes.pop("manifest", {})
-    how = {k: changes.pop(k) for k in ("resume", "overwrite") if k in changes}
-    now = print_ | changes.pop("fingerprint", {})
-    files = {"manifest.json": json.dumps(manifest), **{f"chunk-{i}.json": x.raw for i, x in enumerate(records)}}
-    drop = changes.pop("drop", ())
-    files |= {f"chunk-{k[1:]}.json": v for k, v in changes.items()}
-    folder = tmp_path / str(time.monotonic_ns())
-    (folder / "r").mkdir(parents=True)
+    manifest = {"schema_version": 3, "fingerprint": print_, "output_metadata": {"model": "m", "run": {}}, "chunks": n, "samples": n * 16_000, "languages": ["en"] if n else [], "last_hash": last, "finished": False, "published_hashes": {}}
+    files = {"manifest.json": json.dumps(manifest | changes.get("manifest", {})), **{f"chunk-{i}.json": x for i, x in enumerate(raws)}}
+    files |= {f"chunk-{k[1:]}.json": v for k, v in changes.items() if k[0] == "c"}
+    folder.mkdir(parents=True)
     for name, x in files.items():
-        if name not in drop:
-            (folder / "r" / name).write_text(x)
-    manifests, read = tables.read_journal(spark, str(folder))
-    jobs = spark.createDataFrame([("r", json.dumps(now)), ("new", "{}")], "rec string, fingerprint string")
-    got = {x.rec: (x.action, x.reason) for x in journal.restore(manifests, read.withColumnRenamed("index", "idx"), jobs, 16_000, **how).collect()}
-    assert got.pop("new") == ("start", None)
-    return got["r"]
+        if name not in changes.get("drop", ()):
+            (folder / name).write_text(x)
+    return print_ | changes.get("fingerprint", {})
+
+
+NOTHING = {"chunks": 0, "samples": 0, "languages": [], "last_hash": ""}
+SAVED = [
+    ({}, ("resume", None)),
+    ({"manifest": {"finished": True}}, ("publish", None)),
+    ({"manifest": {"schema_version": 2}}, ("refuse", "schema")),
+    ({"manifest": {"samples": -1}}, ("refuse", "manifest")),
+    ({"manifest": {"output_metadata": {"model": None, "run": {}}}}, ("refuse", "manifest")),
+    ({"manifest": {"last_hash": "zz"}}, ("refuse", "corrupt")),
+    ({"manifest": {"languages": []}}, ("refuse", "corrupt")),
+    ({"c1": "{"}, ("refuse", "corrupt")),
+    ({"drop": ("chunk-1.json",)}, ("refuse", "corrupt")),
+    ({"drop": ("manifest.json",)}, ("refuse", "manifest missing")),
+    ({"c2": '{"index": 2}'}, ("resume", None)),  # not committed
+    ({"fingerprint": {"run": {"beam": "6", "list": ["1"]}, "extra": None}}, ("refuse", "changed: /extra, /run/beam, /run/list/1")),
+    # what has begun only
+    ({"n": 0}, ("start", None)),
+    ({"n": 1, "manifest": NOTHING}, ("start", None)),
+    ({"n": 2, "manifest": NOTHING}, ("refuse", "unknown contents")),
+    ({"n": 1, "manifest": NOTHING, "c0": '{"index": 0, "start_sample": 3}'}, ("refuse", "corrupt")),
+    ({"n": 0, "manifest": {"last_hash": "zz"}}, ("refuse", "corrupt")),
+    ({"n": 0, "manifest": {"languages": ["en"]}}, ("refuse", "corrupt")),
+]
 
 
 def test_restoring(spark, tmp_path):
-    go = lambda **c: saved(spark, tmp_path, **c)
-    assert go() == ("resume", None)
-    assert go(manifest={"finished": True}) == ("publish", None)
-    assert go(resume=False) == ("refuse", "saved progress")
-    assert go(resume=False, overwrite=True, manifest={"schema_version": 1}) == ("start", None)
-    assert go(manifest={"schema_version": 2}) == ("refuse", "schema")
-    assert go(manifest={"samples": -1}) == ("refuse", "manifest") and go(manifest={"output_metadata": {"model": None, "run": {}}}) == ("refuse", "manifest")
-    assert go(manifest={"last_hash": "zz"}) == ("refuse", "corrupt") and go(manifest={"languages": []}) == ("refuse", "corrupt")
-    assert go(c1="{") == ("refuse", "corrupt") and go(drop=("chunk-1.json",)) == ("refuse", "corrupt")
-    assert go(drop=("manifest.json",)) == ("refuse", "manifest missing")
-    assert go(c2='{"index": 2}') == ("resume", None)  # not committed
-    assert go(fingerprint={"run": {"beam": "6", "list": ["1"]}, "extra": None}) == ("refuse", "changed: /extra, /run/beam, /run/list/1")
-
-
-def test_restoring_what_has_begun_only(spark, tmp_path):
-    go = lambda **c: saved(spark, tmp_path, **c)
-    nothing = {"chunks": 0, "samples": 0, "languages": [], "last_hash": ""}
-    assert go(n=0) == ("start", None)
-    assert go(n=1, manifest=nothing) == ("start", None)
-    assert go(n=2, manifest=nothing) == ("refuse", "unknown contents")
-    assert go(n=1, manifest=nothing, c0='{"index": 0, "start_sample": 3}') == ("refuse", "corrupt")
-    assert go(n=0, manifest={"last_hash": "zz"}) == ("refuse", "corrupt") and go(n=0, manifest={"languages": ["en"]}) == ("refuse", "corrupt")
+    jobs = [(f"r{i}", json.dumps(write_saved(tmp_path / f"r{i}", **dict(changes)))) for i, (changes, _) in enumerate(SAVED)]
+    manifests, chunks = tables.read_journal(spark, str(tmp_path))
+    df = spark.createDataFrame([*jobs, ("new", "{}")], "rec string, fingerprint string")
+    go = lambda **how: {x.rec: (x.action, x.reason) for x in journal.restore(manifests, chunks.withColumnRenamed("index", "idx"), df, 16_000, **how).collect()}
+    want = {"new": ("start", None), **{f"r{i}": x for i, (_, x) in enumerate(SAVED)}}
+    assert go() == want
+    refused = {r: x if x[0] in ("refuse", "start") and not (x[1] or "").startswith("changed") else ("refuse", "saved progress") for r, x in want.items()}
+    assert go(resume=False) == refused
+    assert set(go(resume=False, overwrite=True).values()) == {("start", None)}
 
 
 def test_languages_of_records(spark):
@@ -255,3 +259,41 @@ def test_files_are_whole(spark, tmp_path):
     assert {str(f.relative_to(tmp_path)): f.read_text() for f in tmp_path.rglob("*") if f.is_file()} == {"a/1.txt": "x", "a/2.txt": "", "b.txt": "é"}
     with pytest.raises(Exception, match="no name"):
         sinks.write_files(spark.createDataFrame([("../x", "y")], "name string, content string"), str(tmp_path))
+
+
+def plain_diff(a, b, at=""):
+    """Pointers of what differs, member by member; numbers by value."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        names = [(n.replace("~", "~0").replace("/", "~1"), a.get(n, ...), b.get(n, ...)) for n in {**a, **b}]
+    elif isinstance(a, list) and isinstance(b, list):
+        names = [(str(i), a[i] if i < len(a) else ..., b[i] if i < len(b) else ...) for i in range(max(len(a), len(b)))]
+    else:
+        same = a is not ... and b is not ... and isinstance(a, bool) == isinstance(b, bool) and a == b
+        return [] if same else [at]
+    return [p for n, x, y in names for p in plain_diff(x, y, f"{at}/{n}")]
+
+
+def test_nested_differences(spark):
+    rng = np.random.default_rng(31)
+
+    def made(depth):
+        kind = rng.integers(0, 7 if depth else 5)
+        if kind < 5:
+            return [None, int(rng.integers(3)), "x", True, {}][kind]
+        n = int(rng.integers(0, 4))
+        return {str(k): made(depth - 1) for k in rng.choice(["a", "b/c", "~", "d"], n, replace=False)} if kind == 5 else [made(depth - 1) for _ in range(n)]
+
+    def changed(x):
+        if isinstance(x, dict):
+            return {k: changed(v) for k, v in x.items() if rng.random() < 0.9}
+        if isinstance(x, list):
+            return [changed(v) for v in x][: None if rng.random() < 0.8 else 1]
+        return x if rng.random() < 0.8 else made(1)
+
+    docs = [{"top": made(4), "l": [made(2), made(2)]} for _ in range(60)]
+    pairs = [(i, d, changed(d)) for i, d in enumerate(docs)]
+    side = lambda n: spark.createDataFrame([(p[0], json.dumps(p[n])) for p in pairs], "job long, json string")
+    got = runs.diff_json(side(1), side(2), "job").collect()
+    assert sorted((r.job, r.pointer) for r in got) == sorted((i, p) for i, a, b in pairs for p in plain_diff(a, b)) and len(got) > 20
+    fields = {r.job: r.fields for r in runs.differing_fields(side(1), side(2), "job").collect()}
+    assert fields == {i: ", ".join(sorted(plain_diff(a, b))) for i, a, b in pairs if plain_diff(a, b)}

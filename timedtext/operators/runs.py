@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timedtext.functions.scratch import written
 from timedtext.functions.text import RATE
 
 #: Settings that do not change a result.
@@ -131,12 +132,50 @@ def flatten_json(df: DataFrame, json: str, key: str) -> DataFrame:
     return df.select(key, F.explode(leaves(json)).alias("x")).select(key, "x.pointer", "x.value")
 
 
+def json_nodes(df: DataFrame, json: str, key: str) -> DataFrame:
+    """(key, pointer, parent, kind, text): every value in a JSON text, a container too, by its pointer; kind is object, array or value, and text is JSON. What is no JSON has no rows.
+
+    A level of nesting is a step, in the JVM; each is a written table.
+    """
+    spark = df.sparkSession
+    shape = F.schema_of_variant("v")
+    kind = F.when(shape.startswith("OBJECT<"), "object").when(shape.startswith("ARRAY<"), "array").otherwise("value")
+    level = df.select(key, F.lit("").alias("pointer"), F.lit(None).cast("string").alias("parent"), F.try_parse_json(json).alias("v")).filter("v IS NOT NULL")
+    out = None
+    while True:
+        level = written(level.withColumn("kind", kind), "json-level")
+        part = level.select(key, "pointer", "parent", "kind", F.to_json("v").alias("text"))
+        out = part if out is None else out.unionByName(part)
+        inner = level.filter("kind <> 'value'")
+        if not inner.limit(1).count():
+            return out
+        inner = inner.withColumnRenamed("pointer", "__parent").select(key, "__parent", F.col("v").alias("__v"))
+        found = inner.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
+        name = F.coalesce(F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
+        level = found.select(inner[key].alias(key), F.concat("__parent", F.lit("/"), name).alias("pointer"), F.col("__parent").alias("parent"), F.col("value").alias("v"))
+
+
+def diff_json(saved: DataFrame, current: DataFrame, key: str, json="json") -> DataFrame:
+    """(key, pointer, saved, current) of what differs between two JSON texts of a key, as JSON; null where a side has nothing there.
+
+    Objects are compared by their members and lists by their items, at any depth; what
+    is only on one side, or of another kind there, is one difference, whatever it holds.
+    Numbers are compared by value, and a null is not the same as nothing.
+    """
+    a, b = (json_nodes(df, json, key).select(key, "pointer", "parent", F.col("kind").alias(f"kind_{n}"), F.col("text").alias(n)) for df, n in ((saved, "saved"), (current, "current")))
+    both = a.join(b.withColumnRenamed("parent", "__parent"), [key, "pointer"], "full_outer").withColumn("parent", F.coalesce("parent", "__parent"))
+    both = written(both.drop("__parent"), "json-pairs")
+    entered = (F.col("kind_saved") == F.col("kind_current")) & (F.col("kind_saved") != "value")
+    inside = both.filter(entered).select(key, F.col("pointer").alias("parent"))
+    differs = both.filter(~F.coalesce(entered, F.lit(False)) & ~F.col("saved").eqNullSafe(F.col("current")))
+    below = differs.filter("parent IS NOT NULL").join(inside, [key, "parent"], "left_semi")
+    return differs.filter("parent IS NULL").select(key, "pointer", "saved", "current").unionByName(below.select(key, "pointer", "saved", "current"))
+
+
 def differing_fields(saved: DataFrame, current: DataFrame, key: str) -> DataFrame:
-    """(key, fields): the pointers of what differs between two JSON texts, nested members and items of lists too, sorted and joined with a comma; null is not the same as missing. Of keys that both have, and that differ."""
+    """(key, fields): the pointers of diff_json, sorted and joined with a comma, of keys that both have and that differ."""
     both = saved.select(key).join(current.select(key), key, "left_semi").distinct()
-    side = lambda df, name: flatten_json(df.join(both, key, "left_semi"), "json", key).select(key, "pointer", F.struct("value").alias(name))
-    rows = side(saved, "saved").join(side(current, "current"), [key, "pointer"], "full_outer")
-    return changed_fields(rows.filter(~F.col("saved").eqNullSafe(F.col("current"))), key)
+    return changed_fields(diff_json(saved.join(both, key, "left_semi"), current.join(both, key, "left_semi"), key), key)
 
 
 def duration_after_vad(duration: Column | str, vad: Column | str) -> Column:

@@ -99,6 +99,15 @@ def linked(v):
     return journal.link_chain(c)
 
 
+def _json_of(v, rest):
+    return v.events.select("event_id", F.concat(F.lit('{"p":'), "props", rest, F.lit("}")).alias("json"))
+
+
+def _changed_json():
+    k = F.col("event_id") % 5
+    return F.when(k == 0, ',"l":[1,{"a/b":2.5}],"n":null,"x":{"y":[]}').when(k == 1, ',"l":[1],"n":null').when(k == 2, ',"l":[1,{"a/b":"2.5"}],"n":null').when(k == 3, ',"l":[1.0,{"a/b":2.5}]').otherwise(',"n":null,"l":[1,{"a/b":2.50}]')
+
+
 Q = {
     "discover_media": (
         lambda v: j.discover_media(v.paths_v).select("input_index", "path", "position"),
@@ -208,6 +217,13 @@ Q = {
         lambda v: runs.flatten_json(v.events, "props", "event_id"),
         "SELECT event_id, '/' || k AS pointer, props::JSON ->> k AS value FROM (SELECT event_id, props, unnest(json_keys(props::JSON)) AS k FROM events)",
     ),
+    "diff_json": (
+        # by the number of the event: a member more, a list shorter, another kind, a null gone, and nothing
+        lambda v: runs.diff_json(_json_of(v, F.lit(',"l":[1,{"a/b":2.50}],"n":null')), _json_of(v, _changed_json()), "event_id"),
+        """SELECT event_id, CASE k WHEN 0 THEN '/x' WHEN 1 THEN '/l/1' WHEN 2 THEN '/l/1/a~1b' ELSE '/n' END AS pointer,
+             CASE k WHEN 0 THEN NULL WHEN 1 THEN '{"a/b":2.5}' WHEN 2 THEN '2.5' ELSE 'null' END AS saved, CASE k WHEN 0 THEN '{"y":[]}' WHEN 1 THEN NULL WHEN 2 THEN '"2.5"' ELSE NULL END AS current
+           FROM (SELECT event_id, event_id % 5 AS k FROM events) WHERE k < 4""",
+    ),
     "flatten_json_nested": (
         lambda v: runs.flatten_json(v.events.select("event_id", F.concat(F.lit('{"a/b":{"~":'), "props", F.lit('},"c":[1.50,null,"'), "event_type", F.lit('"],"d":{}}')).alias("doc")), "doc", "event_id"),
         """WITH x AS (SELECT event_id, event_type, props::JSON AS props FROM events)
