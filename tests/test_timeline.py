@@ -238,6 +238,33 @@ def test_overlapping_windows_cover_all(spark):
     assert recognize.overlapping_windows(blocks(spark, list(range(50))), 16, 8).filter(F.col("win") == 1).first().samples == [float(x) for x in range(8, 24)]
 
 
+def test_windows_are_recognized_in_batches(spark):
+    samples = np.where(np.arange(90) // 10 % 4 == 1, 0.0, 1.0).tolist()
+    sizes = []
+    windows = [np.array(x, np.float32) for x in ([1, 1], [0, 0], [1], [2, 2, 2], [0], [3])]
+    found = recognize.in_batches(lambda xs: sizes.append(len(xs)) or [(str(len(x)), []) for x in xs], windows, 3)
+    assert [x for x, _ in found] == ["2", "", "1", "3", "", "1"] and sizes == [3, 1]
+    one = recognize.recognize_overlapping(blocks(spark, samples), fake, 16, 8)
+    many = recognize.recognize_overlapping(blocks(spark, samples), lambda xs: [fake(x) for x in xs], 16, 8, batch=3)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    with pytest.raises(ValueError):
+        recognize.recognize_overlapping(blocks(spark, samples), fake, 16, 8, batch=0)
+
+
+def test_recognizers_have_a_place_of_their_own(spark):
+    from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+    profile = ResourceProfileBuilder().require(ExecutorResourceRequests().cores(4).resource("gpu", 1)).require(TaskResourceRequests().cpus(4).resource("gpu", 1)).build
+    df = recognize.recognize_overlapping(blocks(spark, [1.0] * 30), fake, 16, 8, profile=profile)
+    todo, found = [df._jdf.queryExecution().analyzed()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "MapInArrow":
+            found.append(node.profile().isDefined())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert found == [True]
+
+
 def test_clip_intervals_over_cells(spark):
     rng = np.random.default_rng(8)
     speech = [("r", int(a), int(a + n)) for a, n in zip(rng.integers(0, 500, 60), rng.integers(1, 120, 60), strict=True)]

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,7 @@ from timedtext.operators.fold import fold
 
 Segment = tuple[float, float, str, float]
 Recognize = Callable[[np.ndarray], tuple[str, list[Segment]]]
+RecognizeMany = Callable[[list[np.ndarray]], list[tuple[str, list[Segment]]]]
 ChooseCut = Callable[[np.ndarray], int]
 MAX_WINDOW = 600 * RATE
 
@@ -158,14 +160,31 @@ def overlapping_windows(blocks: DataFrame, size: int, overlap: int, key="rec") -
     return windows.filter((F.col("win") == 0) | (F.size("samples") > overlap))
 
 
-def recognize_overlapping(blocks: DataFrame, recognize: Recognize, size: int, overlap: int, key="rec") -> DataFrame:
+def in_batches(recognize: RecognizeMany, windows: list[np.ndarray], batch: int) -> list[tuple[str, list[Segment]]]:
+    """What a recognizer of several windows makes of all that are not silent, at most `batch` at a time; silent ones have no segments."""
+    loud = [i for i, x in enumerate(windows) if (x != 0).any()]
+    out: list[tuple[str, list[Segment]]] = [("", [])] * len(windows)
+    for at in range(0, len(loud), batch):
+        part = loud[at : at + batch]
+        for i, found in zip(part, recognize([windows[i] for i in part]), strict=True):
+            out[i] = found
+    return out
+
+
+def recognize_overlapping(blocks: DataFrame, recognize: Recognize | RecognizeMany, size: int, overlap: int, key="rec", batch: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
     """(rec, seq, win, start_s, end_s, text, no_speech_prob, language) of all windows recognized at once and stitched.
 
     Each window but the last ends at its last segment end in the overlap that no later
     segment of it starts before, or else where the next window begins to be on its own;
     it keeps what ends by there, and starts where the one before ended. As the grid is
     fixed, segments near a boundary may differ from those of recognize_windows.
+
+    With `batch`, `recognize` takes a list of at most so many windows and returns a list,
+    as a model on a device wants it. `profile` is where its tasks run: by the number of
+    devices then, not by that of cores.
     """
+    if batch is not None and batch < 1:
+        raise ValueError("an empty batch")
     windows = overlapping_windows(blocks, size, overlap, key)
     kind = dict(blocks.dtypes)[key]
 
@@ -175,9 +194,9 @@ def recognize_overlapping(blocks: DataFrame, recognize: Recognize, size: int, ov
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists, found = b.column("samples"), []
-            for i in range(b.num_rows):
-                samples = np.asarray(lists[i].values, np.float32)
-                language, segments = recognize(samples) if (samples != 0).any() else ("", [])
+            windows = [np.asarray(lists[i].values, np.float32) for i in range(b.num_rows)]
+            many = recognize if batch else lambda xs: [recognize(x) for x in xs]
+            for samples, (language, segments) in zip(windows, in_batches(many, windows, batch or 1), strict=True):
                 # the samples of a window's own end are those of its last safe end in the overlap
                 ends = safe_ends(checked_times(segments, len(samples)), len(samples), hop, size)
                 kept = [dict(zip(names, (s, e, t.strip(" \n\r\t"), p), strict=True)) for s, e, t, p in segments if t.strip(" \n\r\t")]
@@ -186,7 +205,7 @@ def recognize_overlapping(blocks: DataFrame, recognize: Recognize, size: int, ov
             columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [()] * 4, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("win"), *columns], [key, "win", "n", "cut", "language", "segments"])
 
-    found = windows.select(key, "win", "samples").mapInArrow(run, f"`{key}` {kind}, win long, n long, cut long, language string, segments {SEGMENTS}")
+    found = windows.select(key, "win", "samples").mapInArrow(run, f"`{key}` {kind}, win long, n long, cut long, language string, segments {SEGMENTS}", profile=profile)
     by = W.partitionBy(key).orderBy("win")
     inside = F.when(F.lead("win").over(by).isNull(), F.col("n")).otherwise(F.col("cut"))
     ends = found.withColumn("to", F.col("win") * hop + inside)
