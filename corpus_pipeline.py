@@ -41,8 +41,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = shared.written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(number).alias("row")).alias("key")
     found = near_dup.near_duplicates(rows.select(key, "text"), doc_id="key")
-    kept = shared.written(found.filter("kept").select(F.col("doc_id.row").alias(number)), "kept")
-    return rows.join(kept, number, "left_semi").select(docs.columns)
+    # the rows that go are far fewer than those that stay
+    gone = shared.written(found.filter("NOT kept").select(F.col("doc_id.row").alias(number)), "gone")
+    return rows.join(gone, number, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
