@@ -89,10 +89,41 @@ def test_whole_records_are_checked(spark):
     assert journal.recording_totals(chunks, m).first().finished is True
 
 
-def test_json_leaves():
-    assert sorted(runs.json_leaves('{"a": {"b/c": [1, {"~": null}], "d": {}}, "e": true, "f": "x"}'), key=str) == sorted([("/a/b~1c/0", "1"), ("/a/b~1c/1/~0", None), ("/a/d", "{}"), ("/e", "true"), ("/f", "x")], key=str)
-    assert runs.json_leaves("{") is None and runs.json_leaves(None) == [] and runs.json_leaves("3") == [("", "3")]
-    assert runs.json_leaves('{"a":' * 300 + "1.50" + "}" * 300) == [("/a" * 300, "1.50")]
+def leaves(text):
+    """The plain form of flatten_json: (pointer, value) of one text, or None."""
+    try:
+        todo = [("", json.loads(text, parse_float=str, parse_int=str, parse_constant=lambda x: 1 / 0))]
+    except (ValueError, ZeroDivisionError):
+        return None
+    out = []
+    while todo:
+        at, x = todo.pop()
+        if isinstance(x, (dict, list)) and x:
+            todo += [(f"{at}/{str(n).replace('~', '~0').replace('/', '~1')}", v) for n, v in (x.items() if isinstance(x, dict) else enumerate(x))]
+        else:
+            out.append((at, x if x is None or isinstance(x, str) else json.dumps(x)))
+    return sorted(out, key=str)
+
+
+TEXTS = [
+    '{"a": {"b/c": [1, {"~": null}], "d": {}}, "e": true, "f": "x"}', "{", None, "", "3", " [ ] ", "null", '"s"', '{"a":{ }}', "[1] 2", "1, 2", "1] [2", "1} {", "{'a': 1}", "[1,]", "nul",
+    r'{"q\"{": "\\", "\\\"": "[1]", "s": "{\"a\": 1}", "": "", "éé": "\n\\\\\""}', '{"a": 1, "b": 2, "a": {"c": 3}}', "[1.50, -0, 1e400, 12345678901234567890123, 0.10]", '[[[], [[]]], {"a": [{"b": [{"c": [{}]}]}]}]',
+    "[01]", "[1.]", "[-]", "[+1]", "[1e]", "[.5]", "[NaN]", "[-Infinity]", "[1-2]", "[tru]", '[1"a"]', '["|", "1|", "|1", "-1|"]', '{"1": 1, "-2|": -2e-3}', r'[\"]', r'["\""]', r'["\x"]',
+    '{"a":' * 30 + "1.50" + "}" * 30, '[{"s1": "sx", "s": "s"}, "s", "true", true, "null"]', "\"a\tb\"", '{"a": "x"} y', '{"a\\/b": "\\u0041\\t"}', '["' + "x" * 100_000 + '"]',
+]
+
+
+def test_flatten_json(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "job int, doc string")
+    for levels in (4, 11):
+        got = {}
+        for r in runs.flatten_json(df, "doc", "job", levels).collect():
+            got.setdefault(r.job, []).append((r.pointer, r.value))
+        for i, text in enumerate(TEXTS):
+            assert sorted(got.get(i, []), key=str) == (leaves(text) or [] if text else []), text
+    assert runs.flatten_json(df.limit(0), "doc", "job").count() == 0
+    plan = runs.flatten_json(df, "doc", "job")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_settings(spark):

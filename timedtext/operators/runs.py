@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,27 +107,57 @@ def benchmark_ratio(measurements: DataFrame, a: str, b: str, by="device", key: l
     return out.select(*(key or []), F.col(a).alias("a_s"), F.col(b).alias("b_s"), (F.col(a) / F.col(b)).alias("ratio"))
 
 
-def json_leaves(text: str | None) -> list[tuple[str, str | None]] | None:
-    """(pointer, value) of what has no members in a JSON text, with ~ and / escaped in names; numbers as they are written. Null for text that is no JSON."""
-    try:
-        todo = [("", json.loads(text, parse_float=str, parse_int=str, parse_constant=str))] if text is not None else []
-    except (ValueError, RecursionError):
-        return None
-    out = []
-    while todo:
-        at, x = todo.pop()
-        if isinstance(x, (dict, list)) and x:
-            members = x.items() if isinstance(x, dict) else enumerate(x)
-            todo += [(f"{at}/{str(name).replace('~', '~0').replace('/', '~1')}", v) for name, v in members]
-        else:
-            out.append((at, x if x is None or isinstance(x, str) else json.dumps(x)))
-    return out
-
-
-def flatten_json(df: DataFrame, json: str, key: str) -> DataFrame:
-    """(key, pointer, value) of all that has no members in a JSON text, at any depth; null and what is no JSON have no rows."""
-    leaves = F.udf(json_leaves, "array<struct<pointer: string, value: string>>", useArrow=True)
-    return df.select(key, F.explode(leaves(json)).alias("x")).select(key, "x.pointer", "x.value")
+#: A number of JSON that stands alone.
+NUMBER = r"(?<![0-9A-Za-z.+-])-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![0-9A-Za-z.+-])"
+#: What Spark's reader of JSON allows beyond JSON.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _json_parts(pointer: Column, text: Column) -> Column:
+    """What a marked JSON container holds, as structs of pointer and text; of a name that is there twice, the last."""
+    members = F.map_entries(F.from_json(text, "map<string,string>", STRICT))
+    names = F.transform(members, lambda m: m["key"])
+    last = F.filter(members, lambda m, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), m["key"]))
+    members = F.when(F.size(F.array_distinct(names)) == F.size(names), members).otherwise(last)
+    step = lambda name: F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    part = lambda name, value: F.struct(F.concat(pointer, F.lit("/"), name).alias("pointer"), value.alias("text"))
+    inside = F.transform(members, lambda m: part(step(F.substring(m["key"], 2, 2**31 - 1)), m["value"]))
+    items = F.transform(F.from_json(text, "array<string>", STRICT), lambda x, i: part(i.cast("string"), x))
+    return F.when(text.startswith("{"), inside).when(text.startswith("["), items)
+
+
+def flatten_json(df: DataFrame, json: str, key: str, levels=4) -> DataFrame:
+    """(key, pointer, value) of all that has no members in a JSON text, at any depth; ~ and / are escaped in names, and numbers stay as they are written.
+
+    Null and what is no JSON have no rows; an empty object or list is a value; of a name
+    that an object has twice, the last counts. `levels` levels of nesting are gone through
+    in a pass, in the JVM; texts that are deeper need more passes, with a written table between.
+    """
+    # quotes within strings are written as codes, so that quotes come in pairs; then a string x becomes "|x" and a number 1.50 becomes "1.50|"
+    coded = F.replace(F.replace(F.col(json), F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    marked = F.regexp_replace(coded, f'"([^"]*+)"|({NUMBER})', '"$2|$1"')
+    # what closes one of these too early doesn't fit into the other
+    in_list = F.from_json(F.concat(F.lit("["), marked, F.lit("]")), "array<string>", STRICT)
+    in_object = F.from_json(F.concat(F.lit('{"":'), marked, F.lit("}")), "map<string,string>", STRICT)
+    rows = df.select(F.col(key), in_list.alias("__list"), in_object.alias("__object")).filter("size(__list) = 1 AND size(__object) = 1")
+    rows = rows.select(key, F.lit("").alias("pointer"), F.col("__list")[0].alias("text"), F.lit(False).alias("ended"))
+    done = None
+    while True:
+        for _ in range(levels):
+            parts = _json_parts(F.col("pointer"), F.col("text"))
+            rows = rows.withColumn("parts", F.when(~F.col("ended"), parts))
+            itself = F.array(F.struct("pointer", "text"))
+            rows = rows.select(key, F.explode(F.when(F.size("parts") > 0, F.col("parts")).otherwise(itself)).alias("x"), (F.coalesce(F.size("parts"), F.lit(0)) <= 0).alias("ended")).select(key, "x.pointer", "x.text", "ended")
+        rows = rows.withColumn("ended", F.col("ended") | ~F.coalesce(F.col("text").startswith("{") | F.col("text").startswith("["), F.lit(False)))
+        rows = written(rows, "json-leaves")
+        part = rows.filter("ended")
+        done = part if done is None else done.unionByName(part)
+        rows = rows.filter("NOT ended")
+        if not rows.limit(1).count():
+            break
+    # an empty container is told by its first sign, whatever blanks it holds
+    value = F.when(F.col("text").startswith("|"), F.substring("text", 2, 2**31 - 1)).when(F.col("text").endswith("|"), F.expr("left(text, length(text) - 1)")).when(F.col("text").startswith("{"), "{}").when(F.col("text").startswith("["), "[]").otherwise(F.col("text"))
+    return done.select(key, "pointer", value.alias("value"))
 
 
 def json_nodes(df: DataFrame, json: str, key: str) -> DataFrame:
