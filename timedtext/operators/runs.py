@@ -115,10 +115,13 @@ STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 def _json_parts(pointer: Column, text: Column) -> Column:
     """What a marked JSON container holds, as structs of pointer and text; of a name that is there twice, the last."""
-    members = F.map_entries(F.from_json(text, "map<string,string>", STRICT))
-    names = F.transform(members, lambda m: m["key"])
-    last = F.filter(members, lambda m, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), m["key"]))
-    members = F.when(F.size(F.array_distinct(names)) == F.size(names), members).otherwise(last)
+    def last(members):
+        names = F.transform(members, lambda m: m["key"])
+        of_each = F.filter(members, lambda m, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), m["key"]))
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), members).otherwise(of_each)
+
+    # a list of one binds what is read once
+    members = F.transform(F.array(F.map_entries(F.from_json(text, "map<string,string>", STRICT))), last)[0]
     step = lambda name: F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
     part = lambda name, value: F.struct(F.concat(pointer, F.lit("/"), name).alias("pointer"), value.alias("text"))
     inside = F.transform(members, lambda m: part(step(F.substring(m["key"], 2, 2**31 - 1)), m["value"]))
@@ -135,12 +138,12 @@ def flatten_json(df: DataFrame, json: str, key: str, levels=4) -> DataFrame:
     """
     # quotes within strings are written as codes, so that quotes come in pairs; then a string x becomes "|x" and a number 1.50 becomes "1.50|"
     coded = F.replace(F.replace(F.col(json), F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
-    marked = F.regexp_replace(coded, f'"([^"]*+)"|({NUMBER})', '"$2|$1"')
+    marked = df.select(key, F.regexp_replace(coded, f'"([^"]*+)"|({NUMBER})', '"$2|$1"').alias("marked"))
     # what closes one of these too early doesn't fit into the other
-    in_list = F.from_json(F.concat(F.lit("["), marked, F.lit("]")), "array<string>", STRICT)
-    in_object = F.from_json(F.concat(F.lit('{"":'), marked, F.lit("}")), "map<string,string>", STRICT)
-    rows = df.select(F.col(key), in_list.alias("__list"), in_object.alias("__object")).filter("size(__list) = 1 AND size(__object) = 1")
-    rows = rows.select(key, F.lit("").alias("pointer"), F.col("__list")[0].alias("text"), F.lit(False).alias("ended"))
+    in_list = F.from_json(F.concat(F.lit("["), "marked", F.lit("]")), "array<string>", STRICT)
+    in_object = F.from_json(F.concat(F.lit('{"":'), "marked", F.lit("}")), "map<string,string>", STRICT)
+    valid = F.filter(F.array(F.struct(in_list.alias("list"), in_object.alias("object"))), lambda x: (F.size(x["list"]) == 1) & (F.size(x["object"]) == 1))
+    rows = marked.select(key, F.explode(valid).alias("x")).select(key, F.lit("").alias("pointer"), F.col("x.list")[0].alias("text"), F.lit(False).alias("ended"))
     done = None
     while True:
         for _ in range(levels):
