@@ -2,6 +2,7 @@
 
 import html
 import json
+import math
 import random
 
 import pytest
@@ -28,6 +29,17 @@ def test_times(spark):
     assert [r[0] for r in df.select(t.srt_time("x")).collect()] == ["01:01:01,234", "00:00:00,000", "100:00:00,001", None, None, None, None]
 
 
+def test_seconds_are_rounded_as_c_does(spark):
+    """By the exact value of the double and half to even, as Python's `%.1f` does."""
+    rng = random.Random(5)
+    xs = [k / 20 + d for k in range(0, 400) for d in (0.0, 700.0, 123_456.0)] + [rng.uniform(0, 10 ** rng.randint(0, 17)) for _ in range(300)]
+    xs += [math.nextafter(k / 20, d) for k in range(1, 40) for d in (0, 9)] + [0.0, 9.95, 99.95, 2.0**52 + 0.5, 2.0**53, float("inf"), 1e-300]
+    xs += [-x for x in xs] + [float("nan")]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double").select("x", t.format_seconds("x"))
+    got = [r[1] for r in df.collect()]
+    assert got == [f"{x:.1f}" for x in xs] + [None]
+
+
 def test_text(spark):
     df = spark.createDataFrame([(" A \n & <B> ",), (" x ",), ("",), (None,), ("a\x00b",)], "x string")
     assert [r[0] for r in df.select(t.normalize_text("x")).collect()] == ["A & <B>", " x ", "", None, "a\x00b"]

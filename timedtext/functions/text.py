@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,8 +73,22 @@ def cue_escape(c: Column | str) -> Column:
     return F.replace(out, F.lit("\0"), F.lit(""))
 
 
+#: The doubles nearest to the middles between two tenths, and whether they go to the upper one: those that lie above the middle do, and of the two that are exactly a middle the one whose upper tenth is even.
+MIDDLES = [((2 * k + 1) / 20, Fraction((2 * k + 1) / 20) > Fraction(2 * k + 1, 20) or k == 7) for k in range(10)]
+
+
 def format_seconds(seconds: Column | str) -> Column:
-    return F.format_string("%.1f", _column(seconds))
+    """With one decimal, as C has `%.1f`: the exact value of the double is rounded, half to even. (Java's rounds its shortest decimal form, half up.)"""
+    x = _column(seconds).cast("double")
+    size = F.abs(x)
+    whole = F.floor(size)
+    rest = size - whole  # exact
+    tenths = functools.reduce(lambda a, b: a + b, (F.when(rest >= m if up else rest > m, 1).otherwise(0) for m, up in MIDDLES))
+    # the sign bit of -0.0 is seen in its text only
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
+    shown = F.concat(sign, (whole + F.floor(tenths / 10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    large = F.when(x.isNotNull(), F.format_string("%.1f", x))
+    return F.when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(size < 2.0**53, shown).otherwise(large)
 
 
 def samples_to_seconds(samples: Column | str) -> Column:
