@@ -40,6 +40,15 @@ def test_seconds_are_rounded_as_c_does(spark):
     assert got == [f"{x:.1f}" for x in xs] + [None]
 
 
+def test_every_catalog_of_a_file_is_read(spark, tmp_path):
+    one = lambda *names: [{"name": n, "file": f"{n}] [.bin", "url": "u", "sha256": "0", "bytes": 3} for n in names]
+    for source, text in (("x", f"{json.dumps(one('a', 'b'))}\n[]\n{json.dumps(one('c'), indent=1)}\n\n{json.dumps(one('d'))}\n"), ("y", json.dumps(one("e"))), ("z", ""), ("bad", "[{")):
+        (tmp_path / f"source={source}").mkdir()
+        (tmp_path / f"source={source}" / "part.txt").write_text(text)
+    got = tables.read_catalog(spark, str(tmp_path)).select("name", "file", "bytes", "source").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted([str((n, f"{n}] [.bin", 3, "y" if n == "e" else "x")) for n in "abcde"] + [str((None, None, None, "bad"))])
+
+
 def test_text(spark):
     df = spark.createDataFrame([(" A \n & <B> ",), (" x ",), ("",), (None,), ("a\x00b",)], "x string")
     assert [r[0] for r in df.select(t.normalize_text("x")).collect()] == ["A & <B>", " x ", "", None, "a\x00b"]

@@ -69,5 +69,11 @@ def refused_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(name, file, url, sha256, bytes) of an artifact catalog, one JSON array."""
-    return spark.read.schema(CATALOG).option("multiLine", True).json(path)
+    """(name, file, url, sha256, bytes) of artifact catalogs: a file has a JSON array or several, each beginning on a line of its own. What cannot be read is a row of nulls."""
+    raw = spark.read.text(path, wholetext=True)
+    others = [c for c in raw.columns if c != "value"]
+    # a line feed is in no JSON string, and no array follows another but at the top
+    arrays = raw.select(*others, F.explode(F.split("value", r"(?<=\])[ \t\r]*\n\s*(?=\[)")).alias("value")).filter(F.btrim("value", F.lit(" \t\r\n")) != "")
+    kind = f"array<struct<{CATALOG.replace(' ', ': ').replace(',:', ',')}>>"
+    rows = F.coalesce(F.from_json("value", kind), F.array(F.lit(None).cast(kind[6:-1])))
+    return arrays.select(*others, F.explode(rows).alias("c")).select("c.*", *others)
