@@ -182,6 +182,22 @@ def test_file_of_more_than_two_gigabytes(spark, tmp_path):
     assert last[-1].column("start_sample")[-1].as_py() + len(last[-1].column("samples")[-1]) == frames
 
 
+def test_small_ranges_share_tasks(tmp_path):
+    """Their number follows neither that of files nor that of ranges, and nothing is read twice or left out."""
+    for i in range(900):
+        (tmp_path / f"{i}.wav").write_bytes(wav(np.full(100, i), 16_000))
+    reader = media.WavRanges({"path": str(tmp_path), "range_bytes": "64", "block": "12"}).reader(None)
+    parts = reader.partitions()
+    assert len(parts) <= 1.2 * media.TASKS
+    seen = {}
+    for part in parts:
+        for b in reader.read(part):
+            for rec, start, x in zip(*(b.column(c).to_pylist() for c in ("rec", "start_sample", "samples")), strict=True):
+                assert len(x) <= 12 and set(x) == {int(rec.rsplit("/", 1)[1][:-4]) / 32_768}
+                seen.setdefault(rec, []).extend(range(start, start + len(x)))
+    assert len(seen) == 900 and all(sorted(x) == list(range(100)) for x in seen.values())
+
+
 @settings(max_examples=1, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.just(0))
 def test_wav_that_is_none(spark, tmp_path, _):

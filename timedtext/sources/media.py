@@ -16,6 +16,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from timedtext.operators.audio import BLOCK, PART, Resampler
 
+#: Tasks that small ranges make at most, as long as none has more than SHARED bytes.
+TASKS, SHARED = 512, 64 << 20
+
 #: Bytes to (rate, channels, interleaved samples, of which slices are taken).
 Decode = Callable[[bytes], tuple[int, int, Sequence]]
 
@@ -134,34 +137,50 @@ class WavRangeReader(DataSourceReader):
             raise ValueError("an empty range or block")
 
     def partitions(self) -> list[FileRange]:
-        """Ranges of large files, and small files together, by the listing alone."""
+        """Ranges of large files, and small files together, by the listing alone. Ranges that would be more tasks than TASKS share some, up to SHARED bytes in each; those of a file that follow each other are one."""
         store, path = _store(self.path)
         found = store.get_file_info(path)
         if found.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         files = [found] if found.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path))
+        files = sorted((f for f in files if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, self.pattern)), key=lambda f: f.path)
+        most = max(self.size, min(SHARED, sum(f.size for f in files) // TASKS))
         out, held, n = [], [], 0
-        for f in sorted(files, key=lambda f: f.path):
-            if f.type != fs.FileType.File or not fnmatch.fnmatchcase(f.base_name, self.pattern):
-                continue
+        for f in files:
             for at in range(0, max(1, f.size), self.size):
                 end = min(f.size, at + self.size)
-                if held and n + end - at > self.size:
+                if held and n + end - at > most:
                     out.append(FileRange(held))
                     held, n = [], 0
-                held.append((f.path, f.size, at, end))
+                low = held.pop()[2] if at and held else at
+                held.append((f.path, f.size, low, end))
                 n += end - at
         return [*out, FileRange(held)] if held else out
 
     def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
+        """Blocks, of which as many come together as have BLOCK samples."""
         store, _ = _store(self.path)
+        rows, n = [], 0
         for path, length, low, high in partition.parts:
             with store.open_input_file(path) as file:
                 h = wav_header(file, length)
                 first, last = (min(h.frames, max(0, -(-(x - h.begin) // h.width))) for x in (low, high))
                 last = h.frames if high >= length else last
                 for start, x in resampled_range(file, h, first, last, self.block):
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start], pa.int64()), pa.array([x], pa.list_(pa.float32()))], ["rec", "start_sample", "samples"])
+                    rows.append((path, start, x))
+                    n += len(x)
+                    if n >= BLOCK:
+                        yield _blocks(rows)
+                        rows, n = [], 0
+        if rows:
+            yield _blocks(rows)
+
+
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    paths, starts, samples = zip(*rows, strict=True)
+    ends = np.cumsum([0, *map(len, samples)], dtype=np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(samples), pa.float32()))
+    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(starts, pa.int64()), lists], ["rec", "start_sample", "samples"])
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
