@@ -118,3 +118,40 @@ def test_the_tail_is_written_once():
             got += [tuple(r) for r in out.itertuples(index=False)]
         assert list(map(str, got)) == list(map(str, want))
         assert p.blocks.written == len(x) and most <= 60 // 11 + 8
+
+
+class Calls(Map):
+    """A map that counts what is asked of it."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def containsKey(self, k):  # noqa: N802
+        self.calls += 1
+        return k in self.d
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.calls += 1
+        self.d[k] = v
+
+
+def test_calls_to_the_state_do_not_follow_the_rows():
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from timedtext.streaming import ordered
+
+    row = T.StructType([T.StructField("rec", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("x", T.LongType())])
+    state = T.StructType([T.StructField("sum", T.LongType())])
+    step = lambda s, r: ((s[0] + (r[2] or 0),), [(r[0], int(r[1]), s[0] + (r[2] or 0))])
+    n = 2000
+    for order in (list(range(1, n + 1)), list(range(n, 0, -1)), np.random.default_rng(3).permutation(np.arange(1, n + 1)).tolist()):
+        p = ordered._Ordered(["rec", "seq", "x"], 1, 1, lambda r: int(r[1]) + 1, lambda: (0,), step, ["rec", "seq", "sum"], 0, row, state)
+        p.state, p.held, got = Value(), Calls(), []
+        for part in np.array_split(order, 4):
+            rows = pd.DataFrame({"rec": 7, "seq": [*part, part[0]], "x": [None if k % 5 == 0 else float(k) for k in [*part, part[0]]]})
+            for out in p.handleInputRows((7,), iter([rows]), None):
+                got += [tuple(r) for r in out.itertuples(index=False)]
+        assert [(int(r), int(k), int(s)) for r, k, s in got] == [(7, k, sum(i for i in range(1, k + 1) if i % 5)) for k in range(1, n + 1)]
+        assert not p.held.d and p.held.calls <= 4 * 2 * (n // 2**ordered.BITS + 2)

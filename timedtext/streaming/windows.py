@@ -20,25 +20,61 @@ from pyspark.sql.streaming import StatefulProcessor
 from timedtext.operators import recognize as rec_ops
 
 
+#: Blocks that are remembered within a call: a call to the state takes longer than most of what is done with a block.
+SEEN = 256
+
+
 class _Windows(StatefulProcessor):
     def __init__(self, key: str, recognize, choose_cut, limit: int, guard: int, names: list[str], idle_ms: int) -> None:
         self.key, self.recognize, self.choose_cut, self.limit, self.guard, self.names, self.idle_ms = key, recognize, choose_cut, limit, guard, names, idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        # head: where the first block begins that is still needed; upto: where the first gap is; total: where the recording ends, or -1
-        self.state = handle.getValueState("place", "position long, chunks long, head long, upto long, total long, timer long")
+        # head: where the first block begins that is still needed; upto: where the first gap is; total: where the recording ends, or -1; count: how many blocks are in the map
+        self.state = handle.getValueState("place", "position long, chunks long, head long, upto long, total long, timer long, count long")
         self.blocks = handle.getMapState("blocks", "start long", "samples array<float>")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803  # Spark's names
         at, n = int(initialState["samples"].iloc[0]), int(initialState["chunks"].iloc[0])
-        self.state.update((at, n, at, at, -1, -1))
+        self.state.update((at, n, at, at, -1, -1, 0))
+
+    def load(self) -> bool:
+        """What is saved of the key, and whether anything is; nothing is remembered of the key before."""
+        found = self.state.get()
+        *self.saved, self.count = map(int, found) if found else (0, 0, 0, 0, -1, -1, 0)
+        self.seen: dict[int, np.ndarray] = {}
+        return bool(found)
+
+    def has(self, at: int) -> bool:
+        return at in self.seen or (self.count > len(self.seen) and self.blocks.containsKey((at,)))
+
+    def get(self, at: int) -> np.ndarray:
+        if at not in self.seen:
+            self.keep(at, np.asarray(self.blocks.getValue((at,))[0], np.float32))
+        return self.seen[at]
+
+    def keep(self, at: int, samples: np.ndarray) -> None:
+        """Remembers a block of the map for the rest of the call; few of them, however many wait."""
+        if len(self.seen) >= SEEN:
+            self.seen.clear()
+        self.seen[at] = samples
+
+    def put(self, at: int, samples) -> None:
+        x = np.asarray(samples, np.float32)
+        self.blocks.updateValue((at,), (x.tolist(),))
+        self.count += 1
+        self.keep(at, x)
+
+    def remove(self, at: int) -> None:
+        self.blocks.removeKey((at,))
+        self.count -= 1
+        self.seen.pop(at, None)
 
     def window(self, head: int, position: int, end: int) -> np.ndarray:
         """The samples from position to end, of the blocks from head on."""
         parts, at = [], head
         while at < end:
-            x = np.asarray(self.blocks.getValue((at,))[0], np.float32)
+            x = self.get(at)
             parts.append(x[max(0, position - at) : end - at])
             at += len(x)
         return np.concatenate(parts) if parts else np.zeros(0, np.float32)
@@ -46,10 +82,10 @@ class _Windows(StatefulProcessor):
     def forget(self, head: int, position: int, upto: int) -> int:
         """Removes the blocks that end at or before a place, and returns where the first one left begins."""
         while head < upto:
-            n = len(self.blocks.getValue((head,))[0])
+            n = len(self.get(head))
             if head + n > position:
                 break
-            self.blocks.removeKey((head,))
+            self.remove(head)
             head += n
         return head
 
@@ -64,7 +100,8 @@ class _Windows(StatefulProcessor):
             place[2] = self.forget(place[2], place[0], place[3])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        *place, total, timer = map(int, self.state.get()) if self.state.exists() else (0, 0, 0, 0, -1, -1)
+        self.load()
+        *place, total, timer = self.saved
         out: list[tuple] = []
         for frame in rows:
             for at, samples in zip(frame["start_sample"], frame["samples"], strict=True):
@@ -75,12 +112,12 @@ class _Windows(StatefulProcessor):
                     total = max(total, at)
                 elif at <= place[3] < at + n and at != place[3] and place[2] == place[3]:
                     place[2] = at  # a block that is committed in part is the first one
-                    self.blocks.updateValue((at,), (np.asarray(samples, np.float32).tolist(),))
+                    self.put(at, samples)
                     place[3] = at + n
-                elif at >= place[3] and not self.blocks.containsKey((at,)):
-                    self.blocks.updateValue((at,), (np.asarray(samples, np.float32).tolist(),))
-                while self.blocks.containsKey((place[3],)):
-                    place[3] += len(self.blocks.getValue((place[3],))[0])
+                elif at >= place[3] and not self.has(at):
+                    self.put(at, samples)
+                while self.has(place[3]):
+                    place[3] += len(self.get(place[3]))
                 self.commit(key[0], place, out, False)
         self.commit(key[0], place, out, 0 <= total <= place[3])
         if self.idle_ms:
@@ -88,18 +125,20 @@ class _Windows(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(timer)
-        self.state.update((*place, total, timer))
-        yield pd.DataFrame(out, columns=self.names)
+        self.state.update((*place, total, timer, self.count))
+        if out:
+            yield pd.DataFrame(out, columns=self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """What is there up to the first gap is committed, and the state goes."""
         out: list[tuple] = []
-        if self.state.exists():
-            *place, _, _ = map(int, self.state.get())
+        if self.load():
+            *place, _, _ = self.saved
             self.commit(key[0], place, out, True)
         self.blocks.clear()
         self.state.clear()
-        yield pd.DataFrame(out, columns=self.names)
+        if out:
+            yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
         pass
