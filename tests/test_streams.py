@@ -155,3 +155,17 @@ def test_calls_to_the_state_do_not_follow_the_rows():
                 got += [tuple(r) for r in out.itertuples(index=False)]
         assert [(int(r), int(k), int(s)) for r, k, s in got] == [(7, k, sum(i for i in range(1, k + 1) if i % 5)) for k in range(1, n + 1)]
         assert not p.held.d and p.held.calls <= 4 * 2 * (n // 2**ordered.BITS + 2)
+
+
+def test_publishing_writes_a_file_a_bucket(spark, tmp_path):
+    df = spark.range(0, 3000, 1, 6).selectExpr("concat('r', id % 1500) as rec", "'srt' as format", "cast(id % 1500 as string) as content")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for content, differs in (("content", 0), ("concat(content, if(rec = 'r7', '!', ''))", 1)):
+            changed = streams.publish_batch(df.selectExpr("rec", "format", f"{content} as content"), str(tmp_path / "out"))
+            assert changed.count() == differs
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1500
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) <= streams.BUCKETS

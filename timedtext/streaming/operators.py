@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,13 +112,12 @@ def stream_grid_totals(segments: DataFrame, seconds=120, key="rec", delay="1 hou
     return rows.agg(F.count("*").alias("n"), F.sum("duration_ms").alias("speech_ms")).select(key, F.col("w.start").alias("start"), "n", "speech_ms")
 
 
-def _known(spark: SparkSession, path: str, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """What the table at `path` has in the buckets of `rows`, of which there are at most BUCKETS."""
-    buckets = [r[0] for r in rows.select("bucket").distinct().collect()]
+def _known(spark: SparkSession, path: str, schema: T.StructType, columns: list[str], buckets: list[int]) -> DataFrame:
+    """What the table at `path` has in some buckets; nothing before the first batch."""
     try:
         return spark.read.parquet(path).filter(F.col("bucket").isin(buckets)).select(*columns)
     except AnalysisException:  # the first batch
-        return rows.limit(0).select(*columns)
+        return spark.createDataFrame([], schema).select(*columns)
 
 
 def publish_batch(results: DataFrame, sink: str, key=("rec", "format")) -> DataFrame:
@@ -129,24 +126,27 @@ def publish_batch(results: DataFrame, sink: str, key=("rec", "format")) -> DataF
     A repeat of what is there changes nothing, in the quarantine neither. Of several
     contents of one key in a batch, the one of least hash is published, the others
     differ from it. Both tables are kept by buckets of the key, and a batch reads keys
-    and hashes of its own buckets only.
+    and hashes of its own buckets only. Contents are dealt once, by bucket, and what is
+    known goes the same way, so a batch writes a file or two a bucket, whatever its size.
     """
     spark = results.sparkSession
-    rows = results.withColumn("hash", F.sha2("content", 256)).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
-    rows = rows.dropDuplicates([*key, "hash"]).persist()
-    same = lambda other: functools.reduce(lambda a, b: a & b, (rows[k].eqNullSafe(other[k]) for k in key))
-    there = _known(spark, sink, rows, ["bucket", *key, F.col("hash").alias("was")])
-    joined = rows.join(there, (rows["bucket"] == there["bucket"]) & same(there), "left").select(rows["*"], "was")
-    turn = F.row_number().over(W.partitionBy(*key).orderBy("hash"))
-    joined = joined.withColumn("turn", turn).persist()
-    joined.filter("was is null and turn = 1").drop("was", "turn").write.mode("append").partitionBy("bucket").parquet(sink)
-    changed = joined.filter("was <> hash or (was is null and turn > 1)").drop("was", "turn")
-    before = _known(spark, f"{sink}-quarantine", rows, ["bucket", *key, "hash"])
-    again = functools.reduce(lambda a, b: a & b, (changed[k].eqNullSafe(before[k]) for k in (*key, "hash", "bucket")))
-    changed.join(before, again, "left_anti").write.mode("append").partitionBy("bucket").parquet(f"{sink}-quarantine")
-    joined.unpersist()
-    rows.unpersist()
     schema = T.StructType([*results.schema, T.StructField("hash", T.StringType()), T.StructField("bucket", T.IntegerType())])
+    rows = results.withColumn("hash", F.sha2("content", 256)).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+    buckets = [r[0] for r in results.select(F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct().collect()]
+    names = ["bucket", *key, "hash"]
+    both = rows.withColumn("__kind", F.lit(2))
+    for kind, path in enumerate((sink, f"{sink}-quarantine")):
+        both = both.unionByName(_known(spark, path, schema, names, buckets).withColumn("__kind", F.lit(kind)), allowMissingColumns=True)
+    own, same = W.partitionBy("bucket", *key), W.partitionBy("bucket", *key, "hash")
+    new = F.col("__kind") == 2
+    both = both.repartition("bucket").withColumn("__was", F.max(F.when(F.col("__kind") == 0, F.col("hash"))).over(own)).withColumn("__least", F.min(F.when(new, F.col("hash"))).over(own))
+    both = both.withColumn("__kept", F.bool_or(F.col("__kind") == 1).over(same)).withColumn("__turn", F.row_number().over(same.orderBy(F.desc("__kind"))))
+    # the first new row of its key and hash; a known hash that is null is no reason to compare
+    first = both.filter("__kind = 2 and __turn = 1").withColumn("__new", F.expr("__was is null and hash <=> __least"))
+    first = first.filter("__new or (not __kept and not coalesce(__was, __least) <=> hash)").select(*rows.columns, "__new").persist()
+    first.filter("__new").drop("__new").write.mode("append").partitionBy("bucket").parquet(sink)
+    first.filter("not __new").drop("__new").write.mode("append").partitionBy("bucket").parquet(f"{sink}-quarantine")
+    first.unpersist()
     return spark.read.schema(schema).parquet(f"{sink}-quarantine")
 
 
