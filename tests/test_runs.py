@@ -328,3 +328,14 @@ def test_nested_differences(spark):
     assert sorted((r.job, r.pointer) for r in got) == sorted((i, p) for i, a, b in pairs for p in plain_diff(a, b)) and len(got) > 20
     fields = {r.job: r.fields for r in runs.differing_fields(side(1), side(2), "job").collect()}
     assert fields == {i: ", ".join(sorted(plain_diff(a, b))) for i, a, b in pairs if plain_diff(a, b)}
+
+
+def test_a_journal_is_few_files(spark, tmp_path):
+    n = sinks.RECORDS + 5
+    made = spark.range(n).selectExpr("if(id % 2 = 0, 'a', 'b') as rec", "id div 2 as idx", """concat('{"index":', id div 2, ',"language":"é"}') as raw""").union(spark.range(n).selectExpr("'c'", "id", """concat('{"index":', id, '}')"""))
+    sinks.write_journal(made, spark.createDataFrame([("c", "{}")], "rec string, raw string"), str(tmp_path))
+    assert sorted(f.name for f in (tmp_path / "c").iterdir()) == ["chunks-0.jsonl", "chunks-1.jsonl", "manifest.json"] and len(list((tmp_path / "a").iterdir())) == 1
+    (tmp_path / "a" / "chunk-7777.json").write_text('{"index":\n7777}')
+    manifests, chunks = tables.read_journal(spark, str(tmp_path))
+    got = {(r.rec, r.index, r.raw) for r in chunks.collect()}
+    assert got == {tuple(r) for r in made.collect()} | {("a", 7777, '{"index":\n7777}')} and [r.rec for r in manifests.collect()] == ["c"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from timedtext.functions.scratch import written
 from timedtext.functions.text import RATE, valid_language
 from timedtext.operators.fold import fold
 from timedtext.operators.runs import differing_fields
@@ -30,6 +31,10 @@ def _segment_reason(segments: str) -> Column:
     return F.get(F.filter(F.transform(segments, wrong), lambda r: r.isNotNull()), F.lit(0))
 
 
+def _hash(chunks: DataFrame) -> Column:
+    return F.col("raw_hash") if "raw_hash" in chunks.columns else F.sha2("raw", 256)
+
+
 def verify_chain(chunks: DataFrame, limit_samples: int, manifests: DataFrame | None = None, key="rec", order="idx") -> DataFrame:
     """`chunks` with `reason`: unreadable, index, start, length, hash, language, text or what is wrong with a segment's times; null where the record is right.
 
@@ -43,9 +48,10 @@ def verify_chain(chunks: DataFrame, limit_samples: int, manifests: DataFrame | N
         chunks = chunks.join(manifests.select(key, "chunks"), key).filter(F.col(order).isNull() | (F.col(order) < F.col("chunks"))).drop("chunks")
     w = W.partitionBy(key).orderBy(F.col(order).asc_nulls_last())
     rows = chunks.withColumn("__n", F.row_number().over(w) - 1).withColumn("__at", F.coalesce(F.lag("end_sample").over(w), F.lit(0)))
-    rows = rows.withColumn("__hash", F.coalesce(F.lag(F.sha2("raw", 256)).over(w), F.lit("")))
-    needed = [order, "start_sample", "end_sample", "previous_hash", "language", "raw", *(c for c in ("segments", "n_segments") if c in chunks.columns)]
-    unreadable = F.exists(F.array(*(F.col(c).isNull() for c in needed)), lambda x: x)
+    rows = rows.withColumn("__hash", F.coalesce(F.lag(_hash(chunks)).over(w), F.lit("")))
+    needed = [order, "start_sample", "end_sample", "previous_hash", "language", "raw_hash" if "raw_hash" in chunks.columns else "raw", *(c for c in ("segments", "n_segments") if c in chunks.columns)]
+    nulls = [F.col(c).isNull() for c in needed] + ([F.col("no_segments")] if "no_segments" in chunks.columns else [])
+    unreadable = F.exists(F.array(*nulls), lambda x: x)
     length = F.col("end_sample") - F.col("start_sample")
     reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(unreadable, "unreadable") if "reason" in chunks.columns else F.when(unreadable, "unreadable")
     reason = reason.when(F.col(order) != F.col("__n"), "index").when(F.col("start_sample") != F.col("__at"), "start").when((length <= 0) | (length > limit_samples), "length")
@@ -56,12 +62,21 @@ def verify_chain(chunks: DataFrame, limit_samples: int, manifests: DataFrame | N
     reason = reason.when(~valid_language("language"), "language")
     if "segments" in chunks.columns:
         reason = reason.otherwise(_segment_reason("segments"))
+    elif "segment_reason" in chunks.columns:
+        reason = reason.otherwise(F.col("segment_reason"))
     return rows.withColumn("reason", reason).drop("__n", "__at", "__hash")
 
 
+def _slim(chunks: DataFrame, key: str, order: str) -> DataFrame:
+    """`chunks` with the hash of each text instead of the text, and what is wrong with its segments instead of these, so that the records of a recording that are put in order are short."""
+    kept = [c for c in (key, order, "start_sample", "end_sample", "previous_hash", "language", "reason", "n_segments") if c in chunks.columns]
+    segments = [F.size("segments").alias("n_segments"), _segment_reason("segments").alias("segment_reason"), F.col("segments").isNull().alias("no_segments")] if "segments" in chunks.columns else []
+    return chunks.select(*(c for c in kept if c != "n_segments" or not segments), F.sha2("raw", 256).alias("raw_hash"), *segments)
+
+
 def recording_totals(chunks: DataFrame, manifests: DataFrame | None = None, key="rec", order="idx") -> DataFrame:
     """(rec, chunks, samples, duration_s, last_hash) of the stored records, and finished of manifests that have it."""
-    totals = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.max("end_sample").alias("samples"), F.max_by(F.sha2("raw", 256), order).alias("last_hash"))
+    totals = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.max("end_sample").alias("samples"), F.max_by(_hash(chunks), order).alias("last_hash"))
     totals = totals.select(key, "chunks", "samples", (F.col("samples") / float(RATE)).alias("duration_s"), "last_hash")
     return totals if manifests is None else totals.join(manifests.select(key, "finished"), key, "left")
 
@@ -74,7 +89,7 @@ def detected_languages(chunks: DataFrame, key="rec", order="idx") -> DataFrame:
 
 def valid_recordings(chunks: DataFrame, limit_samples: int, manifests: DataFrame, key="rec", order="idx") -> DataFrame:
     """(rec, valid): every committed record is right and their totals, and languages if the manifests have them, are those of the manifest."""
-    checked = verify_chain(chunks, limit_samples, manifests, key, order)
+    checked = verify_chain(_slim(chunks, key, order), limit_samples, manifests, key, order)
     totals = recording_totals(checked, None, key, order).join(checked.groupBy(key).agg(F.bool_and(F.col("reason").isNull()).alias("records")), key)
     m = manifests.select(key, F.col("chunks").alias("m_chunks"), F.col("samples").alias("m_samples"), F.col("last_hash").alias("m_hash"), *([F.col("languages").alias("m_languages")] if "languages" in manifests.columns else []))
     same = F.col("records") & (F.col("chunks") == F.col("m_chunks")) & (F.col("samples") == F.col("m_samples")) & (F.col("last_hash") == F.col("m_hash"))
@@ -121,6 +136,8 @@ def restore(manifests: DataFrame, chunks: DataFrame, jobs: DataFrame, limit_samp
     the settings that changed. manifests and chunks: as read_journal has them, chunks
     with their index as idx; jobs: rec and its fingerprint, a JSON text, of now.
     """
+    # each is needed several times, and files are read and parsed once
+    manifests, chunks = written(manifests, "manifests"), written(chunks, "records")
     checked = manifests.withColumn("__reason", manifest_reason(manifests))
     right = checked.filter("__reason is null")
     # a record that cannot be read is not a committed one that is missing: the recording has unknown contents

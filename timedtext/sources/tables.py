@@ -29,20 +29,22 @@ def _parsed(raw: DataFrame, schema: str, limit: int = RECORD_BYTES) -> DataFrame
     return rows.select(*raw.columns, "reason", "r.*").drop("__bad")
 
 
-def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))
-    return _parsed(raw.select("file", "raw"), schema)
+def _records(spark: SparkSession, path: str, schema: str, names: str, whole: bool) -> DataFrame:
+    """The records of the files of some names, one a file or one a line. Other files are not opened."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names)
+    raw = files.text(path, wholetext=whole, lineSep=None if whole else "\n").select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))
+    return _parsed(raw.select("file", "raw"), schema).withColumn("rec", F.regexp_extract("file", r"([^/]+)/[^/]+\z", 1))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(rec, file, raw, reason, record fields) of the chunk records in a folder for each recording; `raw` keeps the bytes that the chain hashes, and reason tells records that are refused."""
-    rows = _records(spark, path, CHUNK).withColumn("rec", F.regexp_extract("file", r"([^/]+)/[^/]+\z", 1))
-    return rows.filter(F.col("file").rlike(r"/chunk-\d+\.json\z"))
+    """(rec, file, raw, reason, record fields) of the chunk records in a folder for each recording, one a file (chunk-N.json) or one a line (chunks-N.jsonl); `raw` keeps the bytes that the chain hashes, and reason tells records that are refused."""
+    single = _records(spark, path, CHUNK, "chunk-*.json", True).filter(F.col("file").rlike(r"/chunk-\d+\.json\z"))
+    lines = _records(spark, path, CHUNK, "chunks-*.jsonl", False).filter(F.col("file").rlike(r"/chunks-\d+\.jsonl\z"))
+    return single.unionByName(lines)
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    rows = _records(spark, path, MANIFEST).withColumn("rec", F.regexp_extract("file", r"([^/]+)/[^/]+\z", 1))
-    return rows.filter(F.col("file").rlike(r"/manifest\.json\z"))
+    return _records(spark, path, MANIFEST, "manifest.json", True)
 
 
 def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
