@@ -46,12 +46,14 @@ def verify_chain(chunks: DataFrame, limit_samples: int, manifests: DataFrame | N
     """
     if manifests is not None:
         chunks = chunks.join(manifests.select(key, "chunks"), key).filter(F.col(order).isNull() | (F.col(order) < F.col("chunks"))).drop("chunks")
-    w = W.partitionBy(key).orderBy(F.col(order).asc_nulls_last())
-    rows = chunks.withColumn("__n", F.row_number().over(w) - 1).withColumn("__at", F.coalesce(F.lag("end_sample").over(w), F.lit(0)))
-    rows = rows.withColumn("__hash", F.coalesce(F.lag(_hash(chunks)).over(w), F.lit("")))
+    # what a record's text is needed for comes before the window, so that it is not put in order where only the reason is asked for
     needed = [order, "start_sample", "end_sample", "previous_hash", "language", "raw_hash" if "raw_hash" in chunks.columns else "raw", *(c for c in ("segments", "n_segments") if c in chunks.columns)]
     nulls = [F.col(c).isNull() for c in needed] + ([F.col("no_segments")] if "no_segments" in chunks.columns else [])
-    unreadable = F.exists(F.array(*nulls), lambda x: x)
+    rows = chunks.withColumn("__own", _hash(chunks)).withColumn("__unreadable", F.exists(F.array(*nulls), lambda x: x))
+    w = W.partitionBy(key).orderBy(F.col(order).asc_nulls_last())
+    rows = rows.withColumn("__n", F.row_number().over(w) - 1).withColumn("__at", F.coalesce(F.lag("end_sample").over(w), F.lit(0)))
+    rows = rows.withColumn("__hash", F.coalesce(F.lag("__own").over(w), F.lit("")))
+    unreadable = F.col("__unreadable")
     length = F.col("end_sample") - F.col("start_sample")
     reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(unreadable, "unreadable") if "reason" in chunks.columns else F.when(unreadable, "unreadable")
     reason = reason.when(F.col(order) != F.col("__n"), "index").when(F.col("start_sample") != F.col("__at"), "start").when((length <= 0) | (length > limit_samples), "length")
@@ -64,7 +66,7 @@ def verify_chain(chunks: DataFrame, limit_samples: int, manifests: DataFrame | N
         reason = reason.otherwise(_segment_reason("segments"))
     elif "segment_reason" in chunks.columns:
         reason = reason.otherwise(F.col("segment_reason"))
-    return rows.withColumn("reason", reason).drop("__n", "__at", "__hash")
+    return rows.withColumn("reason", reason).drop("__n", "__at", "__hash", "__own", "__unreadable")
 
 
 def _slim(chunks: DataFrame, key: str, order: str) -> DataFrame:
