@@ -171,3 +171,21 @@ def test_sinks_round_trip(spark, tmp_path):
     assert sorted(r.reason for r in tables.refused_transcripts(spark, str(tmp_path / "json")).collect()) == ["other schema", "unreadable"]
     back = tables.read_transcripts(spark, str(tmp_path / "json")).orderBy("seq").collect()
     assert [(r.seq, r.start_s, r.end_s, r.text, r.language) for r in back] == [(0, 2.5, 4.125, "Erst?", "en"), (1, 64.0, 65.5, "Dann!", "en"), (2, 65.5, 66.0, "", "en")]
+
+
+def test_a_long_recording_is_several_documents(spark, tmp_path):
+    n = 2 * sinks.SEGMENTS + 9
+    rows = [("long", i, i * 3.0, i * 3.0 + (0.5 if i % 700 == 0 else 2.5), f"w{i}" + "." * (i % 3 == 0), 0.0, "en") for i in range(n)] + [("short", 0, 0.0, 1.0, "x", 0.0, "en")]
+    df = spark.createDataFrame(rows, SEG)
+    docs = [json.loads(r.value) for r in sinks.json_documents(df, sinks.default_headers(df)).orderBy("rec", "place").collect()]
+    assert [(d["source"], len(d["segments"]), d.get("first_segment")) for d in docs] == [("long", sinks.SEGMENTS, None), ("long", sinks.SEGMENTS, sinks.SEGMENTS), ("long", 9, 2 * sinks.SEGMENTS), ("short", 1, None)]
+    assert "\n\n".join(d["text"] for d in docs[:3] if d["text"]) == p.transcript_text(df, 2000).filter("rec = 'long'").first().text
+    sinks.write_json(df, sinks.default_headers(df), str(tmp_path / "out"))
+    back = tables.read_transcripts(spark, str(tmp_path / "out")).filter("source = 'long'").orderBy("seq").collect()
+    assert [(r.seq, r.text) for r in back] == [(r[1], r[4]) for r in rows[:-1]]
+
+
+def test_recordings_share_files(spark, tmp_path):
+    df = spark.createDataFrame([(f"r{i}", 0, 0.0, 1.0, "x", 0.0, "en") for i in range(300)], SEG)
+    sinks.write_json(df, sinks.default_headers(df), str(tmp_path / "out"))
+    assert tables.read_transcripts(spark, str(tmp_path / "out")).count() == 300 and len(list((tmp_path / "out").rglob("*.txt"))) < 50

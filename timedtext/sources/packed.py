@@ -153,7 +153,7 @@ def renderings(segs: DataFrame, formats=("text", "srt", "vtt", "json"), headers:
         "text": lambda: sinks.text_rows(segs, pause_ms, key=key).withColumnRenamed("paragraph", "place"),
         "srt": lambda: sinks.srt_rows(segs, key).withColumnRenamed("cue", "place"),
         "vtt": lambda: sinks.vtt_rows(segs, key).withColumnRenamed("cue", "place"),
-        "json": lambda: sinks.json_documents(segs, headers, pause_ms, key=key).withColumn("place", F.lit(0).cast("long")),
+        "json": lambda: sinks.json_documents(segs, headers, pause_ms, key=key),
     }
     out = None
     for f in formats:

@@ -15,7 +15,7 @@ MANIFEST = (
 )
 TRANSCRIPT = (
     "schema_version int, source string, model string, language string, languages array<string>, language_probability double, duration double, duration_after_vad double, text string, "
-    "segments array<struct<id: long, start: double, `end`: double, text: string, language: string, avg_logprob: double, compression_ratio: double, no_speech_prob: double>>, run map<string, string>"
+    "segments array<struct<id: long, start: double, `end`: double, text: string, language: string, avg_logprob: double, compression_ratio: double, no_speech_prob: double>>, run map<string, string>, first_segment long"
 )
 CATALOG = "name string, file string, url string, sha256 string, bytes long"
 
@@ -58,14 +58,15 @@ def read_appended(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(source, seq, start_s, end_s, text, no_speech_prob, language) of schema-2 transcript documents."""
-    rows = spark.read.schema(TRANSCRIPT).json(path).filter("schema_version = 2").select("source", F.posexplode("segments").alias("seq", "s"))
-    return rows.select("source", F.col("seq").cast("long").alias("seq"), F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), "s.text", "s.no_speech_prob", "s.language")
+    """(source, seq, start_s, end_s, text, no_speech_prob, language) of schema-2 transcript documents, one a line; of those that are a part of a recording, seq goes on from first_segment."""
+    docs = spark.read.schema(TRANSCRIPT).option("recursiveFileLookup", True).json(path).filter("schema_version = 2")
+    rows = docs.select("source", F.coalesce("first_segment", F.lit(0).cast("long")).alias("first"), F.posexplode("segments").alias("pos", "s"))
+    return rows.select("source", (F.col("first") + F.col("pos")).alias("seq"), F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), "s.text", "s.no_speech_prob", "s.language")
 
 
 def refused_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(raw, reason) of the documents that read_transcripts has no rows of: too large, unreadable, or of another schema."""
-    rows = _parsed(spark.read.text(path).select(F.col("value").alias("raw")), TRANSCRIPT)
+    rows = _parsed(spark.read.option("recursiveFileLookup", True).text(path).select(F.col("value").alias("raw")), TRANSCRIPT)
     other = F.when(F.coalesce("schema_version", F.lit(0)) != 2, "other schema")
     return rows.select("raw", F.coalesce("reason", other).alias("reason")).filter("reason is not null")
 
