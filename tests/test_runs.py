@@ -337,5 +337,5 @@ def test_a_journal_is_few_files(spark, tmp_path):
     assert sorted(f.name for f in (tmp_path / "c").iterdir()) == ["chunks-0.jsonl", "chunks-1.jsonl", "manifest.json"] and len(list((tmp_path / "a").iterdir())) == 1
     (tmp_path / "a" / "chunk-7777.json").write_text('{"index":\n7777}')
     manifests, chunks = tables.read_journal(spark, str(tmp_path))
-    got = {(r.rec, r.index, r.raw) for r in chunks.collect()}
+    got = {(r.rec, r["index"], r.raw) for r in chunks.collect()}
     assert got == {tuple(r) for r in made.collect()} | {("a", 7777, '{"index":\n7777}')} and [r.rec for r in manifests.collect()] == ["c"]
