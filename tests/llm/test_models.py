@@ -1,6 +1,7 @@
 """The classifier and the toxicity model: held-out accuracy and defined cases."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -168,6 +169,18 @@ def test_context_and_document_vectors_are_brute_force(monkeypatch, size):
     assert quality.vectors(TEXTS, table) == pytest.approx(np.array(want), abs=1e-9)
 
 
+def test_arrays_are_bounded_for_any_number_of_words():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k:x}" for k in rng.integers(0, 1 << 20, 400)) for _ in range(256)] + ["more " + " ".join(f"v{k:x}" for k in range(60_000))]
+    table = np.zeros((quality.UNITS, quality.DIMENSIONS), np.float32)
+    for step in (lambda: quality.context_sums(texts), lambda: quality.vectors(texts, table)):
+        tracemalloc.start()
+        step()
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert most < 64 << 20
+
+
 def test_models_carry_columns_and_bound_their_sample(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"you idiot {i}!" if i % 2 else f"good words {i}.", i) for i in range(40)] + [(1, "you idiot again!", 0), (2, "good " * 100, 0)], "doc_id long, text string, part int")
     docs = docs.select("*", *(docs["part"].alias(c) for c in ("y", "pick", "score", "offending", "unit", "sums")))

@@ -37,6 +37,8 @@ from timedtext.llm import labelled, shared, words
 UNITS, DIMENSIONS, NONZERO, SPAN = 1 << 15, 48, 6, 2
 HIDDEN, ROUNDS, DECAY, THRESHOLD = 24, 300, 1e-4, 0.3
 _SHAPES = 1 << 10
+#: Rows of the table that are added up together: a task of a few megabytes, however many units its texts have.
+ROWS = 1 << 13
 
 
 def units(scan: words.Scan) -> np.ndarray:
@@ -69,7 +71,7 @@ def context_sums(texts: list[str | None]) -> np.ndarray:
     index, out = index_vectors(), np.zeros((UNITS, DIMENSIONS), np.float32)
     for _, scan, own in words.framed_batches(texts, SPAN + 1):
         u = units(scan)
-        vector = index[u].sum(axis=0)
+        vector = sum(index[x] for x in u)
         around = np.zeros_like(vector)
         for k in range(1, SPAN + 1):
             together = (scan.owners[k:] == scan.owners[:-k])[:, None]
@@ -87,16 +89,24 @@ def context_sums(texts: list[str | None]) -> np.ndarray:
 
 def vectors(texts: list[str | None], table: np.ndarray) -> np.ndarray:
     """The mean of the context vectors of each text's units, and the log of the number of units."""
-    found: list[np.ndarray] = []
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for rows, scan, own in words.framed_batches(texts, SPAN + 1):
-        found += [(rows * UNITS + x)[own] for x in units(scan)]
-    keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+        found.append(np.unique(np.concatenate([(rows * UNITS + x)[own] for x in units(scan)]), return_counts=True))
+    # a long text has its units in several pieces
+    keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, place, np.concatenate([c for _, c in found]))
     rows, total = keys // UNITS, np.zeros(len(texts))
     sums = np.zeros((len(texts), DIMENSIONS))
-    if len(keys):
-        some, begins = np.unique(rows, return_index=True)
-        sums[some] = np.add.reduceat(table[keys % UNITS].astype(np.float64) * n[:, None], begins, axis=0)
-        total[some] = np.add.reduceat(n, begins)
+    np.add.at(total, rows, n)
+    ends = np.searchsorted(rows, np.arange(len(texts)), "right")
+    at = 0
+    while at < len(keys):
+        # whole texts, of which one has at most UNITS keys
+        end = max(int(ends[rows[at]]), int(ends[max(0, np.searchsorted(ends, at + ROWS, "right") - 1)]))
+        some, begins = np.unique(rows[at:end], return_index=True)
+        sums[some] = np.add.reduceat(table[keys[at:end] % UNITS].astype(np.float64) * n[at:end, None], begins, axis=0)
+        at = end
     return np.concatenate([sums / np.maximum(total, 1)[:, None], np.log1p(total)[:, None]], axis=1)
 
 

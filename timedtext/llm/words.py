@@ -9,8 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes that are hashed together; more only for one word that is longer.
-PIECE = 1 << 20
+#: Bytes that are hashed together; more only for one word that is longer. A worker has a few hundred bytes of arrays for each of them, and keeps two tables of powers.
+PIECE = 1 << 17
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
