@@ -120,6 +120,24 @@ def test_the_tail_is_written_once():
         assert p.blocks.written == len(x) and most <= 60 // 11 + 8
 
 
+def test_windows_of_rows_make_no_frames(monkeypatch):
+    """Blocks as rows, with a start that is null, go in, and rows come out, without a frame for each recording."""
+    from pyspark.sql import Row
+
+    x = np.repeat(np.arange(200) % 5, 7).astype(np.float32)
+    names = ["rec", "idx", "start_sample", "end_sample", "silent", "whole", "recognized", "language", "segments"]
+    plain = recognize.Windows(60, 3, runs, cut)
+    want = [recognize.committed_row("r", w) for w in [*plain.push(x), *plain.finish()]]
+    monkeypatch.setattr(windows.pd, "DataFrame", None)
+    p = windows._RowWindows("rec", runs, cut, 60, 3, names, 0)
+    p.state, p.blocks, got = Value(), Map(), []
+    calls = [[Row(start_sample=at, samples=x[at : at + 11].tolist()) for at in (k + 11, k) if at < len(x)] for k in range(0, len(x), 22)]
+    for rows in [*calls, [Row(start_sample=None, samples=None), Row(start_sample=len(x), samples=[])]]:
+        got += list(p.handleInputRows(("r",), iter(rows), None))
+    assert all(list(r.__fields__) == names for r in got) and list(map(str, map(tuple, got))) == list(map(str, want))
+    assert not p.blocks.d
+
+
 class Calls(Map):
     """A map that counts what is asked of it."""
 

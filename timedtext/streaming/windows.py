@@ -9,11 +9,11 @@ is committed are skipped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -35,7 +35,10 @@ class _Windows(StatefulProcessor):
         self.blocks = handle.getMapState("blocks", "start long", "samples array<float>")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803  # Spark's names
-        at, n = int(initialState["samples"].iloc[0]), int(initialState["chunks"].iloc[0])
+        self.begin(initialState["samples"].iloc[0], initialState["chunks"].iloc[0])
+
+    def begin(self, samples, chunks) -> None:
+        at, n = int(samples), int(chunks)
         self.state.update((at, n, at, at, -1, -1, 0))
 
     def load(self) -> bool:
@@ -99,26 +102,26 @@ class _Windows(StatefulProcessor):
             place[0], place[1] = w.position, w.index
             place[2] = self.forget(place[2], place[0], place[3])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def came(self, key, blocks: Iterable[tuple], timerValues) -> list[tuple]:  # noqa: N803
+        """The windows that can be committed with further blocks of (start, samples)."""
         self.load()
         *place, total, timer = self.saved
         out: list[tuple] = []
-        for frame in rows:
-            for at, samples in zip(frame["start_sample"], frame["samples"], strict=True):
-                if at is None or at != at:
-                    continue
-                at, n = int(at), 0 if samples is None else len(samples)
-                if not n:
-                    total = max(total, at)
-                elif at <= place[3] < at + n and at != place[3] and place[2] == place[3]:
-                    place[2] = at  # a block that is committed in part is the first one
-                    self.put(at, samples)
-                    place[3] = at + n
-                elif at >= place[3] and not self.has(at):
-                    self.put(at, samples)
-                while self.has(place[3]):
-                    place[3] += len(self.get(place[3]))
-                self.commit(key[0], place, out, False)
+        for at, samples in blocks:
+            if at is None or at != at:
+                continue
+            at, n = int(at), 0 if samples is None else len(samples)
+            if not n:
+                total = max(total, at)
+            elif at <= place[3] < at + n and at != place[3] and place[2] == place[3]:
+                place[2] = at  # a block that is committed in part is the first one
+                self.put(at, samples)
+                place[3] = at + n
+            elif at >= place[3] and not self.has(at):
+                self.put(at, samples)
+            while self.has(place[3]):
+                place[3] += len(self.get(place[3]))
+            self.commit(key[0], place, out, False)
         self.commit(key[0], place, out, 0 <= total <= place[3])
         if self.idle_ms:
             if timer >= 0:
@@ -126,10 +129,9 @@ class _Windows(StatefulProcessor):
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(timer)
         self.state.update((*place, total, timer, self.count))
-        if out:
-            yield pd.DataFrame(out, columns=self.names)
+        return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def expired(self, key) -> list[tuple]:
         """What is there up to the first gap is committed, and the state goes."""
         out: list[tuple] = []
         if self.load():
@@ -137,16 +139,38 @@ class _Windows(StatefulProcessor):
             self.commit(key[0], place, out, True)
         self.blocks.clear()
         self.state.clear()
-        if out:
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if out := self.came(key, (b for frame in rows for b in zip(frame["start_sample"], frame["samples"], strict=True)), timerValues):
+            yield pd.DataFrame(out, columns=self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if out := self.expired(key):
             yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
         pass
 
 
+class _RowWindows(_Windows):
+    """The same on rows: frames of a few rows a recording take longer to be made and turned into Arrow than all that is done with them."""
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        self.begin(initialState["samples"], initialState["chunks"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        made = Row(*self.names)
+        return (made(*x) for x in self.came(key, ((r["start_sample"], r["samples"]) for r in rows), timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        made = Row(*self.names)
+        return (made(*x) for x in self.expired(key))
+
+
 def windowed(blocks: DataFrame, recognize: rec_ops.Recognize, choose_cut: rec_ops.ChooseCut, limit: int, guard: int, key: str, idle: float | None, begin: DataFrame | None) -> DataFrame:
     schema = rec_ops.committed_type(blocks.schema[key])
-    processor = _Windows(key, recognize, choose_cut, limit, guard, [f.name for f in schema], int(idle * 1000) if idle else 0)
+    processor = _RowWindows(key, recognize, choose_cut, limit, guard, [f.name for f in schema], int(idle * 1000) if idle else 0)
     initial = None if begin is None else begin.select(key, F.col("samples").cast("long").alias("samples"), F.col("chunks").cast("long").alias("chunks")).groupBy(key)
     rows = blocks.select(key, F.col("start_sample").cast("long").alias("start_sample"), "samples")
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if idle else "none", initialState=initial)
+    return rows.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if idle else "none", initialState=initial)
