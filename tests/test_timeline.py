@@ -84,6 +84,17 @@ def budget(events, strict, limit):
     return None
 
 
+def test_events_are_sorted_once_without_a_time_rule(spark):
+    n = tl.STALLED
+    kinds = ["error"] * (n - 1) + ["packet"] + ["error"] * (n - 1) + ["await", "other", None, "error", "error"]
+    events = spark.createDataFrame([(1, i, k, None, -22) for i, k in enumerate(kinds)] + [(2, i, "error", None, -11) for i in range(n)], "rec long, seq long, kind string, seconds double, code int")
+    got = tl.decode_budget(events.repartition(3), limit_s=0)
+    assert [tuple(r) for r in got.collect()] == [(1, 2 * n + 2, "stalled")]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    windows = {line.split("windowspecdefinition(")[1].split("specifiedwindowframe")[0] for line in plan.splitlines() if "windowspecdefinition(" in line}
+    assert len(windows) == 1
+
+
 def test_decode_budget_is_the_loop(spark):
     rng = np.random.default_rng(5)
     data, want = [], {}

@@ -214,6 +214,10 @@ def silence_fill(aligned: DataFrame, key="rec", order="seq") -> DataFrame:
     return out.withColumn("silence", silence.cast("long")).withColumn("drop", drop.cast("long")).drop("__end")
 
 
+#: What an event is to decode_budget; an error is a recoverable one.
+AWAIT, PACKET, FRAME, ERROR = 1, 2, 3, 4
+
+
 def decode_budget(events: DataFrame, strict=False, limit_s=30, key="rec", order="seq") -> DataFrame:
     """(rec, seq, reason) of the first failing event of each recording. events: kind (packet, frame, error or await), seconds, code.
 
@@ -225,14 +229,22 @@ def decode_budget(events: DataFrame, strict=False, limit_s=30, key="rec", order=
         raise ValueError("a negative limit")
     w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     error = (F.col("kind") == "error") & (classify_code("code") == "recoverable")
-    rows = events.select(key, order, "kind", "seconds", error.alias("error"))
-    rows = rows.withColumn("frames", F.count_if(F.col("kind") == "frame").over(w)).withColumn("moves", F.count_if(F.col("kind").isin("frame", "packet")).over(w))
-    good = ~F.isnan("seconds") & (F.col("seconds") > 0) & (F.col("seconds") < float("inf"))
-    since = W.partitionBy(key, "frames").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    spent = F.coalesce(F.sum(F.when((F.col("kind") == "packet") & good, F.col("seconds"))).over(since), F.lit(0.0))
-    rows = rows.withColumn("spent", spent).withColumn("damaged", F.max("error").over(since))
-    rows = rows.withColumn("stuck", F.count_if("error").over(W.partitionBy(key, "moves").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
-    late = F.lit(limit_s > 0) & F.col("damaged") & (F.col("spent") >= limit_s) & (F.col("error") | (F.col("kind") == "await"))
+    # one small number for what an event is: all events are dealt and sorted, once, and again for the time rule only
+    what = F.when(error, ERROR).when(F.col("kind") == "frame", FRAME).when(F.col("kind") == "packet", PACKET).when(F.col("kind") == "await", AWAIT).otherwise(0).cast("byte")
+    rows = events.select(key, order, what.alias("what"), *(["seconds"] if limit_s else []))
+    is_error, is_frame = F.col("what") == ERROR, F.col("what") == FRAME
+    rows = rows.withColumn("errors", F.count_if(is_error).over(w))
+    # errors so far only grow, so their most at any move or frame is that at the last one
+    before = lambda c: F.coalesce(F.max(F.when(c, F.col("errors"))).over(w), F.lit(0))
+    rows = rows.withColumn("stuck", F.col("errors") - before(F.col("what").isin(FRAME, PACKET))).withColumn("error", is_error)
+    if limit_s:
+        rows = rows.withColumn("damaged", F.col("errors") > before(is_frame)).withColumn("frames", F.count_if(is_frame).over(w))
+        good = ~F.isnan("seconds") & (F.col("seconds") > 0) & (F.col("seconds") < float("inf"))
+        since = W.partitionBy(key, "frames").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        rows = rows.withColumn("spent", F.coalesce(F.sum(F.when((F.col("what") == PACKET) & good, F.col("seconds"))).over(since), F.lit(0.0)))
+        late = F.col("damaged") & (F.col("spent") >= limit_s) & (F.col("error") | (F.col("what") == AWAIT))
+    else:
+        late = F.lit(False)
     reason = F.when(F.lit(strict) & F.col("error"), "strict").when(F.col("error") & (F.col("stuck") >= STALLED), "stalled").when(late, "time")
     failing = rows.withColumn("reason", reason).filter("reason is not null")
     return failing.groupBy(key).agg(F.min(order).alias(order), F.min_by("reason", order).alias("reason"))
