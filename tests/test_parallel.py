@@ -204,3 +204,10 @@ def test_wav_that_is_none(spark, tmp_path, _):
     (tmp_path / "x.wav").write_bytes(b"no sound")
     with pytest.raises(Exception, match="WAV"):
         media.read_wav(spark, str(tmp_path)).collect()
+
+
+def test_sums_of_a_block_of_paragraphs_are_small():
+    rng = np.random.default_rng(4)
+    rows = [("r", i, float(i), i + 3 * rng.random(), "en" if rng.random() < 0.8 else "ru", int(rng.integers(0, 300)), bool(rng.random() < 0.7)) for i in range(4096)]
+    for size in (16, 4096):
+        assert sum(len(x) * (1 if isinstance(x, bytes) else 8) for x in paragraphs.count_sums(rows[:size], 2000)[:2]) < 2048

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,12 +42,21 @@ def count_step(state: tuple, row: tuple, pause_ms: int) -> tuple[tuple, list[tup
     return (min(LONG, n if broken else count + n), ends, end, language, breaks), [(key, seq, broken, breaks)]
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return zlib.compress(numbers.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(packed: bytes, at: int) -> int:
+    return int(np.frombuffer(zlib.decompress(packed), "<i8")[at])
+
+
 def count_sums(rows: list[tuple], pause_ms: int) -> tuple:
     """A block of lines as a function of the state before it.
 
     What comes in is a count from 0 to LONG, with a sentence end or without one, or a
-    hard break before the first line: each has a place in the lists of the counts that
-    come out and of the breaks within. Further: start and language of the first line,
+    hard break before the first line: each has a place in the tables of the counts that
+    come out and of the breaks within. These repeat a few numbers, so they are kept
+    packed: as lists they are 19 KB a block, and a batch of blocks is in memory. Further: start and language of the first line,
     and sentence end, end and language of the last one.
     """
     count = np.concatenate([np.arange(LONG + 1), np.arange(LONG + 1), [0]])
@@ -58,7 +69,7 @@ def count_sums(rows: list[tuple], pause_ms: int) -> tuple:
         breaks += broken
         count = np.minimum(LONG, np.where(broken, n, count + n))
         ended, before = bool(ends), (end, language)
-    return (count.tolist(), breaks.tolist(), rows[0][2], rows[0][4], ended, *before)
+    return (_packed(count), _packed(breaks), rows[0][2], rows[0][4], ended, *before)
 
 
 def count_after(state: tuple, sums: tuple, pause_ms: int) -> tuple:
@@ -66,7 +77,7 @@ def count_after(state: tuple, sums: tuple, pause_ms: int) -> tuple:
     counts, within, start, language, *last = sums
     count, ended, *before, breaks = state
     at = 2 * LONG + 2 if is_hard(before, start, language, pause_ms) else count + bool(ended) * (LONG + 1)
-    return (counts[at], *last, breaks + within[at])
+    return (_unpacked(counts, at), *last, breaks + _unpacked(within, at))
 
 
 def _state(number: T.DataType) -> list[T.StructField]:
@@ -88,7 +99,7 @@ def paragraphs(segments: DataFrame, pause_ms: int, layout="paragraphs", key="rec
     schema = T.StructType([segments.schema[key], segments.schema[order], T.StructField("breaks", flag), T.StructField("paragraph", long)])
     last = _state(double)
     state = T.StructType([T.StructField("count", long), *last, T.StructField("breaks", long)])
-    sums = T.StructType([T.StructField("counts", T.ArrayType(long)), T.StructField("within", T.ArrayType(long)), T.StructField("start", double), T.StructField("first", text), *last])
+    sums = T.StructType([T.StructField("counts", T.BinaryType()), T.StructField("within", T.BinaryType()), T.StructField("start", double), T.StructField("first", text), *last])
     found = block_scan(
         small, key, order, lambda: (0, False, None, None, 0), lambda s, row: count_step(s, row, pause_ms), schema,
         state, lambda block: count_sums(block, pause_ms), sums, lambda s, block: count_after(s, block, pause_ms), bits=bits,
