@@ -3,14 +3,17 @@
 import html
 import json
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from timedtext.functions import text as t
 from timedtext.operators import paragraphs as p
 from timedtext.operators import segments as s
+from timedtext.plans.views import Views
 from timedtext.sources import sinks, tables
 
 SEG = "rec string, seq long, start_s double, end_s double, text string, no_speech_prob double, language string"
@@ -189,3 +192,60 @@ def test_recordings_share_files(spark, tmp_path):
     df = spark.createDataFrame([(f"r{i}", 0, 0.0, 1.0, "x", 0.0, "en") for i in range(300)], SEG)
     sinks.write_json(df, sinks.default_headers(df), str(tmp_path / "out"))
     assert tables.read_transcripts(spark, str(tmp_path / "out")).count() == 300 and len(list((tmp_path / "out").rglob("*.txt"))) < 50
+
+
+def test_a_long_recording_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE", 16, raising=False)
+    monkeypatch.setattr(sinks, "SEGMENTS", 8)
+    rows = [("long", i, i * 3.0, i * 3.0 + (0.5 if i % 7 == 0 else 2.5), f"w{i}" if i % 5 else " ", 0.0, "en") for i in range(100)] + [(f"s{i}", 0, 0.0, 1.0, "x", 0.0, "en") for i in range(20)]
+    df = spark.createDataFrame(rows, SEG).repartition(5)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sinks.publish_all(df, str(tmp_path)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    parts = lambda f, rec="long": [x.read_text() for x in sorted((tmp_path / f / f"rec={rec}").glob("*.txt"))]
+    assert all(len(parts(f)) > 1 and len(parts(f, "s7")) == 1 for f in ("srt", "vtt"))
+    lines = lambda df, order: "".join(r.value + "\n" for r in df.filter("rec = 'long'").orderBy(order).collect())
+    assert "".join(parts("text")) == lines(sinks.text_rows(df), "paragraph")
+    assert "".join(parts("srt")) == lines(sinks.srt_rows(df), "cue") and "".join(parts("vtt")) == lines(sinks.vtt_rows(df), "cue")
+    docs = [json.loads(x) for f in (tmp_path / "json").glob("*.txt") for x in f.read_text().splitlines()]
+    docs = sorted((d for d in docs if d["source"] == "long"), key=lambda d: d.get("first_segment", 0))
+    want = sorted((json.loads(r.value) for r in sinks.json_documents(df, sinks.default_headers(df)).filter("rec = 'long'").collect()), key=lambda d: d.get("first_segment", 0))
+    assert all(len(d["segments"]) <= 8 and d["segments"][0]["id"] == d.get("first_segment", 0) for d in docs) and len(want) == 13
+    assert [x for d in docs for x in d["segments"]] == [x for d in want for x in d["segments"]] and len(docs) < 20
+    assert all("\n\n".join(d["text"] for d in x if d["text"]) == p.transcript_text(df, 2000).filter("rec = 'long'").first().text for x in (docs, want))
+    assert all({k: v for k, v in d.items() if k not in ("segments", "text", "first_segment")} == {k: v for k, v in want[0].items() if k not in ("segments", "text")} for d in docs)
+
+
+def test_published_input_is_in_few_plans(spark, tmp_path):
+    """What is published is written once, and the formats' plans don't hold the steps that led to it."""
+    df = segs(spark, [(0.0, 1.0, "one"), (1.0, 2.0, "two")]).withColumn("text", F.max("text").over(W.partitionBy("rec", "seq")))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    sinks.publish_all(df, str(tmp_path))
+    plans = [store.executionsList(int(before), 1000).apply(i).physicalPlanDescription() for i in range(int(store.executionsCount() - before))]
+    assert plans and sum("max(text" in x for x in plans) == 1
+
+
+def test_segments_of_one_place_are_published_once(spark, tmp_path):
+    rows = [("r", 0, 0.0, 1.0, "One.", 0.0, "en"), ("r", 1, 1.0, 2.0, "two", 0.0, "en"), ("r", 1, 1.0, 2.0, "too", 0.0, "en")]
+    sinks.publish_all(spark.createDataFrame(rows, SEG), str(tmp_path))
+    words = {f: sorted(w for x in (tmp_path / f).rglob("*.txt") for w in ("One", "two", "too") for _ in range(x.read_text().count(w))) for f in ("text", "srt", "vtt")}
+    assert set(map(tuple, words.values())) == {("One", "too", "two")}
+    assert sorted(r.text for r in tables.read_transcripts(spark, str(tmp_path / "json")).collect()) == ["One.", "too", "two"]
+
+
+def test_texts_of_a_source_go_through_no_window(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    plan = Views(spark, "/root/testdata/sf0.001").docseg_v._jdf.queryExecution().optimizedPlan().toString()
+    below = [x for x in plan[plan.index("Window") :].splitlines() if "Project" in x]
+    assert "text#" not in below[0] and "Join" in plan
+
+
+def test_sentence_end_behind_many_quotes(spark):
+    texts = ["a." + "\"" * k for k in (0, 1, 30, 31, 32, 33, 90)] + ["a. b" + ")" * 40, ")" * 40, "." * 40, "", None, "é。" + "”" * 35]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert [r[0] for r in df.select(t.sentence_end("x")).collect()] == [True] * 7 + [False, False, True, False, None, True]

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Samples in a second, and what counts as white space here.
 RATE = 16_000
 BLANKS = " \n\r\t"
+#: Characters at the end of a text that are looked at first.
+TAIL = 32
 
 
 def _column(c: Column | str) -> Column:
@@ -29,7 +31,9 @@ def trim_text(c: Column | str) -> Column:
 
 def sentence_end(c: Column | str) -> Column:
     """Whether the last character, but for closing quotes and brackets, ends a sentence."""
-    return _column(c).rlike("[.!?…。][\"')\\]}»”’]*\\z")
+    c, ends, tail = _column(c), "[.!?…。][\"')\\]}»”’]*\\z", F.right(_column(c), F.lit(TAIL))
+    # a long text is not searched from its start but where its tail is nothing but these
+    return F.when(tail.rlike("[^\"')\\]}»”’]"), tail.rlike(ends)).otherwise(c.rlike(ends))
 
 
 def code_points(c: Column | str) -> Column:

@@ -94,17 +94,24 @@ def paragraphs(segments: DataFrame, pause_ms: int, layout="paragraphs", key="rec
     rows = segments.withColumn("line", t.normalize_text("text")).filter("line <> ''")
     if layout != "paragraphs":
         return rows.withColumn("breaks", F.lit(False)).withColumn("paragraph", F.lit(0).cast("long"))
-    small = rows.select(key, order, F.col("start_s").cast("double"), F.col("end_s").cast("double"), "language", t.code_points("line").alias("n"), t.sentence_end("line").alias("ends"))
+    lines = rows.withColumn("n", t.code_points("line")).withColumn("ends", t.sentence_end("line"))
+    return rows.join(paragraph_numbers(lines, pause_ms, layout, key, order, bits), [key, order])
+
+
+def paragraph_numbers(lines: DataFrame, pause_ms: int, layout="paragraphs", key="rec", order="seq", bits=BITS) -> DataFrame:
+    """(rec, seq, breaks, paragraph) of lines that are not blank, without their text: `n`, its code points, and `ends`, whether it ends a sentence."""
+    if layout != "paragraphs":
+        return lines.select(key, order, F.lit(False).alias("breaks"), F.lit(0).cast("long").alias("paragraph"))
+    small = lines.select(key, order, F.col("start_s").cast("double"), F.col("end_s").cast("double"), "language", "n", "ends")
     flag, long, double, text = T.BooleanType(), T.LongType(), T.DoubleType(), T.StringType()
-    schema = T.StructType([segments.schema[key], segments.schema[order], T.StructField("breaks", flag), T.StructField("paragraph", long)])
+    schema = T.StructType([lines.schema[key], lines.schema[order], T.StructField("breaks", flag), T.StructField("paragraph", long)])
     last = _state(double)
     state = T.StructType([T.StructField("count", long), *last, T.StructField("breaks", long)])
     sums = T.StructType([T.StructField("counts", T.BinaryType()), T.StructField("within", T.BinaryType()), T.StructField("start", double), T.StructField("first", text), *last])
-    found = block_scan(
+    return block_scan(
         small, key, order, lambda: (0, False, None, None, 0), lambda s, row: count_step(s, row, pause_ms), schema,
         state, lambda block: count_sums(block, pause_ms), sums, lambda s, block: count_after(s, block, pause_ms), bits=bits,
     )
-    return rows.join(found, [key, order])
 
 
 def paragraph_texts(segments: DataFrame, pause_ms: int, layout="paragraphs", key="rec", order="seq") -> DataFrame:

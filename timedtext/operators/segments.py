@@ -77,7 +77,7 @@ def order_segments(segments: DataFrame, key="rec", order="seq") -> DataFrame:
     return segments.orderBy(key, order)
 
 
-def cue_index(segments: DataFrame, key="rec", order="seq", first=1) -> DataFrame:
+def cue_index(segments: DataFrame, key="rec", order: str | list[str] = "seq", first=1) -> DataFrame:
     """Numbers from `first` within each recording: 1 for captions, 0 for JSON."""
     return segments.withColumn("cue", (F.row_number().over(W.partitionBy(key).orderBy(order)) - 1 + first).cast("long"))
 
@@ -88,8 +88,8 @@ def srt_cues(segments: DataFrame, key="rec", order="seq") -> DataFrame:
     return out.select(key, "cue", t.srt_time("start_s").alias("start"), t.srt_time("end_s").alias("end"), t.normalize_text("text").alias("text"))
 
 
-def vtt_cues(segments: DataFrame, key="rec", order="seq") -> DataFrame:
-    """(rec, cue, start_ms, end_ms, start, end, text) of WebVTT captions: starts never go back, nor before 0, ends are at least 1 ms later.
+def vtt_times(segments: DataFrame, key="rec", order: str | list[str] = "seq") -> DataFrame:
+    """`segments` with start_ms and end_ms of WebVTT captions: starts never go back, nor before 0, ends are at least 1 ms later.
 
     A cue with a time that is not finite has null times, and moves no other.
     """
@@ -97,8 +97,12 @@ def vtt_cues(segments: DataFrame, key="rec", order="seq") -> DataFrame:
     good = t.finite("start_s") & t.finite("end_s")
     latest = F.max(F.when(good, t.milliseconds("start_s"))).over(w.rowsBetween(W.unboundedPreceding, 0))
     out = segments.withColumn("start_ms", F.when(good, F.greatest(latest, F.lit(0))))
-    out = out.withColumn("end_ms", F.when(good, F.greatest(t.milliseconds("end_s"), F.col("start_ms") + 1)))
-    out = cue_index(out, key, order)
+    return out.withColumn("end_ms", F.when(good, F.greatest(t.milliseconds("end_s"), F.col("start_ms") + 1)))
+
+
+def vtt_cues(segments: DataFrame, key="rec", order="seq") -> DataFrame:
+    """(rec, cue, start_ms, end_ms, start, end, text) of WebVTT captions, with the times of vtt_times."""
+    out = cue_index(vtt_times(segments, key, order), key, order)
     return out.select(key, "cue", "start_ms", "end_ms", t.vtt_time("start_ms").alias("start"), t.vtt_time("end_ms").alias("end"), t.cue_escape("text").alias("text"))
 
 

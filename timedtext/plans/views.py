@@ -81,7 +81,16 @@ _CHUNKS_SPARK = """
   FROM (SELECT source AS rec, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS idx,
                CASE WHEN doc_id % 53 = 0 THEN 'broken' ELSE coalesce(lag(sha2(text, 256)) OVER (PARTITION BY source ORDER BY doc_id), '') END AS previous_hash FROM documents) AS n
   JOIN documents AS d ON n.doc_id = d.doc_id"""
-_SPARK = {"pcm_v": _PCM_SPARK, "chunks_v": _CHUNKS_SPARK}
+_DOCSEG_SPARK = f"""
+  SELECT n.rec, n.seq, n.doc_id, n.end_ms - n.dur_ms AS start_ms, n.end_ms,
+         CAST(n.end_ms - n.dur_ms AS DOUBLE) / 1000 AS start_s, CAST(n.end_ms AS DOUBLE) / 1000 AS end_s,
+         d.text, n.language, CAST(n.doc_id % 10 AS DOUBLE) / 10 AS no_speech_prob
+  FROM (SELECT *, CAST(SUM(gap_ms + dur_ms) {_RUNNING} AS BIGINT) AS end_ms
+        FROM (SELECT source AS rec, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS seq,
+                     doc_id, lang AS language, CAST(100 + n_chars % 7000 AS BIGINT) AS dur_ms,
+                     CAST(doc_id * 7919 % 2600 AS BIGINT) AS gap_ms FROM documents) AS b) AS n
+  JOIN documents AS d ON n.doc_id = d.doc_id"""
+_SPARK = {"pcm_v": _PCM_SPARK, "chunks_v": _CHUNKS_SPARK, "docseg_v": _DOCSEG_SPARK}
 
 
 def _needs(sql: str) -> list[str]:
